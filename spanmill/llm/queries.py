@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import bpe, simhash
+from . import bpe, lmscore, recompression, simhash
 from .common import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -18,15 +17,35 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's exact unigram base score and its score under the Bloom-filter model."""
+    return lmscore.score_texts(read_table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and near-duplicate class."""
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of windows that an earlier document has too."""
+    return recompression.digests(recompression.remove_repeats(read_table(spark, sf_dir, "documents")))
+
+
 def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids and the text decoded from them, as digests."""
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash_near_dedup, op10_bpe_encode_decode)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op4_simhash_near_dedup, op7_substring_dedup, op10_bpe_encode_decode)}
+ORACLE: dict[str, str] = {
+    "op7_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+k AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS s FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM d WHERE len(w) >= 13)),
+f AS (SELECT s, min(doc_id) AS m FROM k GROUP BY s),
+c AS (SELECT DISTINCT k.doc_id, k.i + r.j AS p FROM k JOIN f USING (s) CROSS JOIN (SELECT unnest(generate_series(0, 12)) AS j) r WHERE f.m < k.doc_id),
+t AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+g AS (SELECT t.doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS kept FROM t ANTI JOIN c USING (doc_id, p) GROUP BY t.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)""",
+}
