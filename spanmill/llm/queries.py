@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, lmscore, recompression, simhash
+from . import bpe, lmscore, mixing, pii, recompression, simhash
 from .common import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -27,17 +28,30 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for its personal data, and how many mentions of which kinds were replaced."""
+    out = pii.replace(read_table(spark, sf_dir, "documents"))
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("entities", lambda e: F.substring_index(e["kind"], ":", 1)))), ",")
+    return out.select(F.col("row.doc_id").cast("long").alias("doc_id"), "text", F.size("entities").cast("long").alias("n_entities"), kinds.alias("kinds"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of windows that an earlier document has too."""
     return recompression.digests(recompression.remove_repeats(read_table(spark, sf_dir, "documents")))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents and epochs that the default plan's token budget takes."""
+    taken = mixing.mixed(read_table(spark, sf_dir, "documents"))
+    return taken.select(F.col("row.doc_id").cast("long").alias("doc_id"), "domain", "lang", "source", "epoch", "n_tokens", "take_tokens", "leaf_tokens")
+
+
 def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids and the text decoded from them, as digests."""
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op4_simhash_near_dedup, op7_substring_dedup, op10_bpe_encode_decode)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op4_simhash_near_dedup, op6_pii_surrogates, op7_substring_dedup, op8_mixing, op10_bpe_encode_decode)}
 ORACLE: dict[str, str] = {
     "op7_substring_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -48,4 +62,26 @@ t AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
 g AS (SELECT t.doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS kept FROM t ANTI JOIN c USING (doc_id, p) GROUP BY t.doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN g USING (doc_id)""",
+    "op8_mixing": r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens FROM documents),
+o AS (SELECT *, 'domain' || (coalesce(TRY_CAST(regexp_extract(source, '([0-9]{1,6})$', 1) AS INT), 0) % 4) AS domain FROM d),
+s AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(sum(n_tokens) * 2 AS BIGINT) AS cap FROM o GROUP BY ALL),
+a1 AS (SELECT domain, CAST(sum(cap) AS BIGINT) AS cap, CAST(sum(sum(tokens)) OVER () AS BIGINT) * 9 // 10 AS budget,
+  CAST(CASE domain WHEN 'domain0' THEN 4 WHEN 'domain1' THEN 3 WHEN 'domain2' THEN 2 ELSE 1 END AS BIGINT) AS w FROM s GROUP BY domain),
+a2 AS (SELECT *, cap * sum(w) OVER (ORDER BY cap / w, domain ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+  <= (budget - coalesce(sum(cap) OVER (ORDER BY cap / w, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * w AS sat FROM a1),
+a AS (SELECT domain, CASE WHEN sat THEN cap ELSE CAST((budget - coalesce(sum(cap) FILTER (sat) OVER (), 0)) * w AS BIGINT) // CAST(sum(w) FILTER (NOT sat) OVER () AS BIGINT) END AS budget FROM a2),
+b1 AS (SELECT domain, lang, budget, CAST(sum(cap) AS BIGINT) AS cap, CAST(CASE lang WHEN 'en' THEN 4 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 WHEN 'es' THEN 2 ELSE 1 END AS BIGINT) AS w
+  FROM s JOIN a USING (domain) GROUP BY domain, lang, budget),
+b2 AS (SELECT *, cap * sum(w) OVER (PARTITION BY domain ORDER BY cap / w, lang ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+  <= (budget - coalesce(sum(cap) OVER (PARTITION BY domain ORDER BY cap / w, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * w AS sat FROM b1),
+b AS (SELECT domain, lang, CASE WHEN sat THEN cap ELSE CAST((budget - coalesce(sum(cap) FILTER (sat) OVER (PARTITION BY domain), 0)) * w AS BIGINT) // CAST(sum(w) FILTER (NOT sat) OVER (PARTITION BY domain) AS BIGINT) END AS budget FROM b2),
+c1 AS (SELECT s.*, budget, CAST(1 AS BIGINT) AS w FROM s JOIN b USING (domain, lang)),
+c2 AS (SELECT *, cap * sum(w) OVER (PARTITION BY domain, lang ORDER BY cap / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+  <= (budget - coalesce(sum(cap) OVER (PARTITION BY domain, lang ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * w AS sat FROM c1),
+c AS (SELECT domain, lang, source, tokens, CASE WHEN sat THEN cap ELSE CAST((budget - coalesce(sum(cap) FILTER (sat) OVER (PARTITION BY domain, lang), 0)) * w AS BIGINT) // CAST(sum(w) FILTER (NOT sat) OVER (PARTITION BY domain, lang) AS BIGINT) END AS own FROM c2),
+e AS (SELECT o.*, c.tokens, c.own, r.epoch, least(own - (r.epoch - 1) * tokens, tokens) AS need FROM o JOIN c USING (domain, lang, source) CROSS JOIN (SELECT unnest([1, 2]) AS epoch) r WHERE tokens > 0 AND own > (r.epoch - 1) * tokens),
+k AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source, epoch ORDER BY md5('17|' || epoch || '|' || coalesce(CAST(doc_id AS VARCHAR), '')), n_tokens ROWS UNBOUNDED PRECEDING) - n_tokens AS start FROM e)
+SELECT doc_id, domain, lang, source, CAST(epoch AS INT) AS epoch, n_tokens, CAST(CASE WHEN need = tokens THEN n_tokens ELSE least(n_tokens, need - start) END AS BIGINT) AS take_tokens, CAST(own AS BIGINT) AS leaf_tokens
+FROM k WHERE need = tokens OR start < need""",
 }
