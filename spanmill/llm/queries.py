@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lmscore, mixing, pii, recompression, simhash
+from . import ann, bpe, lmscore, mixing, pii, recompression, simhash
 from .common import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -46,12 +46,17 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select(F.col("row.doc_id").cast("long").alias("doc_id"), "domain", "lang", "source", "epoch", "n_tokens", "take_tokens", "leaf_tokens")
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest found of every hundredth vector."""
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
 def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids and the text decoded from them, as digests."""
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op4_simhash_near_dedup, op6_pii_surrogates, op7_substring_dedup, op8_mixing, op10_bpe_encode_decode)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op4_simhash_near_dedup, op6_pii_surrogates, op7_substring_dedup, op8_mixing, op9_nearest_neighbours, op10_bpe_encode_decode)}
 ORACLE: dict[str, str] = {
     "op7_substring_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
