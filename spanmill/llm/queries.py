@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, lmscore, mixing, pii, recompression, simhash
+from . import ann, bpe, lmscore, mixing, pii, recompression, simhash, toxicity
 from .common import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -28,6 +28,11 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score and prediction."""
+    return toxicity.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with surrogates for its personal data, and how many mentions of which kinds were replaced."""
     out = pii.replace(read_table(spark, sf_dir, "documents"))
@@ -56,7 +61,7 @@ def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op4_simhash_near_dedup, op6_pii_surrogates, op7_substring_dedup, op8_mixing, op9_nearest_neighbours, op10_bpe_encode_decode)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op4_simhash_near_dedup, op5_toxicity, op6_pii_surrogates, op7_substring_dedup, op8_mixing, op9_nearest_neighbours, op10_bpe_encode_decode)}
 ORACLE: dict[str, str] = {
     "op7_substring_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
