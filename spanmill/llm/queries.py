@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, lmscore, mixing, pii, recompression, simhash, toxicity
+from . import ann, bpe, flac, lmscore, mixing, pii, recompression, simhash, toxicity
 from .common import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -23,6 +23,11 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score_texts(read_table(spark, sf_dir, "documents"))
 
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's FLAC stream, described by what is decoded from it."""
+    return flac.features(flac.encode(read_table(spark, sf_dir, "documents")))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and near-duplicate class."""
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
@@ -61,7 +66,7 @@ def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op4_simhash_near_dedup, op5_toxicity, op6_pii_surrogates, op7_substring_dedup, op8_mixing, op9_nearest_neighbours, op10_bpe_encode_decode)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_media_columns, op4_simhash_near_dedup, op5_toxicity, op6_pii_surrogates, op7_substring_dedup, op8_mixing, op9_nearest_neighbours, op10_bpe_encode_decode)}
 ORACLE: dict[str, str] = {
     "op7_substring_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
