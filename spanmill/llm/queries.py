@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, flac, lmscore, mixing, pii, recompression, simhash, toxicity
+from . import ann, bpe, flac, licenses, lmscore, mixing, pii, recompression, simhash, toxicity
 from .common import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -28,6 +28,15 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.features(flac.encode(read_table(spark, sf_dir, "documents")))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's license notices: how many blocks were looked at, which licenses were found, where, and how their wording differs."""
+    found = licenses.scan(read_table(spark, sf_dir, "documents"))
+    names = F.array_join(F.array_sort(F.array_distinct(F.col("findings.license"))), ",")
+    spans = F.array_join(F.transform("findings", lambda f: F.concat_ws("-", f["start"].cast("string"), f["stop"].cast("string"))), ",")
+    differences = F.array_join(F.flatten("findings.differences"), " ")
+    return found.select("doc_id", "candidates", F.size("findings").cast("long").alias("n_notices"), names.alias("licenses"), spans.alias("spans"), differences.alias("differences"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and near-duplicate class."""
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
@@ -66,7 +75,7 @@ def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_media_columns, op4_simhash_near_dedup, op5_toxicity, op6_pii_surrogates, op7_substring_dedup, op8_mixing, op9_nearest_neighbours, op10_bpe_encode_decode)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_media_columns, op3_license_scan, op4_simhash_near_dedup, op5_toxicity, op6_pii_surrogates, op7_substring_dedup, op8_mixing, op9_nearest_neighbours, op10_bpe_encode_decode)}
 ORACLE: dict[str, str] = {
     "op7_substring_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),

@@ -164,3 +164,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
     return own.join(by_fp, own.fp == by_fp.of_fp, "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def representatives(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
+    """The rows of ``docs`` (all columns) without those whose near-duplicate class has a smaller id.
+
+    Rows without an id stay, as do repeated rows of the smallest id.
+    """
+    gone = near_duplicates(docs, width, radius).where("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
