@@ -6,7 +6,7 @@ from importlib import import_module
 
 from ..registry import ORACLE, QUERIES
 
-GROUPS: tuple[str, ...] = ()
+GROUPS: tuple[str, ...] = ("joins",)
 
 
 def queries() -> dict:
