@@ -6,7 +6,7 @@ from importlib import import_module
 
 from ..registry import ORACLE, QUERIES
 
-GROUPS: tuple[str, ...] = ("joins",)
+GROUPS: tuple[str, ...] = ("joins", "aggregates")
 
 
 def queries() -> dict:
