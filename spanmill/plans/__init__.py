@@ -6,7 +6,7 @@ from importlib import import_module
 
 from ..registry import ORACLE, QUERIES
 
-GROUPS: tuple[str, ...] = ("joins", "aggregates", "windows", "selection", "text", "arrays", "projections", "mining")
+GROUPS: tuple[str, ...] = ("joins", "aggregates", "windows", "selection", "text", "arrays", "projections", "mining", "sources", "streams")
 
 
 def queries() -> dict:

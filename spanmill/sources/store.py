@@ -7,17 +7,22 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, label: str = "part") -> DataFrame:
-    """Write ``df`` below spark.checkpoint.dir (a temporary folder where that is unset, on one machine) and read it back."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, label: str = "part") -> str:
+    """A path not used before, below spark.checkpoint.dir (a temporary folder where that is unset, on one machine)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = tempfile.mkdtemp(prefix="spanmill-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/spanmill/{label}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/spanmill/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str = "part") -> DataFrame:
+    """Write ``df`` to a new folder and read it back."""
+    spark = df.sparkSession
+    path = new_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
