@@ -1,0 +1,337 @@
+"""Text operators against brute force, with empty tables, nulls, repeated rows, long texts and clashing columns."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+from itertools import product
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from spanmill.llm import bpe, flac, licenses, lmscore, mixing, pii, recompression, simhash, toxicity
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def words(text, lower=False):
+    raw = (text or "").encode()
+    return WORD.findall(raw.lower() if lower else raw)
+
+
+def docs(spark, texts, start=0, extra=False):
+    rows = [(start + k, t, "en", f"src{k % 3}", len(t or "")) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, DOC)
+    return df.withColumns({c: F.lit(7) for c in ("score", "epoch", "h1", "block", "gone", "row", "cut", "key", "place", "component_id")}) if extra else df
+
+
+def corpus(seed, n=60):
+    r = random.Random(seed)
+    vocabulary = ["the", "cat", "sat", "on", "mat", "dog", "ran", "far", "Über", "naïve", "x1"]
+    texts = [" ".join(r.choice(vocabulary) for _ in range(r.randrange(0, 60))) for _ in range(n)]
+    return [*texts, texts[0], texts[1] + " end", None, "", " \t\n", "word", "a b", "z" * 5000, "ab " * 3000]
+
+
+def test_lm_base_scores_equal_counts(spark):
+    texts = corpus(1)
+    df = docs(spark, texts, extra=True)
+    got = {r.doc_id: r for r in lmscore.score_texts(df).collect()}
+    train = Counter()
+    for k, t in enumerate(texts):
+        if zlib.crc32(str(k).encode()) % 7 != 2:
+            train.update([*words(t, True), None])
+    n, v = sum(train.values()), len(train)
+    for k, t in enumerate(texts):
+        own = [*words(t, True), None]
+        r = got[k]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(x in train for x in own), n)
+        assert r.base_score == pytest.approx(sum(math.log10((train[x] + 1) / (n + v + 1)) for x in own))
+        assert r.score < 0 and r.held_out == (zlib.crc32(str(k).encode()) % 7 == 2)
+    # Text made of the corpus' pairs is likelier per token than text of unseen words.
+    odd = docs(spark, [*texts, "qqq www eee rrr ttt"])
+    last = {r.doc_id: r for r in lmscore.score_texts(odd).collect()}
+    assert last[len(texts)].score / last[len(texts)].n_tokens < last[0].score / max(1, last[0].n_tokens)
+
+
+def test_bloom_filter_levels_never_too_low():
+    r = np.random.default_rng(0)
+    names, counts = r.integers(0, 2**63, 500).astype(np.uint64), r.integers(1, 2000, 500)
+    bits = lmscore.fill(names, counts, 4096)
+    level = lmscore.probe(bits[None, :], np.zeros(500, np.uint64), names)
+    want = np.floor(np.log2(counts)).astype(int) + 1
+    assert (level >= want).all() and (level == want).mean() > 0.9
+
+
+def brute_fingerprint(text, width=3):
+    w = words(text, True)
+    if not w:
+        return 0
+    shingles = [b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))]
+    h = [xxhash.xxh64_intdigest(s, seed=42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash_equals_all_pairs(spark):
+    base = " ".join(f"w{k}" for k in range(400))
+    texts = [*corpus(2), *[base.replace(f"w{k} ", f"v{k} ") for k in range(0, 60, 5)]]
+    got = {r.doc_id: r for r in simhash.near_duplicates(docs(spark, texts, extra=True)).collect()}
+    fp = [brute_fingerprint(t) for t in texts]
+    label = list(range(len(texts)))
+    for _ in range(len(texts)):
+        new = [min([label[j] for j in range(len(texts)) if (fp[i] ^ fp[j]).bit_count() <= 2]) for i in range(len(texts))]
+        if new == label:
+            break
+        label = new
+    for k in range(len(texts)):
+        assert (got[k].fingerprint, got[k].component_id) == (f"{fp[k]:016x}", label[k])
+    kept = sorted(r.doc_id for r in simhash.representatives(docs(spark, texts)).collect())
+    assert kept == sorted(set(label))
+
+
+def brute_repeats(texts, width=13):
+    w = [words(t) for t in texts]
+    first = {}
+    for d, x in enumerate(w):
+        for i in range(len(x) - width + 1):
+            first.setdefault(tuple(x[i : i + width]), d)
+    out = []
+    for d, x in enumerate(w):
+        gone = set()
+        for i in range(len(x) - width + 1):
+            if first[tuple(x[i : i + width])] < d:
+                gone.update(range(i, i + width))
+        out.append((len(x), len(gone), hashlib.sha256(b" ".join(y for i, y in enumerate(x) if i not in gone)).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("vocabulary", [2, 40])
+def test_recompression_equals_brute_force(spark, vocabulary):
+    r = random.Random(vocabulary)
+    own = [f"t{k}" for k in range(vocabulary)]
+    texts = [" ".join(r.choice(own) for _ in range(r.randrange(0, 80))) for _ in range(40)]
+    texts += [texts[3] + " more " + texts[4], texts[5], None, "", "a " * 500, "a " * 40, " ".join(own[:2] * 300)]
+    got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in recompression.digests(recompression.remove_repeats(docs(spark, texts, extra=True))).collect()}
+    assert [got[k] for k in range(len(texts))] == brute_repeats(texts)
+
+
+def tokenizer():
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def test_bpe_equals_the_library(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer())
+    r = random.Random(5)
+    texts = [*corpus(4, 20), "It's 3 o'clock, isn't it?  \n\n tabs\t", "<|endoftext|> a<|endoftext|>", "日本語 русский 🙂🙂", " \x85\x1c x", "".join(chr(r.randrange(1, 0xD7FF)) for _ in range(3000)), "!" * 999]
+    got = {x.doc_id: x for x in bpe.round_trip(docs(spark, texts, extra=True), tokenizer()).collect()}
+    for k, t in enumerate(texts):
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        back = library.decode(ids, skip_special_tokens=False)
+        assert got[k].n_tokens == len(ids), t
+        assert got[k].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert got[k].decoded_sha256 == hashlib.sha256(back.encode()).hexdigest()
+    texts_back = {x.doc_id: x.text for x in bpe.decode(bpe.encode(docs(spark, texts), tokenizer()), tokenizer()).collect()}
+    assert texts_back[0] == texts[0]
+
+
+def test_flac_round_trip_and_blocks(spark):
+    texts = [*corpus(6, 15), "\x00", "é" * 40, "".join(chr(33 + k % 90) for k in range(70_000))]
+    media = flac.encode(docs(spark, texts, extra=True))
+    got = {r.doc_id: r for r in flac.features(media).collect()}
+    for k, t in enumerate(texts):
+        raw = (t or "").encode()
+        payload = raw + b"\0" * ((-len(raw)) % 64 or (0 if raw else 64))
+        assert got[k].payload_sha256 == hashlib.sha256(payload).hexdigest() and got[k].n_bytes == len(raw)
+        assert got[k].tail_crc32 == zlib.crc32(payload[-64:]) and got[k].payload_bytes == len(payload)
+    blocks = flac.pcm_blocks(media).where(F.col("doc_id") == len(texts) - 1).orderBy("block").collect()
+    assert [b.sample_offset for b in blocks] == list(range(0, len(texts[-1].encode()) + (-len(texts[-1]) % 64), flac.BLOCK))
+    assert b"".join(b.pcm for b in blocks).rstrip(b"\0").decode() == texts[-1]
+
+
+def test_flac_finds_errors():
+    (media,) = flac.encode_payloads([b"some payload to be stored " * 40])
+    for place in (len(media) - 3, len(media) // 2, 30):
+        bad = bytearray(media)
+        bad[place] ^= 4
+        with pytest.raises((ValueError, IndexError)):
+            flac.decode_streams([bytes(bad)])
+    assert flac.decode_streams([media])[0][0][:2] == (0, 0)
+
+
+def test_flac_reads_other_predictors():
+    ramp = bytes((k // 3) % 256 for k in range(1024))
+    noise = np.random.default_rng(1).integers(0, 256, 1024).astype(np.uint8).tobytes()
+    for payload in (ramp, noise, b"\x80" * 512, b"ab" * 700):
+        (blocks,) = flac.decode_streams(flac.encode_payloads([payload]))
+        assert b"".join(b for _, _, b in blocks) == payload
+
+
+def test_licenses(spark):
+    mit = licenses.TEMPLATES[0][1]
+    texts = ["x y.\nLicensed under the Apache License, Version 2.0.\nReleased under the MIT License.", "Intro.\n" + mit.replace(". ", ".\n") + "\nint main()", mit.replace("free of charge", "at no cost"), "my driving licence expired", "copyright 2020 me", None, "", "Licensed under CC BY-NC 4.0."]
+    got = {r.doc_id: r for r in licenses.scan(docs(spark, texts, extra=True)).collect()}
+    names = [[f.license for f in got[k].findings] for k in range(len(texts))]
+    assert names == [["Apache-2.0", "MIT"], ["MIT"], ["MIT"], [], [], [], [], ["CC-BY-NC-4.0"]]
+    assert not got[1].findings[0].differences and "-free" in got[2].findings[0].differences and "+cost" in got[2].findings[0].differences
+    first = got[0].findings[0]
+    assert texts[0][first.start : first.stop] == "Licensed under the Apache License, Version 2.0"
+
+
+def test_licenses_rank_like_brute_force():
+    s = licenses.Scanner()
+    for name, wording in licenses.TEMPLATES:
+        block = licenses.WORD.findall(wording.lower())
+        (found, *_), *rest = s.block(block)
+        sizes = [len(c.compress(" ".join(block).encode())) for c in s.given]
+        assert found == name and not rest and sizes[s.words.index(block)] == min(sizes)
+
+
+def test_decoder_restores_known_words():
+    model = toxicity.log_model(np.bincount(toxicity.grams("idiot scum the moron loser stupid trash and this is " * 50), minlength=toxicity.ALPHABET**4).astype(float))
+    restorer = toxicity.Restorer(model)
+    cases = {"1d10t": "idiot", "i d i o t": "idiot", "stuuupid": "stupid", "m.o.r.o.n": "moron", "l0ser!!!": "loser", "$cum": "scum", "tr*sh": "trash", "plain": "plain", "42": "42", "***": ""}
+    assert {k: restorer.word(k) for k in cases} == cases
+    assert sorted(restorer.restored("you i d i o t\nthe")) == ["idiot", "the", "you"]
+
+
+def test_viterbi_equals_enumeration():
+    model = toxicity.log_model(np.random.default_rng(2).integers(0, 50, toxicity.ALPHABET**4).astype(float))
+
+    def score(ways):
+        now, total = 0, 0.0
+        for letters, cost in ways:
+            total -= cost
+            for x in letters:
+                s = 0 if x == " " else ord(x) - 96
+                total += float(model[now << 5 | s])
+                now = 0 if not s else (now << 5 | s) & 0x7FFF
+        return total + float(model[now << 5])
+
+    for token in ("1b6", "a!|c", "xx1.b"):
+        best = max(product(*toxicity.readings(token)), key=score)
+        assert toxicity.decode(token, model) == "".join(x for x, _ in best)
+
+
+def test_toxicity_learns_and_leaves_clean_texts(spark):
+    r = random.Random(8)
+    vocabulary = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}ord" for k in range(200)]
+    texts, labels = [], []
+    for k in range(900):
+        own = [r.choice(vocabulary) for _ in range(30)]
+        if k % 6 == 0:
+            own[r.randrange(30)] = r.choice(["idiot", "moron", "IDIOT!", "stupid"])
+        texts.append(" ".join(own))
+        labels.append((k, 1, int(k % 6 == 0)))
+    hidden = ["you 1d10t " + texts[1], "what a m o r o n " + texts[2], "stuuupid " + texts[3]]
+    df = docs(spark, [*texts, *hidden, None, ""], extra=True)
+    lab = spark.createDataFrame([*labels, (None, 1, 1), (5, 1, None)], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x for x in toxicity.score_documents(df, lab).collect()}
+    held = [k for k in range(900) if got[k].held_out]
+    assert all(got[k].predicted == int(k % 6 == 0) for k in held) and 250 < len(held) < 350
+    assert [got[900 + k].predicted for k in range(3)] == [1, 1, 1] and got[903].predicted == got[904].predicted == 0
+    kept = {x.doc_id for x in toxicity.keep_clean(docs(spark, [*texts, *hidden, None, ""]), lab).collect()}
+    assert kept == {k for k, x in got.items() if not x.predicted}
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {x.predicted for x in toxicity.score_documents(docs(spark, ["a", None]), none).collect()} == {0}
+
+
+def luhn(number):
+    d = [int(c) for c in reversed(number)]
+    return sum(d[::2] + [x * 2 - 9 * (x > 4) for x in d[1::2]]) % 10
+
+
+def test_pii_surrogates(spark):
+    texts = [
+        "Mr. John Smith wrote to jane.doe@Mail.example.com; card 4111 1111 1111 1111 or 4111111111111111.",
+        "JANE.DOE@MAIL.EXAMPLE.COM, Mrs. Smith, DE89 3704 0044 0532 0130 00 / DE89370400440532013000, 123-45-6789, 8.8.4.4",
+        "call +1 (310) 555-4510 or +1 (310) 555-4511 or 310 555 4510", "plain words 12 2001", None, "", "1.2.3 and 5-5",
+        'token = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"!! 9233a8ecf7c5b09fe5949719b6b82bc439e9329b', "Dr. Мария Иванова", "x" * 20000 + " a.b@c.example.org",
+    ]
+    out = {r.doc_id: r.text for r in pii.replace_documents(docs(spark, texts, extra=True)).collect()}
+    assert [out[k] for k in (3, 4, 5, 6)] == [texts[k] for k in (3, 4, 5, 6)]
+    joined = "\n".join(out[k] for k in (0, 1, 2, 7, 8, 9))
+    for secret in ("John", "Smith", "jane", "JANE", "4111", "3704", "123-45-6789", "8.8.4.4", "4510", "9233", "Мария", "a.b@"):
+        assert secret not in joined
+    mail = re.search(r"[\w.]+@[\w.]+", out[0])[0]
+    assert mail.upper().rstrip(";,") in out[1] and re.fullmatch(r"[a-z]{4}\.[a-z]{3}@\w+\.example\.com", mail)
+    cards = re.findall(r"\d{4} \d{4} \d{4} \d{4}|\d{16}", out[0])
+    assert cards[0].replace(" ", "") == cards[1] and cards[1][0] == "4" and luhn(cards[1]) == 0
+    ibans = re.findall(r"DE[\d ]{20,}", out[1])
+    flat = [i.replace(" ", "")[:22] for i in ibans]
+    assert flat[0] == flat[1] and int("".join(str(int(c, 36)) for c in flat[0][4:] + flat[0][:4])) % 97 == 1
+    names = re.findall(r"Mr\. (\w+) (\w+)", out[0])[0]
+    assert f"Mrs. {names[1]}," in out[1] and re.search(r"Dr\. [А-Яа-я]+ [А-Яа-я]+", out[8])
+    phones = re.findall(r"\+1 \(\d{3}\) 555-\d{4}", out[2])
+    assert len(set(phones)) == 2
+    tokens = re.findall(r"[0-9A-Fa-f]{40}", out[7])
+    assert tokens[0].lower() == tokens[1] and tokens[0].isupper()
+    assert {r.doc_id: r.text for r in pii.replace_documents(docs(spark, texts)).collect()} == out
+    assert {r.text for r in pii.replace_documents(docs(spark, texts), "other").where("doc_id = 0").collect()} != {out[0]}
+
+
+def test_pii_surrogates_are_distinct_and_unreal(spark):
+    mails = [(f"{a}{b}@x.example.com",) for a in "abcdefghij" for b in "abcdefghijklmnopqrstuvwxyz"]  # over a third of the two-letter names
+    entities = spark.createDataFrame([("email", m[0]) for m in mails], "kind string, entity string")
+    got = pii.assign(entities, "k").collect()
+    new = [r.surrogate for r in got]
+    assert len(got) == len(mails) and len(set(new)) == len(new) and not set(new) & {m[0] for m in mails}
+
+
+def test_mixing_budgets_and_prefixes(spark):
+    r = random.Random(4)
+    rows = [(k, "w " * r.randrange(0, 20), r.choice(["en", "de", None]), r.choice(["src0", "src1", "src1", "src1", "src2", None]), 1) for k in range(300)]
+    df = spark.createDataFrame([*rows, rows[0], (None, "w w w", "en", "src1", 1)], DOC).withColumn("epoch", F.lit(9))
+    plan = mixing.Plan(share=(3, 2), epochs=2)
+    taken = mixing.mixed(df, plan).collect()
+    budget = {(t.domain, t.lang, t.source): t.leaf_tokens for t in taken}
+    spent = Counter()
+    for t in taken:
+        spent[t.domain, t.lang, t.source] += t.take_tokens
+        assert t.take_tokens <= t.n_tokens and t.epoch in (1, 2)
+    assert all(spent[leaf] == own for leaf, own in budget.items())
+    total = sum(len((x[1] or "").split()) for x in df.collect())
+    assert total * 3 // 2 - 3 * len(budget) <= sum(spent.values()) <= total * 3 // 2
+    short = [t for t in taken if t.take_tokens < t.n_tokens]
+    assert len(short) <= len(budget)
+    assert mixing.select_documents(df, plan).columns == df.columns
+
+
+def test_mixing_gives_shortages_to_siblings_first(spark):
+    leaves = spark.createDataFrame([("d0", "en", "a", 10), ("d0", "en", "b", 1000), ("d1", "en", "c", 1000)], "domain string, lang string, source string, tokens long")
+    plan = mixing.Plan(domains={}, langs={}, share=(1, 2), epochs=1)
+    got = {r.source: r.own for r in mixing.budgets(leaves, plan).collect()}
+    assert got == {"a": 10, "b": 492, "c": 502}
+    poor = spark.createDataFrame([("d0", "en", "a", 10), ("d0", "en", "b", 20), ("d1", "en", "c", 1000)], "domain string, lang string, source string, tokens long")
+    assert {r.source: r.own for r in mixing.budgets(poor, plan).collect()} == {"a": 10, "b": 20, "c": 485}
+
+
+def test_empty_tables(spark):
+    none, labels = spark.createDataFrame([], DOC), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert lmscore.score_texts(none).count() == 0
+    assert simhash.near_duplicates(none).count() == 0
+    assert recompression.remove_repeats(none).count() == 0
+    assert bpe.round_trip(none, tokenizer()).count() == 0
+    assert flac.features(flac.encode(none)).count() == 0
+    assert licenses.scan(none).count() == 0
+    assert toxicity.score_documents(none, labels).count() == 0
+    assert pii.replace_documents(none).count() == 0
+    assert mixing.mixed(none).count() == 0
+
+
+def test_null_ids_and_repeated_rows(spark):
+    rows = [(None, "a b c d", "en", "s", 7), (None, "a b c d", "en", "s", 7), (3, "a b c d", None, None, None), (3, "a b c d", None, None, None), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, DOC)
+    assert lmscore.score_texts(df).count() == 5
+    near = simhash.near_duplicates(df).collect()
+    assert len(near) == 5 and {r.component_id for r in near if r.fingerprint != "0" * 16} == {3}
+    assert recompression.remove_repeats(df).count() == bpe.round_trip(df, tokenizer()).count() == flac.features(flac.encode(df)).count() == 5
+    assert licenses.scan(df).count() == pii.replace_documents(df).count() == 5
+    assert mixing.select_documents(df, mixing.Plan(share=(2, 1))).count() >= 5
