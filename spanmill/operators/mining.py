@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import stored
+from .folds import folded
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,13 +30,14 @@ def itemsets(tx: DataFrame, most: int, least: int) -> DataFrame:
     transactions again, so that no transaction's subsets are listed in full.
     """
     found, grown = None, tx.select("tx", "case_id", F.array("item").alias("items"))
-    for _ in range(2, most + 1):
+    for size in range(2, most + 1):
         longer = grown.join(tx.select("tx", "item"), "tx").where(F.col("item") > F.element_at("items", -1))
         longer = longer.select("tx", "case_id", F.concat("items", F.array("item")).alias("items"))
         counts = longer.groupBy("items").agg(F.count("*").alias("n"), F.countDistinct("case_id").alias("cases")).where(F.col("n") >= least)
         counts = stored(counts, "itemsets")
         found = counts if found is None else found.unionByName(counts)
-        grown = stored(longer.join(counts.select("items"), "items", "left_semi"), "grown")
+        if size < most:
+            grown = stored(longer.join(counts.select("items"), "items", "left_semi"), "grown")
     return found
 
 
@@ -88,48 +89,45 @@ def greedy_cover(hits: DataFrame, truth: DataFrame, floor: float, most: int) ->
 def abstracted(events: DataFrame, theta: float = 0.6) -> DataFrame:
     """(case_id, event_id, channel, s, e, support): of events of one channel that overlap by ``theta`` of the shorter, the first in the order of length, value and id stands for the rest."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(d=pdf.e - pdf.s).sort_values(["d", "value", "event_id"], ascending=[False, False, True])
-        kept: list[list] = []
-        for r in pdf.itertuples(index=False):
+    def fold(own: list[dict]) -> list[dict]:
+        kept: list[dict] = []
+        for r in sorted(own, key=lambda r: (r["s"] - r["e"], -r["value"], r["event_id"])):
             for k in kept:
-                if k[2] == r.channel and min(k[4], r.e) - max(k[3], r.s) + 1 >= theta * (min(k[4] - k[3], r.e - r.s) + 1):
-                    k[5] += 1
+                if min(k["e"], r["e"]) - max(k["s"], r["s"]) + 1 >= theta * (min(k["e"] - k["s"], r["e"] - r["s"]) + 1):
+                    k["support"] += 1
                     break
             else:
-                kept.append([r.case_id, r.event_id, r.channel, r.s, r.e, 1])
-        return pd.DataFrame(kept, columns=["case_id", "event_id", "channel", "s", "e", "support"])
+                kept.append({**r, "support": 1})
+        return [{c: k[c] for c in ("case_id", "event_id", "channel", "s", "e", "support")} for k in kept]
 
     schema = "case_id long, event_id long, channel string, s long, e long, support long"
-    return events.select("case_id", "event_id", "channel", "s", "e", "value").groupBy("case_id", F.col("channel").alias("_c")).applyInPandas(fold, schema)
+    return folded(events.select("case_id", "event_id", "channel", "s", "e", "value"), ["case_id", "channel"], fold, schema)
 
 
 def compatible(edits: DataFrame, tolerance: int, most: int) -> DataFrame:
     """Edits (case_id, attribute, s, e, score, id) taken by falling score unless one taken before has the attribute within ``tolerance``; ``most`` a case."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "id"], ascending=[False, True])
-        taken: list = []
-        for i, r in zip(pdf.index, pdf.itertuples(index=False), strict=True):
-            clash = any(k.attribute == r.attribute and max(k.s, r.s) <= min(k.e, r.e) + tolerance for _, k in taken)
+    def fold(own: list[dict]) -> list[dict]:
+        taken: list[dict] = []
+        for r in sorted(own, key=lambda r: (-r["score"], r["id"])):
+            clash = any(k["attribute"] == r["attribute"] and max(k["s"], r["s"]) <= min(k["e"], r["e"]) + tolerance for k in taken)
             if not clash and len(taken) < most:
-                taken.append((i, r))
-        return pdf.loc[[i for i, _ in taken]]
+                taken.append(r)
+        return taken
 
-    return edits.groupBy("case_id").applyInPandas(fold, edits.schema)
+    return folded(edits, ["case_id"], fold, edits.schema)
 
 
 def one_to_one(pairs: DataFrame) -> DataFrame:
     """Pairs (case_id, l_s, l_id, r_id, ov, gap, dur) so that each left event, in time order, takes the best right one (overlap, smaller gap, longer) that no earlier one took."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: set = set()
-        out = []
-        for _, own in pdf.sort_values(["l_s", "l_id"]).groupby(["l_s", "l_id"], sort=True):
-            free = own[~own.r_id.isin(used)].sort_values(["ov", "gap", "dur", "r_id"], ascending=[False, True, False, True])
-            if len(free):
-                used.add(free.r_id.iloc[0])
-                out.append(free.iloc[[0]])
-        return pd.concat(out) if out else pdf.iloc[:0]
-
-    return pairs.groupBy("case_id").applyInPandas(fold, pairs.schema)
+    def fold(own: list[dict]) -> list[dict]:
+        used, out, last = set(), [], None
+        for r in sorted(own, key=lambda r: (r["l_s"], r["l_id"], -r["ov"], r["gap"], -r["dur"], r["r_id"])):
+            if r["l_id"] != last and r["r_id"] not in used:
+                last = r["l_id"]
+                used.add(r["r_id"])
+                out.append(r)
+        return out
+
+    return folded(pairs, ["case_id"], fold, pairs.schema)

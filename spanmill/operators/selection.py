@@ -6,10 +6,13 @@ or driver loops with one small aggregate a step; everything else is a window.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import folded
+
 
 def hash_split(groups: DataFrame, bucket: str, group: str, percent: int, seed: str) -> DataFrame:
     """``groups`` with ``split``: of each bucket's groups, in the order of sha1(seed:group), the first ``percent`` (rounded up; one at least if there are two) are 'test'."""
@@ -55,38 +58,36 @@ def greedy_quota(pool: DataFrame, quotas: dict[str, int], total: int) -> DataFra
 def diverse(rows: DataFrame, by: str, k: int) -> DataFrame:
     """k rows (id, base, tag, rank) of each group in rank order: until half are taken none that repeats a base or tag, then the first left over."""
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["rank", "id"])
+    def pick(own: list[dict]) -> list[dict]:
+        own = sorted(own, key=lambda r: (r["rank"], r["id"]))
         taken, bases, tags = [], set(), set()
-        for i, r in zip(pdf.index, pdf.itertuples(index=False), strict=True):
+        for r in own:
             if len(taken) >= (k + 1) // 2:
                 break
-            if r.base not in bases and r.tag not in tags:
-                taken.append(i)
-                bases.add(r.base)
-                tags.add(r.tag)
-        taken += [i for i in pdf.index if i not in set(taken)][: k - len(taken)]
-        return pdf.loc[taken]
+            if r["base"] not in bases and r["tag"] not in tags:
+                taken.append(r)
+                bases.add(r["base"])
+                tags.add(r["tag"])
+        return taken + [r for r in own if r not in taken][: k - len(taken)]
 
-    return rows.groupBy(by).applyInPandas(pick, rows.schema)
+    return folded(rows, [by], pick, rows.schema)
 
 
 def capped(rows: DataFrame, by: str, per_span: int, per_level: int, most: int) -> DataFrame:
     """Rows (family, s, e, level, score, id) of each case by falling score: each (family, span) once, ``per_span`` of a span, ``per_level`` of a level, ``most`` in all."""
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "id"], ascending=[False, True])
-        keys, on_span, on_level, taken = set(), {}, {}, []
-        for i, r in zip(pdf.index, pdf.itertuples(index=False), strict=True):
-            key, span = (r.family, r.s, r.e), (r.s, r.e)
-            if len(taken) < most and key not in keys and on_span.get(span, 0) < per_span and on_level.get(r.level, 0) < per_level:
-                keys.add(key)
-                on_span[span] = on_span.get(span, 0) + 1
-                on_level[r.level] = on_level.get(r.level, 0) + 1
-                taken.append(i)
-        return pdf.loc[taken]
-
-    return rows.groupBy(by).applyInPandas(pick, rows.schema)
+    def pick(own: list[dict]) -> list[dict]:
+        keys, on_span, on_level, taken = set(), Counter(), Counter(), []
+        for r in sorted(own, key=lambda r: (-r["score"], r["id"])):
+            span = (r["s"], r["e"])
+            if len(taken) < most and (r["family"], span) not in keys and on_span[span] < per_span and on_level[r["level"]] < per_level:
+                keys.add((r["family"], span))
+                on_span[span] += 1
+                on_level[r["level"]] += 1
+                taken.append(r)
+        return taken
+
+    return folded(rows, [by], pick, rows.schema)
 
 
 def trimmed(rows: Column, budget: int) -> Column:

@@ -10,11 +10,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import stored
+from .folds import folded
 
 
 def sequences(frames: DataFrame) -> DataFrame:
@@ -94,27 +94,27 @@ def longest_match(seq: Column, lexicon: list[tuple[str, ...]]) -> Column:
 def alternations(df: DataFrame, least: int = 2) -> DataFrame:
     """(case_id, s, a, b, times) of alternations a b a b ... of two symbols, found greedily from left to right, in frame rows (case_id, frame, sym)."""
 
-    def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, at, out = pdf.sort_values("frame")["sym"].tolist(), 0, []
+    def find(own: list[dict]) -> list[dict]:
+        x, at, out = [r["sym"] for r in sorted(own, key=lambda r: r["frame"])], 0, []
         while at + 1 < len(x):
             a, b, times = x[at], x[at + 1], 1
             while a != b and x[at + 2 * times : at + 2 * times + 2] == [a, b]:
                 times += 1
             if a != b and times >= least:
-                out.append((pdf["case_id"].iloc[0], at, a, b, times))
+                out.append({"case_id": own[0]["case_id"], "s": at, "a": a, "b": b, "times": times})
                 at += 2 * times
             else:
                 at += 1
-        return pd.DataFrame(out, columns=["case_id", "s", "a", "b", "times"])
+        return out
 
-    return df.select("case_id", "frame", "sym").groupBy("case_id").applyInPandas(find, "case_id long, s long, a string, b string, times long")
+    return folded(df.select("case_id", "frame", "sym"), ["case_id"], find, "case_id long, s long, a string, b string, times long")
 
 
 def block_repeats(df: DataFrame, widths: tuple[int, ...] = (4, 3, 2)) -> DataFrame:
     """(case_id, s, e, block, times) of adjacent equal blocks, the widest first; a span is reported once."""
 
-    def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, out, seen = pdf.sort_values("frame")["sym"].tolist(), [], set()
+    def find(own: list[dict]) -> list[dict]:
+        x, out = [r["sym"] for r in sorted(own, key=lambda r: r["frame"])], {}
         for w in widths:
             at = 0
             while at + 2 * w <= len(x):
@@ -122,13 +122,11 @@ def block_repeats(df: DataFrame, widths: tuple[int, ...] = (4, 3, 2)) -> DataFra
                 while x[at + times * w : at + (times + 1) * w] == x[at : at + w]:
                     times += 1
                 if times >= 2:
-                    row = (pdf["case_id"].iloc[0], at, at + times * w - 1, ">".join(x[at : at + w]), times)
-                    if row[1:4] not in seen:
-                        seen.add(row[1:4])
-                        out.append(row)
+                    block, e = ">".join(x[at : at + w]), at + times * w - 1
+                    out.setdefault((at, e, block), {"case_id": own[0]["case_id"], "s": at, "e": e, "block": block, "times": times})
                     at += times * w
                 else:
                     at += 1
-        return pd.DataFrame(out, columns=["case_id", "s", "e", "block", "times"])
+        return list(out.values())
 
-    return df.select("case_id", "frame", "sym").groupBy("case_id").applyInPandas(find, "case_id long, s long, e long, block string, times long")
+    return folded(df.select("case_id", "frame", "sym"), ["case_id"], find, "case_id long, s long, e long, block string, times long")
