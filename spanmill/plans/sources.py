@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,6 +66,22 @@ def src08_caption_source(spark, sf_dir):
     return K.read_captions(spark, path).groupBy("caption").agg(F.count("*").alias("n"))
 
 
+@dataclass
+class MinerConfig:
+    """Settings of a miner as a flat file gives them."""
+
+    theta: float = 0.3
+    most: int = 6
+    mode: str = "strict"
+
+
+@query(f"WITH {EV} SELECT 'loose' AS mode, count(*) AS n FROM ev WHERE e - s + 1 <= 4")
+def src09_flat_config(spark, sf_dir):
+    """A flat configuration, read on the driver, as literal columns."""
+    config = K.parse_flat_yaml("theta: 0.5\nmost: 4  # hours\nmode: loose", MinerConfig)
+    return spans(spark, sf_dir).where(F.col("e") - F.col("s") + 1 <= config.most).agg(F.count("*").alias("n")).select(F.lit(config.mode).alias("mode"), "n")
+
+
 @query("SELECT * FROM (VALUES ('subset_a/screen/events_train', 'screen', 150), ('subset_a/screen/events_test_v2', 'screen', 30)) t(path, stage, \"rows\")")
 def src10_artifact_registry(spark, sf_dir):
     registry = new_folder(spark, "registry")

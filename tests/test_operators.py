@@ -167,6 +167,35 @@ def test_folds_respect_their_caps(spark):
     assert sorted(r.id for r in X.compatible(edits, 2, 6).collect()) == [1, 3, 4]
 
 
+def test_greedy_diverse_equals_brute_force(spark):
+    cases = {1: ["a", "b"], 2: ["a"], 3: ["c"], 4: ["a", "b", "c"], 5: ["d"]}
+    df = spark.createDataFrame([(k, t, 1.0) for k, t in cases.items()], "case_id long, tags array<string>, weight double")
+    covered, chosen = {}, []
+    for _ in range(4):
+        gain = {k: sum(1 / (1 + covered.get(x, 0)) for x in t) for k, t in cases.items() if k not in chosen}
+        chosen.append(min(gain, key=lambda k: (-round(gain[k], 9), k)))
+        for x in cases[chosen[-1]]:
+            covered[x] = covered.get(x, 0) + 1
+    assert C.greedy_diverse(df, 4) == chosen
+
+
+def test_diverse_pick_by_hand(spark):
+    rows = [("g", 1, "x", "p", 1), ("g", 2, "x", "q", 2), ("g", 3, "y", "p", 3), ("g", 4, "y", "q", 4), ("g", 5, "z", "r", 5)]
+    df = spark.createDataFrame(rows, "k string, id long, base string, tag string, rank long")
+    assert sorted(r.id for r in C.diverse(df, "k", 4).collect()) == [1, 2, 3, 4]
+    assert sorted(r.id for r in C.diverse(df, "k", 3).collect()) == [1, 2, 4]
+    assert C.diverse(df.limit(0), "k", 3).count() == 0
+
+
+def test_abstraction_keeps_the_support(spark):
+    rows = some_spans(11)
+    got = X.abstracted(spans(spark, rows)).collect()
+    assert sum(r.support for r in got) == len(rows)
+    for a, b in combinations(got, 2):
+        if (a.case_id, a.channel) == (b.case_id, b.channel):
+            assert min(a.e, b.e) - max(a.s, b.s) + 1 < 0.6 * (min(a.e - a.s, b.e - b.s) + 1)
+
+
 def test_one_to_one_takes_each_once(spark):
     pairs = spark.createDataFrame([(1, 0, 10, 20, 5, 0, 3), (1, 1, 11, 20, 9, 0, 3), (1, 1, 11, 21, 1, 0, 3)], "case_id long, l_s long, l_id long, r_id long, ov long, gap long, dur long")
     assert sorted((r.l_id, r.r_id) for r in X.one_to_one(pairs).collect()) == [(10, 20), (11, 21)]
