@@ -262,7 +262,7 @@ def agg30_weighted_mean(spark, sf_dir):
 @query(f"""WITH {BASKET}, c AS (SELECT length(item) AS family, item, count(DISTINCT case_id) AS cases FROM basket GROUP BY ALL), d AS (SELECT family, CAST(sum(cases) AS BIGINT) AS summed FROM c GROUP BY 1)
 SELECT family, covered, summed FROM (SELECT length(item) AS family, count(DISTINCT case_id) AS covered FROM basket GROUP BY 1) JOIN d USING (family)""")
 def agg31_union_versus_sum(spark, sf_dir):
-    b = baskets(spark, sf_dir).withColumn("family", F.length("item"))
+    b = baskets(spark, sf_dir).withColumn("family", F.length("item").cast("long"))
     each = b.groupBy("family", "item").agg(F.countDistinct("case_id").alias("cases")).groupBy("family").agg(F.sum("cases").alias("summed"))
     return b.groupBy("family").agg(F.countDistinct("case_id").alias("covered")).join(each, "family")
 

@@ -82,7 +82,7 @@ def src09_flat_config(spark, sf_dir):
     return spans(spark, sf_dir).where(F.col("e") - F.col("s") + 1 <= config.most).agg(F.count("*").alias("n")).select(F.lit(config.mode).alias("mode"), "n")
 
 
-@query("SELECT * FROM (VALUES ('subset_a/screen/events_train', 'screen', 150), ('subset_a/screen/events_test_v2', 'screen', 30)) t(path, stage, \"rows\")")
+@query("SELECT * FROM (VALUES ('subset_a/screen/events_train', 'screen', 150::BIGINT), ('subset_a/screen/events_test_v2', 'screen', 30::BIGINT)) t(path, stage, \"rows\")")
 def src10_artifact_registry(spark, sf_dir):
     registry = new_folder(spark, "registry")
     K.register(spark, registry, [{"path": K.artifact_path("", "Subset A", "screen", "events", "train").lstrip("/"), "stage": "screen", "rows": 150}])
