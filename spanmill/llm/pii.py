@@ -66,7 +66,7 @@ TYPES: dict[str, str] = {
 }
 ANY = "|".join(TYPES.values())
 #: Every mention has one of these, so that most texts need no closer look.
-HINT = rf"@|[0-9]{{2}}|[0-9A-Fa-f]{{4}}:|[0-9]\.[0-9]|gh[pousr]_|sk-|xox|(?:{_TITLE})\.? \p{{Lu}}"
+HINT = rf"@|[0-9]{{2}}|:[0-9A-Fa-f]{{1,4}}:|[0-9]\.[0-9]|AKIA|ASIA|gh[pousr]_|sk-|xox|[0-9A-Fa-f]{{32}}|(?:{_TITLE})\.? \p{{Lu}}"
 
 _HEX, _LOWER, _DIGITS = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
