@@ -52,6 +52,26 @@ ENDINGS = {
 }
 
 _TITLE = "|".join(sorted((*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES), key=len, reverse=True))
+# A surname or given name that is not itself a title; initials may stand before each.
+_FULL = rf"(?!(?:{_TITLE})(?!\p{{L}}))\p{{Lu}}[\p{{L}}'-]{{1,30}}+"
+_INITIALS = r"(?:\p{Lu}\.){1,3}"
+_TITLES = rf"(?:(?:{_TITLE})\.? ){{1,3}}"
+# Telephone numbers: a digit after a single separator only if another follows, so that each unit is one digit and counts.
+_NEXT = r"(?:(?:[ ./-](?=[0-9]{2}))?[0-9])"
+_LOCAL = r"(?:(?:[ -](?=[0-9]{2}))?[0-9])"
+_PHONES = (
+    # North American, so that a number that follows stays out of it.
+    r"\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}",
+    # With a country code: 8 to 15 digits in groups of any size, or with an area code or a trunk zero in brackets.
+    rf"(?:\+|(?<![0-9][ ./-])00)[1-9][0-9]{{0,2}} ?\([0-9]{{1,4}}\)(?:[ ./-])?[0-9]{_NEXT}{{4,11}}",
+    rf"(?:\+|(?<![0-9][ ./-])00(?=[1-9][0-9]{{0,2}}[ ./-]))[1-9](?:[0-9]{{0,2}}[ ./-][0-9](?![0-9])|[0-9])?{_NEXT}{{7,13}}",
+    # German, with the area code's zero; four and four digits with a hyphen are serials' numbers.
+    rf"\(0[1-9][0-9]{{1,4}}\)[ /-]?[0-9]{_LOCAL}{{3,8}}",
+    rf"0[1-9][0-9]{{1,2}}(?: ?[/-] ?| )[0-9]{_LOCAL}{{4,8}}|0[1-9][0-9]{{3,4}}(?: ?[/-] ?| )[0-9]{_LOCAL}{{3,7}}",
+    # French in pairs, Spanish in 3-2-2-2 and 3-3-3.
+    r"0[1-9](?<pair>[ .-])[0-9]{2}(?:\k<pair>[0-9]{2}){3}",
+    r"(?<![0-9][ .,-])[6-9][0-9]{2}(?<gap>[ -])(?:[0-9]{2}\k<gap>[0-9]{2}\k<gap>[0-9]{2}|[0-9]{3}\k<gap>[0-9]{3})(?![ .,-]?[0-9])",
+)
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: Patterns by type; at one place the first that fits wins. Every repetition is bounded or possessive, so that long texts cost linear time.
 TYPES: dict[str, str] = {
@@ -59,14 +79,16 @@ TYPES: dict[str, str] = {
     "secret": r"(?<![0-9A-Za-z])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,255}+|sk-[0-9A-Za-z_-]{20,200}+|xox[abprs]-[0-9A-Za-z-]{10,200}+|[0-9a-f]{32,128}+|[0-9A-F]{32,128}+)(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[0-9A-Z]{11,30}+| [0-9A-Z]{4} (?:[0-9]{4} ){1,6}[0-9]{1,4})(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9])(?!\.[0-9])|(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}(?![0-9A-Fa-f:])",
-    "card": r"(?<![0-9])(?<![0-9]\.)(?:[0-9]{4}(?<sep>[ -])[0-9]{4}\k<sep>[0-9]{4}\k<sep>[0-9]{4}|[0-9]{13,19}+)(?![0-9])",
-    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?\([0-9]{1,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|\+[0-9]{1,3}[ .-][0-9]{1,4}(?:[ .-][0-9]{2,4}){1,4}|\+[0-9]{8,15}+|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9])",
-    "name": rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'-]{{1,30}}+(?: \p{{Lu}}[\p{{L}}'-]{{1,30}}+)?",
+    "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9])(?!\.[0-9])|(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}(?![0-9A-Fa-f:])"
+    # Compressed: a first group of three or four digits, two to seven colons, and a digit below ten, so that program text stays.
+    r"|(?<![\p{L}\p{N}:.])(?=(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\p{L}\p{N}:]))(?=[A-Fa-f:]{0,40}[0-9])[0-9A-Fa-f]{3,4}(?::[0-9A-Fa-f]{1,4}){0,6}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?",
+    "card": r"(?<![0-9])(?<![0-9]\.)(?:[0-9]{4}(?<sep>[ -])[0-9]{4}\k<sep>[0-9]{4}\k<sep>[0-9]{4}|[0-9]{4}(?<long>[ -])[0-9]{6}\k<long>[0-9]{4,5}|[0-9]{13,19}+)(?![0-9])",
+    "phone": rf"(?<![0-9+])(?:{'|'.join(_PHONES)}|" r"\+[0-9]{1,3}[ .-]?\([0-9]{1,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|\+[0-9]{1,3}[ .-][0-9]{1,4}(?:[ .-][0-9]{2,4}){1,4}|\+[0-9]{8,15}+|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9])",
+    "name": rf"(?<!\p{{L}}){_TITLES}(?:{_INITIALS} ){{0,3}}{_FULL}(?: (?:{_INITIALS} ){{0,2}}{_FULL}){{0,2}}",
 }
 ANY = "|".join(TYPES.values())
 #: Every mention has one of these, so that most texts need no closer look.
-HINT = rf"@|[0-9]{{2}}|:[0-9A-Fa-f]{{1,4}}:|[0-9]\.[0-9]|AKIA|ASIA|gh[pousr]_|sk-|xox|[0-9A-Fa-f]{{32}}|(?:{_TITLE})\.? \p{{Lu}}"
+HINT = rf"@|[0-9]{{2}}|:[0-9A-Fa-f]{{0,4}}:|[0-9]\.[0-9]|AKIA|ASIA|gh[pousr]_|sk-|xox|[0-9A-Fa-f]{{32}}|(?:{_TITLE})\.? \p{{Lu}}"
 
 _HEX, _LOWER, _DIGITS = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
@@ -80,6 +102,21 @@ def _pick(letters: str, number: Column) -> Column:
     return F.substring(F.lit(letters), number % len(letters) + 1, F.lit(1))
 
 
+def _name_words(front: Column) -> Column:
+    """The words of a name after its titles ``front``, initials included."""
+    return F.split(F.substring("raw", F.length(front) + 1, F.length("raw")), " ")
+
+
+def _full_words(words: Column) -> Column:
+    return F.filter(words, lambda w: ~w.endswith("."))
+
+
+def _trunk(raw: str) -> Column:
+    """A telephone number with a country code, its leading 00 and bracketed zero as signs that are no digits."""
+    out = F.regexp_replace(F.regexp_replace(raw, "^00", "\ue000"), r"^([+\ue000].*?)\(0\)", "$1\ue001")
+    return F.when(F.col(raw).rlike(r"^(?:\+|00)"), out).otherwise(F.col(raw))
+
+
 def _parsed(raws: DataFrame) -> DataFrame:
     """(raw, n, kind, entity): the parts of each mention; a name has one for each of its words."""
     kind = reduce(lambda rest, x: F.when(F.col("raw").rlike(rf"^(?:{x[1]})$"), x[0]).otherwise(rest), reversed(TYPES.items()), F.lit("name"))
@@ -87,23 +124,24 @@ def _parsed(raws: DataFrame) -> DataFrame:
     entity = (
         F.when(F.col("kind") == "email", F.lower("raw"))
         .when(F.col("kind").isin("ssn", "card"), flat)
-        .when(F.col("kind") == "phone", F.concat(F.when(F.col("raw").startswith("+"), "+").otherwise(""), flat))
+        .when(F.col("kind") == "phone", F.concat(F.when(F.col("raw").rlike(r"^(?:\+|00)"), "+").otherwise(""), F.regexp_replace(_trunk("raw"), r"[^0-9]", "")))
         .when(F.col("kind") == "iban", F.upper(flat))
         .when((F.col("kind") == "ip") | F.col("raw").rlike("^[0-9A-F]{32,}$"), F.lower("raw"))
         .otherwise(F.col("raw"))
     )
     typed = raws.withColumn("kind", kind)
     plain = typed.where("kind != 'name'").select("raw", F.lit(0).alias("n"), "kind", entity.alias("entity"))
-    names = typed.where("kind = 'name'").select("raw", F.split("raw", r" ").alias("words")).withColumn("title", F.regexp_replace(F.col("words")[0], r"\.$", ""))
-    names = names.select("raw", "title", F.posexplode(F.slice("words", 2, 2)).alias("n", "word"), (F.size("words") == 2).alias("alone"), F.lower(F.col("words")[1]).alias("given"))
+    names = typed.where("kind = 'name'").select("raw", F.regexp_extract("raw", rf"^{_TITLES}", 0).alias("front"))
+    names = names.withColumn("titles", F.split(F.regexp_replace("front", r"\.? ", " "), " ")).withColumn("words", _full_words(_name_words(F.col("front"))))
+    names = names.select("raw", "titles", F.posexplode("words").alias("n", "word"), (F.col("n") == F.size("words") - 1).alias("last"), F.lower(F.col("words")[0]).alias("given"))
     gender = (
-        F.when(F.col("title").isin(*MALE_TITLES), "m")
-        .when(F.col("title").isin(*FEMALE_TITLES), "f")
+        F.when(F.arrays_overlap("titles", F.array(*map(F.lit, MALE_TITLES))), "m")
+        .when(F.arrays_overlap("titles", F.array(*map(F.lit, FEMALE_TITLES))), "f")
         .when(F.col("given").isin(*MALE_GIVEN), "m")
         .when(F.col("given").isin(*FEMALE_GIVEN), "f")
         .otherwise("u")
     )
-    part = F.when(F.col("alone") | (F.col("n") == 1), "family").otherwise(gender)
+    part = F.when(F.col("last"), "family").otherwise(gender)
     script = F.when(F.col("word").rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
     names = names.select("raw", "n", F.concat_ws(":", F.lit("name"), script, part).alias("kind"), F.lower("word").alias("entity"))
     return plain.unionByName(names)
@@ -188,7 +226,7 @@ def _candidates(entities: DataFrame, key: str, attempt: int) -> DataFrame:
     last = F.substring(number, -1, 1).cast("int")
     wrong = F.when(last == right, (last + 1) % 10).otherwise(last)
     card = F.concat(stem, F.when(_luhn(entity) == 0, right).otherwise(wrong).cast("string"))
-    land_digits = F.when(entity.startswith("+1"), 2).when(entity.startswith("+"), 3).otherwise(0)
+    land_digits = F.when(entity.startswith("+1"), 2).when(entity.startswith("+"), 3).when(entity.startswith("0"), 1).otherwise(0)
     line = _shaped(F.substring(entity, land_digits + 2, F.length(entity)), F.col("s"), F.lit(1))
     first = (_byte(F.col("s"), zero) % 8 + 2).cast("string")
     phone = F.concat(F.substring(entity, F.lit(1), land_digits), first, line)
@@ -227,7 +265,7 @@ def _rendered(parts: DataFrame) -> DataFrame:
     """(raw, replacement) from rows (raw, n, kind, surrogate): the surrogate in the mention's own case and with its separators."""
     by_raw = parts.groupBy("raw").agg(F.min("kind").alias("kind"), F.transform(F.array_sort(F.collect_list(F.struct("n", "surrogate"))), lambda x: x["surrogate"]).alias("s"))
     plain = F.regexp_replace(F.col("s")[0], r"[^\p{L}\p{N}]", "")
-    chars = F.split("raw", "")
+    chars = F.split(F.when(F.col("kind") == "phone", _trunk("raw")).otherwise(F.col("raw")), "")
     # Letters and digits of the surrogate fill those of the mention in turn.
     place = F.aggregate(
         chars,
@@ -237,13 +275,30 @@ def _rendered(parts: DataFrame) -> DataFrame:
             F.concat(a["out"], F.when(c.rlike(r"[\p{L}\p{N}]"), F.substring(plain, a["n"] + 1, F.lit(1))).otherwise(c)).alias("out"),
         ),
     )["out"]
+    phone = F.regexp_replace(F.regexp_replace(place, "\ue000", "00"), "\ue001", "(0)")
     shouted = F.col("raw") == F.upper("raw")
     cased = F.when(shouted, F.upper(F.col("s")[0])).otherwise(F.col("s")[0])
-    title = F.substring_index("raw", " ", 1)
-    names = F.transform("s", lambda w: F.initcap(w))
+    front = F.regexp_extract("raw", rf"^{_TITLES}", 0)
+    # Initials are taken from the new family name.
+    family = F.upper(F.element_at("s", -1))
+    names = F.aggregate(
+        _name_words(front),
+        F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("out")),
+        lambda a, w: F.struct(
+            F.when(w.endswith("."), a["n"]).otherwise(a["n"] + 1).alias("n"),
+            F.concat(
+                a["out"],
+                F.array(
+                    F.when(w.endswith("."), F.array_join(F.transform(F.split(w, r"\."), lambda c, i: F.when(c == "", "").otherwise(F.concat(F.substring(family, i + 1, F.lit(1)), F.lit(".")))), ""))
+                    .otherwise(F.initcap(F.get("s", a["n"])))
+                ),
+            ).alias("out"),
+        ),
+    )["out"]
     out = (
-        F.when(F.col("kind").startswith("name"), F.concat_ws(" ", title, F.array_join(names, " ")))
-        .when(F.col("kind").isin("ssn", "card", "phone", "iban"), place)
+        F.when(F.col("kind").startswith("name"), F.concat(front, F.array_join(names, " ")))
+        .when(F.col("kind") == "phone", phone)
+        .when(F.col("kind").isin("ssn", "card", "iban"), place)
         .when(F.col("kind") == "secret", F.when(F.col("raw").rlike("^[0-9A-F]+$"), F.upper(F.col("s")[0])).otherwise(F.col("s")[0]))
         .otherwise(cased)
     )

@@ -310,6 +310,32 @@ def test_pii_every_mention_passes_the_hint(spark):
     assert not [m for k, (_, m) in enumerate(rows) if m in out[k]]
 
 
+PHONES = [
+    "+49 30 12345678", "+49 170 1234567", "+34 912345678", "+49-89-12345678", "+49 (0)30 1234567", "+33 (0)6 12 34 56 78", "0171 2345678", "030 1234567", "030/123 45 67", "(089) 1234567",
+    "06 12 34 56 78", "06.12.34.56.78", "612 345 678", "912 34 56 78", "0049 30 1234567", "+33 6 12 34 56 78", "+44 20 7946 0958",
+]
+OTHERS = ["2001:db8::1", "fe80::1ff:fe23:4567:890a", "2a00:1450:4001::", "3782 822463 10005", "3782-822463-10005"]
+NAMED = ["Mr. J. Smith", "Herr J.P. Weber", "Mr. John F. Kennedy", "Señora Carmen Lopez Garcia", "Herr Dr. Schmidt", "Prof. Dr. Anna Maria Vogel"]
+NEITHER = ["from 2001-05-12 to 06.12.2003", "ISSN 0317-8471", "std::vector a[1::2] Dead::Beef 12:30:45", "1 912 345 678 pieces", "+1 2", "0 1 2 3 4 5 6 7 8 9"]
+
+
+def test_pii_forms_of_other_countries(spark):
+    texts = [f"see {m}, there" for m in (*PHONES, *OTHERS, *NAMED)] + NEITHER
+    got = {r.doc_id: r for r in pii.replace(docs(spark, texts)).select("row.doc_id", "text", "entities").collect()}
+    for k, m in enumerate((*PHONES, *OTHERS)):
+        new = re.fullmatch(r"see (.*), there", got[k].text)[1]
+        assert new != m and re.sub("[0-9a-f]", "0", new) == re.sub("[0-9a-f]", "0", m), m
+        assert [e.kind for e in got[k].entities] == ["phone" if m in PHONES else "ip" if ":" in m else "card"], m
+    for k, m in enumerate(NAMED, len(PHONES) + len(OTHERS)):
+        new = re.fullmatch(r"see (.*), there", got[k].text)[1]
+        assert len(new.split()) == len(m.split()), (m, new)
+        assert not {w for w in re.findall(r"\w{3,}", m)} - {"Herr", "Señora", "Prof"} & set(re.findall(r"\w{3,}", new)), (m, new)
+    assert [got[len(texts) - len(NEITHER) + k].text for k in range(len(NEITHER))] == NEITHER
+    # Spellings with the country code share a surrogate.
+    digits = [re.sub(r"^\+|^00|\(0\)|[^0-9]", "", re.search(r"see (.*),", t)[1]) for t in (got[4].text, got[14].text)]
+    assert digits[0] == digits[1]
+
+
 def test_mixing_budgets_and_prefixes(spark):
     r = random.Random(4)
     rows = [(k, "w " * r.randrange(0, 20), r.choice(["en", "de", None]), r.choice(["src0", "src1", "src1", "src1", "src2", None]), 1) for k in range(300)]
