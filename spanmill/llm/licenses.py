@@ -3,11 +3,11 @@
 A text with a cue word is cut into sentences and lines; neighbours that are
 mostly made of the templates' words form candidate blocks around a cue. Each
 block is compressed alone and with each template as a raw zstandard dictionary.
-The relative reduction in size ranks the templates; the best few are then
-compared with the block word by word, and the one with the fewest differences
-wins if it agrees with at least ``agree`` of its words. What a winner covers is
-cut out and the rest of the block is looked at again, so that adjoining notices
-are all found.
+Every template that saves a share of its own size, or that the block holds word
+by word, is then compared with the block word by word, and the one with the
+fewest differences wins if it agrees with at least ``agree`` of its words. What
+a winner and its repeats cover is cut out and the rest of the block is looked at
+again, so that adjoining notices are all found.
 
 Templates are a fixed list given with the call; each task holds their
 dictionaries. Documents are independent, so there is no shuffle and no group.
@@ -113,8 +113,8 @@ FEWEST = 3
 class Scanner:
     """Compressors and words of the templates."""
 
-    def __init__(self, templates=TEMPLATES, agree: float = 0.8, least: float = 0.2, best: int = 4):
-        self.agree, self.least, self.best = agree, least, best
+    def __init__(self, templates=TEMPLATES, agree: float = 0.8, least: float = 0.2):
+        self.agree, self.least = agree, least
         self.names = [name for name, _ in templates]
         self.words = [WORD.findall(text.lower()) for _, text in templates]
         self.vocabulary = frozenset(w for words in self.words for w in words)
@@ -124,13 +124,19 @@ class Scanner:
         for words in self.words:
             own = zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.given.append(zstandard.ZstdCompressor(dict_data=own, compression_params=plain))
-        self.known: dict[tuple[str, ...], list] = {}
-
-    def reductions(self, words: list[str]) -> list[tuple[float, int]]:
-        """(reduction, template), the largest reduction first."""
-        block = " ".join(words).encode()
-        base = len(self.alone.compress(block))
-        return sorted(((1 - len(c.compress(block)) / base, k) for k, c in enumerate(self.given)), key=lambda x: (-x[0], x[1]))
+        self.sizes = [len(self.alone.compress(" ".join(words).encode())) for words in self.words]
+        self.known: dict[tuple[str, ...], tuple | None] = {}
+
+    def candidates(self, words: list[str]) -> list[tuple[float, int]]:
+        """(reduction, template) of the templates that save ``least`` of their own size or of the block's, or that the block holds word by word."""
+        block = " ".join(words)
+        base = len(self.alone.compress(block.encode()))
+        out = []
+        for k, (own, c) in enumerate(zip(self.words, self.given, strict=True)):
+            saved = base - len(c.compress(block.encode()))
+            if saved >= self.least * min(base, self.sizes[k]) or f" {' '.join(own)} " in f" {block} ":
+                out.append((saved / base, k))
+        return out
 
     def compare(self, words: list[str], k: int) -> tuple[float, list[str], int, int]:
         """(agreement, differences, start, stop): the template's wording against the part of the block that it fits."""
@@ -156,29 +162,46 @@ class Scanner:
         gone += own[a:]
         return 2 * matched / (len(own) + stop - start), [f"-{w}" for w in gone] + [f"+{w}" for w in more], start, stop
 
-    def block(self, words: list[str]) -> list[tuple[str, int, int, float, list[str]]]:
-        """(license, start, stop, reduction, differences) of the notices in a block of words, in order."""
-        if len(words) < FEWEST:
-            return []
+    def winner(self, words: list[str]) -> tuple[str, int, int, float, list[str]] | None:
+        """The notice of ``words`` that fits best: (license, start, stop, reduction, differences)."""
         key = tuple(words)
         if key not in self.known:
             if len(self.known) > 20_000:
                 self.known.clear()
             tried = []
-            for reduction, k in self.reductions(words)[: self.best]:
-                if reduction >= self.least:
-                    agreement, differences, start, stop = self.compare(words, k)
-                    if agreement >= self.agree:
-                        # A longer wording that agrees is worth more than a shorter one inside it.
-                        tried.append((len(differences) - (stop - start), -reduction, self.names[k], start, stop, differences))
+            for reduction, k in self.candidates(words):
+                agreement, differences, start, stop = self.compare(words, k)
+                if agreement >= self.agree:
+                    # A longer wording that agrees is worth more than a shorter one inside it.
+                    tried.append((len(differences) - (stop - start), -reduction, k, start, stop, differences))
+            self.known[key] = None
             if tried:
-                _, reduction, name, start, stop, differences = min(tried)
-                after = [(n, a + stop, b + stop, r, d) for n, a, b, r, d in self.block(words[stop:])]
-                self.known[key] = [*self.block(words[:start]), (name, start, stop, -reduction, differences), *after]
-            else:
-                self.known[key] = []
+                _, reduction, k, start, stop, differences = min(tried)
+                self.known[key] = self.names[k], start, stop, -reduction, differences
         return self.known[key]
 
+    def block(self, words: list[str]) -> list[tuple[str, int, int, float, list[str]]]:
+        """(license, start, stop, reduction, differences) of the notices in a block of words, in order."""
+        found, waiting = [], [(0, len(words))]
+        while waiting:
+            low, high = waiting.pop()
+            own = words[low:high]
+            best = self.winner(own) if len(own) >= FEWEST else None
+            if not best:
+                continue
+            name, start, stop, reduction, differences = best
+            # No longer wording fits here, so that its exact repeats are the same notice.
+            wording, size, at, last = own[start:stop], stop - start, 0, 0
+            while at + size <= len(own):
+                if at == start or (at + size <= start or at >= stop) and own[at : at + size] == wording:
+                    found.append((name, low + at, low + at + size, reduction, differences))
+                    waiting.append((low + last, low + at))
+                    at = last = at + size
+                else:
+                    at += 1
+            waiting.append((low + last, high))
+        return sorted(found, key=lambda f: f[1])
+
     def scan(self, text: str) -> tuple[int, list[tuple[str, int, int, float, list[str]]]]:
         """The number of candidate blocks and the notices of a text: (license, first and last character, reduction, differences)."""
         low = text.lower()

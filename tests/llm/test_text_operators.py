@@ -194,6 +194,18 @@ def test_licenses_rank_like_brute_force():
         assert found == name and not rest and sizes[s.words.index(block)] == min(sizes)
 
 
+def test_licenses_in_longer_blocks():
+    s = licenses.Scanner()
+    head = "Copyright (c) 2019 Jane Example and contributors. "
+    cues = head + "This software has no warranty. The license and the copyright of this work are given below. Redistribution of the software is permitted. "
+    for name, wording in licenses.TEMPLATES:
+        for text in (head + wording, cues + wording, cues + wording + " " + cues):
+            _, found = s.scan(text)
+            assert name in [f[0] for f in found if not f[4]], (name, text, found)
+    _, many = s.scan("Released under the MIT License.\nLicensed under CC BY-NC 4.0.\n" * 1500)
+    assert [f[0] for f in many] == ["MIT", "CC-BY-NC-4.0"] * 1500
+
+
 def test_decoder_restores_known_words():
     model = toxicity.log_model(np.bincount(toxicity.grams("idiot scum the moron loser stupid trash and this is " * 50), minlength=toxicity.ALPHABET**4).astype(float))
     restorer = toxicity.Restorer(model)
