@@ -26,6 +26,8 @@ def work_root(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests, one machine)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spanmill-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
@@ -40,6 +42,13 @@ def stored(df: DataFrame, label: str = "part") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def folded(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, copies) of ``docs``: rows without an id become one for each text, so that no number of them makes a hot key."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    named = own.where("doc_id IS NOT NULL").withColumn("copies", F.lit(1).cast("long"))
+    return named.unionByName(own.where("doc_id IS NULL").groupBy("doc_id", "text").agg(F.count("*").alias("copies")))
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """Bytes of all texts: sizes the blocks that later steps work in."""
     return int(docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()[0])
