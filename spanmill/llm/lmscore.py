@@ -3,21 +3,29 @@
 The filter holds counts of single tokens and of token pairs, each quantised to
 ``1 + floor(log2(count))``: an n-gram of level q is entered q times, as (n-gram,
 1) to (n-gram, q). A reader probes level 1, 2, ... until one is missing; its
-count is then taken as the middle of the last level found. A pair's probability
-interpolates pair, token and uniform estimates from such probes.
+count is then taken as the mean of the last level found, for counts whose
+frequency falls with their square.
+
+Probabilities are smoothed by pseudo-counts: ``p(w | h) = (c(hw) + PAIR p(w)) /
+(c(h) + PAIR)`` and ``p(w) = (c(w) + ALL / (v + 1)) / (n + ALL)`` with n tokens and
+v distinct ones in training and one class for all others. With exact counts they
+sum to one over the known tokens and that class; an unseen context leaves ``p(w)``
+whole. The filter's counts are off by quantisation (1 is exact, others are at
+most 39 % above or 31 % below) and by false hits: with ``BITS`` bits an entry and
+``PROBES`` probes an unseen n-gram is found in 1.8 % of cases.
 
 Counting is one exchange: tasks send each block's distinct n-grams with their
 counts, bucketed by hash, and a bucket's reducer adds them up and sets its own
-segment of the filter, so that no dictionary of n-grams exists anywhere.
-
-The filter is sized by the number of training tokens. A broadcast holds
-``PASS_BYTES`` of pair segments at most (and the token filter, whose size is
-that of the distinct tokens, is checked against the same bound); pairs are dealt
-to passes by their first token, so that each pair is scored in just one pass,
-and a larger corpus means more passes over the texts, not a larger broadcast.
+segment of the filter, so that no dictionary of n-grams exists anywhere. Every
+segment is sized by its own entries, so that bits per entry are the same in
+every segment and at every size of the corpus.
 
-The unigram base score is exact: a second exchange asks for the counts of each
-block's distinct tokens and brings them back to the block.
+The filter is broadcast where it has ``BROADCAST_BYTES`` at most (checked). A larger
+one stays dealt out as a table of segments, and each block of texts sends its
+distinct n-grams to the segments and gets their levels back. Both ways probe the
+same bits, so that scores do not depend on which is taken; the texts are read
+once at every size. The exact unigram base score comes by the same exchange: it
+asks for the counts of each block's distinct tokens.
 
 Defined results: a null text is an empty one, of one token (its end); rows with
 a null ``doc_id`` are not held out and train the model; equal rows get equal
@@ -27,21 +35,20 @@ columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, lower_words_of, mix, pair_names, parts, runs_of, stored, text_bytes
+from .common import folded, hash_words, lower_words_of, mix, pair_names, parts, runs_of, stored, text_bytes
 
 BLOCK_BYTES = 6 << 20
-#: Pair segments that one broadcast holds, bits for each entry, bits that one probe of a level looks at.
-PASS_BYTES, BITS, PROBES = 96 << 20, 5, 2
-SEGMENT_BYTES = 1 << 20
-#: Weights of the pair, token and uniform estimates.
-WEIGHTS = (0.6, 0.395, 0.005)
+#: The largest filter that is broadcast; bits for each entry; bits that one probe of a level looks at.
+BROADCAST_BYTES, BITS, PROBES = 96 << 20, 10, 3
+#: Text for each segment of the pairs' filter, and for each bucket of the tokens.
+SEGMENT_TEXT, BUCKET_TEXT = 6 << 20, 12 << 20
+#: Pseudo-counts of a pair's context and of the whole corpus.
+PAIR, ALL = 100.0, 1000.0
 END = np.uint64(0x5851F42D4C957F2D)
 MAX_LEVEL = 48
 
@@ -75,44 +82,68 @@ def levels(count: np.ndarray) -> np.ndarray:
     return np.frexp(count.astype(np.float64))[1].astype(np.int64)
 
 
+def _means() -> np.ndarray:
+    """The mean count of each level if a count's frequency falls with its square."""
+    out = [0.0]
+    for q in range(1, MAX_LEVEL + 1):
+        own = np.arange(2 ** (q - 1), 2**q, dtype=np.float64) if q <= 12 else None
+        out.append(float((1 / own).sum() / (1 / own**2).sum()) if own is not None else 2.0**q * float(np.log(2)))
+    return np.array(out)
+
+
+MEANS = _means()
+
+
 def level_count(level: np.ndarray) -> np.ndarray:
-    """The count that a level stands for: the middle of [2 ** (q - 1), 2 ** q)."""
-    return np.where(level > 0, np.where(level > 1, 0.75 * np.exp2(level.astype(np.float64)), 1.0), 0.0)
+    """The count that a level stands for."""
+    return MEANS[level]
+
+
+def probability(pair: np.ndarray, context: np.ndarray, token: np.ndarray, n: int, v: int) -> np.ndarray:
+    """The smoothed probability of a token after a context from the counts of both and of the pair."""
+    alone = (token + ALL / (v + 1)) / (n + ALL)
+    return (pair + PAIR * alone) / (context + PAIR)
 
 
-def _spots(names: np.ndarray, level: np.ndarray, k: int, bits: int) -> np.ndarray:
-    """The bit of probe k of each (name, level)."""
+def _spots(names: np.ndarray, level: int, k: int, bits: np.ndarray) -> np.ndarray:
+    """The bit of probe k of each (name, level) in a segment of so many bits."""
     with np.errstate(over="ignore"):
-        return mix(names + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k << 56)) % np.uint64(bits)
+        return mix(names + np.uint64((level * 0x9E3779B97F4A7C15 + (k << 56)) & 0xFFFFFFFFFFFFFFFF)) % bits.astype(np.uint64)
 
 
-def fill(names: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
-    """A filter segment of ``size`` bytes with these n-grams."""
-    bits = np.zeros(size * 8, bool)
+def fill(names: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A filter segment with these n-grams, of ``BITS`` bits for each of their entries."""
     level = levels(counts)
+    size = np.array([max(64, -(-int(level.sum()) * BITS // 8) * 8)])
+    bits = np.zeros(int(size[0]), bool)
     for q in range(1, int(level.max(initial=0)) + 1):
         own = names[level >= q]
         for k in range(PROBES):
-            bits[_spots(own, np.full(len(own), q), k, size * 8)] = True
+            bits[_spots(own, q, k, size)] = True
     return np.packbits(bits, bitorder="little")
 
 
-def probe(filters: np.ndarray, segment: np.ndarray, names: np.ndarray) -> np.ndarray:
-    """The level that each name is found at in its segment (a row of ``filters``); 0 if not at all."""
-    level = np.zeros(len(names), np.int64)
-    size = filters.shape[1]
-    flat = filters.reshape(-1)
-    live = np.arange(len(names))
-    base = segment.astype(np.int64) * size
-    for q in range(1, MAX_LEVEL + 1):
-        for k in range(PROBES):
-            spot = _spots(names[live], np.full(len(live), q), k, size * 8).astype(np.int64)
-            hit = (flat[base[live] + (spot >> 3)] >> (spot & 7).astype(np.uint8)) & 1
-            live = live[hit == 1]
-        level[live] = q
-        if not len(live):
-            break
-    return level
+class Filter:
+    """Segments side by side, with the byte at which each starts and its number of bits."""
+
+    def __init__(self, segments: list[bytes]):
+        sizes = np.array([len(s) for s in segments], np.int64)
+        self.flat = np.frombuffer(b"".join(segments), np.uint8)
+        self.start, self.bits = np.cumsum(sizes) - sizes, sizes * 8
+
+    def probe(self, segment: np.ndarray, names: np.ndarray) -> np.ndarray:
+        """The level that each name is found at in its segment; 0 if not at all or if the segment is empty."""
+        level = np.zeros(len(names), np.int64)
+        live = np.nonzero(self.bits[segment] > 0)[0]
+        for q in range(1, MAX_LEVEL + 1):
+            for k in range(PROBES):
+                own = segment[live]
+                spot = _spots(names[live], q, k, self.bits[own]).astype(np.int64)
+                live = live[(self.flat[self.start[own] + (spot >> 3)] >> (spot & 7).astype(np.uint8)) & 1 == 1]
+            level[live] = q
+            if not len(live):
+                break
+        return level
 
 
 def _grouped(key: np.ndarray, *columns: np.ndarray):
@@ -127,34 +158,27 @@ def _grouped(key: np.ndarray, *columns: np.ndarray):
 
 
 class Model:
-    """The counts' tables and the sizes of the filter."""
+    """The counts' table: one row for each bucket of the tokens (kind 0) and each segment of the pairs (kind 1)."""
 
     def __init__(self, docs: DataFrame, train: Column):
         size = text_bytes(docs)
-        # One more than the spaces bounds a text's words; with its end, this many tokens and pairs.
-        spaces = F.length("text") - F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]", "")) + 2
-        most = int(docs.where(train).agg(F.coalesce(F.sum(F.coalesce(spaces, F.lit(1))), F.lit(0))).first()[0])
-        self.passes = parts(most * BITS // 8, PASS_BYTES)
-        self.segments = parts(most * BITS // 8 // self.passes, SEGMENT_BYTES)
-        self.segment_bytes = max(64, most * BITS // 8 // self.passes // self.segments)
-        self.buckets = parts(size, 12 << 20)
+        self.sizes = (parts(size, BUCKET_TEXT), parts(size, SEGMENT_TEXT))
         self.blocks = parts(size, BLOCK_BYTES)
         counted = docs.where(train).select("text").mapInArrow(self._count(), "kind int, bucket long, names binary, counts binary")
-        merged = counted.groupBy("kind", "bucket").applyInArrow(
-            self._merge(), "kind int, bucket long, entries long, total long, names binary, counts binary, bits binary"
-        )
+        merged = counted.groupBy("kind", "bucket").applyInArrow(_merge, "kind int, bucket long, entries long, total long, names binary, counts binary, bits binary")
         self.table = stored(merged, "counts")
-        self.tokens = self.table.where("kind = 0")
-        row = self.tokens.agg(F.sum("total"), F.sum("entries")).first()
-        self.n, self.v = int(row[0] or 0), int(row[1] or 0)
+        row = self.table.agg(
+            F.sum(F.when(F.col("kind") == 0, F.col("total"))).alias("n"), F.sum(F.when(F.col("kind") == 0, F.col("entries"))).alias("v"), F.sum(F.octet_length("bits")).alias("bytes")
+        ).first()
+        self.n, self.v, self.bytes = (int(x or 0) for x in row)
 
     def __getstate__(self):
         """Tasks get the sizes only."""
-        return {k: v for k, v in vars(self).items() if isinstance(v, int)}
+        return {k: v for k, v in vars(self).items() if isinstance(v, (int, tuple))}
 
-    def place(self, before: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The pass and the segment of each pair; all pairs of a first token are in the same pass."""
-        return mix(before ^ np.uint64(0xABCD)) % np.uint64(self.passes), mix(pair ^ np.uint64(0x1234)) % np.uint64(self.segments)
+    def bucket(self, kind: int, names: np.ndarray) -> np.ndarray:
+        """The bucket or segment of each n-gram."""
+        return (mix(names ^ np.uint64(0x1234 * kind)) % np.uint64(self.sizes[kind])).astype(np.int64)
 
     def _count(self):
         names = ["kind", "bucket", "names", "counts"]
@@ -165,209 +189,144 @@ class Model:
                 sizes = [len(t.as_py() or "") for t in texts]
                 for lo, hi in runs_of(sizes, BLOCK_BYTES):
                     token, size = _tokens(texts.slice(lo, hi - lo).to_pylist())
-                    before = _contexts(token, size)
                     rows = []
-                    for kind, key in ((0, token), (1, pair_names(before, token))):
-                        name, first, count = np.unique(key, return_index=True, return_counts=True)
-                        if kind:
-                            turn, segment = self.place(before[first], name)
-                            bucket = turn * np.uint64(self.segments) + segment
-                        else:
-                            bucket = mix(name) % np.uint64(self.buckets)
-                        rows += [(kind, b, n.tobytes(), c.astype("<u4").tobytes()) for b, n, c in _grouped(bucket, name, count)]
+                    for kind, key in ((0, token), (1, pair_names(_contexts(token, size), token))):
+                        name, count = np.unique(key, return_counts=True)
+                        rows += [(kind, b, n.tobytes(), c.astype("<u4").tobytes()) for b, n, c in _grouped(self.bucket(kind, name), name, count)]
                     kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(4)], names)
 
         return run
 
-    def _merge(self):
+    def filters(self) -> list[Filter]:
+        """The whole filter: tokens and pairs; ``bytes`` in all."""
+        segments = [[b""] * n for n in self.sizes]
+        for r in self.table.select("kind", "bucket", "bits").toLocalIterator():
+            segments[r.kind][r.bucket] = bytes(r.bits)
+        return [Filter(s) for s in segments]
+
+    def scores(self, docs: DataFrame, most: int) -> DataFrame:
+        """(doc_id, n_tokens, n_known, base_score, score, copies) of each row; the filter is broadcast if it has ``most`` bytes at most."""
+        shared = docs.sparkSession.sparkContext.broadcast(self.filters()) if self.bytes <= most else None
+        blocked = folded(docs).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.blocks)).cast("long"))
+        own = self.table if shared is None else self.table.where("kind = 0").withColumn("bits", F.lit(None).cast("binary"))
+        own = own.select(F.lit(-1).cast("long").alias("block"), "kind", "bucket", "names", "counts", "bits")
+        asked = blocked.groupBy("block").applyInArrow(self._ask(shared is None), "block long, kind int, bucket long, names binary, counts binary, bits binary")
+        replies = asked.unionByName(own).groupBy("kind", "bucket").applyInArrow(_answer, "block long, kind int, bucket long, counts binary, levels binary")
+        schema = "doc_id long, n_tokens long, n_known long, base_score double, score double, copies long"
+        return blocked.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(self._scored(shared), schema)
+
+    def _ask(self, pairs: bool):
         def run(key, table):
-            kind, bucket = (k.as_py() for k in key)
-            name = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("names")])
-            count = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column("counts")])
-            order = np.argsort(name, kind="stable")
-            name, count = name[order], count[order].astype(np.int64)
-            at = np.nonzero(np.concatenate([[True], name[1:] != name[:-1]]))[0]
-            name, count = name[at], np.add.reduceat(count, at)
-            row = {"kind": kind, "bucket": bucket, "entries": len(name), "total": int(count.sum())}
-            if kind:
-                row |= {"names": None, "counts": None, "bits": fill(name, count, self.segment_bytes).tobytes()}
-            else:
-                row |= {"names": name.tobytes(), "counts": count.astype("<i8").tobytes(), "bits": None}
-            types = {"kind": pa.int32(), "bucket": pa.int64(), "entries": pa.int64(), "total": pa.int64()}
-            return pa.table({k: pa.array([v], types.get(k, pa.binary())) for k, v in row.items()})
+            token, size = _tokens(table.column("text").to_pylist())
+            rows = [(0, b, n.tobytes()) for b, n in self._dealt(0, np.unique(token))]
+            if pairs:
+                rows += [(1, b, n.tobytes()) for b, n in self._dealt(1, np.unique(pair_names(_contexts(token, size), token)))]
+            none = pa.array([None] * len(rows), pa.binary())
+            columns = [pa.array([key[0].as_py()] * len(rows), pa.int64()), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary())))]
+            return pa.Table.from_arrays([*columns, none, none], ["block", "kind", "bucket", "names", "counts", "bits"])
 
         return run
 
-    def token_filter(self) -> np.ndarray:
-        """The filter of single tokens: one segment for each bucket of the counts."""
-        entries = int(self.tokens.agg(F.coalesce(F.max("entries"), F.lit(0))).first()[0])
-        # Levels of counts that sum to n are at most 2 for each entry on average where counts are low; 4 leaves room.
-        size = max(64, entries * 4 * BITS // 8)
-        if size * self.buckets > PASS_BYTES:
-            size = max(64, PASS_BYTES // self.buckets)
-
-        def run(batches):
-            for batch in batches:
-                for b, n, c in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                    bits = fill(np.frombuffer(n, np.uint64), np.frombuffer(c, "<i8"), size)
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([bits.tobytes()], pa.binary())], ["bucket", "bits"])
-
-        rows = self.tokens.select("bucket", "names", "counts").mapInArrow(run, "bucket long, bits binary").toLocalIterator()
-        out = np.zeros((self.buckets, size), np.uint8)
-        for r in rows:
-            out[r.bucket] = np.frombuffer(r.bits, np.uint8)
-        return out
-
-    def pair_filter(self, turn: int) -> np.ndarray:
-        """The segments of one pass."""
-        out = np.zeros((self.segments, self.segment_bytes), np.uint8)
-        own = self.table.where(F.col("kind") == 1).where(F.floor(F.col("bucket") / self.segments) == turn)
-        for r in own.select("bucket", "bits").toLocalIterator():
-            out[r.bucket % self.segments] = np.frombuffer(r.bits, np.uint8)
-        return out
-
-    def base(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, text_hash, n_tokens, n_known, base_score) from exact counts."""
-        own = F.coalesce(F.col("doc_id"), F.xxhash64("text"))
-        blocked = docs.select("doc_id", "text", F.pmod(F.xxhash64(own), F.lit(self.blocks)).cast("long").alias("block"))
-        counts = self.tokens.select(F.lit(-1).cast("long").alias("block"), "bucket", "names", "counts")
-        asked = blocked.groupBy("block").applyInArrow(self._ask(), "block long, bucket long, names binary, counts binary")
-        replies = asked.unionByName(counts).groupBy("bucket").applyInArrow(_answer, "block long, bucket long, counts binary")
-        text_hash = F.xxhash64("text").alias("text_hash")
-        return (
-            blocked.select("doc_id", "text", "block", text_hash)
-            .groupBy("block")
-            .cogroup(replies.groupBy("block"))
-            .applyInArrow(self._base(), "doc_id long, text_hash long, n_tokens long, n_known long, base_score double")
-        )
-
-    def _ask(self):
-        def run(key, table):
-            token = np.unique(_tokens(table.column("text").to_pylist())[0])
-            rows = [(b, n.tobytes()) for b, n in _grouped(mix(token) % np.uint64(self.buckets), token)]
-            return pa.table(
-                {
-                    "block": pa.array([key[0].as_py()] * len(rows), pa.int64()),
-                    "bucket": pa.array([r[0] for r in rows], pa.int64()),
-                    "names": pa.array([r[1] for r in rows], pa.binary()),
-                    "counts": pa.array([None] * len(rows), pa.binary()),
-                }
-            )
-
-        return run
+    def _dealt(self, kind: int, names: np.ndarray):
+        return _grouped(self.bucket(kind, names), names)
 
-    def _base(self):
+    def _scored(self, shared):
         total = np.log10(self.n + self.v + 1)
 
-        def run(table, replies):
-            texts = table.column("text").to_pylist()
-            token, size = _tokens(texts)
-            unique, inverse = np.unique(token, return_inverse=True)
-            bucket = (mix(unique) % np.uint64(self.buckets)).astype(np.int64)
+        def told(replies, kind, column, type_, names):
+            """What the buckets told of these names."""
+            out = np.zeros(len(names), np.int64)
+            mask = [k == kind for k in replies.column("kind").to_pylist()]
+            by_bucket = {b: x for b, x, m in zip(replies.column("bucket").to_pylist(), replies.column(column).to_pylist(), mask, strict=True) if m}
+            bucket = self.bucket(kind, names)
             order = np.argsort(bucket, kind="stable")
-            by_bucket = dict(zip(replies.column("bucket").to_pylist(), replies.column("counts").to_pylist(), strict=True))
-            count = np.zeros(len(unique), np.int64)
-            if len(unique):
-                count[order] = np.concatenate([np.frombuffer(by_bucket[b], "<i8") for b in np.unique(bucket).tolist()])
-            count = count[inverse]
+            if len(names):
+                out[order] = np.concatenate([np.frombuffer(by_bucket[b], type_) for b in np.unique(bucket).tolist()])
+            return out
+
+        def run(table, replies):
+            token, size = _tokens(table.column("text").to_pylist())
+            alone, inverse = np.unique(token, return_inverse=True)
+            before = _contexts(token, size)
+            pair, first, of_pair = np.unique(pair_names(before, token), return_index=True, return_inverse=True)
+            count = told(replies, 0, "counts", "<i8", alone)
+            if shared is None:
+                level, pair_level = told(replies, 0, "levels", np.uint8, alone), told(replies, 1, "levels", np.uint8, pair)
+            else:
+                level, pair_level = (f.probe(self.bucket(kind, x), x) for kind, (f, x) in enumerate(zip(shared.value, (alone, pair), strict=True)))
+            # Every context is a token of the block: the end of a text stands before each first one.
+            found = level_count(level)
+            c1, c2 = found[np.searchsorted(alone, before[first])], found[inverse[first]]
+            c12 = np.minimum(level_count(pair_level), np.minimum(c1, c2))  # a pair is no more frequent than its tokens
+            value = np.log10(np.minimum(probability(c12, c1, c2, self.n, self.v), 1.0))
             at = np.cumsum(size) - size
-            gain = np.add.reduceat(np.log10(count + 1.0), at) if len(at) else np.zeros(0)
-            known = np.add.reduceat((count > 0).astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
+            count = count[inverse]
+            sums = lambda x: np.add.reduceat(x, at) if len(at) else x[:0]
             return pa.table(
                 {
                     "doc_id": table.column("doc_id"),
-                    "text_hash": table.column("text_hash"),
                     "n_tokens": pa.array(size, pa.int64()),
-                    "n_known": pa.array(known, pa.int64()),
-                    "base_score": pa.array(gain - size * total, pa.float64()),
+                    "n_known": pa.array(sums((count > 0).astype(np.int64)), pa.int64()),
+                    "base_score": pa.array(sums(np.log10(count + 1.0)) - size * total, pa.float64()),
+                    "score": pa.array(sums(value[of_pair]), pa.float64()),
+                    "copies": table.column("copies"),
                 }
             )
 
         return run
 
-    def scores(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, text_hash, score): the log10 probability of each text, added up over the passes."""
-        context = docs.sparkSession.sparkContext
-        tokens = context.broadcast(self.token_filter())
-        rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-        done = []
-        for turn in range(self.passes):
-            pairs = context.broadcast(self.pair_filter(turn))
-            part = rows.mapInArrow(self._score(turn, tokens, pairs), "doc_id long, text_hash long, part double")
-            done.append(stored(part.withColumn("turn", F.lit(turn)), "scores"))
-            pairs.unpersist()
-        both = reduce(DataFrame.unionByName, done)
-        one = both.groupBy("doc_id", "text_hash", "turn").agg(F.max("part").alias("part"))  # equal rows have equal parts
-        return one.groupBy("doc_id", "text_hash").agg(F.sum("part").alias("score"))
-
-    def _score(self, turn: int, tokens, pairs):
-        two, one, none = WEIGHTS
-        n, v = self.n, self.v
-
-        def run(batches):
-            for batch in batches:
-                texts = batch.column(2)
-                sizes = [len(t.as_py() or "") for t in texts]
-                for lo, hi in runs_of(sizes, BLOCK_BYTES // 2):
-                    token, size = _tokens(texts.slice(lo, hi - lo).to_pylist())
-                    before = _contexts(token, size)
-                    name, first, inverse = np.unique(pair_names(before, token), return_index=True, return_inverse=True)
-                    a, b = before[first], token[first]
-                    own, segment = self.place(a, name)
-                    here = np.nonzero(own == turn)[0]
-                    alone, to = np.unique(np.concatenate([a[here], b[here]]), return_inverse=True)
-                    count = level_count(probe(tokens.value, mix(alone) % np.uint64(self.buckets), alone))[to]
-                    c1, c2 = count[: len(here)], count[len(here) :]
-                    c12 = level_count(probe(pairs.value, segment[here], name[here]))
-                    c12 = np.minimum(c12, np.minimum(c1, c2))  # a pair is no more frequent than its tokens
-                    p = two * np.where(c1 > 0, c12 / np.maximum(c1, 1), 0.0) + one * c2 / max(n, 1) + none / (v + 1)
-                    value = np.zeros(len(name))
-                    value[here] = np.log10(np.minimum(p, 1.0))
-                    part = np.add.reduceat(value[inverse], np.cumsum(size) - size)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(part, pa.float64())], ["doc_id", "text_hash", "part"]
-                    )
 
-        return run
+def _merge(key, table):
+    """A bucket's n-grams with their sums, as a filter segment; tokens keep their counts as well."""
+    kind = key[0].as_py()
+    name = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("names")])
+    count = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column("counts")])
+    order = np.argsort(name, kind="stable")
+    name, count = name[order], count[order].astype(np.int64)
+    at = np.nonzero(np.concatenate([[True], name[1:] != name[:-1]]))[0]
+    name, count = name[at], np.add.reduceat(count, at)
+    row = {"kind": kind, "bucket": key[1].as_py(), "entries": len(name), "total": int(count.sum()), "names": None, "counts": None, "bits": fill(name, count).tobytes()}
+    if not kind:
+        row |= {"names": name.tobytes(), "counts": count.astype("<i8").tobytes()}
+    types = {"kind": pa.int32(), "bucket": pa.int64(), "entries": pa.int64(), "total": pa.int64()}
+    return pa.table({k: pa.array([v], types.get(k, pa.binary())) for k, v in row.items()})
 
 
 def _answer(key, table):
-    """The counts of the names that each block asked for, 0 for unknown ones; block -1 holds the bucket's counts."""
-    blocks = table.column("block").to_pylist()
-    name, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    """Counts and levels of the names that each block asked for, 0 for unknown ones; block -1 holds the bucket's own."""
+    blocks, asked = table.column("block").to_pylist(), table.column("names").to_pylist()
+    name, count, own = np.zeros(0, np.uint64), np.zeros(0, np.int64), None
     if -1 in blocks:
         at = blocks.index(-1)
-        name = np.frombuffer(table.column("names")[at].as_py(), np.uint64)
-        count = np.frombuffer(table.column("counts")[at].as_py(), "<i8")
+        counts, bits = table.column("counts")[at].as_py(), table.column("bits")[at].as_py()
+        if counts is not None:
+            name, count = np.frombuffer(asked[at], np.uint64), np.frombuffer(counts, "<i8")
+        own = Filter([bits]) if bits is not None else None
     rows = []
-    for at, block in enumerate(blocks):
+    for block, wanted in zip(blocks, asked, strict=True):
         if block == -1:
             continue
-        asked = np.frombuffer(table.column("names")[at].as_py(), np.uint64)
+        wanted = np.frombuffer(wanted, np.uint64)
+        found = np.zeros(len(wanted), np.int64)
         if len(name):
-            spot = np.minimum(np.searchsorted(name, asked), len(name) - 1)
-            found = np.where(name[spot] == asked, count[spot], 0)
-        else:
-            found = np.zeros(len(asked), np.int64)
-        rows.append((block, found.astype("<i8").tobytes()))
-    return pa.table(
-        {
-            "block": pa.array([r[0] for r in rows], pa.int64()),
-            "bucket": pa.array([key[0].as_py()] * len(rows), pa.int64()),
-            "counts": pa.array([r[1] for r in rows], pa.binary()),
-        }
-    )
-
-
-def score_texts(docs: DataFrame, held: Column | None = None) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs`` (doc_id, text)."""
+            spot = np.minimum(np.searchsorted(name, wanted), len(name) - 1)
+            found = np.where(name[spot] == wanted, count[spot], 0)
+        level = own.probe(np.zeros(len(wanted), np.int64), wanted) if own else np.zeros(len(wanted), np.int64)
+        rows.append((block, found.astype("<i8").tobytes() if not key[0].as_py() else None, level.astype(np.uint8).tobytes()))
+    kinds = {"block": pa.int64(), "counts": pa.binary(), "levels": pa.binary()}
+    out = {c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate(kinds.items())}
+    same = {"kind": pa.array([key[0].as_py()] * len(rows), pa.int32()), "bucket": pa.array([key[1].as_py()] * len(rows), pa.int64())}
+    return pa.table({c: (same | out)[c] for c in ("block", "kind", "bucket", "counts", "levels")})
+
+
+def score_texts(docs: DataFrame, held: Column | None = None, most: int | None = None) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs`` (doc_id, text).
+
+    A filter of more than ``most`` bytes is not broadcast.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     held = held_out(F.col("doc_id")) if held is None else held
     model = Model(docs, ~held)
-    scores = model.scores(docs).withColumnsRenamed({"doc_id": "of_doc", "text_hash": "of_text"})
-    base = model.base(docs)
-    joined = base.join(scores, base.doc_id.eqNullSafe(F.col("of_doc")) & (base.text_hash == F.col("of_text")))
-    return joined.select(
-        "doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score"
-    )
+    scored = model.scores(docs, BROADCAST_BYTES if most is None else most).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -60,11 +60,51 @@ def test_lm_base_scores_equal_counts(spark):
 
 def test_bloom_filter_levels_never_too_low():
     r = np.random.default_rng(0)
-    names, counts = r.integers(0, 2**63, 500).astype(np.uint64), r.integers(1, 2000, 500)
-    bits = lmscore.fill(names, counts, 4096)
-    level = lmscore.probe(bits[None, :], np.zeros(500, np.uint64), names)
+    names, counts = r.integers(0, 2**63, 5000).astype(np.uint64), r.integers(1, 2000, 5000)
+    own = lmscore.Filter([b"", lmscore.fill(names, counts).tobytes()])
+    level = own.probe(np.ones(5000, np.int64), names)
     want = np.floor(np.log2(counts)).astype(int) + 1
-    assert (level >= want).all() and (level == want).mean() > 0.9
+    assert (level >= want).all() and (level == want).mean() > 0.97
+    unseen = own.probe(np.ones(20_000, np.int64), r.integers(0, 2**63, 20_000).astype(np.uint64))
+    assert (unseen > 0).mean() < 0.025 and not own.probe(np.zeros(9, np.int64), names[:9]).any()
+
+
+def test_lm_probabilities_sum_to_one():
+    token = np.array([5.0, 3.0, 2.0, 0.0])  # the last stands for all unseen tokens
+    for pair, context in (([2.0, 0.0, 3.0, 0.0], 5.0), ([0.0] * 4, 0.0)):
+        assert lmscore.probability(np.array(pair), np.full(4, context), token, 10, 3).sum() == pytest.approx(1)
+    for q, mean in enumerate(lmscore.MEANS[1:13], 1):  # the stated error of a level's count
+        assert 0.69 <= mean / (2**q - 1) and mean / 2 ** (q - 1) <= 1.39
+
+
+def test_lm_scores_equal_brute_force_either_way(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(lmscore, "SEGMENT_TEXT", 2000)
+    monkeypatch.setattr(lmscore, "BUCKET_TEXT", 4000)
+    texts = [*corpus(9, 80), *corpus(9, 3)]
+    df = docs(spark, texts)
+    one, two, pairs = Counter(), Counter(), []
+    for k, t in enumerate(texts):
+        own = [*words(t, True), None]
+        pairs.append(list(zip([None, *own[:-1]], own, strict=True)))
+        if zlib.crc32(str(k).encode()) % 7 != 2:
+            one.update(own)
+            two.update(pairs[-1])
+    n, v = sum(one.values()), len(one)
+    mean = lambda c: 0.0 if not c else float(lmscore.MEANS[c.bit_length()])
+    want = []
+    for own in pairs:
+        total = 0.0
+        for a, b in own:
+            alone = (mean(one[b]) + lmscore.ALL / (v + 1)) / (n + lmscore.ALL)
+            total += math.log10(min(1.0, (min(mean(two[a, b]), mean(one[a]), mean(one[b])) + lmscore.PAIR * alone) / (mean(one[a]) + lmscore.PAIR)))
+        want.append(total)
+    dealt = {r.doc_id: r.score for r in lmscore.score_texts(df, most=0).collect()}
+    sent = {r.doc_id: r.score for r in lmscore.score_texts(df).collect()}
+    assert all(sent[k] == pytest.approx(dealt[k], abs=1e-9) for k in range(len(texts)))
+    # False hits alone part the filter from exact quantised counts.
+    near = [abs(sent[k] - w) < 1e-9 for k, w in enumerate(want)]
+    assert sum(near) > 0.7 * len(near) and all(abs(sent[k] - w) < 0.05 * len(pairs[k]) for k, w in enumerate(want))
 
 
 def brute_fingerprint(text, width=3):
