@@ -9,7 +9,9 @@ checksums and the digest of all samples are verified; a stream that fails raises
 an error.
 
 ``encode`` makes the media column, ``pcm_blocks`` decodes it to one row for each
-frame with its sample offset, and ``features`` describes whole streams. Groups
+frame with its sample offset, and ``features`` describes whole streams; there a stream
+that fails is a row with its error. The query writes the media column to the shared
+folder and reads it back between the two. Groups
 hold ``GROUP`` frames whatever the length of a text, so that memory is bounded
 but for the text itself.
 
@@ -442,13 +444,29 @@ def encode(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+#: What a stream that is damaged, cut short or of another kind raises.
+DAMAGED = (ValueError, IndexError, KeyError, OverflowError)
+
+
+def read_streams(medias: list[bytes]) -> tuple[list[list[tuple[int, int, bytes]]], list[str | None]]:
+    """The blocks of each stream, and what is wrong with it, if anything; a damaged stream has no blocks and leaves the others alone."""
+    try:
+        return decode_streams(medias), [None] * len(medias)
+    except DAMAGED as e:
+        if len(medias) == 1:
+            return [[]], [str(e) or type(e).__name__]
+        half = len(medias) // 2
+        (a, b), (c, d) = read_streams(medias[:half]), read_streams(medias[half:])
+        return a + c, b + d
+
+
 def _decoded(batches):
-    """(batch, first row, streams, blocks) of runs of rows (doc_id, n_bytes, media)."""
+    """(batch, media, blocks, errors) of runs of rows (doc_id, n_bytes, media)."""
     for batch in batches:
         media = batch.column(2)
         for lo, hi in runs_of([len(m.as_py() or b"") for m in media], GROUP * BLOCK):
-            own = media.slice(lo, hi - lo).to_pylist()
-            yield batch.slice(lo, hi - lo), own, decode_streams(own)
+            own = [m or b"" for m in media.slice(lo, hi - lo).to_pylist()]
+            yield batch.slice(lo, hi - lo), own, *read_streams(own)
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
@@ -457,7 +475,7 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
     kinds = [*[pa.int64()] * 5, pa.binary()]
 
     def run(batches):
-        for batch, _, streams in _decoded(batches):
+        for batch, _, streams, _ in _decoded(batches):
             rows = [(i, k, s, o, len(b), b) for i, blocks in zip(batch.column(0).to_pylist(), streams, strict=True) for k, (s, o, b) in enumerate(blocks)]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], [x.split(" ")[0] for x in schema.split(", ")])
 
@@ -471,14 +489,20 @@ def feature(payload: bytes) -> str:
 
 
 def features(media: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of every stream, from what is read back."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, error) of every stream, from what is read back.
+
+    ``error`` is null; for a stream that cannot be read it says why, and what the samples would tell is null.
+    """
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
 
     def run(batches):
-        for batch, own, streams in _decoded(batches):
-            payloads = [b"".join(b for _, _, b in blocks) for blocks in streams]
-            rows = [(len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), feature(p)) for p, m in zip(payloads, own, strict=True)]
+        for batch, own, streams, errors in _decoded(batches):
+            rows = []
+            for blocks, m, error in zip(streams, own, errors, strict=True):
+                p = b"".join(b for _, _, b in blocks)
+                told = (None, None, None) if error else (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]))
+                rows.append((*told, len(m), hashlib.sha256(m).hexdigest(), None if error else feature(p), error))
             columns = [batch.column(0), batch.column(1), *(pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds))]
             yield pa.RecordBatch.from_arrays(columns, [x.split(" ")[0] for x in schema.split(", ")])
 
