@@ -50,6 +50,13 @@ _BSD_NAMES = (
     "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
     "without specific prior written permission. "
 )
+_DISCLAIMER = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES "
+    "OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS "
+    "INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE "
+    "USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
 _GPL = (
     "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
     "the Free Software Foundation, either version {} of the License, or (at your option) any later version. "
@@ -78,9 +85,17 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-2.0", _GPL.format(2)),
     ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("LGPL-3.0", _GPL.format(3).replace("General", "Lesser General")),
+    ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0-or-later"),
+    ("LGPL-2.1", _GPL.format(2.1).replace("General", "Lesser General")),
+    ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1-or-later"),
+    ("AGPL-3.0", _GPL.format(3).replace("General", "Affero General")),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-or-later"),
     ("BSD-2-Clause", _BSD_GRANT),
+    ("BSD-2-Clause", _BSD_GRANT + _DISCLAIMER),
     ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
     ("BSD-3-Clause", _BSD_GRANT + _BSD_NAMES),
+    ("BSD-3-Clause", _BSD_GRANT + _BSD_NAMES + _DISCLAIMER),
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
     (
         "ISC",
@@ -93,6 +108,14 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
         "You can obtain one at https://mozilla.org/MPL/2.0/.",
     ),
     ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0."),
+    ("EPL-2.0", "SPDX-License-Identifier: EPL-2.0"),
+    (
+        "Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions.",
+    ),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
@@ -126,6 +149,9 @@ class Scanner:
             self.given.append(zstandard.ZstdCompressor(dict_data=own, compression_params=plain))
         self.sizes = [len(self.alone.compress(" ".join(words).encode())) for words in self.words]
         self.known: dict[tuple[str, ...], tuple | None] = {}
+        # A block is searched piece by piece; a notice that starts in the last ``room`` words of a piece is left to the next.
+        self.room = 2 * max(map(len, self.words), default=1)
+        self.piece = 3 * self.room
 
     def candidates(self, words: list[str]) -> list[tuple[float, int]]:
         """(reduction, template) of the templates that save ``least`` of their own size or of the block's, or that the block holds word by word."""
@@ -181,7 +207,18 @@ class Scanner:
         return self.known[key]
 
     def block(self, words: list[str]) -> list[tuple[str, int, int, float, list[str]]]:
-        """(license, start, stop, reduction, differences) of the notices in a block of words, in order."""
+        """(license, start, stop, reduction, differences) of the notices in a block of words, in order; time grows with the block's length."""
+        found, at = [], 0
+        while at < len(words):
+            last = at + self.piece >= len(words)
+            edge = len(words) if last else at + self.piece - self.room
+            own = [(n, at + a, at + b, r, d) for n, a, b, r, d in self.notices(words[at : at + self.piece]) if at + a < edge]
+            found += own
+            at = max(edge, max((f[2] for f in own), default=0))
+        return found
+
+    def notices(self, words: list[str]) -> list[tuple[str, int, int, float, list[str]]]:
+        """``block`` for a piece of bounded length."""
         found, waiting = [], [(0, len(words))]
         while waiting:
             low, high = waiting.pop()
