@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import lower_words_of, stored
 
-TILE = 2048
+#: Fingerprints in a tile, and tiles in a row or column of the tile pairs that share one key.
+TILE, STRIP = 2048, 8
 _SEED = 42
 
 
@@ -101,7 +102,7 @@ def links(nodes: DataFrame, radius: int = 2) -> DataFrame:
     code = part[0] + F.shiftleft(part[1], 8) + F.shiftleft(part[2], 16) + F.shiftleft(part[3], 24)
     cells = nodes.withColumn("cell", code.cast("long"))
     # At most 17 ** 4 cells exist, so that this table has a fixed bound.
-    wide = cells.groupBy("cell").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    wide = stored(cells.groupBy("cell").agg(F.ceil(F.count("*") / TILE).cast("long").alias("tiles")), "cells")
     tiles = stored(
         cells.join(F.broadcast(wide), "cell")
         .withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")))
@@ -111,12 +112,18 @@ def links(nodes: DataFrame, radius: int = 2) -> DataFrame:
         "tiles",
     )
     steps = [d for d in product(range(-radius, radius + 1), repeat=4) if sum(map(abs, d)) <= radius and d >= (0, 0, 0, 0)]
-    offsets = [sum(x << (8 * k) for k, x in enumerate(d)) for d in steps]
-    right = tiles.select(
-        F.explode(F.array(*[F.lit(x).cast("long") for x in offsets])).alias("step"),
-        *[F.col(c).alias(f"{c}_b") for c in ("cell", "tile", "fps", "ids")],
-    ).withColumn("cell", F.col("cell_b") - F.col("step"))
-    pairs = tiles.join(right, "cell").where("step != 0 or tile <= tile_b")
+    offsets = F.explode(F.array(*[F.lit(sum(x << (8 * k) for k, x in enumerate(d))).cast("long") for d in steps])).alias("step")
+    # The pairs of tiles of two cells form a matrix; its squares of STRIP x STRIP pairs go to different tasks, and a tile
+    # is sent once to each square of its row or column. Most cells have one tile and so one square.
+    strips = wide.select("cell", F.expr(f"(tiles - 1) div {STRIP}").alias("strips"))
+    beside = strips.select("cell", "strips", offsets)
+    beside = beside.select((F.col("cell") + F.col("step")).alias("cell_b"), F.col("cell"), F.col("step"), "strips").join(strips.withColumnsRenamed({"cell": "cell_b", "strips": "strips_b"}), "cell_b")
+    beside = stored(beside, "cells")
+    across = beside.groupBy("cell").agg(F.max("strips_b").alias("most"))  # each table of cells has a fixed bound
+    left = tiles.join(F.broadcast(across), "cell").withColumn("column", F.explode(F.expr("sequence(0L, most)"))).withColumn("line", F.expr(f"tile div {STRIP}")).drop("most")
+    right = tiles.select(*[F.col(c).alias(f"{c}_b") for c in ("cell", "tile", "fps", "ids")]).join(F.broadcast(beside.drop("strips_b")), "cell_b")
+    right = right.withColumn("line", F.explode(F.expr("sequence(0L, strips)"))).withColumn("column", F.expr(f"tile_b div {STRIP}")).drop("strips")
+    pairs = left.join(right, ["cell", "line", "column"]).where("step != 0 or tile <= tile_b")
     pairs = pairs.selectExpr("step = 0 and tile = tile_b as same", "fps", "ids", "fps_b", "ids_b")
 
     def run(batches):
