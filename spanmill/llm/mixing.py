@@ -13,21 +13,26 @@ sums by bucket locate the one bucket that holds the cut, and only that bucket is
 sorted. So no task ever holds a source, and texts are not shuffled but for the
 documents of the cut buckets.
 
-All of it is DataFrame expressions. Budgets are whole tokens, by integer
-division, so that a level leaves at most one token per child unspent.
+All of it is DataFrame expressions. Budgets are whole tokens; what integer
+division leaves goes to the first of the siblings that can take more, a token
+each, so that nothing is lost at any level.
 
 Defined results: a null ``lang`` or ``source`` is a leaf of its own, named ``''``;
 a null text has no tokens; a document is taken if it starts before the end of
 the prefix, so that one without tokens goes with its neighbours; repeated rows
 are taken one by one; an empty table gives an empty result. A weight of zero
 gives a node nothing. Columns of ``docs`` other than the five used are carried
-along in ``mixed`` whatever their names.
+along in ``mixed`` whatever their names. Documents without an id are ordered by
+their texts. Weights may be fractions; those of a level are scaled to whole
+numbers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from fractions import Fraction
+from math import lcm
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,9 +53,9 @@ def default_domain(source: Column) -> Column:
 class Plan:
     """Targets: weights by name for each level of the tree (1 where not named), the budget as a share of all tokens, epochs and seed."""
 
-    domains: Mapping[str, int] = field(default_factory=lambda: {"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 1})
-    langs: Mapping[str, int] = field(default_factory=lambda: {"en": 4, "de": 2, "fr": 2, "es": 2})
-    sources: Mapping[str, int] = field(default_factory=dict)
+    domains: Mapping[str, float] = field(default_factory=lambda: {"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 1})
+    langs: Mapping[str, float] = field(default_factory=lambda: {"en": 4, "de": 2, "fr": 2, "es": 2})
+    sources: Mapping[str, float] = field(default_factory=dict)
     share: tuple[int, int] = (9, 10)
     epochs: int = 2
     seed: str = "17"
@@ -58,9 +63,13 @@ class Plan:
     def weight(self, level: str) -> Column:
         """The weight of the node named in column ``level``."""
         named = {"domain": self.domains, "lang": self.langs, "source": self.sources}[level]
-        out = F.lit(1)
-        for name, value in named.items():
-            out = F.when(F.col(level) == name, F.lit(int(value))).otherwise(out)
+        exact = {name: Fraction(str(value)).limit_denominator(1_000_000) for name, value in named.items()}
+        if min(exact.values(), default=0) < 0:
+            raise ValueError("weights are not negative")
+        scale = lcm(*(x.denominator for x in exact.values()))
+        out = F.lit(scale)
+        for name, value in exact.items():
+            out = F.when(F.col(level) == name, F.lit(int(value * scale))).otherwise(out)
         return out.cast("long")
 
 
@@ -78,7 +87,12 @@ def _dealt(nodes: DataFrame, parent: list[str], level: str, plan: Plan) -> DataF
     weights = F.sum(F.when(F.col("full"), 0).otherwise(F.col("weight"))).over(siblings)
     nodes = nodes.withColumn("left_over", left).withColumn("open_weight", weights)
     own = F.expr("CASE WHEN full THEN cap WHEN weight = 0 THEN 0L ELSE (left_over * weight) div open_weight END")
-    return nodes.withColumn("own", own).drop("weight", "full", "left_over", "open_weight")
+    nodes = nodes.withColumn("own", own).withColumn("open", ~F.col("full") & (F.col("weight") > 0))
+    # An open node's share is below its capacity, so that each can take one of the tokens that are left.
+    rest = F.col("left_over") - F.sum(F.when(F.col("open"), F.col("own")).otherwise(0)).over(siblings)
+    place = F.sum(F.col("open").cast("long")).over(siblings.orderBy(level))
+    nodes = nodes.withColumn("own", F.col("own") + F.when(F.col("open") & (place <= rest), 1).otherwise(0))
+    return nodes.drop("weight", "full", "left_over", "open_weight", "open")
 
 
 def budgets(leaves: DataFrame, plan: Plan) -> DataFrame:
@@ -110,8 +124,9 @@ def mixed(docs: DataFrame, plan: Plan | None = None, domain=default_domain) -> D
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
         F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"),
     )
-    slim = own.select(*TREE, "n_tokens", F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")).alias("id"))
-    counted = stored(slim, "sizes")
+    # Ids as text; rows without one are told apart by their texts.
+    own = own.withColumn("id", F.coalesce(F.col("row.doc_id").cast("string"), F.concat(F.lit("~"), F.md5(F.col("row.text").cast("binary"))), F.lit("")))
+    counted = stored(own.select(*TREE, "n_tokens", "id"), "sizes")
     # Sizes are read back, so that every later step sees the same and small rows.
     leaves = counted.groupBy(*TREE).agg(F.sum("n_tokens").alias("tokens"))
     leaves = stored(budgets(leaves, plan), "budgets")
@@ -119,34 +134,51 @@ def mixed(docs: DataFrame, plan: Plan | None = None, domain=default_domain) -> D
     def key(epoch: Column, doc_id: Column) -> Column:
         return F.md5(F.concat_ws("|", F.lit(plan.seed), epoch.cast("string"), doc_id).cast("binary"))
 
-    # The partial epoch of each leaf and what it needs of it.
-    partial = leaves.where("own > 0 AND tokens > 0 AND own % tokens > 0").selectExpr(*TREE, "CAST(own div tokens AS INT) + 1 AS epoch", "own % tokens AS need")
-    bucket = lambda k: F.substring(k, 1, 3)
-    sums = (
-        counted.join(partial, list(TREE))
-        .groupBy(*TREE, "epoch", "need", bucket(key(F.col("epoch"), F.col("id"))).alias("bucket"))
-        .agg(F.sum("n_tokens").alias("tokens"))
-        .withColumn("upto", F.sum("tokens").over(Window.partitionBy(*TREE).orderBy("bucket")))
-    )
-    cuts = sums.where("upto >= need").groupBy(*TREE).agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("tokens")).alias("before")), "bucket").alias("cut"))
-    cuts = leaves.where("own > 0").join(cuts, list(TREE), "left").selectExpr(*TREE, "own", "tokens", "cut.bucket AS cut", "cut.before AS before")
-    cuts = stored(cuts, "cuts")
+    def cut_of(rows: DataFrame, first: int) -> DataFrame:
+        """(TREE, epoch, need, bucket, before): the bucket of three digits of the key that the prefix ends in, and the tokens before it."""
+        held = rows.groupBy(*TREE, "epoch", "need", "before", F.substring("key", first, 3).alias("bucket")).agg(F.sum("n_tokens").alias("in_it"))
+        held = held.withColumn("upto", F.col("before") + F.sum("in_it").over(Window.partitionBy(*TREE).orderBy("bucket")))
+        cut = held.where("upto >= need").groupBy(*TREE, "epoch", "need").agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("in_it")).alias("before")), "bucket").alias("cut"))
+        return cut.select(*TREE, "epoch", "need", "cut.bucket", "cut.before")
+
+    # The partial epoch of each leaf and what it needs of it; the cut is narrowed twice by digits of the key.
+    partial = leaves.where("own > 0 AND tokens > 0 AND own % tokens > 0").selectExpr(*TREE, "CAST(own div tokens AS INT) + 1 AS epoch", "own % tokens AS need", "0L AS before")
+    keyed = counted.join(partial, list(TREE)).withColumn("key", key(F.col("epoch"), F.col("id")))
+    first = stored(cut_of(keyed, 1), "cuts")
+    inside = keyed.drop("before", "need", "epoch").join(first, list(TREE)).where("substring(key, 1, 3) = bucket").withColumnRenamed("bucket", "outer")
+    inside = stored(inside.select(*TREE, "epoch", "need", "before", "outer", "key", "n_tokens", "id"), "cut-rows")
+    second = cut_of(inside, 4)
+    last = inside.drop("before", "need", "epoch").join(second, list(TREE)).where("substring(key, 4, 3) = bucket")
+    order = Window.partitionBy(*TREE).orderBy("key", "n_tokens")
+    start = F.col("before") + F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
+    # Rows with the key of the last document that is taken: equal rows, or rows of one id, which are told apart by their places.
+    last = last.withColumn("start", start).withColumn("copy", F.row_number().over(Window.partitionBy(*TREE, "key", "n_tokens").orderBy("start"))).where("start < need")
+    ends = last.groupBy(*TREE).agg(F.max(F.struct("key", "n_tokens", "start", "copy")).alias("end"))
+    cuts = leaves.where("own > 0 AND tokens > 0").join(ends, list(TREE), "left").select(*TREE, "own", "tokens", "end")
+    cuts = stored(cuts, "ends")
     # Whole epochs, then the partial one. A leaf without tokens gives nothing.
     lasts = "CAST(own div tokens AS INT) + IF(own % tokens > 0, 1, 0)"
-    dealt = own.join(cuts.where("tokens > 0"), list(TREE)).withColumn("epoch", F.explode(F.expr(f"sequence(1, {lasts})")))
-    dealt = dealt.withColumn("need", F.expr("least(own - (epoch - 1) * tokens, tokens)"))
-    dealt = dealt.withColumn("key", key(F.col("epoch"), F.coalesce(F.col("row.doc_id").cast("string"), F.lit(""))))
-    dealt = dealt.withColumn("place", F.when(F.col("need") == F.col("tokens"), -1).when(bucket(F.col("key")) < F.col("cut"), -1).when(bucket(F.col("key")) == F.col("cut"), 0).otherwise(1))
+    dealt = own.join(cuts, list(TREE)).withColumn("epoch", F.explode(F.expr(f"sequence(1, {lasts})")))
+    dealt = dealt.withColumn("need", F.expr("least(own - (epoch - 1) * tokens, tokens)")).withColumn("key", key(F.col("epoch"), F.col("id")))
+    here, end = F.struct("key", "n_tokens"), F.struct("end.key", "end.n_tokens")
+    place = F.when((F.col("need") == F.col("tokens")) | (here < end), -1).when(here == end, 0).otherwise(1)
     columns = ["row", *TREE, "epoch", "n_tokens", "take_tokens", "own AS leaf_tokens"]
+    dealt = dealt.withColumn("place", place)
     whole = dealt.where("place = -1").withColumn("take_tokens", F.col("n_tokens")).selectExpr(*columns)
-    order = Window.partitionBy(*TREE, "epoch").orderBy("key", "n_tokens", F.xxhash64("row.text"))
-    start = F.col("before") + F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
-    last = dealt.where("place = 0").withColumn("start", start).where("start < need")
-    last = last.withColumn("take_tokens", F.least("n_tokens", F.expr("need - start"))).selectExpr(*columns)
-    return whole.unionByName(last)
+    ties = Window.partitionBy(*TREE, "key", "n_tokens").orderBy(F.xxhash64("row.text"))
+    tied = dealt.where("place = 0").withColumn("copy", F.row_number().over(ties)).where("copy <= end.copy")
+    taken = F.when(F.col("copy") < F.col("end.copy"), F.col("n_tokens")).otherwise(F.least("n_tokens", F.expr("need - end.start")))
+    return whole.unionByName(tied.withColumn("take_tokens", taken).selectExpr(*columns))
+
+
+def cut_text(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word."""
+    pieces = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    return F.array_join(F.slice(pieces, F.lit(1), n.cast("int")), "")
 
 
 def select_documents(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, once for each epoch."""
+    """The rows of ``docs`` that the mix takes, once for each epoch; the text that a leaf's prefix ends in is cut there."""
     taken = mixed(docs, plan)
-    return taken.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    text = F.when(F.col("take_tokens") < F.col("n_tokens"), cut_text(F.col("row.text"), F.col("take_tokens"))).otherwise(F.col("row.text"))
+    return taken.select(*[(text if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns])

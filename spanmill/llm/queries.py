@@ -94,16 +94,19 @@ a1 AS (SELECT domain, CAST(sum(cap) AS BIGINT) AS cap, CAST(sum(sum(tokens)) OVE
   CAST(CASE domain WHEN 'domain0' THEN 4 WHEN 'domain1' THEN 3 WHEN 'domain2' THEN 2 ELSE 1 END AS BIGINT) AS w FROM s GROUP BY domain),
 a2 AS (SELECT *, cap * sum(w) OVER (ORDER BY cap / w, domain ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
   <= (budget - coalesce(sum(cap) OVER (ORDER BY cap / w, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * w AS sat FROM a1),
-a AS (SELECT domain, CASE WHEN sat THEN cap ELSE CAST((budget - coalesce(sum(cap) FILTER (sat) OVER (), 0)) * w AS BIGINT) // CAST(sum(w) FILTER (NOT sat) OVER () AS BIGINT) END AS budget FROM a2),
+a3 AS (SELECT *, CAST(budget - coalesce(sum(cap) FILTER (sat) OVER (), 0) AS BIGINT) AS rest, CAST(sum(w) FILTER (NOT sat) OVER () AS BIGINT) AS ow, row_number() OVER (PARTITION BY sat ORDER BY domain) AS rn FROM a2),
+a AS (SELECT domain, CASE WHEN sat THEN cap ELSE rest * w // ow + CASE WHEN rn <= rest - sum(rest * w // ow) FILTER (NOT sat) OVER () THEN 1 ELSE 0 END END AS budget FROM a3),
 b1 AS (SELECT domain, lang, budget, CAST(sum(cap) AS BIGINT) AS cap, CAST(CASE lang WHEN 'en' THEN 4 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 WHEN 'es' THEN 2 ELSE 1 END AS BIGINT) AS w
   FROM s JOIN a USING (domain) GROUP BY domain, lang, budget),
 b2 AS (SELECT *, cap * sum(w) OVER (PARTITION BY domain ORDER BY cap / w, lang ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
   <= (budget - coalesce(sum(cap) OVER (PARTITION BY domain ORDER BY cap / w, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * w AS sat FROM b1),
-b AS (SELECT domain, lang, CASE WHEN sat THEN cap ELSE CAST((budget - coalesce(sum(cap) FILTER (sat) OVER (PARTITION BY domain), 0)) * w AS BIGINT) // CAST(sum(w) FILTER (NOT sat) OVER (PARTITION BY domain) AS BIGINT) END AS budget FROM b2),
+b3 AS (SELECT *, CAST(budget - coalesce(sum(cap) FILTER (sat) OVER (PARTITION BY domain), 0) AS BIGINT) AS rest, CAST(sum(w) FILTER (NOT sat) OVER (PARTITION BY domain) AS BIGINT) AS ow, row_number() OVER (PARTITION BY domain, sat ORDER BY lang) AS rn FROM b2),
+b AS (SELECT domain, lang, CASE WHEN sat THEN cap ELSE rest * w // ow + CASE WHEN rn <= rest - sum(rest * w // ow) FILTER (NOT sat) OVER (PARTITION BY domain) THEN 1 ELSE 0 END END AS budget FROM b3),
 c1 AS (SELECT s.*, budget, CAST(1 AS BIGINT) AS w FROM s JOIN b USING (domain, lang)),
 c2 AS (SELECT *, cap * sum(w) OVER (PARTITION BY domain, lang ORDER BY cap / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
   <= (budget - coalesce(sum(cap) OVER (PARTITION BY domain, lang ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * w AS sat FROM c1),
-c AS (SELECT domain, lang, source, tokens, CASE WHEN sat THEN cap ELSE CAST((budget - coalesce(sum(cap) FILTER (sat) OVER (PARTITION BY domain, lang), 0)) * w AS BIGINT) // CAST(sum(w) FILTER (NOT sat) OVER (PARTITION BY domain, lang) AS BIGINT) END AS own FROM c2),
+c3 AS (SELECT *, CAST(budget - coalesce(sum(cap) FILTER (sat) OVER (PARTITION BY domain, lang), 0) AS BIGINT) AS rest, CAST(sum(w) FILTER (NOT sat) OVER (PARTITION BY domain, lang) AS BIGINT) AS ow, row_number() OVER (PARTITION BY domain, lang, sat ORDER BY source) AS rn FROM c2),
+c AS (SELECT domain, lang, source, tokens, CAST(CASE WHEN sat THEN cap ELSE rest * w // ow + CASE WHEN rn <= rest - sum(rest * w // ow) FILTER (NOT sat) OVER (PARTITION BY domain, lang) THEN 1 ELSE 0 END END AS BIGINT) AS own FROM c3),
 e AS (SELECT o.*, c.tokens, c.own, r.epoch, least(own - (r.epoch - 1) * tokens, tokens) AS need FROM o JOIN c USING (domain, lang, source) CROSS JOIN (SELECT unnest([1, 2]) AS epoch) r WHERE tokens > 0 AND own > (r.epoch - 1) * tokens),
 k AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source, epoch ORDER BY md5('17|' || epoch || '|' || coalesce(CAST(doc_id AS VARCHAR), '')), n_tokens ROWS UNBOUNDED PRECEDING) - n_tokens AS start FROM e)
 SELECT doc_id, domain, lang, source, CAST(epoch AS INT) AS epoch, n_tokens, CAST(CASE WHEN need = tokens THEN n_tokens ELSE least(n_tokens, need - start) END AS BIGINT) AS take_tokens, CAST(own AS BIGINT) AS leaf_tokens
