@@ -8,11 +8,17 @@ clusters need many probes, clustered data few.
 Every vector is indexed: its cell, its code and itself lie in one row. Equal
 vectors are one entry with their smallest ids, no more than a query can return,
 so that a vector that fills a third of all rows is one entry. A cell is split
-into chunks of about ``CHUNK`` entries. A chunk meets the queries that probe its
-cell: a table of asymmetric distances per query ranks the codes, the best
-``shortlist`` entries are measured exactly in double precision on the original
-vectors, and the query's nearest of all chunks are kept. Equal queries are
-answered once.
+into chunks of about ``CHUNK`` entries, and the queries that probe it into batches
+of about ``BATCH``. A task holds one chunk and one batch: tables of asymmetric
+distances rank the codes for all queries of the batch at once, the best
+``shortlist`` entries of each (ties to the smaller id) are measured exactly in
+double precision on the original vectors, and the query's nearest of all chunks
+are kept. Equal queries are answered once.
+
+There are as many cells as the root of the entries, ``MAX_CELLS`` at most, as centroids
+are fitted on the sample and broadcast; beyond that cells have more chunks.
+``exact=True`` probes all cells and measures whole chunks: the result is then
+that of brute force.
 
 Defined results: vectors that are null, zero, of another length than most, or
 hold null or non-finite components take no part, nor do rows without an id;
@@ -33,7 +39,9 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-SAMPLE, CHUNK, MAX_CELLS, CODES = 20_000, 8_192, 1_024, 256
+SAMPLE, CHUNK, BATCH, MAX_CELLS, CODES = 20_000, 8_192, 1_024, 4_096, 256
+#: Distances that a task works on at once.
+AT_ONCE = 1 << 20
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
@@ -72,7 +80,7 @@ class Quantizer:
     @classmethod
     def train(cls, sample: np.ndarray, rows: int, parts: int, recall: float, k: int) -> Quantizer:
         """Fit on ``sample`` for an index of ``rows`` entries."""
-        cells = min(len(sample), max(1, min(MAX_CELLS, int(rows**0.5))))
+        cells = min(max(1, len(sample) // 4), max(1, min(MAX_CELLS, int(rows**0.5))))
         centroids = kmeans(sample, cells)
         near = nearest_rows(sample, centroids)
         rest = sample - centroids[near]
@@ -95,10 +103,22 @@ class Quantizer:
         code = [nearest_rows(rest[:, a:b], book) for a, b, book in zip(self.bounds, self.bounds[1:], self.books, strict=False)]
         return cell, np.stack(code, axis=1).astype(np.uint8)
 
-    def tables(self, query: np.ndarray, cell: int) -> np.ndarray:
-        """Distances of the residual's parts to all codewords: (parts, codes)."""
-        rest = query - self.centroids[cell]
-        return np.stack([((book - rest[a:b]) ** 2).sum(1) for a, b, book in zip(self.bounds, self.bounds[1:], self.books, strict=False)])
+    def rough(self, queries: np.ndarray, cell: int, code: np.ndarray) -> np.ndarray:
+        """Asymmetric distances of queries to coded vectors of a cell: (queries, vectors)."""
+        rest = queries - self.centroids[cell]
+        out = np.zeros((len(queries), len(code)))
+        for k, (a, b, book) in enumerate(zip(self.bounds, self.bounds[1:], self.books, strict=False)):
+            out += distances(rest[:, a:b], book)[:, code[:, k]]
+        return out
+
+
+def shortest(rough: np.ndarray, first: np.ndarray, most: int) -> np.ndarray:
+    """The places of the ``most`` smallest of ``rough``; ties go to the smaller ``first``."""
+    if len(rough) <= most:
+        return np.arange(len(rough))
+    limit = np.partition(rough, most - 1)[most - 1]
+    at = np.nonzero(rough <= limit)[0]
+    return at if len(at) == most else at[np.lexsort((first[at], rough[at]))[:most]]
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -124,8 +144,8 @@ def _smallest(vectors: DataFrame, most: int) -> DataFrame:
     return ranked.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
 
 
-def nearest(vectors: DataFrame, every: int = 100, k: int = 10, parts: int = 16, shortlist: int = 128, recall: float = 0.985) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of each vector whose id is divisible by ``every``."""
+def nearest(vectors: DataFrame, every: int = 100, k: int = 10, parts: int = 16, shortlist: int = 128, recall: float = 0.985, exact: bool = False) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found (if ``exact``, the k nearest) of each vector whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     rows = stored(valid(vectors), "vectors")
     entries = stored(_smallest(rows, k + 1), "entries")
@@ -135,6 +155,8 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, parts: int = 16,
     sample = entries.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(SAMPLE).toPandas()["embedding"]
     sample = np.stack(sample.to_list()).astype(np.float64)
     fitted = Quantizer.train(sample, n, min(parts, sample.shape[1]), recall, k)
+    if exact:
+        fitted.probes, shortlist = len(fitted.centroids), np.iinfo(np.int64).max
     model = spark.sparkContext.broadcast(vars(fitted))  # at most MAX_CELLS + CODES vectors
 
     def encoded(batches):
@@ -162,7 +184,12 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, parts: int = 16,
     asking = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
     asked = stored(asking.groupBy("embedding").agg(F.min("vec_id").alias("query")).select("query", "embedding"), "queries")
     probes = asked.mapInArrow(probed, "query long, embedding array<float>, cells array<int>").select("query", "embedding", F.explode("cells").alias("cell"))
-    probes = probes.join(F.broadcast(chunks), "cell").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    probes = stored(probes, "probes")
+    # MAX_CELLS rows at most, as before.
+    asking_of = probes.groupBy("cell").agg(F.ceil(F.count("*") / BATCH).cast("int").alias("batches")).join(chunks, "cell")
+    probes = probes.join(F.broadcast(asking_of), "cell").withColumn("batch", F.pmod(F.xxhash64("query"), F.col("batches")).cast("int"))
+    probes = probes.withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)"))).drop("chunks", "batches")
+    offered = index.join(F.broadcast(asking_of.drop("chunks")), "cell").withColumn("batch", F.explode(F.expr("sequence(0, batches - 1)"))).drop("batches")
 
     def searched(key, queries, entries):
         names = {"query": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()}
@@ -173,20 +200,21 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, parts: int = 16,
         vectors = _matrix(entries.column("embedding")).astype(np.float64)
         ids = entries.column("ids").to_pylist()
         first = np.array([i[0] for i in ids], np.int64)
-        part = np.arange(code.shape[1])
+        asked, wanted = queries.column("query").to_pylist(), _matrix(queries.column("embedding")).astype(np.float64)
         out = []
-        for query, vector in zip(queries.column("query").to_pylist(), _matrix(queries.column("embedding")).astype(np.float64), strict=True):
-            table = own.tables(vector, cell)
-            rough = table[part, code].sum(1)
-            short = np.argpartition(rough, shortlist)[:shortlist] if len(rough) > shortlist else np.arange(len(rough))
-            exact = np.sqrt(((vectors[short] - vector) ** 2).sum(1))
-            best = short[np.lexsort((first[short], exact))[: k + 1]]
-            gap = np.sqrt(((vectors[best] - vector) ** 2).sum(1))
-            found = sorted((d, i) for d, e in zip(gap.tolist(), best.tolist(), strict=True) for i in ids[e])[: k + 1]
-            out += [(query, i, d) for d, i in found]
+        each = max(1, AT_ONCE // len(code))
+        for at in range(0, len(asked), each):
+            rough = own.rough(wanted[at : at + each], cell, code) if len(code) > shortlist else np.zeros((min(each, len(asked) - at), len(code)))
+            for query, vector, near in zip(asked[at : at + each], wanted[at : at + each], rough, strict=True):
+                short = shortest(near, first, shortlist)
+                gap = np.sqrt(((vectors[short] - vector) ** 2).sum(1))
+                best = np.lexsort((first[short], gap))[: k + 1]
+                found = sorted((d, i) for d, e in zip(gap[best].tolist(), short[best].tolist(), strict=True) for i in ids[e])[: k + 1]
+                out += [(query, i, d) for d, i in found]
         return pa.table({c: pa.array([r[j] for r in out], t) for j, (c, t) in enumerate(names.items())})
 
-    found = probes.groupBy("cell", "chunk").cogroup(index.groupBy("cell", "chunk")).applyInArrow(searched, "query long, vec_id long, score double")
+    keys = ["cell", "chunk", "batch"]
+    found = probes.groupBy(*keys).cogroup(offered.groupBy(*keys)).applyInArrow(searched, "query long, vec_id long, score double")
     order = Window.partitionBy("query").orderBy("score", "vec_id")
     best = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
     lists = stored(best.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("near")), "found")

@@ -42,6 +42,21 @@ def test_nearest_neighbours(spark):
             assert d == pytest.approx(float(np.sqrt(((x[i].astype(np.float64) - x[q].astype(np.float64)) ** 2).sum())), abs=1e-12)
 
 
+@pytest.mark.parametrize("chunk", [8192, 16])
+def test_exact_search_equals_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(ann, "CHUNK", chunk)
+    monkeypatch.setattr(ann, "BATCH", chunk // 4)
+    r = np.random.default_rng(1)
+    x = r.integers(0, 3, size=(300, 6)).astype(np.float32) + 1  # many ties and equal vectors
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got: dict = {}
+    for g in ann.nearest(df, every=10, exact=True).orderBy("query_id", "rank").collect():
+        got.setdefault(g.query_id, []).append((g.score, g.vec_id))
+    assert got == brute(list(range(300)), x.astype(np.float64), 10, 10)
+    near = ann.nearest(df, every=10, parts=2, shortlist=12).collect()
+    assert sorted(map(tuple, near)) == sorted(map(tuple, ann.nearest(df.repartition(7), every=10, parts=2, shortlist=12).collect()))
+
+
 def test_few_and_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (100, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert sorted((r.query_id, r.rank, r.vec_id) for r in ann.nearest(df).collect()) == [(0, 1, 100), (0, 2, 1), (100, 1, 0), (100, 2, 1)]
