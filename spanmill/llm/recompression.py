@@ -9,8 +9,8 @@ is what remains when such ends are peeled off in every round up to it: equal
 windows have equal interiors.
 
 Rounds on Spark (``LEVELS`` of them): every block of documents sends the distinct
-symbols of its windows' interiors to their buckets, with the document that they
-stand in; the bucket's task knows all places of a symbol in the corpus and
+symbols of its windows' interiors to their buckets, those that stand in several
+of its documents marked; the bucket's task knows all blocks that have a symbol and
 answers which symbols stand in more than one document. A window with a symbol
 that no other document has cannot repeat and is out of all later rounds. What is
 left are windows made of shared high-level symbols. Each is named by what was
@@ -50,8 +50,8 @@ WINDOW = 13
 #: The rounds whose symbols are named across all documents.
 LEVELS = (1, 2)
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 10 << 20
-_LAST, _MANY = np.iinfo(np.int64).max, np.iinfo(np.int64).min
-SENT = "block long, level int, bucket long, names binary, checks binary, docs binary, counts binary"
+_LAST = np.iinfo(np.int64).max
+SENT = "block long, level int, bucket long, names binary, checks binary, docs binary, at binary"
 REPLY = "block long, level int, bucket long, mask binary"
 
 
@@ -123,7 +123,7 @@ class Parse:
         self.lo, self.hi = to[self.lo], to[self.hi]
 
     def inside(self) -> tuple[np.ndarray, np.ndarray]:
-        """(name, owner) of the distinct symbols of all interiors, sorted; ``_MANY`` where a symbol has several owners."""
+        """The names of the distinct symbols of all interiors, sorted, and which of them have several owners."""
         edge = np.bincount(self.lo, minlength=len(self.symbol) + 1) - np.bincount(self.hi + 1, minlength=len(self.symbol) + 1)
         at = np.nonzero(np.cumsum(edge)[:-1] > 0)[0]
         at = at[np.argsort(self.symbol[at], kind="stable")]
@@ -132,9 +132,9 @@ class Parse:
         self.at, self.group = at, np.cumsum(new) - 1
         first = np.nonzero(new)[0]
         if not len(first):
-            return name, owner
+            return name, np.zeros(0, bool)
         low, high = np.minimum.reduceat(owner, first), np.maximum.reduceat(owner, first)
-        return name[first], np.where(low == high, low, _MANY)
+        return name[first], low != high
 
     def keep(self, shared: np.ndarray) -> None:
         """Drop the windows whose interior has one of the symbols of the last ``inside`` that is not shared."""
@@ -181,9 +181,9 @@ class Block:
         while self.parse.level < level:
             self.parse.step()
             if self.parse.level in told:
-                name, _ = self.parse.inside()
+                name, many = self.parse.inside()
                 bucket = _bucket(name, buckets)
-                order = np.argsort(bucket, kind="stable")
+                order = np.lexsort((many, bucket))
                 shared = np.zeros(len(name), bool)
                 shared[order] = _answers(bucket[order], told[self.parse.level])
                 self.parse.keep(shared)
@@ -240,12 +240,15 @@ def _told(replies: pa.Table) -> dict[int, dict[int, bytes]]:
 
 
 def _packed(block: int, level: int, bucket: np.ndarray, name: np.ndarray, check: np.ndarray | None, doc: np.ndarray) -> pa.Table:
-    """One row for each bucket; documents are sent as runs."""
+    """One row for each bucket. ``doc`` has the document of each window, as places ``at`` in a list of ``docs``; of symbols, whether each has several, the others first."""
     rows = []
     for lo, hi in _spans(bucket):
-        new = np.concatenate([[True], doc[lo + 1 : hi] != doc[lo : hi - 1]])
-        count = np.diff(np.concatenate([np.nonzero(new)[0], [hi - lo]])).astype(np.uint32)
-        rows.append((block, level, int(bucket[lo]), name[lo:hi].tobytes(), check[lo:hi].tobytes() if check is not None else None, doc[lo:hi][new].tobytes(), count.tobytes()))
+        own = (block, level, int(bucket[lo]), name[lo:hi].tobytes())
+        if check is None:
+            rows.append((*own, None, None, np.array([hi - lo - doc[lo:hi].sum()], np.uint32).tobytes()))
+        else:
+            docs, at = np.unique(doc[lo:hi], return_inverse=True)
+            rows.append((*own, check[lo:hi].tobytes(), docs.tobytes(), at.astype(np.uint16 if len(docs) < 1 << 16 else np.uint32).tobytes()))
     kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
     return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], [c.split(" ")[0] for c in SENT.split(", ")])
 
@@ -259,10 +262,10 @@ def _symbols(level: int, width: int, buckets: int, levels: tuple[int, ...]):
     def later(key, table, replies):
         block = Block(table, width)
         block.to_level(level, {} if replies is None else _told(replies), buckets)
-        name, doc = block.parse.inside()
+        name, many = block.parse.inside()
         bucket = _bucket(name, buckets)
-        order = np.argsort(bucket, kind="stable")
-        return _packed(key[0].as_py(), level, bucket[order], name[order], None, doc[order])
+        order = np.lexsort((many, bucket))
+        return _packed(key[0].as_py(), level, bucket[order], name[order], None, many[order])
 
     return alone, later
 
@@ -287,28 +290,29 @@ def _judged(key, table):
     """One bit for each name of each block: symbols that stand in several documents; windows that start in a document with a smaller id."""
     names, checks, docs, sizes = [], [], [], []
     final = key[1].as_py() == 0
-    for name, check, doc, count in zip(*(table.column(c).to_pylist() for c in ("names", "checks", "docs", "counts")), strict=True):
+    for name, check, doc, at in zip(*(table.column(c).to_pylist() for c in ("names", "checks", "docs", "at")), strict=True):
         names.append(np.frombuffer(name, np.uint64))
-        checks.append(np.frombuffer(check, np.uint64) if final else np.zeros(0, np.uint64))
-        docs.append(np.repeat(np.frombuffer(doc, np.int64), np.frombuffer(count, np.uint32)))
-        sizes.append(len(names[-1]))
+        n = len(names[-1])
+        sizes.append(n)
+        if final:
+            checks.append(np.frombuffer(check, np.uint64))
+            doc = np.frombuffer(doc, np.int64)
+            docs.append(doc[np.frombuffer(at, np.uint16 if len(doc) < 1 << 16 else np.uint32)])
+        else:
+            docs.append(np.arange(n) >= int(np.frombuffer(at, np.uint32)[0]))
     name, doc = np.concatenate(names), np.concatenate(docs)
+    seen = np.zeros(len(name), bool)
     if final:
         check = np.concatenate(checks)
         order = np.lexsort((check, name))
-        new = (name[order][1:] != name[order][:-1]) | (check[order][1:] != check[order][:-1])
-    else:
+        new = np.concatenate([[True], (name[order][1:] != name[order][:-1]) | (check[order][1:] != check[order][:-1])])
+        low = np.minimum.reduceat(doc[order], np.nonzero(new)[0])
+        seen[order] = doc[order] > low[np.cumsum(new) - 1]
+    else:  # a block names a symbol once
         order = np.argsort(name, kind="stable")
-        new = name[order][1:] != name[order][:-1]
-    new = np.concatenate([[True], new])
-    starts, group = np.nonzero(new)[0], np.cumsum(new) - 1
-    low = np.minimum.reduceat(doc[order], starts)
-    seen = np.zeros(len(name), bool)
-    if final:
-        seen[order] = doc[order] > low[group]
-    else:
-        high = np.maximum.reduceat(doc[order], starts)
-        seen[order] = ((low != high) | (low == _MANY))[group]
+        new = np.concatenate([[True], name[order][1:] != name[order][:-1]])
+        many = np.add.reduceat(1 + doc[order].astype(np.int64), np.nonzero(new)[0])
+        seen[order] = (many > 1)[np.cumsum(new) - 1]
     masks = [np.packbits(m).tobytes() for m in np.split(seen, np.cumsum(sizes)[:-1])]
     return pa.Table.from_arrays([table.column("block"), table.column("level"), table.column("bucket"), pa.array(masks, pa.binary())], ["block", "level", "bucket", "mask"])
 
