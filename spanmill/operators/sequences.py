@@ -56,16 +56,19 @@ class Merge:
     cases: int
 
 
-def learn_merges(df: DataFrame, steps: int, least: int = 2, every: int = 4) -> tuple[list[Merge], DataFrame]:
+def learn_merges(df: DataFrame, steps: int, least: int = 2, every: int = 4, least_cases: int = 1, by_support: bool = False) -> tuple[list[Merge], DataFrame]:
     """The merges learned from sequences and the rewritten sequences.
 
-    Each step takes the pair with most occurrences, then most cases, then the
-    smallest names; it ends when none occurs ``least`` times. Sequences are
-    written every few steps, so that plans stay short.
+    Each step takes the pair with most occurrences, then most cases (if
+    ``by_support``, most cases first), then the largest names; it ends when none
+    occurs ``least`` times in ``least_cases`` cases. Sequences are written every few
+    steps, so that plans stay short.
     """
     learned = []
+    order = [F.desc("cases"), F.desc("n")] if by_support else [F.desc("n"), F.desc("cases")]
     for step in range(1, steps + 1):
-        best = pair_counts(df).where(F.col("n") >= least).orderBy(F.desc("n"), F.desc("cases"), "a", "b").limit(1).collect()
+        counts = pair_counts(df).where((F.col("n") >= least) & (F.col("cases") >= least_cases))
+        best = counts.orderBy(*order, F.desc("a"), F.desc("b")).limit(1).collect()
         if not best:
             break
         learned.append(Merge(step, best[0].a, best[0].b, best[0].n, best[0].cases))

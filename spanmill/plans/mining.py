@@ -16,12 +16,12 @@ from .joins import NAMES, REL, WITH
 SEQ = f"{FR}, q0 AS (SELECT case_id, '<' || string_agg(sym, '><' ORDER BY frame) || '>' AS seq FROM fr GROUP BY 1)"
 
 
-def learned(steps: int) -> str:
+def learned(steps: int, order: str = "n DESC, cases DESC", least: int = 2, cases: int = 1) -> str:
     """The CTEs q1..qN and b1..bN of the first merges."""
     out = ""
     for k in range(1, steps + 1):
         out += f""", t{k} AS (SELECT case_id, string_split(trim(seq, '<>'), '><') AS t FROM q{k - 1}), u{k} AS (SELECT case_id, unnest(t[:-2]) AS a, unnest(t[2:]) AS b FROM t{k} WHERE len(t) > 1),
-b{k} AS (SELECT a, b, count(*) AS n, count(DISTINCT case_id) AS cases FROM u{k} GROUP BY ALL HAVING count(*) >= 2 ORDER BY n DESC, cases DESC, a, b LIMIT 1),
+b{k} AS (SELECT a, b, count(*) AS n, count(DISTINCT case_id) AS cases FROM u{k} GROUP BY ALL HAVING count(*) >= {least} AND count(DISTINCT case_id) >= {cases} ORDER BY {order}, a DESC, b DESC LIMIT 1),
 q{k} AS (SELECT case_id, replace(seq, '<' || a || '><' || b || '>', '<' || a || '+' || b || '>') AS seq FROM q{k - 1}, b{k})"""
     return out
 
@@ -32,6 +32,12 @@ def mine01_learn_merges(spark, sf_dir):
     return spark.createDataFrame([(m.step, m.a, m.b, m.n, m.cases) for m in merges], "step int, a string, b string, n long, cases long")
 
 
+@query(f"WITH {SEQ}{learned(3, 'cases DESC, n DESC', 5, 3)} " + " UNION ALL ".join(f"SELECT {k} AS step, a, b, n, cases FROM b{k}" for k in range(1, 4)))
+def mine01_learn_merges_by_support(spark, sf_dir):
+    merges, _ = Q.learn_merges(Q.sequences(frames(spark, sf_dir)), 3, 5, least_cases=3, by_support=True)
+    return spark.createDataFrame([(m.step, m.a, m.b, m.n, m.cases) for m in merges], "step int, a string, b string, n long, cases long")
+
+
 @query(f"WITH {SEQ} SELECT case_id, replace(seq, '<view><click>', '<view+click>') AS pair, replace(seq, '<error><error>', '<error+error>') AS twin FROM q0")
 def mine02_replace_pair(spark, sf_dir):
     seq = F.col("seq")
@@ -67,11 +73,11 @@ def mine05_overlap_packets(spark, sf_dir):
     return packets(spark, sf_dir).select(F.col("node").alias("event_id"), F.col("component").alias("packet"))
 
 
-@query(f"""{REL.replace('WITH', 'WITH RECURSIVE', 1)}, {PACK} SELECT packet, count(*) AS members, string_agg(DISTINCT channel, '+' ORDER BY channel) AS symbol, min(s) AS s, max(e) AS e FROM pk JOIN ev ON event_id = node GROUP BY 1 HAVING count(DISTINCT channel) >= 3""")
+@query(f"""{REL.replace('WITH', 'WITH RECURSIVE', 1)}, {PACK} SELECT packet, count(*) AS members, string_agg(DISTINCT channel, '+' ORDER BY channel) AS symbol, min(s) AS s, max(e) AS e FROM pk JOIN ev ON event_id = node GROUP BY 1 HAVING count(DISTINCT channel) >= 2""")
 def mine06_coactivation_components(spark, sf_dir):
     own = packets(spark, sf_dir).join(spans(spark, sf_dir), F.col("node") == F.col("event_id"))
     out = own.groupBy(F.col("component").alias("packet")).agg(F.count("*").alias("members"), F.array_sort(F.collect_set("channel")).alias("c"), F.min("s").alias("s"), F.max("e").alias("e"))
-    return out.where(F.size("c") >= 3).select("packet", "members", F.array_join("c", "+").alias("symbol"), "s", "e")
+    return out.where(F.size("c") >= 2).select("packet", "members", F.array_join("c", "+").alias("symbol"), "s", "e")
 
 
 ANCHOR = f"""{WITH}, bp AS (SELECT case_id, l_id, ls, le, r_ch, r_id FROM p WHERE l_ch = 'purchase' AND r_ch <> 'purchase' AND ov > 0 QUALIFY row_number() OVER (PARTITION BY l_id, r_ch ORDER BY ov / md DESC, r_id) = 1),
