@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import json
+import zipfile
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,10 +30,10 @@ def src02_packed_joints(spark, sf_dir):
 EVENT = T.StructType([T.StructField(n, t) for n, t in (("event_id", T.LongType()), ("user_id", T.LongType()), ("event_type", T.StringType()), ("value", T.DoubleType()))])
 
 
-@query("SELECT event_id, user_id, event_type, value FROM events WHERE event_id % 3 = 0 ORDER BY event_id LIMIT 500")
+@query("SELECT event_id, user_id, event_type, value FROM events ORDER BY event_id LIMIT 500")
 def src03_jsonl_scan(spark, sf_dir):
     path = new_folder(spark, "jsonl")
-    K.write_jsonl(table(spark, sf_dir, "events").where("event_id % 3 = 0").select("event_id", "user_id", "event_type", "value"), path)
+    K.write_jsonl(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value"), path)
     return K.read_jsonl(spark, path, EVENT, 500, ["event_id"]).drop(K.CORRUPT)
 
 
@@ -41,6 +44,36 @@ def src04_jsonl_sink(spark, sf_dir):
     return K.read_jsonl(spark, path, EVENT).where(F.col(K.CORRUPT).isNull()).groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
 
 
+ENDINGS = ("_non_contact_sequences", "_contact_sequences", "_neutral_sequences", "")
+
+
+@query("""SELECT CASE r_regionkey % 4 WHEN 0 THEN 'non_contact' WHEN 1 THEN 'contact' WHEN 2 THEN 'neutral' ELSE 'unknown' END AS bucket, (r_regionkey + 2) || 'x156' AS poses_shape, 'float32' AS poses_dtype, '10' AS betas_shape,
+CAST(NULL AS VARCHAR) AS trans_shape, 'clip' || r_regionkey || (['_non_contact_sequences', '_contact_sequences', '_neutral_sequences', ''])[r_regionkey % 4 + 1] AS sequence_group, CAST(NULL AS VARCHAR) AS error FROM region
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, 'BadZipFile'""")
+def src01_npz_scan(spark, sf_dir):
+    """The manifest of files that the query writes: one for each region, and a broken one."""
+    path = new_folder(spark, "npz")
+    for r in table(spark, sf_dir, "region").collect():  # a handful of regions
+        held = io.BytesIO()
+        np.savez(held, poses=np.zeros((r.r_regionkey + 2, 156), np.float32), betas=np.zeros(10))
+        K.write_bytes(f"{path}/clip{r.r_regionkey}{ENDINGS[r.r_regionkey % 4]}/a.npz", held.getvalue())
+    K.write_bytes(f"{path}/broken/a.npz", b"no archive")
+    return K.scan_bundles(spark, path).select("bucket", "poses_shape", "poses_dtype", "betas_shape", "trans_shape", "sequence_group", "error")
+
+
+@query("SELECT 'n' || (n_nationkey // 10) || '.zip' AS archive, 'm/' || n_nationkey || '.txt' AS member, CAST(length(n_name) AS BIGINT) AS bytes FROM nation")
+def src07_zip_members(spark, sf_dir):
+    """The members of archives that the query writes: the nations' names, ten to an archive."""
+    path, archives = new_folder(spark, "zip"), {}
+    for n in table(spark, sf_dir, "nation").collect():  # 25 nations
+        held = archives.setdefault(n.n_nationkey // 10, io.BytesIO())
+        with zipfile.ZipFile(held, "a") as z:
+            z.writestr(f"m/{n.n_nationkey}.txt", n.n_name)
+    for k, held in archives.items():
+        K.write_bytes(f"{path}/n{k}.zip", held.getvalue())
+    return K.archive_members(spark, path).select(F.substring_index("archive", "/", -1).alias("archive"), "member", "bytes")
+
+
 RULE_FILE = {"axis": "trade", "min_score": 0.5, "groups": [{"name": "view", "weight": 0.3}, {"name": "purchase", "weight": 0.7}]}
 
 
@@ -52,10 +85,10 @@ def src05_json_document(spark, sf_dir):
     return K.read_document(spark, path, schema).select("axis", F.inline("groups"))
 
 
-@query("SELECT p_partkey, p_name, p_retailprice FROM part WHERE p_size = 7")
+@query("SELECT p_partkey, p_name, p_retailprice FROM part")
 def src06_csv_sink(spark, sf_dir):
     path = new_folder(spark, "csv")
-    K.write_csv(table(spark, sf_dir, "part").where("p_size = 7").select("p_partkey", "p_name", "p_retailprice"), path)
+    K.write_csv(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice"), path)
     return spark.read.option("header", True).schema("p_partkey bigint, p_name string, p_retailprice double").csv(path)
 
 

@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,37 +52,48 @@ def read_captions(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("file", F.trim(F.split("value", "#")[0]).alias("caption")).where("caption != ''")
 
 
-MANIFEST = "path string, keys string, poses_shape string, poses_dtype string, bucket string, error string"
+# The arrays that a manifest describes, and the folder endings of the buckets, longer ones first.
+ARRAYS = ("poses", "trans", "betas", "incontact", "ground_contact_mask")
+BUCKETS = {"_non_contact_sequences": "non_contact", "_contact_sequences": "contact", "_neutral_sequences": "neutral"}
+MANIFEST = "path string, keys string, " + ", ".join(f"{a}_shape string, {a}_dtype string" for a in ARRAYS) + ", bucket string, sequence_group string, error string"
 
 
 def scan_bundles(spark: SparkSession, path: str) -> DataFrame:
-    """One row per .npz file: its arrays, the shape and type of ``poses``, the bucket of its folder; a broken file gives an error row. Only array headers are read."""
+    """One row per .npz file: its arrays, shape and type of each of ``ARRAYS``, its folder and that folder's bucket; a broken file gives an error row. Only array headers are read."""
 
     def scan(batches):
         for pdf in batches:
             rows = []
             for name, content in zip(pdf.path, pdf.content, strict=True):
                 folder = name.rsplit("/", 2)[-2] if name.count("/") > 1 else ""
-                bucket = "non_contact" if folder.endswith("_non_contact") else "contact" if folder.endswith("_contact") else "other"
+                bucket = next((b for end, b in BUCKETS.items() if folder.endswith(end)), "unknown")
                 try:
-                    shape = kind = None
+                    told = dict.fromkeys(ARRAYS, (None, None))
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
                         keys = sorted(n.removesuffix(".npy") for n in z.namelist())
-                        if "poses" in keys:
-                            with z.open("poses.npy") as f:
+                        for array in filter(keys.__contains__, ARRAYS):
+                            with z.open(f"{array}.npy") as f:
                                 version = np.lib.format.read_magic(f)
                                 read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
                                 dims, _, dtype = read(f)
-                                shape, kind = "x".join(map(str, dims)), str(dtype)
-                    rows.append((name, ",".join(keys), shape, kind, bucket, None))
+                                told[array] = "x".join(map(str, dims)), str(dtype)
+                    rows.append((name, ",".join(keys), *(x for a in ARRAYS for x in told[a]), bucket, folder, None))
                 except Exception as e:  # an unreadable file is a row, not the end of the scan
-                    rows.append((name, None, None, None, bucket, type(e).__name__))
+                    rows.append((name, None, *[None] * 2 * len(ARRAYS), None, None, type(e).__name__))
             yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in MANIFEST.split(", ")])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").option("recursiveFileLookup", True).load(path)
     return files.select("path", "content").mapInPandas(scan, MANIFEST)
 
 
+def write_bytes(path: str, content: bytes) -> None:
+    """One small file at a path of any file system that Arrow knows."""
+    system, place = FileSystem.from_uri(path)
+    system.create_dir(place.rsplit("/", 1)[0], recursive=True)
+    with system.open_output_stream(place) as f:
+        f.write(content)
+
+
 def archive_members(spark: SparkSession, path: str) -> DataFrame:
     """(archive, member, bytes) of all zip files below a path."""
 

@@ -182,9 +182,9 @@ def test_greedy_diverse_equals_brute_force(spark):
 def test_diverse_pick_by_hand(spark):
     rows = [("g", 1, "x", "p", 1), ("g", 2, "x", "q", 2), ("g", 3, "y", "p", 3), ("g", 4, "y", "q", 4), ("g", 5, "z", "r", 5)]
     df = spark.createDataFrame(rows, "k string, id long, base string, tag string, rank long")
-    assert sorted(r.id for r in C.diverse(df, "k", 4).collect()) == [1, 2, 3, 4]
-    assert sorted(r.id for r in C.diverse(df, "k", 3).collect()) == [1, 2, 4]
-    assert C.diverse(df.limit(0), "k", 3).count() == 0
+    assert sorted(r.id for r in C.diverse(df, "k", 4, F.asc("rank"), F.asc("id")).collect()) == [1, 2, 3, 4]
+    assert sorted(r.id for r in C.diverse(df, "k", 3, F.asc("rank"), F.asc("id")).collect()) == [1, 2, 4]
+    assert C.diverse(df.limit(0), "k", 3, F.asc("rank"), F.asc("id")).count() == 0
 
 
 def test_abstraction_keeps_the_support(spark):
@@ -226,11 +226,17 @@ def test_text_functions(spark):
 
 
 def test_files(spark, tmp_path):
-    (tmp_path / "walk_non_contact").mkdir()
-    np.savez(tmp_path / "walk_non_contact" / "a.npz", poses=np.zeros((60, 156), np.float32), trans=np.zeros((60, 3)))
-    (tmp_path / "walk_non_contact" / "b.npz").write_bytes(b"broken")
+    for folder in ("walk_non_contact_sequences", "s_contact_sequences", "t_neutral_sequences", "other"):
+        (tmp_path / folder).mkdir()
+        np.savez(tmp_path / folder / f"{folder}.npz", poses=np.zeros((2, 3)))
+    np.savez(tmp_path / "walk_non_contact_sequences" / "a.npz", poses=np.zeros((60, 156), np.float32), trans=np.zeros((60, 3)), betas=np.zeros(10), incontact=np.zeros((60, 2), bool), ground_contact_mask=np.zeros((60, 1), np.int8))
+    (tmp_path / "walk_non_contact_sequences" / "b.npz").write_bytes(b"broken")
     rows = {r.path.rsplit("/", 1)[1]: r for r in K.scan_bundles(spark, str(tmp_path)).collect()}
-    assert rows["a.npz"].poses_shape == "60x156" and rows["a.npz"].bucket == "non_contact" and rows["a.npz"].error is None
+    a = rows["a.npz"]
+    assert (a.poses_shape, a.trans_shape, a.betas_shape, a.incontact_dtype, a.ground_contact_mask_dtype) == ("60x156", "60x3", "10", "bool", "int8")
+    assert (a.bucket, a.sequence_group, a.error) == ("non_contact", "walk_non_contact_sequences", None)
+    assert [rows[f"{f}.npz"].bucket for f in ("s_contact_sequences", "t_neutral_sequences", "other")] == ["contact", "neutral", "unknown"]
+    assert rows["s_contact_sequences.npz"].trans_shape is None and rows["b.npz"].bucket is None
     assert rows["b.npz"].error == "BadZipFile"
     with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
         z.writestr("m/1.txt", "abc")
@@ -260,3 +266,60 @@ def test_gap_sessions_on_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.members for r in spark.table("sessions").collect()) == sorted(r.members for r in gap_sessions(batch).collect()) == [2, 2]
+
+
+def test_merges_by_support_and_ties(spark):
+    seqs = ["a b a b a b a b", "c d", "c d", "c d x", "e f", "e f", "e f"]
+    df = spark.createDataFrame([(k, "".join(f"<{t}>" for t in s.split())) for k, s in enumerate(seqs)], "case_id long, seq string")
+    steps = lambda **kw: [(m.a, m.b, m.n, m.cases) for m in Q.learn_merges(df, 3, **kw)[0]]
+    assert steps() == [("a", "b", 4, 1), ("e", "f", 3, 3), ("c", "d", 3, 3)]  # equal counts: the larger pair first
+    assert steps(by_support=True)[:2] == [("e", "f", 3, 3), ("c", "d", 3, 3)]
+    assert steps(least_cases=2) == [("e", "f", 3, 3), ("c", "d", 3, 3)]
+    assert steps(least=4) == [("a", "b", 4, 1)]
+
+
+def test_diverse_equals_the_plain_choice(spark):
+    r = random.Random(3)
+    rows = [(g, i, f"b{r.randrange(6)}", f"t{r.randrange(4)}", r.randrange(50)) for g in "xyz" for i in range(120)]
+    df = spark.createDataFrame(rows, "k string, id long, base string, tag string, score long")
+    for k in (1, 4, 7):
+        want = []
+        for g in "xyz":
+            own, taken = sorted((x for x in rows if x[0] == g), key=lambda x: (-x[4], x[1])), []
+            for x in own:
+                if len(taken) < (k + 1) // 2 and x[2] not in {y[2] for y in taken} and x[3] not in {y[3] for y in taken}:
+                    taken.append(x)
+            want += taken + [x for x in own if x not in taken][: k - len(taken)]
+        assert sorted(map(tuple, C.diverse(df, "k", k, F.desc("score"), F.asc("id")).collect())) == sorted(want)
+
+
+def test_percentiles_and_cut_ranks(spark):
+    r = np.random.default_rng(4)
+    values = {"a": r.normal(size=500), "b": np.repeat([1.0, 2.0], 40), "c": np.array([3.5]), "d": r.integers(0, 9, 300).astype(float)}
+    df = spark.createDataFrame([(k, float(x)) for k, v in values.items() for x in v] + [("a", None), ("a", float("nan"))], "k string, v double")
+    shares = [0.0, 0.1, 0.5, 0.99, 1.0]
+    for bins in (4096, 3):
+        got = {x.k: x[1:] for x in M.percentiles(df, ["k"], "v", shares, bins).collect()}
+        assert all(got[k] == pytest.approx(tuple(np.quantile(v, shares)), abs=1e-12) for k, v in values.items())
+    assert M.percentiles(df.where("k = 'd'"), [], "v", [0.5]).first().p1 == np.median(values["d"])
+    keys = [(f"{k * 7919 % 65536:04x}{k}", k) for k in range(300)] + [("0000x", 900 + k) for k in range(20)]
+    cut = C.cut_ranks(spark.createDataFrame(keys, "key string, id long"), "key", ["id"], [10, 150], 2)
+    order = {i: n for n, (_, i) in enumerate(sorted(keys))}
+    assert all(x.part == (order[x.id] >= 10) + (order[x.id] >= 150) for x in cut.collect()) and cut.count() == 320
+    assert {x.part for x in C.cut_ranks(spark.createDataFrame(keys, "key string, id long"), "key", ["id"], [0, 0]).collect()} == {2}
+
+
+def test_itemsets_equal_all_subsets(spark):
+    r = random.Random(6)
+    tx = {(t, t % 9): {r.choice("abcdefg") for _ in range(r.randrange(1, 6))} for t in range(80)}
+    df = spark.createDataFrame([(t, c, i) for (t, c), items in tx.items() for i in items], "tx long, case_id long, item string")
+    want = {}
+    for size in (2, 3, 4):
+        for items in combinations("abcdefg", size):
+            hit = [c for (_, c), own in tx.items() if own >= set(items)]
+            if len(hit) >= 3:
+                want[items] = (len(hit), len(set(hit)))
+    got = {tuple(x["items"]): (x.n, x.cases) for x in X.itemsets(df, 4, 3).collect()}
+    assert got == want
+    closed = {tuple(x["items"]) for x in X.closed(X.itemsets(df, 4, 3)).collect()}
+    assert closed == {k for k, (_, c) in want.items() if not any(len(o) > len(k) and set(o) >= set(k) and want[o][1] >= c for o in want)}
