@@ -23,12 +23,15 @@ def tokens(text: Column) -> Column:
 def ngrams(words: Column, most: int) -> Column:
     """The distinct readable n-grams of 1 to ``most`` words: of two letters at least, no edge word at either end."""
     edge = list(EDGE_WORDS)
+    # The places whose word may stand at an end; a gram's text is made once its ends are known to be good.
+    ends = F.array_compact(F.transform(words, lambda w, i: F.when(~w.isin(edge), i + 1)))
 
     def of(n: int) -> Column:
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-        grams = F.transform(starts, lambda i: F.slice(words, i, n))
-        good = F.filter(grams, lambda g: ~F.element_at(g, 1).isin(edge) & ~F.element_at(g, -1).isin(edge) & (F.length(F.array_join(g, "")) >= 2))
-        return F.transform(good, lambda g: F.array_join(g, " "))
+        if n == 1:
+            return F.filter(F.filter(words, lambda w: ~w.isin(edge)), lambda w: F.length(w) >= 2)
+        last = lambda i: F.get(words, i + (n - 2))  # noqa: E731  from 0
+        starts = F.filter(ends, lambda i: (i + (n - 1) <= F.size(words)) & ~last(i).isin(edge))
+        return F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(words, i + (k - 1)) for k in range(n)]))
 
     return F.array_distinct(F.concat(*[of(n) for n in range(1, most + 1)]))
 

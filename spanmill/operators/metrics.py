@@ -18,6 +18,33 @@ def top(df: DataFrame, k: int, by: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= k).drop("_n")
 
 
+def percentiles(df: DataFrame, by: list[str], value: str, shares: list[float], bins: int = 4096) -> DataFrame:
+    """(by..., p1, p2, ...): exact percentiles of each group, linear between neighbours; null and NaN values are left out.
+
+    Counts by bin find the bins that the wanted ranks lie in; only their values are
+    put in order, so that no task holds a group.
+    """
+    v = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*by, F.col(value).cast("double").alias("_v"))
+    ends = v.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
+    wanted = F.array(*[F.struct(F.lit(k).alias("_k"), (F.lit(float(p)) * (F.col("_n") - 1)).alias("_at")) for k, p in enumerate(shares)])
+    bin_of = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins)).otherwise(0)
+    keys = by or ["_one"]
+    if not by:
+        v, ends = v.withColumn("_one", F.lit(1)), ends.withColumn("_one", F.lit(1))
+    binned = v.join(ends.select(*keys, "_lo", "_hi"), keys).select(*keys, "_v", bin_of.alias("_bin")).groupBy(*keys, "_bin", "_v").agg(F.count("*").alias("_c"))
+    sizes = binned.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_c"))
+    sizes = sizes.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_bin")))  # bins + 1 rows a group at most
+    asked = ends.select(*keys, F.inline(wanted)).join(sizes, keys)
+    asked = asked.where((F.floor("_at") < F.col("_upto")) & (F.ceil("_at") >= F.col("_upto") - F.col("_c"))).select(*keys, "_bin", "_k", "_at", (F.col("_upto") - F.col("_c")).alias("_before"))
+    placed = binned.join(asked.select(*keys, "_bin", "_before").distinct(), [*keys, "_bin"])
+    placed = placed.withColumn("_end", F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_bin").orderBy("_v")))
+    found = placed.drop("_before").join(asked, [*keys, "_bin"])
+    hit = lambda r: F.max(F.when((r < F.col("_end")) & (r >= F.col("_end") - F.col("_c")), F.col("_v")))
+    ends = found.groupBy(*keys, "_k", "_at").agg(hit(F.floor("_at")).alias("_low"), hit(F.ceil("_at")).alias("_high"))
+    values = ends.withColumn("_x", F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_at") - F.floor("_at")))
+    return values.groupBy(*keys).agg(*[F.max(F.when(F.col("_k") == k, F.col("_x"))).alias(f"p{k + 1}") for k in range(len(shares))]).select(*by, *[f"p{k + 1}" for k in range(len(shares))])
+
+
 def share(part: Column, whole: Column) -> Column:
     """part / whole; 0 where the whole is 0 or unknown."""
     return F.coalesce(F.try_divide(part, whole), F.lit(0.0)).cast("double")

@@ -26,25 +26,39 @@ def components(edges: DataFrame) -> DataFrame:
 def itemsets(tx: DataFrame, most: int, least: int) -> DataFrame:
     """(items, n, cases) of the sets of 2 to ``most`` items in ``least`` transactions (tx, case_id, item) at least.
 
-    Sets grow by one item: only frequent sets are joined with the items of their
-    transactions again, so that no transaction's subsets are listed in full.
+    Items that are not frequent themselves are left out first. Sets grow by one
+    item: a frequent set is joined with the later items of its transaction if
+    these make a frequent set with its other items as well, so that no
+    transaction's subsets are listed in full. Counts are summed by case first.
     """
-    found, grown = None, tx.select("tx", "case_id", F.array("item").alias("items"))
+    often = tx.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("item")
+    # One row for each transaction: what it holds is bounded by its own items.
+    held = stored(tx.join(often, "item", "left_semi").groupBy("tx", "case_id").agg(F.array_sort(F.collect_list("item")).alias("own")).where(F.size("own") > 1), "transactions")
+    found, grown = None, held.select("tx", "case_id", "own", F.explode("own").alias("last")).select("tx", "case_id", "own", F.array("last").alias("items"))
     for size in range(2, most + 1):
-        longer = grown.join(tx.select("tx", "item"), "tx").where(F.col("item") > F.element_at("items", -1))
-        longer = longer.select("tx", "case_id", F.concat("items", F.array("item")).alias("items"))
-        counts = longer.groupBy("items").agg(F.count("*").alias("n"), F.countDistinct("case_id").alias("cases")).where(F.col("n") >= least)
-        counts = stored(counts, "itemsets")
+        later = F.filter("own", lambda x: x > F.element_at("items", -1))
+        longer = grown.select("tx", "case_id", "own", "items", F.explode(later).alias("item"))
+        if size > 2:
+            # The set without its last item, and the new item, have to be frequent together as well.
+            known = counts.select(F.slice("items", 1, size - 2).alias("_head"), F.element_at("items", -1).alias("item"))
+            longer = longer.withColumn("_head", F.slice("items", 1, size - 2)).join(known, ["_head", "item"], "left_semi")
+        longer = stored(longer.select("tx", "case_id", "own", F.concat("items", F.array("item")).alias("items")), "grown")
+        counts = longer.groupBy("items", "case_id").agg(F.count("*").alias("n")).groupBy("items").agg(F.sum("n").alias("n"), F.count("*").alias("cases"))
+        counts = stored(counts.where(F.col("n") >= least), "itemsets")
         found = counts if found is None else found.unionByName(counts)
         if size < most:
-            grown = stored(longer.join(counts.select("items"), "items", "left_semi"), "grown")
+            grown = longer.join(counts.select("items"), "items", "left_semi")
     return found
 
 
 def closed(sets: DataFrame, tolerance: float = 0.0) -> DataFrame:
-    """``sets`` (items, cases) without those that a superset of one more item or more supports as well, up to the tolerance."""
+    """``sets`` (items, cases) without those that a superset of one more item or more supports as well, up to the tolerance.
+
+    A set meets the sets that hold its rarest item, so that a frequent item is no hot key.
+    """
+    often = sets.select(F.explode("items").alias("first")).groupBy("first").agg(F.count("*").alias("_n"))
     wide = sets.select(F.col("items").alias("more"), F.col("cases").alias("more_cases"), F.explode("items").alias("first"))
-    own = sets.withColumn("first", F.col("items")[0])
+    own = sets.select("items", "cases", F.explode("items").alias("first")).join(often, "first").groupBy("items", "cases").agg(F.min_by("first", F.struct("_n", "first")).alias("first"))
     over = own.join(wide, "first").where((F.size("more") > F.size("items")) & (F.size(F.array_except("items", "more")) == 0) & (F.col("more_cases") >= F.ceil(F.col("cases") * (1 - tolerance))))
     return sets.join(over.select("items").distinct(), "items", "left_anti")
 

@@ -7,6 +7,7 @@ or driver loops with one small aggregate a step; everything else is a window.
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,11 +56,25 @@ def greedy_quota(pool: DataFrame, quotas: dict[str, int], total: int) -> DataFra
     return ordered.drop("_n")
 
 
-def diverse(rows: DataFrame, by: str, k: int) -> DataFrame:
-    """k rows (id, base, tag, rank) of each group in rank order: until half are taken none that repeats a base or tag, then the first left over."""
+def diverse(rows: DataFrame, by: str, k: int, *order: Column) -> DataFrame:
+    """k rows (id, base, tag) of each group in this total order: until half are taken none that repeats a base or tag, then the first left over.
+
+    Only a bounded number of rows of a group can be taken: the first k, and of the
+    best row of each base and tag those among the first ``half`` of their base and of
+    their tag, of which fewer than 2 half ** 2 + half are passed over. Windows find
+    them; the fold sees no others.
+    """
+    half = (k + 1) // 2
+
+    def first(df: DataFrame, n: int, *keys: str) -> DataFrame:
+        return df.withColumn("_n", F.row_number().over(Window.partitionBy(by, *keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+
+    lead = first(first(first(first(rows, 1, "base", "tag"), half, "base"), half, "tag"), 2 * half * half + half)
+    some = lead.unionByName(first(rows, k)).distinct()
+    ranked = some.withColumn("_rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
 
     def pick(own: list[dict]) -> list[dict]:
-        own = sorted(own, key=lambda r: (r["rank"], r["id"]))
+        own = sorted(own, key=lambda r: r["_rank"])
         taken, bases, tags = [], set(), set()
         for r in own:
             if len(taken) >= (k + 1) // 2:
@@ -70,7 +85,31 @@ def diverse(rows: DataFrame, by: str, k: int) -> DataFrame:
                 tags.add(r["tag"])
         return taken + [r for r in own if r not in taken][: k - len(taken)]
 
-    return folded(rows, [by], pick, rows.schema)
+    return folded(ranked, [by], pick, ranked.schema).drop("_rank")
+
+
+def cut_ranks(rows: DataFrame, key: str, ids: list[str], cuts: list[int], digits: int = 4) -> DataFrame:
+    """``rows`` with ``part``: how many of the ranks ``cuts`` each row lies beyond, in the order of a hexadecimal ``key``, then of ``ids``.
+
+    Counts by the key's first digits find where each rank lies; only rows there are put in order.
+    """
+    head = F.substring(key, 1, digits)
+    counts = rows.groupBy(head.alias("_head")).agg(F.count("*").alias("_c"))  # 16 ** digits rows at most
+    upto = counts.withColumn("_upto", F.sum("_c").over(Window.partitionBy(F.lit(0)).orderBy("_head")))
+    at = [upto.where((F.col("_upto") >= n) & (F.col("_upto") - F.col("_c") < n)).select(F.lit(n).alias("n"), "_head", (F.col("_upto") - F.col("_c")).alias("before")) for n in cuts if n > 0]
+    found = reduce(DataFrame.unionByName, at).collect() if at else []  # one row for each cut
+    split = {r._head: r.before for r in found}
+    beyond = reduce(lambda a, b: a + b, [F.when(head > r._head, 1).otherwise(0) for r in found], F.lit(sum(n <= 0 for n in cuts)))
+    rows = rows.withColumn("part", beyond).withColumn("_head", head)
+    rest = rows.where(~F.col("_head").isin(*split)) if split else rows
+    if not split:
+        return rest.drop("_head")
+    before = F.create_map(*[x for h, b in split.items() for x in (F.lit(h), F.lit(b))])
+    place = before[F.col("_head")] + F.row_number().over(Window.partitionBy("_head").orderBy(key, *ids))
+    inside = rows.where(F.col("_head").isin(*split)).withColumn("_place", place)
+    passed = reduce(lambda a, b: a + b, [F.when((F.col("_head") == r._head) & (F.col("_place") > r.n), 1).otherwise(0) for r in found])
+    inside = inside.withColumn("part", F.col("part") + passed).drop("_place")
+    return rest.unionByName(inside).drop("_head")
 
 
 def capped(rows: DataFrame, by: str, per_span: int, per_level: int, most: int) -> DataFrame:

@@ -55,7 +55,9 @@ def agg06_summary(spark, sf_dir):
 
 @query(f"""WITH {EV} SELECT channel, {', '.join(f"round(quantile_cont(value, {p / 100}), 6) AS p{p}" for p in (10, 25, 50, 75, 90))} FROM ev GROUP BY 1""")
 def agg07_percentiles(spark, sf_dir):
-    return spans(spark, sf_dir).groupBy("channel").agg(*[F.round(F.percentile("value", F.lit(p / 100)), 6).alias(f"p{p}") for p in (10, 25, 50, 75, 90)])
+    asked = (10, 25, 50, 75, 90)
+    found = M.percentiles(spans(spark, sf_dir), ["channel"], "value", [p / 100 for p in asked])
+    return found.select("channel", *[F.round(f"p{k}", 6).alias(f"p{p}") for k, p in enumerate(asked, 1)])
 
 
 @query(f"""WITH {EV}, z AS (SELECT channel, avg(value) AS m, CASE WHEN stddev_pop(value) <= 1e-6 THEN 1.0 ELSE stddev_pop(value) END AS sd FROM ev GROUP BY 1)
@@ -70,7 +72,7 @@ def agg08_feature_scale(spark, sf_dir):
 @query("""WITH q AS (SELECT quantile_cont(CAST(p_size AS DOUBLE), 0.75) AS a, quantile_cont(p_retailprice, 0.75) AS b FROM part) SELECT p_partkey FROM part, q WHERE p_size <= a AND p_retailprice <= b""")
 def agg09_quantile_gate(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    gate = part.agg(F.percentile("p_size", F.lit(0.75)).alias("a"), F.percentile("p_retailprice", F.lit(0.75)).alias("b"))
+    gate = M.percentiles(part, [], "p_size", [0.75]).withColumnRenamed("p1", "a").crossJoin(M.percentiles(part, [], "p_retailprice", [0.75]).withColumnRenamed("p1", "b"))  # one row
     return part.join(F.broadcast(gate)).where("p_size <= a AND p_retailprice <= b").select("p_partkey")  # the gate is one row
 
 

@@ -55,11 +55,13 @@ def arr06_prefix_condition(spark, sf_dir):
     return l.select("case_id", F.array_join(F.concat(head, F.array_repeat(F.try_element_at("v", F.lit(10)), 5)), ",").alias("repeated"), F.array_join(F.concat(head, F.array_repeat(F.lit(0).cast("bigint"), 5)), ",").alias("zeroed"))
 
 
-@query(f"""WITH {FR}, l AS (SELECT case_id, list(sym ORDER BY frame) AS v FROM fr WHERE frame < 30 GROUP BY 1), u AS (SELECT case_id, v, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM l), f AS (SELECT case_id, x, min(i) AS i FROM u GROUP BY ALL)
+@query(f"""WITH {FR}, l AS (SELECT case_id, list(sym ORDER BY frame) AS v FROM fr GROUP BY 1), u AS (SELECT case_id, v, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM l), f AS (SELECT case_id, x, min(i) AS i FROM u GROUP BY ALL)
 SELECT case_id, string_agg(x, '>' ORDER BY i) AS merged FROM f GROUP BY 1""")
 def arr07_ordered_union(spark, sf_dir):
-    l = frames(spark, sf_dir).where("frame < 30").groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("frame", "sym")))["sym"].alias("v"))
-    return l.select("case_id", F.array_join(F.array_distinct(F.concat(F.slice("v", 1, 10), F.slice("v", 11, 20))), ">").alias("merged"))
+    # Each symbol once, at its first frame, so that a case's list holds distinct symbols only.
+    first = frames(spark, sf_dir).groupBy("case_id", "sym").agg(F.min("frame").alias("frame"))
+    l = first.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("frame", "sym")))["sym"].alias("v"))
+    return l.select("case_id", F.array_join("v", ">").alias("merged"))
 
 
 @query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) >= 50 THEN 'high' ELSE 'low' END AS quality FROM events""")

@@ -113,13 +113,39 @@ def join11_best_group_pair(spark, sf_dir):
     ev = spans(spark, sf_dir)
     left = ev.where("channel = 'click'").select("case_id", *[F.col(c).alias(f"l_{c}") for c in ("event_id", "s", "e")])
     right = ev.where("channel = 'view'").select("case_id", *[F.col(c).alias(f"r_{c}") for c in ("event_id", "s", "e")])
-    # All pairs of the two groups count, also distant ones: the best of them is what is asked for.
+    # A pair that scores has its spans within 12 of each other; only cases without one need the nearest centres.
     apart, centre = S.gap(*NAMES, between=False), F.abs((F.col("l_s") + F.col("l_e")) - (F.col("r_s") + F.col("r_e")))
     score = S.ratio(*NAMES) + F.when(apart <= 6, 0.5).otherwise(0) + F.when(centre <= 24, 0.25).otherwise(0)
     kind = F.when(S.overlap(*NAMES) > 0, "overlap").when(apart <= 6, "near").when(centre <= 48, "broad_context").otherwise("distant")
-    pairs = left.join(right, "case_id").select("case_id", F.col("l_event_id").alias("l_id"), F.col("r_event_id").alias("r_id"), score.alias("score"), centre.alias("c2"), kind.alias("relation"))
-    best = S.best_match(pairs, ["case_id"], [F.desc("score"), F.asc("c2"), F.asc("l_id"), F.asc("r_id")])
-    return best.drop("c2")
+    kept = lambda pairs: pairs.select("case_id", F.col("l_event_id").alias("l_id"), F.col("r_event_id").alias("r_id"), score.alias("score"), centre.alias("c2"), kind.alias("relation"))
+    order = [F.desc("score"), F.asc("c2"), F.asc("l_id"), F.asc("r_id")]
+    strip = lambda df: df.select("case_id", *[F.col(c).alias(c[2:]) for c in df.columns if c != "case_id"])
+    near = S.best_match(kept(S.near_pairs(strip(left), strip(right), 13)).where("score > 0"), ["case_id"], order)
+    open_cases = left.select("case_id").distinct().join(near, "case_id", "left_anti")
+    middle = lambda df, p: df.join(open_cases, "case_id", "left_semi").withColumn("c", F.col(f"{p}_s") + F.col(f"{p}_e"))
+    # One span for each centre; the centres of both groups in order give each left one its neighbours on either side.
+    one = lambda df, p: df.groupBy("case_id", "c").agg(F.min_by(F.struct(*[f"{p}_{x}" for x in ("event_id", "s", "e")]), f"{p}_event_id").alias(p))
+    both = one(middle(left, "l"), "l").join(one(middle(right, "r"), "r"), ["case_id", "c"], "full")
+    upto = Window.partitionBy("case_id").orderBy("c").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("case_id").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, 0)
+    sides = both.withColumn("before", F.last("r", True).over(upto)).withColumn("after", F.last("r", True).over(down)).where("l IS NOT NULL")
+    far = sides.select("case_id", "l", F.explode(F.array_compact(F.array("before", "after"))).alias("r")).select("case_id", "l.*", "r.*")
+    return near.unionByName(S.best_match(kept(far), ["case_id"], order)).drop("c2")
+
+
+def nearest_by_price(f, k):
+    """(p_brand, p_type, price, r_id, r_p_size, r_price): for each price the k rows of its group that are nearest by price, then id.
+
+    They are among the first k of each of the k prices on either side, so that no group's pairs are formed.
+    """
+    group = ["p_brand", "p_type"]
+    first = f.withColumn("n", F.row_number().over(Window.partitionBy(*group, "price").orderBy("id"))).where(F.col("n") <= k)
+    prices = first.groupBy(*group, "price").agg(F.array_sort(F.collect_list(F.struct("id", "p_size"))).alias("rows"))
+    around = F.collect_list(F.struct("price", "rows")).over(Window.partitionBy(*group).orderBy("price").rowsBetween(-k, k))
+    each = prices.withColumn("around", around).select(*group, "price", F.inline("around").alias("r_price", "rows"))
+    each = each.select(*group, "price", "r_price", F.inline("rows").alias("r_id", "r_p_size"))
+    order = Window.partitionBy(*group, "price").orderBy(F.abs(F.col("price") - F.col("r_price")), "r_id")
+    return each.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n")
 
 
 @query("""WITH f AS (SELECT p_partkey AS id, p_brand AS b, p_type AS t, p_size, CAST(round(p_retailprice) AS BIGINT) AS price FROM part),
@@ -130,8 +156,7 @@ c AS (SELECT * FROM a WHERE abs(delta) BETWEEN 8 AND 45 AND dist <= 2.5 QUALIFY
 SELECT l_id, r_id, attribute, CAST(delta AS BIGINT) AS delta FROM c QUALIFY row_number() OVER (PARTITION BY l_id ORDER BY ord) <= 4""")
 def join12_constrained_matching(spark, sf_dir):
     f = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_brand", "p_type", "p_size", F.round("p_retailprice").cast("bigint").alias("price"))
-    right = f.select("p_brand", "p_type", *[F.col(c).alias(f"r_{c}") for c in ("id", "p_size", "price")])
-    near = f.join(right, ["p_brand", "p_type"]).where("id != r_id")
+    near = f.join(nearest_by_price(f, 65), ["p_brand", "p_type", "price"]).where("id != r_id")  # itself may be among them
     near = near.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.abs(F.col("price") - F.col("r_price")), "r_id"))).where("n <= 64")
     each = F.array(*[F.struct(F.lit(k).alias("ord"), F.lit(a).alias("attribute"), (F.col(f"r_{c}") - F.col(c)).cast("bigint").alias("delta")) for k, (a, c) in enumerate((("size", "p_size"), ("price", "price")), 1)])
     rows = near.select("id", "r_id", F.inline(each)).where(F.abs("delta").between(8, 45) & (F.abs("delta") / 20 <= 2.5))
@@ -212,10 +237,9 @@ def join21_ordered_phases(spark, sf_dir):
     return first.join(strong, "hold_id", "left_anti").select("hold_id", phase.alias("phase"))
 
 
-@query("""SELECT d.doc_id, coalesce(quality, -1) AS quality, l.doc_id IS NULL AS unmatched FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE d.lang = 'de'
-UNION ALL SELECT l.doc_id, l.quality, true FROM labels l WHERE l.doc_id NOT IN (SELECT doc_id FROM documents)""")
+@query("""SELECT d.doc_id, coalesce(quality, -1) AS quality, l.doc_id IS NULL AS unmatched FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id UNION ALL SELECT l.doc_id, l.quality, true FROM labels l WHERE l.doc_id NOT IN (SELECT doc_id FROM documents)""")
 def join22_note_ledger(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("lang = 'de'").select("doc_id")
+    d = table(spark, sf_dir, "documents").select("doc_id")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     matched = d.join(labels.withColumn("hit", F.lit(True)), "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.col("hit").isNull().alias("unmatched"))
     orphans = labels.join(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", "left_anti").select("doc_id", "quality", F.lit(True).alias("unmatched"))

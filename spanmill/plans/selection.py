@@ -11,11 +11,15 @@ from ..registry import query
 from ..sources.adapters import BASKET, EV, baskets, spans, table
 
 
-@query("SELECT p_brand, p_type, p_size, p_partkey, row_number() OVER (ORDER BY p_brand DESC, p_type, p_size DESC, p_partkey) AS place FROM part ORDER BY place LIMIT 500")
+@query("SELECT p_brand, p_type, p_size, p_partkey, row_number() OVER (ORDER BY p_brand DESC, p_type, p_size DESC, p_partkey) AS place FROM part")
 def sort01_multi_key_sort(spark, sf_dir):
     order = [F.desc("p_brand"), F.asc("p_type"), F.desc("p_size"), F.asc("p_partkey")]
-    first = table(spark, sf_dir, "part").select("p_brand", "p_type", "p_size", "p_partkey").orderBy(*order).limit(500)
-    return first.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))  # 500 rows
+    # Brands are few and in order: places are counted within a brand and type, after all that come before it.
+    part = table(spark, sf_dir, "part").select("p_brand", "p_type", "p_size", "p_partkey")
+    sizes = part.groupBy("p_brand", "p_type").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("p_brand"), "p_type")) - F.col("n")).drop("n")
+    place = F.col("before") + F.row_number().over(Window.partitionBy("p_brand", "p_type").orderBy(F.desc("p_size"), "p_partkey"))
+    return part.join(before, ["p_brand", "p_type"]).withColumn("place", place.cast("long")).drop("before").orderBy(*order)
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
@@ -43,14 +47,10 @@ def sort05_hash_split(spark, sf_dir):
 
 @query("""WITH r AS (SELECT c_custkey, row_number() OVER (ORDER BY md5('7:' || c_custkey), c_custkey) AS k, count(*) OVER () AS n FROM customer) SELECT c_custkey, CASE WHEN k <= n // 10 THEN 'test' WHEN k <= n // 5 THEN 'valid' ELSE 'train' END AS split FROM r""")
 def sort06_seeded_shuffle_split(spark, sf_dir):
-    # The cut points are the tenth and fifth of all keys in hash order: two limits, no sort of everything in one task.
     c = table(spark, sf_dir, "customer").select("c_custkey", F.md5(F.concat(F.lit("7:"), F.col("c_custkey").cast("string")).cast("binary")).alias("key"))
     n = c.count()
-    first = c.orderBy("key", "c_custkey").limit(n // 5).select("c_custkey", "key")
-    test = first.orderBy("key", "c_custkey").limit(n // 10).select("c_custkey", F.lit("test").alias("split"))
-    valid = first.join(test, "c_custkey", "left_anti").select("c_custkey", F.lit("valid").alias("split"))
-    train = c.join(first, "c_custkey", "left_anti").select("c_custkey", F.lit("train").alias("split"))
-    return test.unionByName(valid).unionByName(train)
+    split = F.element_at(F.array(*map(F.lit, ("test", "valid", "train"))), F.col("part") + 1)
+    return C.cut_ranks(c, "key", ["c_custkey"], [n // 10, n // 5]).select("c_custkey", split.alias("split"))
 
 
 @query()
@@ -70,9 +70,8 @@ def sort08_quota_selection(spark, sf_dir):
 
 @query()
 def sort09_diverse_pick(spark, sf_dir):
-    rank = F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey")).cast("long")
-    rows = table(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("id"), F.col("p_name").alias("base"), F.col("p_type").alias("tag"), rank.alias("rank"))
-    return C.diverse(rows, "p_brand", 6)
+    rows = table(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("id"), F.col("p_name").alias("base"), F.col("p_type").alias("tag"), F.col("p_retailprice").alias("price"))
+    return C.diverse(rows, "p_brand", 6, F.desc("price"), F.asc("id"))
 
 
 @query()
@@ -102,9 +101,8 @@ def sort12_budget_trim(spark, sf_dir):
 def sort13_representatives(spark, sf_dir):
     ev = spans(spark, sf_dir).withColumn("tag", F.floor(F.col("value") / 40).cast("string"))
     c = ev.groupBy("channel", "case_id", "tag").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("channel", "case_id")))
-    rank = F.row_number().over(Window.partitionBy("channel").orderBy(F.desc("share"), F.desc("n"), "case_id", "tag")).cast("long")
-    rows = c.select("channel", F.col("case_id").alias("id"), (F.col("case_id") % 20).cast("string").alias("base"), "tag", rank.alias("rank"))
-    return C.diverse(rows, "channel", 8)
+    rows = c.select("channel", F.col("case_id").alias("id"), (F.col("case_id") % 20).cast("string").alias("base"), "tag", "share", "n")
+    return C.diverse(rows, "channel", 8, F.desc("share"), F.desc("n"), F.asc("id"), F.asc("tag"))
 
 
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders), u AS (SELECT o_orderkey, 0 AS rule FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT o_orderkey, 1 FROM r WHERE n <= 2)
