@@ -42,7 +42,9 @@ def itemsets(tx: DataFrame, most: int, least: int) -> DataFrame:
             # The set without its last item, and the new item, have to be frequent together as well.
             known = counts.select(F.slice("items", 1, size - 2).alias("_head"), F.element_at("items", -1).alias("item"))
             longer = longer.withColumn("_head", F.slice("items", 1, size - 2)).join(known, ["_head", "item"], "left_semi")
-        longer = stored(longer.select("tx", "case_id", "own", F.concat("items", F.array("item")).alias("items")), "grown")
+        longer = longer.select("tx", "case_id", "own", F.concat("items", F.array("item")).alias("items"))
+        if size < most:  # read twice
+            longer = stored(longer, "grown")
         counts = longer.groupBy("items", "case_id").agg(F.count("*").alias("n")).groupBy("items").agg(F.sum("n").alias("n"), F.count("*").alias("cases"))
         counts = stored(counts.where(F.col("n") >= least), "itemsets")
         found = counts if found is None else found.unionByName(counts)
