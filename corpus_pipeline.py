@@ -4,6 +4,11 @@ Stages: documents whose restored text is toxic go; one document of each class of
 near copies stays (the smallest id; rows without an id all stay); personal data get surrogates; sources are mixed to
 the default plan's target weights; the texts that remain are encoded and decoded.
 
+Defined results: empty tables give an empty result; null texts and texts without
+words pass every stage; without labels nothing is toxic; rows without an id and
+repeated rows of the smallest id of their class stay; other columns are kept up
+to the last stage. The mix cuts the text that a source's prefix ends in.
+
 All stages but the last return the columns of ``documents``. Each result is
 written to the folder that all executors share and read again.
 """

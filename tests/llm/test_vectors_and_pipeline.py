@@ -85,6 +85,15 @@ def test_pipeline_stages(spark):
     assert left.columns[0] == "doc_id" and left.count() == len(path_rows)
 
 
+@pytest.mark.parametrize("empty", [True, False])
+def test_pipeline_odd_rows(spark, tmp_path, empty):
+    rows = [] if empty else [(None, "a b c", "en", "s1", 3, 7), (None, None, None, None, None, 7), (1, "", "en", "s1", 0, 7), (2, "Mr. John Smith, a.b@c.org " * 40, "de", "s2", 9, 7), (2, "Mr. John Smith, a.b@c.org " * 40, "de", "s2", 9, 7)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert (len(out) == 0) == empty and {r.doc_id for r in out} <= {None, 1, 2}
+
+
 def test_registry():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert set(ORACLE) <= set(QUERIES)
