@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import stored
@@ -85,6 +85,30 @@ def replay(df: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
     return df
 
 
+def stage_budget(total: Column) -> tuple[Column, Column]:
+    """The steps of ``total`` that go to merges of channels (three quarters, one at least) and those left for coordination."""
+    channel = F.greatest(F.lit(1), F.floor(0.75 * total + 0.5))
+    return channel, total - channel
+
+
+def two_stage_motifs(own: DataFrame, packets: DataFrame, total: int, least: int = 2, least_cases: int = 1) -> DataFrame:
+    """(stage, rank, motif, n, cases): the vocabulary of ``total`` motifs that the two stages share.
+
+    Stage ``channel`` learns merges from sequences (case_id, seq); stage
+    ``coordination`` takes the most frequent symbols of packets (case_id, symbol),
+    ties to more cases, then the smaller symbol. What merges leave of their budget is
+    not passed on. No rows give no motifs; packets without a symbol take no part.
+    """
+    spark = own.sparkSession
+    shares = spark.range(1).select(*[c.cast("int") for c in stage_budget(F.lit(total))]).first()
+    merges, _ = learn_merges(own, shares[0], least, least_cases=least_cases)
+    channel = spark.createDataFrame([("channel", m.step, merged_name(m.a, m.b), m.n, m.cases) for m in merges], "stage string, rank int, motif string, n long, cases long")
+    seen = packets.where("symbol IS NOT NULL").groupBy("symbol").agg(F.count("*").alias("n"), F.countDistinct("case_id").alias("cases"))
+    best = seen.where((F.col("n") >= least) & (F.col("cases") >= least_cases)).orderBy(F.desc("n"), F.desc("cases"), "symbol").limit(shares[1])
+    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), F.desc("cases"), "symbol"))  # as many rows as the budget
+    return channel.unionByName(best.select(F.lit("coordination").alias("stage"), rank.alias("rank"), F.col("symbol").alias("motif"), "n", "cases"))
+
+
 def longest_match(seq: Column, lexicon: list[tuple[str, ...]]) -> Column:
     """The sequence with lexicon entries joined by +; at each place the longest entry wins, other tokens pass through."""
     texts = sorted({"".join(f"<{t}>" for t in entry) for entry in lexicon}, key=lambda x: (-x.count("<"), x))

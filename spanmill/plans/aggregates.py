@@ -106,9 +106,9 @@ def agg13_stable_ids(spark, sf_dir):
     return M.top(kept, 4, ["case_id"], F.desc("n"), F.asc("item"))
 
 
-@query(f"""WITH {EV}, g AS (SELECT case_id, string_agg(DISTINCT channel, '+' ORDER BY channel) AS signature FROM ev WHERE value > 60 GROUP BY 1) SELECT signature, count(*) AS cases FROM g GROUP BY 1""")
+@query(f"""WITH {EV}, g AS (SELECT case_id, string_agg(DISTINCT channel, '+' ORDER BY channel) AS signature FROM ev GROUP BY case_id, s // 24) SELECT signature, count(*) AS cases FROM g GROUP BY 1""")
 def agg14_signature_groups(spark, sf_dir):
-    g = spans(spark, sf_dir).where("value > 60").groupBy("case_id").agg(F.array_join(F.array_sort(F.collect_set("channel")), "+").alias("signature"))
+    g = spans(spark, sf_dir).groupBy("case_id", F.expr("s div 24")).agg(F.array_join(F.array_sort(F.collect_set("channel")), "+").alias("signature"))
     return g.groupBy("signature").agg(F.count("*").alias("cases"))
 
 
@@ -221,14 +221,13 @@ def agg26_crosstab(spark, sf_dir):
     return cells.select("segment", *[F.col(str(k)).alias(f"r{k}") for k in range(5)])
 
 
-@query(f"""WITH {EV}, a AS (SELECT channel, count(*) AS x FROM ev WHERE s % 2 = 0 GROUP BY 1), b AS (SELECT channel, count(*) AS y FROM ev WHERE s % 3 = 0 AND channel <> 'view' GROUP BY 1)
-SELECT channel AS metric, coalesce(x, 0) AS before_n, coalesce(y, 0) AS after_n, coalesce(y, 0) - coalesce(x, 0) AS delta FROM a FULL JOIN b USING (channel)""")
+@query(f"""WITH {EV}, a AS (SELECT case_id || ':' || channel AS metric, count(*) AS x FROM ev WHERE s % 24 < 12 GROUP BY 1), b AS (SELECT case_id || ':' || channel AS metric, count(*) AS y FROM ev WHERE s % 24 >= 12 GROUP BY 1)
+SELECT metric, coalesce(x, 0) AS before_n, coalesce(y, 0) AS after_n, coalesce(y, 0) - coalesce(x, 0) AS delta FROM a FULL JOIN b USING (metric)""")
 def agg27_run_delta(spark, sf_dir):
-    ev = spans(spark, sf_dir)
-    a = ev.where("s % 2 = 0").groupBy("channel").agg(F.count("*").alias("x"))
-    b = ev.where("s % 3 = 0 AND channel != 'view'").groupBy("channel").agg(F.count("*").alias("y"))
-    x, y = F.coalesce("x", F.lit(0)), F.coalesce("y", F.lit(0))
-    return a.join(b, "channel", "full_outer").select(F.col("channel").alias("metric"), x.alias("before_n"), y.alias("after_n"), (y - x).alias("delta"))
+    """The counts of two runs, mornings and the rest, metric by metric: one aggregate holds both, so nothing is joined."""
+    metric = F.concat(F.col("case_id").cast("string"), F.lit(":"), F.col("channel"))
+    both = spans(spark, sf_dir).groupBy(metric.alias("metric")).agg(F.count_if(F.expr("s % 24 < 12")).alias("before_n"), F.count_if(F.expr("s % 24 >= 12")).alias("after_n"))
+    return both.withColumn("delta", F.col("after_n") - F.col("before_n"))
 
 
 @query(f"""WITH {BASKET}, c AS (SELECT item, count(*) AS n, count(DISTINCT case_id) AS cases FROM basket GROUP BY 1) SELECT item, n, n / sum(n) OVER () AS share, cases, cases / (SELECT count(DISTINCT case_id) FROM basket) AS case_share FROM c ORDER BY n DESC, item LIMIT 12""")

@@ -51,11 +51,10 @@ def mine03_merge_replay(spark, sf_dir):
     return Q.replay(own, [(m.a, m.b) for m in merges]).select("case_id", "seq", F.size(Q.tokens(F.col("seq"))).cast("long").alias("tokens"))
 
 
-@query("SELECT n AS total, greatest(1, CAST(floor(0.75 * n + 0.5) AS BIGINT)) AS channel, n - greatest(1, CAST(floor(0.75 * n + 0.5) AS BIGINT)) AS coordination FROM (SELECT unnest([1, 2, 8, 96, 256]) AS n)")
+@query("SELECT p_partkey, p_size AS total, greatest(1, CAST(floor(0.75 * p_size + 0.5) AS BIGINT)) AS channel, p_size - greatest(1, CAST(floor(0.75 * p_size + 0.5) AS BIGINT)) AS coordination FROM part")
 def mine04_two_stage_budget(spark, sf_dir):
-    n = spark.createDataFrame([(k,) for k in (1, 2, 8, 96, 256)], "total int")
-    channel = F.greatest(F.lit(1), F.floor(0.75 * F.col("total") + 0.5))
-    return n.select("total", channel.alias("channel"), (F.col("total") - channel).alias("coordination"))
+    channel, coordination = Q.stage_budget(F.col("p_size"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("total"), channel.alias("channel"), coordination.alias("coordination"))
 
 
 PACK = """lk AS (SELECT l_id AS a, r_id AS b FROM rel WHERE relation = 'parallel' UNION SELECT r_id, l_id FROM rel WHERE relation = 'parallel'),
@@ -108,6 +107,13 @@ def mine08_coordination_selection(spark, sf_dir):
     return own.join(F.broadcast(chosen), "symbol", "left").select("anchor", F.coalesce("label", F.lit("rest")).alias("label"))  # six rows
 
 
+@query(f"""{ANCHOR}, {SEQ}{learned(3)}, c AS (SELECT symbol, count(*) AS n, count(DISTINCT case_id) AS cases FROM ax GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, cases DESC, symbol LIMIT 1)
+SELECT 'coordination' AS stage, 1 AS rank, symbol AS motif, n, cases FROM c """ + "".join(f"UNION ALL SELECT 'channel', {k}, a || '+' || b, n, cases FROM b{k} " for k in (1, 2, 3)))
+def mine08_two_stage_motifs(spark, sf_dir):
+    """From events to motifs: sequences and anchored packets share one budget of four motifs."""
+    return Q.two_stage_motifs(Q.sequences(frames(spark, sf_dir)), anchored(spark, sf_dir), 4)
+
+
 LEXICON = [("view", "click", "purchase"), ("view", "click"), ("error", "error"), ("click", "purchase")]
 
 
@@ -348,7 +354,7 @@ def mine29_group_induction(spark, sf_dir):
 
 @query()
 def mine30_multi_edit_selection(spark, sf_dir):
-    edits = spans(spark, sf_dir).where("value > 40").select("case_id", F.col("channel").alias("attribute"), "s", "e", F.col("value").alias("score"), F.col("event_id").alias("id"))
+    edits = spans(spark, sf_dir).select("case_id", F.col("channel").alias("attribute"), "s", "e", F.col("value").alias("score"), F.col("event_id").alias("id"))
     return X.compatible(edits, 12, 6)
 
 
@@ -403,13 +409,13 @@ def mine36_itemset_scope(spark, sf_dir):
     return k.select(F.array_join("l", "+").alias("items"), scope.alias("scope"), F.when(F.col("n") >= 20, "high_support").when(F.size("l") >= 3, "high_specificity").otherwise("plain").alias("kind"))
 
 
-@query("""WITH n AS (SELECT p_brand AS node, list(DISTINCT p_name) AS l FROM part WHERE p_size > 40 GROUP BY 1), c AS (SELECT p_type AS component, list(DISTINCT p_name) AS l FROM part WHERE p_size < 4 GROUP BY 1)
+@query("""WITH n AS (SELECT p_brand || '/' || p_size AS node, list(DISTINCT p_name) AS l FROM part GROUP BY 1), c AS (SELECT p_type || '/' || p_size AS component, list(DISTINCT p_name) AS l FROM part GROUP BY 1)
 SELECT component, node, len(list_intersect(n.l, c.l)) / (len(n.l) + len(c.l) - len(list_intersect(n.l, c.l))) AS jaccard FROM n, c WHERE len(list_intersect(n.l, c.l)) / (len(n.l) + len(c.l) - len(list_intersect(n.l, c.l))) >= 0.3""")
 def mine37_component_linking(spark, sf_dir):
     """Links by shared names: pairs meet on a name, so that pairs without one are never formed."""
     part = table(spark, sf_dir, "part")
-    n = part.where("p_size > 40").select(F.col("p_brand").alias("node"), "p_name").distinct()
-    c = part.where("p_size < 4").select(F.col("p_type").alias("component"), "p_name").distinct()
+    n = part.select(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("node"), "p_name").distinct()
+    c = part.select(F.concat_ws("/", "p_type", F.col("p_size").cast("string")).alias("component"), "p_name").distinct()
     shared = n.join(c, "p_name").groupBy("component", "node").agg(F.count("*").alias("both"))
     sizes = shared.join(n.groupBy("node").agg(F.count("*").alias("a")), "node").join(c.groupBy("component").agg(F.count("*").alias("b")), "component")
     return sizes.select("component", "node", (F.col("both") / (F.col("a") + F.col("b") - F.col("both"))).alias("jaccard")).where("jaccard >= 0.3")

@@ -55,7 +55,7 @@ def sort06_seeded_shuffle_split(spark, sf_dir):
 
 @query()
 def sort07_greedy_diverse(spark, sf_dir):
-    ev = spans(spark, sf_dir).where("value > 100").groupBy("case_id").agg(F.collect_set("channel").alias("tags"), F.sum(F.lit(1.0)).alias("weight"))
+    ev = spans(spark, sf_dir).groupBy("case_id").agg(F.collect_set(F.concat_ws(":", "channel", F.floor(F.col("value") / 40).cast("string"))).alias("tags"), F.sum(F.lit(1.0)).alias("weight"))
     chosen = C.greedy_diverse(ev, 5)
     return spark.createDataFrame([(k + 1, c) for k, c in enumerate(chosen)], "step int, case_id long")
 
@@ -146,10 +146,10 @@ def set04_quantized_dedupe(spark, sf_dir):
     return M.top(q, 1, ["case_id", "channel", "s8", "e8"], F.asc("event_id"))
 
 
-@query(f"""WITH {EV}, g AS (SELECT case_id, list_sort(list(DISTINCT channel)) AS items FROM ev WHERE value > 90 GROUP BY 1), k AS (SELECT items, count(*) AS support FROM g GROUP BY 1)
+@query(f"""WITH {EV}, g AS (SELECT case_id, list_sort(list(DISTINCT channel)) AS items FROM ev GROUP BY case_id, s // 24), k AS (SELECT items, count(*) AS support FROM g GROUP BY 1)
 SELECT array_to_string(a.items, '+') AS items, a.support, EXISTS (SELECT 1 FROM k b WHERE len(b.items) > len(a.items) AND list_has_all(b.items, a.items) AND b.support >= 0.75 * a.support) AS hidden FROM k a""")
 def set05_subset_closure(spark, sf_dir):
-    g = spans(spark, sf_dir).where("value > 90").groupBy("case_id").agg(F.array_sort(F.collect_set("channel")).alias("items"))
+    g = spans(spark, sf_dir).groupBy("case_id", F.expr("s div 24")).agg(F.array_sort(F.collect_set("channel")).alias("items"))
     k = g.groupBy("items").agg(F.count("*").alias("support"))
     # A subset shares its first item with each superset's list: that is the join key.
     over = k.select(F.col("items").alias("more"), F.col("support").alias("s2"), F.explode("items").alias("item"))

@@ -19,12 +19,16 @@ from ..sources.adapters import EV, FR, frames, spans, table
 from ..sources.store import new_folder
 
 
-@query("SELECT label AS case_id, count(*) AS frames, round(avg(CAST(embedding[4] AS DOUBLE)), 5) AS mean_x2 FROM embeddings GROUP BY 1")
+@query("""WITH k AS (SELECT label AS case_id, unnest(generate_series(1, 63)) AS k, embedding FROM embeddings)
+SELECT case_id, CAST((k - 1) // 3 AS INTEGER) AS joint, CAST((k - 1) % 3 AS INTEGER) AS axis, count(*) AS frames, round(avg(CAST(embedding[k] AS DOUBLE)), 5) AS mean FROM k GROUP BY ALL""")
 def src02_packed_joints(spark, sf_dir):
-    """Vectors as frames of 21 joints of three coordinates."""
+    """Vectors as frames of 21 joints of three coordinates: the mean of every coordinate, in one aggregate without a row for each."""
     joints = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda k: F.slice("embedding", k * 3 + 1, 3))
     packed = table(spark, sf_dir, "embeddings").select(F.col("label").alias("case_id"), joints.alias("joints"))
-    return packed.groupBy("case_id").agg(F.count("*").alias("frames"), F.round(F.avg(F.col("joints")[1][0].cast("double")), 5).alias("mean_x2"))
+    each = [(j, a) for j in range(21) for a in range(3)]
+    means = packed.groupBy("case_id").agg(F.count("*").alias("frames"), *[F.avg(F.col("joints")[j][a].cast("double")).alias(f"m{j}_{a}") for j, a in each])
+    rows = F.array(*[F.struct(F.lit(j).alias("joint"), F.lit(a).alias("axis"), F.round(f"m{j}_{a}", 5).alias("mean")) for j, a in each])
+    return means.select("case_id", "frames", F.inline(rows))
 
 
 EVENT = T.StructType([T.StructField(n, t) for n, t in (("event_id", T.LongType()), ("user_id", T.LongType()), ("event_type", T.StringType()), ("value", T.DoubleType()))])

@@ -91,10 +91,10 @@ def str08_positive_negative_rule(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", (T.any_of(F.col("text"), ["licen[sc]e"]) & ~veto).alias("accepted"), veto.alias("vetoed"))
 
 
-@query(r"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '(?:the|of) [a-z]+ [a-z]+')) AS p FROM documents WHERE lang = 'en') SELECT p AS phrase, count(*) AS n FROM m GROUP BY 1 HAVING count(*) >= 3""")
+@query(r"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '(?:the|of) [a-z]+ [a-z]+')) AS p FROM documents) SELECT p AS phrase, count(*) AS n FROM m GROUP BY 1 HAVING count(*) >= 3""")
 def str09_phrase_extraction(spark, sf_dir):
     found = F.regexp_extract_all(F.lower("text"), F.lit("(?:the|of) [a-z]+ [a-z]+"), F.lit(0))
-    m = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(found).alias("phrase"))
+    m = table(spark, sf_dir, "documents").select(F.explode(found).alias("phrase"))
     return m.groupBy("phrase").agg(F.count("*").alias("n")).where("n >= 3")
 
 

@@ -15,7 +15,7 @@ FR = """fr AS (SELECT user_id AS case_id, row_number() OVER (PARTITION BY user_i
   value, event_type AS sym, event_id FROM events)"""
 BASKET = """basket AS (SELECT l_orderkey AS tx, o_custkey AS case_id, p_brand AS item
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)"""
-CAP = """cap AS (SELECT doc_id AS case_id, source AS node, text AS caption FROM documents WHERE lang = 'en')"""
+CAP = """cap AS (SELECT doc_id AS case_id, source AS node, text AS caption FROM documents)"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,5 +51,5 @@ def baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(case_id, node, caption): English documents as captions of their source."""
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("case_id"), F.col("source").alias("node"), F.col("text").alias("caption"))
+    """(case_id, node, caption): documents as captions of their source."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), F.col("source").alias("node"), F.col("text").alias("caption"))
