@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import stored
@@ -103,7 +103,14 @@ def greedy_cover(hits: DataFrame, truth: DataFrame, floor: float, most: int) ->
 
 
 def abstracted(events: DataFrame, theta: float = 0.6) -> DataFrame:
-    """(case_id, event_id, channel, s, e, support): of events of one channel that overlap by ``theta`` of the shorter, the first in the order of length, value and id stands for the rest."""
+    """(case_id, event_id, channel, s, e, support): of events of one channel that overlap by ``theta`` of the shorter, the first in the order of length, value and id stands for the rest.
+
+    Events meet only within a run of overlapping ones, so each run is a group of its own.
+    """
+    order = Window.partitionBy("case_id", "channel").orderBy("s", "e", "event_id")
+    seen = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = events.select("case_id", "event_id", "channel", "s", "e", "value").withColumn("new", F.when(seen.isNull() | (F.col("s") > seen), 1).otherwise(0))
+    runs = marked.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
 
     def fold(own: list[dict]) -> list[dict]:
         kept: list[dict] = []
@@ -117,7 +124,7 @@ def abstracted(events: DataFrame, theta: float = 0.6) -> DataFrame:
         return [{c: k[c] for c in ("case_id", "event_id", "channel", "s", "e", "support")} for k in kept]
 
     schema = "case_id long, event_id long, channel string, s long, e long, support long"
-    return folded(events.select("case_id", "event_id", "channel", "s", "e", "value"), ["case_id", "channel"], fold, schema)
+    return folded(runs, ["case_id", "channel", "run"], fold, schema)
 
 
 def compatible(edits: DataFrame, tolerance: int, most: int) -> DataFrame:

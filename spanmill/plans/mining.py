@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import decisions as D
 from ..operators import metrics as M
 from ..operators import mining as X
 from ..operators import sequences as Q
@@ -168,9 +169,8 @@ def mine13_closed_itemsets(spark, sf_dir):
 
 @query()
 def mine14_leader_clustering(spark, sf_dir):
-    motifs = M.top(M.support(anchored(spark, sf_dir).select("case_id", "members", "symbol"), "symbol"), 200, [], F.desc("n"), F.asc("symbol")).collect()  # 200 motifs at most
-    families = X.leaders([(r.symbol, frozenset(r.symbol.split("+"))) for r in motifs], 0.6)
-    return spark.createDataFrame(list(families.items()) or [], "symbol string, family string")
+    motifs = M.support(anchored(spark, sf_dir).select("case_id", "symbol"), "symbol").withColumn("items", F.split("symbol", r"\+"))
+    return D.leader_families(motifs, 0.6)
 
 
 @query()
@@ -195,14 +195,7 @@ ph AS (SELECT case_id, CASE WHEN cv AND cp AND vp THEN 'phase_closed_all_pairs'
 
 def phase_status(spark, sf_dir):
     """(case_id, status) of the three groups click, view and purchase."""
-    ev = spans(spark, sf_dir)
-    three = ev.where("channel IN ('click', 'view', 'purchase')")
-    near = S.near_pairs(three, three, 6).where("l_channel < r_channel").select("case_id", F.concat_ws("-", "l_channel", "r_channel").alias("pair")).distinct()
-    links = near.groupBy("case_id").agg(F.count("*").alias("links"))
-    cases = three.groupBy("case_id").agg(F.countDistinct("channel").alias("groups")).where("groups >= 2")
-    n = F.coalesce("links", F.lit(0))
-    status = F.when(n == 3, "phase_closed_all_pairs").when(n == 2, "phase_chain").when(n == 1, "partial").otherwise("case_level_only")
-    return cases.join(links, "case_id", "left").select("case_id", status.alias("status"))
+    return D.phase_closure(spans(spark, sf_dir), ["click", "view", "purchase"], 6).select("case_id", "status")
 
 
 @query(f"{PHASE} SELECT status, count(*) AS cases FROM ph GROUP BY 1")
@@ -217,11 +210,8 @@ ax AS (SELECT case_id, w, round(score, 6) AS score, CASE WHEN blocks > 0 THEN 'b
 
 def axis_scores(spark, sf_dir):
     """(case_id, w, score, verdict): windows of three days scored by an axis of weighted groups, a penalty and a hard block."""
-    h = spans(spark, sf_dir).groupBy("case_id", F.expr("s div 72").alias("w")).agg(F.collect_set("channel").alias("have"), F.count_if((F.col("channel") == "error") & (F.col("value") > 150)).alias("blocks"))
-    weights = {"view": 0.3, "click": 0.3, "purchase": 0.4, "error": -0.2}
-    score = F.round(sum((F.when(F.array_contains("have", g), w).otherwise(0.0) for g, w in weights.items()), F.lit(0.0)), 6)
-    verdict = F.when(F.col("blocks") > 0, "blocked").when(~F.array_contains("have", "view"), "missing_group").when(score >= 0.5, "accepted").otherwise("below_min")
-    return h.select("case_id", "w", score.alias("score"), verdict.alias("verdict"))
+    h = D.windows(spans(spark, sf_dir), 72, (F.col("channel") == "error") & (F.col("value") > 150))
+    return D.split_axis(h, {"view": 0.3, "click": 0.3, "purchase": 0.4, "error": -0.2}, ["view"], 0.5)
 
 
 @query(f"{AXIS} SELECT * FROM ax")
@@ -236,11 +226,7 @@ cv AS (SELECT case_id, whole, best, full_case, full_window FROM b JOIN c USING (
 
 def coverage(spark, sf_dir):
     """(case_id, whole, best, full_case, full_window): channels of a case against those of its best window."""
-    need = F.array(*map(F.lit, ("view", "click", "purchase")))
-    full = lambda have: F.size(F.array_except(need, have)) == 0
-    w = spans(spark, sf_dir).groupBy("case_id", F.expr("s div 72").alias("w")).agg(F.collect_set("channel").alias("have"))
-    out = w.groupBy("case_id").agg(F.array_distinct(F.flatten(F.collect_list("have"))).alias("all"), F.max(F.size("have")).cast("long").alias("best"), F.bool_or(full(F.col("have"))).alias("full_window"))
-    return out.select("case_id", F.size("all").cast("long").alias("whole"), "best", full(F.col("all")).alias("full_case"), "full_window")
+    return D.window_coverage(D.windows(spans(spark, sf_dir), 72), ["view", "click", "purchase"])
 
 
 @query(f"{COVER} SELECT * FROM cv")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spanmill.functions import rules as R
 from spanmill.functions import text as T
+from spanmill.operators import decisions as D
 from spanmill.operators import metrics as M
 from spanmill.operators import mining as X
 from spanmill.operators import selection as C
@@ -323,3 +324,34 @@ def test_itemsets_equal_all_subsets(spark):
     assert got == want
     closed = {tuple(x["items"]) for x in X.closed(X.itemsets(df, 4, 3)).collect()}
     assert closed == {k for k, (_, c) in want.items() if not any(len(o) > len(k) and set(o) >= set(k) and want[o][1] >= c for o in want)}
+
+
+def test_decisions_with_other_groups(spark):
+    rows = [(1, 1, "a", 0, 1, 0.0), (1, 2, "b", 3, 4, 0.0), (1, 3, "c", 6, 7, 0.0), (1, 4, "d", 9, 9, 0.0)]
+    rows += [(2, 5, "a", 0, 9, 0.0), (2, 6, "b", 1, 9, 0.0), (2, 7, "c", 2, 9, 0.0), (2, 8, "d", 3, 9, 0.0)]
+    rows += [(3, 9, "a", 0, 0, 0.0), (3, 10, "b", 50, 50, 0.0), (4, 11, "a", 0, 0, 0.0), (4, 12, "z", 0, 0, 9.0)]
+    rows += [(5, 13, "a", 0, 1, 0.0), (5, 14, "b", 1, 2, 0.0), (5, 15, "c", 50, 51, 0.0), (5, 16, "d", 51, 52, 0.0)]
+    own = spans(spark, rows)
+    got = {r.case_id: (r.links, r.status) for r in D.phase_closure(own, ["a", "b", "c", "d"], 2).collect()}
+    # Two links that do not meet (case 5) are no chain.
+    assert got == {1: (3, "phase_chain"), 2: (6, "phase_closed_all_pairs"), 3: (0, "case_level_only"), 5: (2, "partial")}
+    assert D.phase_closure(own.limit(0), ["a", "b"], 2).count() == 0
+    w = D.windows(own, 40, F.col("value") > 5)
+    got = {(r.case_id, r.w): (r.score, r.verdict) for r in D.split_axis(w, {"a": 0.5, "b": 0.4, "d": -0.3}, ["a"], 0.6).collect()}
+    assert got[1, 0] == (0.6, "accepted") and got[3, 0] == (0.5, "below_min") and got[3, 1] == (0.4, "missing_group") and got[4, 0] == (0.5, "blocked")
+    cover = {r.case_id: (r.whole, r.best, r.full_case, r.full_window) for r in D.window_coverage(w, ["a", "b"]).collect()}
+    assert cover[3] == (2, 1, True, False) and cover[1] == (4, 4, True, True) and cover[4] == (2, 2, False, False)
+
+
+def test_leader_families(spark):
+    df = spark.createDataFrame([("p", ["a", "b"], 9), ("q", ["a", "b", "c"], 8), ("r", ["x", "y"], 7), ("s", ["c", "a"], 9), ("t", [], 1), ("u", None, 1)], "symbol string, items array<string>, n long")
+    assert {r.symbol: r.family for r in D.leader_families(df, 0.6).collect()} == {"p": "p", "q": "p", "r": "r", "s": "s", "t": "t", "u": "u"}
+    assert D.leader_families(df.limit(0), 0.6).count() == 0
+
+
+def test_two_stage_motifs(spark):
+    own = spark.createDataFrame([(1, "<a><b><a><b>"), (2, "<a><b><c>")], "case_id long, seq string")
+    packets = spark.createDataFrame([(1, "x+y"), (2, "x+y"), (1, "y+z"), (1, "y+z"), (2, None)], "case_id long, symbol string")
+    got = sorted((r.stage, r["rank"], r.motif, r.n, r.cases) for r in Q.two_stage_motifs(own, packets, 4).collect())
+    assert got == [("channel", 1, "a+b", 3, 2), ("coordination", 1, "x+y", 2, 2)]
+    assert Q.two_stage_motifs(own.limit(0), packets.limit(0), 4).count() == 0

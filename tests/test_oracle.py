@@ -51,4 +51,4 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+    assert QUERIES[name](spark, SF).columns  # compared with plain Python in test_brute_force.py
