@@ -34,11 +34,11 @@ def work_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def stored(df: DataFrame, label: str = "part") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
+def stored(df: DataFrame, label: str = "part", **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors. ``options`` are the writer's."""
     spark = df.sparkSession
     path = f"{work_root(spark)}/spanmill/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import runs_of
+from .common import runs_of, stored
 
 BLOCK, GROUP, UNIT = 512, 2048, 64
 ORDER, PRECISION, SHIFT = 4, 11, 8  # of the linear predictor that the encoder tries
@@ -444,6 +444,14 @@ def encode(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+def written(docs: DataFrame) -> DataFrame:
+    """``encode``, written to the shared folder and read back.
+
+    Rows of a partition are put in order of their texts and pages compressed, so that copies, whose streams are equal, cost little.
+    """
+    return stored(encode(docs.sortWithinPartitions("text")), "media", compression="zstd")
+
+
 #: What a stream that is damaged, cut short or of another kind raises.
 DAMAGED = (ValueError, IndexError, KeyError, OverflowError)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, flac, licenses, lmscore, mixing, pii, recompression, simhash, toxicity
-from .common import read_table, stored
+from .common import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -25,7 +25,7 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's FLAC stream, written to the shared folder, read back and described by what is decoded from it."""
-    return flac.features(stored(flac.encode(read_table(spark, sf_dir, "documents")), "media"))
+    return flac.features(flac.written(read_table(spark, sf_dir, "documents")))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
