@@ -8,6 +8,129 @@ from pyspark.sql import functions as F
 from . import mining, spans
 from .folds import folded
 
+# What the score of an itemset adds for the marks it has (one of each list), (weight, needs, lacks).
+FLOOR = ["role:floor_low_horizontal_support", "role:hand_floor_low_support"]
+LEVELS = ["role:body_level_cycle", "role:body_level_down", "role:body_level_up", "role:body_level_low", "role:body_low_posture"]
+RHYTHMS = ["role:vertical_rhythm", "role:vertical_low_body_transition"]
+ITEMSET_WEIGHTS = (
+    (2.5, [["zone:inversion"]], []),
+    (1.6, [["zone:support"]], []),
+    (1.0, [FLOOR, ["zone:upper"]], []),
+    (2.0, [["role:inverted_support"]], []),
+    (1.8, [["zone:upper"], ["zone:lower"]], []),
+    (1.2, [["zone:upper"], ["zone:vertical"]], []),
+    (1.0, [["zone:lower"], ["zone:vertical"]], []),
+    (0.8, [["zone:posture"], ["zone:lower", "zone:vertical"]], []),
+    (0.6, [["both_arms"]], []),
+    (0.8, [["both_legs"]], []),
+    (0.8, [["role:arm_large_arc_or_orbit", "role:arm_vertical_cycle", "role:bimanual_spread_cycle"], ["zone:lower"]], []),
+    (0.6, [["role:hand_head_proximity"], ["zone:posture", "zone:vertical", "zone:lower"]], []),
+    (0.4, [["role:arm_reach_retract"], ["zone:posture", "zone:vertical", "zone:lower"]], []),
+    (-1.6, [["one_zone"]], ["both_arms", "both_legs"]),
+)
+# Scopes of an itemset; the first whose needs are met.
+ITEMSET_SCOPES = (
+    ("floor_prone_or_mime_candidate", [FLOOR, ["zone:upper", "zone:posture"]]),
+    ("inversion_acrobatic_candidate", [["role:inverted_support"], ["zone:upper", "zone:lower", "zone:posture", "zone:inversion"]]),
+    ("inversion_acrobatic_candidate", [["zone:inversion"], ["zone:upper", "zone:lower", "zone:posture"]]),
+    ("full_upper_lower_body_candidate", [["zone:upper"], ["zone:lower"], ["zone:vertical", "zone:posture"]]),
+    ("upper_vertical_coordination_component", [["zone:upper"], ["zone:vertical"]]),
+    ("upper_lower_coordination_component", [["zone:upper"], ["zone:lower"]]),
+    ("lower_body_transition_component", [["zone:lower"], ["zone:vertical", "zone:posture"]]),
+    ("body_level_transition_component", [["zone:posture"], ["zone:vertical"]]),
+    ("bilateral_upper_component", [["both_arms"]]),
+    ("bilateral_lower_component", [["both_legs"]]),
+)
+# What makes an itemset of little support specific.
+SPECIFIC = (
+    [[*FLOOR, "role:inverted_support", "role:inversion_or_acrobatics"], ["cross_zone"]],
+    [FLOOR, ["role:hand_head_proximity", "role:arm_large_arc_or_orbit", *LEVELS]],
+    [["role:inverted_support"], ["role:arm_large_arc_or_orbit", "role:leg_lateral_cycle", *RHYTHMS, *LEVELS]],
+    [["role:arm_large_arc_or_orbit"], ["role:leg_lateral_cycle"], ["both_arms", *RHYTHMS, *LEVELS]],
+    [["role:hand_head_proximity"], ["role:leg_lateral_cycle"], [*RHYTHMS, *LEVELS]],
+)
+# What the structure score of a coordination symbol adds for its marks, (weight, needs, lacks).
+STRUCTURE_WEIGHTS = (
+    (1.25, [["upper"], ["vertical"]], []),
+    (1.0, [["lower"], ["vertical"]], ["gait"]),
+    (1.0, [["upper"], ["low_body"]], []),
+    (0.8, [["torso"], ["low_body"]], []),
+    (1.5, [["bimanual_vertical"]], []),
+    (0.75, [["arm_vertical"]], []),
+    (0.8, [["leg_non_gait"]], []),
+    (0.8, [["vertical_impulse"]], []),
+    (0.5, [["high_pose"], ["vertical", "low_body"]], []),
+    (1.2, [["arm_trajectory"], ["lower", "vertical", "body_level"]], []),
+    (0.9, [["arm_reach"], ["torso", "root", "lower", "body_level"]], []),
+    (1.3, [["hand_proximity"], ["body_level"]], []),
+    (1.25, [["leg_lateral"], ["upper"]], []),
+    (0.9, [["leg_lateral"], ["vertical"]], []),
+    (1.25, [["stance_width"], ["upper"]], []),
+    (1.05, [["stance_width"], ["vertical"]], []),
+    (0.9, [["body_level"], ["upper"]], []),
+    (1.3, [["body_support"]], []),
+    (1.3, [["inverted_support"], ["upper", "lower", "inversion"]], []),
+    (1.0, [["floor_support"], ["upper", "torso"]], []),
+    (-2.0, [["gait"]], []),
+    (-2.5, [["gait"]], ["upper", "torso", "low_body", "leg_non_gait", "vertical_impulse", "bimanual_vertical"]),
+    (-1.0, [["root_context"]], []),
+    (-0.8, [["generic_vertical"]], ["upper", "low_body", "leg_non_gait"]),
+    (-1.0, [["root"]], ["upper", "lower", "vertical", "torso"]),
+)
+
+
+def holds(marks: str, needs: list[list[str]], lacks: list[str] = ()) -> Column:
+    """Whether the array ``marks`` has one of each list of ``needs`` and none of ``lacks``."""
+    out = F.lit(True)
+    for some in needs:
+        out = out & F.arrays_overlap(marks, F.array(*map(F.lit, some)))
+    return out & ~F.arrays_overlap(marks, F.array(*map(F.lit, lacks))) if lacks else out
+
+
+def weighed(base: Column, marks: str, weights, digits: int) -> Column:
+    """``base`` and the weights (weight, needs, lacks) that hold of ``marks``, rounded."""
+    return F.round(sum((F.when(holds(marks, needs, lacks), float(w)).otherwise(0.0) for w, needs, lacks in weights), base), digits)
+
+
+def itemset_scope(sets: DataFrame, least: int, least_specific: int, weights=ITEMSET_WEIGHTS, scopes=ITEMSET_SCOPES, specific=SPECIFIC) -> DataFrame:
+    """``sets`` (zones, channels, roles: arrays of distinct values; cases) with score, scope and kind.
+
+    The score is log(1 + cases) + 0.75 a zone + 0.15 a channel and the ``weights``.
+    Kind: ``high_support`` from ``least`` cases on; of the others, from
+    ``least_specific`` on, those that ``specific`` holds of are ``high_specificity``;
+    else ``below_threshold``. Sets without marks are local and below unless supported.
+    """
+    named = lambda p, c: F.transform(c, lambda x: F.concat(F.lit(f"{p}:"), x))
+    has = lambda c: F.array_contains("channels", c)
+    told = F.array(
+        F.when(has("bimanual") | has("left_arm") & has("right_arm"), "both_arms"), F.when(has("left_leg") & has("right_leg"), "both_legs"),
+        F.when(F.size("zones") == 1, "one_zone"), F.when(F.size("zones") >= 2, "cross_zone"),
+    )
+    own = sets.withColumn("_marks", F.concat(named("zone", "zones"), named("role", "roles"), F.array_compact(told)))
+    score = weighed(F.log1p("cases") + 0.75 * F.size("zones") + 0.15 * F.size("channels"), "_marks", weights, 4)
+    scope = F.coalesce(*[F.when(holds("_marks", needs), name) for name, needs in scopes], F.lit("local_or_ambiguous_component"))
+    rare = F.lit(False)
+    for needs in specific:
+        rare = rare | holds("_marks", needs)
+    kind = cascade({"high_support": F.col("cases") >= least, "high_specificity": (F.col("cases") >= least_specific) & rare}, "below_threshold")
+    return own.select(*sets.columns, score.alias("score"), scope.alias("scope"), kind.alias("kind")).drop("_marks")
+
+
+def select_coordination(stats: DataFrame, budget: int, least: int = 1, least_cases: int = 1, weights=None, least_score: float = 0.0) -> DataFrame:
+    """The ``budget`` first symbols of ``stats`` (symbol, n, cases) with enough occurrences and cases, in order.
+
+    By falling cases, n, then symbol; with ``weights`` (see ``STRUCTURE_WEIGHTS``) by a structure
+    score first, which is kept as ``score``. It needs ``zones`` and ``marks`` (arrays) and the
+    number of ``channels``: log(1 + cases) + 0.35 a channel + 0.55 a zone, 1.5 less with one zone at most, and the weights.
+    """
+    own = stats.where((F.col("n") >= least) & (F.col("cases") >= least_cases))
+    order = [F.desc("cases"), F.desc("n"), F.asc("symbol")]
+    if weights is None:
+        return own.orderBy(*order).limit(budget)
+    base = F.log1p("cases") + 0.35 * F.col("channels") + 0.55 * F.size("zones") - F.when(F.size("zones") <= 1, 1.5).otherwise(0.0)
+    own = own.withColumn("_all", F.concat("zones", "marks")).withColumn("score", weighed(base, "_all", weights, 6)).drop("_all")
+    return own.where(F.col("score") >= least_score).orderBy(F.desc("score"), *order).limit(budget)
+
 
 def cascade(steps: dict[str, Column], default: str) -> Column:
     """The name of the first condition that holds; a null condition does not."""

@@ -95,8 +95,8 @@ def two_stage_motifs(own: DataFrame, packets: DataFrame, total: int, least: int
     """(stage, rank, motif, n, cases): the vocabulary of ``total`` motifs that the two stages share.
 
     Stage ``channel`` learns merges from sequences (case_id, seq); stage
-    ``coordination`` takes the most frequent symbols of packets (case_id, symbol),
-    ties to more cases, then the smaller symbol. What merges leave of their budget is
+    ``coordination`` takes the symbols of packets (case_id, symbol) with the most cases,
+    ties to more packets, then the smaller symbol. What merges leave of their budget is
     not passed on. No rows give no motifs; packets without a symbol take no part.
     """
     spark = own.sparkSession
@@ -104,8 +104,8 @@ def two_stage_motifs(own: DataFrame, packets: DataFrame, total: int, least: int
     merges, _ = learn_merges(own, shares[0], least, least_cases=least_cases)
     channel = spark.createDataFrame([("channel", m.step, merged_name(m.a, m.b), m.n, m.cases) for m in merges], "stage string, rank int, motif string, n long, cases long")
     seen = packets.where("symbol IS NOT NULL").groupBy("symbol").agg(F.count("*").alias("n"), F.countDistinct("case_id").alias("cases"))
-    best = seen.where((F.col("n") >= least) & (F.col("cases") >= least_cases)).orderBy(F.desc("n"), F.desc("cases"), "symbol").limit(shares[1])
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), F.desc("cases"), "symbol"))  # as many rows as the budget
+    best = seen.where((F.col("n") >= least) & (F.col("cases") >= least_cases)).orderBy(F.desc("cases"), F.desc("n"), "symbol").limit(shares[1])
+    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("cases"), F.desc("n"), "symbol"))  # as many rows as the budget
     return channel.unionByName(best.select(F.lit("coordination").alias("stage"), rank.alias("rank"), F.col("symbol").alias("motif"), "n", "cases"))
 
 

@@ -101,14 +101,14 @@ def mine07_anchored_packets(spark, sf_dir):
     return anchored(spark, sf_dir)
 
 
-@query(f"{ANCHOR}, c AS (SELECT symbol, count(*) AS n, count(DISTINCT case_id) AS cases FROM ax GROUP BY 1 ORDER BY n DESC, cases DESC, symbol LIMIT 6) SELECT anchor, coalesce('COORD[' || c.symbol || ']', 'rest') AS label FROM ax LEFT JOIN c USING (symbol)")
+@query(f"{ANCHOR}, c AS (SELECT symbol, count(*) AS n, count(DISTINCT case_id) AS cases FROM ax GROUP BY 1 ORDER BY cases DESC, n DESC, symbol LIMIT 6) SELECT anchor, coalesce('COORD[' || c.symbol || ']', 'rest') AS label FROM ax LEFT JOIN c USING (symbol)")
 def mine08_coordination_selection(spark, sf_dir):
     own = anchored(spark, sf_dir)
-    chosen = M.top(M.support(own, "symbol"), 6, [], F.desc("n"), F.desc("cases"), F.asc("symbol")).select("symbol", F.concat(F.lit("COORD["), "symbol", F.lit("]")).alias("label"))
+    chosen = D.select_coordination(M.support(own, "symbol"), 6).select("symbol", F.concat(F.lit("COORD["), "symbol", F.lit("]")).alias("label"))
     return own.join(F.broadcast(chosen), "symbol", "left").select("anchor", F.coalesce("label", F.lit("rest")).alias("label"))  # six rows
 
 
-@query(f"""{ANCHOR}, {SEQ}{learned(3)}, c AS (SELECT symbol, count(*) AS n, count(DISTINCT case_id) AS cases FROM ax GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, cases DESC, symbol LIMIT 1)
+@query(f"""{ANCHOR}, {SEQ}{learned(3)}, c AS (SELECT symbol, count(*) AS n, count(DISTINCT case_id) AS cases FROM ax GROUP BY 1 HAVING count(*) >= 2 ORDER BY cases DESC, n DESC, symbol LIMIT 1)
 SELECT 'coordination' AS stage, 1 AS rank, symbol AS motif, n, cases FROM c """ + "".join(f"UNION ALL SELECT 'channel', {k}, a || '+' || b, n, cases FROM b{k} " for k in (1, 2, 3)))
 def mine08_two_stage_motifs(spark, sf_dir):
     """From events to motifs: sequences and anchored packets share one budget of four motifs."""
@@ -384,15 +384,54 @@ def mine35_promotion_scoring(spark, sf_dir):
     return r.select("source", out.alias("outcome"))
 
 
-@query(f"""WITH {EV}, g AS (SELECT case_id, s // 24 AS d, list(DISTINCT channel) AS l FROM ev GROUP BY ALL HAVING count(DISTINCT channel) >= 2), k AS (SELECT list_sort(l) AS l, count(*) AS n FROM g GROUP BY 1)
-SELECT array_to_string(l, '+') AS items, CASE WHEN list_has_any(l, ['purchase']) AND list_has_any(l, ['error']) THEN 'mixed' WHEN list_has_any(l, ['purchase', 'signup']) THEN 'trade' WHEN list_has_any(l, ['error']) THEN 'failure' ELSE 'browse' END AS scope,
-CASE WHEN n >= 20 THEN 'high_support' WHEN len(l) >= 3 THEN 'high_specificity' ELSE 'plain' END AS kind FROM k""")
+# What the sample's channels stand for, by size of the event: (channel, zone, role) of events over 50 and of the others.
+BODY = {
+    "click": (("left_arm", "upper", "arm_large_arc_or_orbit"), ("left_arm", "upper", "arm_reach_retract")),
+    "view": (("right_arm", "upper", "hand_head_proximity"), ("right_arm", "upper", "arm_vertical_cycle")),
+    "purchase": (("left_leg", "lower", "leg_lateral_cycle"), ("right_leg", "lower", "leg_step")),
+    "signup": (("root", "vertical", "vertical_rhythm"), ("root", "posture", "body_level_low")),
+    "error": (("body", "support", "floor_low_horizontal_support"), ("body", "inversion", "inverted_support")),
+}
+_BODY = " UNION ALL ".join(f"SELECT '{c}' AS channel, {size} AS big, '{b}' AS part, '{z}' AS zone, '{r}' AS role" for c, both in BODY.items() for size, (b, z, r) in zip(("true", "false"), both, strict=True))
+SETS = f"""WITH {EV}, body AS ({_BODY}), st AS (SELECT case_id, s // 48 AS d, list_sort(list(DISTINCT part)) AS c, list_sort(list(DISTINCT zone)) AS z, list_sort(list(DISTINCT role)) AS r FROM ev JOIN body ON body.channel = ev.channel AND body.big = (ev.value > 50) GROUP BY ALL),
+k AS (SELECT c, z, r, count(*) AS n, count(DISTINCT case_id) AS cases FROM st GROUP BY ALL)"""
+
+
+def body_sets(spark, sf_dir):
+    """(channels, zones, roles, n, cases): the sets of what a case does in two days."""
+    ev = spans(spark, sf_dir)
+    part = F.coalesce(*[F.when((F.col("channel") == c) & ((F.col("value") > 50) == size), F.struct(*[F.lit(x).alias(name) for name, x in zip(("part", "zone", "role"), own, strict=True)])) for c, both in BODY.items() for size, own in zip((True, False), both, strict=True)])
+    each = lambda name: F.array_sort(F.collect_set(f"b.{name}"))
+    sets = ev.select("case_id", F.expr("s div 48").alias("d"), part.alias("b")).where("b IS NOT NULL").groupBy("case_id", "d").agg(each("part").alias("channels"), each("zone").alias("zones"), each("role").alias("roles"))
+    return sets.groupBy("channels", "zones", "roles").agg(F.count("*").alias("n"), F.countDistinct("case_id").alias("cases"))
+
+
+@query(f"""{SETS}, f AS (SELECT *, list_contains(z, 'upper') AS up, list_contains(z, 'lower') AS lo, list_contains(z, 'vertical') AS ve, list_contains(z, 'posture') AS po, list_contains(z, 'inversion') AS inv, list_contains(z, 'support') AS su,
+list_contains(r, 'floor_low_horizontal_support') AS fl, list_contains(r, 'inverted_support') AS isu, list_contains(c, 'left_arm') AND list_contains(c, 'right_arm') AS arms, list_contains(c, 'left_leg') AND list_contains(c, 'right_leg') AS legs,
+list_contains(r, 'arm_large_arc_or_orbit') AS arc, list_contains(r, 'arm_vertical_cycle') AS cyc, list_contains(r, 'hand_head_proximity') AS head, list_contains(r, 'arm_reach_retract') AS reach, list_contains(r, 'leg_lateral_cycle') AS lat, list_contains(r, 'vertical_rhythm') AS rhy, list_contains(r, 'body_level_low') AS lev FROM k)
+SELECT array_to_string(r, '+') AS items, round(ln(1 + cases) + 0.75 * len(z) + 0.15 * len(c) + 2.5 * inv::INT + 1.6 * su::INT + (fl AND up)::INT + 2.0 * isu::INT + 1.8 * (up AND lo)::INT + 1.2 * (up AND ve)::INT + (lo AND ve)::INT + 0.8 * (po AND (lo OR ve))::INT + 0.6 * arms::INT + 0.8 * legs::INT
++ 0.8 * ((arc OR cyc) AND lo)::INT + 0.6 * (head AND (po OR ve OR lo))::INT + 0.4 * (reach AND (po OR ve OR lo))::INT - 1.6 * (len(z) = 1 AND NOT arms AND NOT legs)::INT, 4) AS score,
+CASE WHEN fl AND (up OR po) THEN 'floor_prone_or_mime_candidate' WHEN isu AND (up OR lo OR po OR inv) THEN 'inversion_acrobatic_candidate' WHEN inv AND (up OR lo OR po) THEN 'inversion_acrobatic_candidate' WHEN up AND lo AND (ve OR po) THEN 'full_upper_lower_body_candidate'
+WHEN up AND ve THEN 'upper_vertical_coordination_component' WHEN up AND lo THEN 'upper_lower_coordination_component' WHEN lo AND (ve OR po) THEN 'lower_body_transition_component' WHEN po AND ve THEN 'body_level_transition_component' WHEN arms THEN 'bilateral_upper_component'
+WHEN legs THEN 'bilateral_lower_component' ELSE 'local_or_ambiguous_component' END AS scope,
+CASE WHEN cases >= 20 THEN 'high_support' WHEN cases < 2 THEN 'below_threshold' WHEN (fl OR isu) AND len(z) >= 2 THEN 'high_specificity' WHEN fl AND (head OR arc OR lev) THEN 'high_specificity' WHEN isu AND (arc OR lat OR rhy OR lev) THEN 'high_specificity'
+WHEN arc AND lat AND (rhy OR lev OR arms) THEN 'high_specificity' WHEN head AND lat AND (lev OR rhy) THEN 'high_specificity' ELSE 'below_threshold' END AS kind FROM f""")
 def mine36_itemset_scope(spark, sf_dir):
-    g = spans(spark, sf_dir).groupBy("case_id", F.expr("s div 24").alias("d")).agg(F.array_sort(F.collect_set("channel")).alias("l")).where(F.size("l") >= 2)
-    k = g.groupBy("l").agg(F.count("*").alias("n"))
-    has = lambda *x: F.arrays_overlap("l", F.array(*map(F.lit, x)))
-    scope = F.when(has("purchase") & has("error"), "mixed").when(has("purchase", "signup"), "trade").when(has("error"), "failure").otherwise("browse")
-    return k.select(F.array_join("l", "+").alias("items"), scope.alias("scope"), F.when(F.col("n") >= 20, "high_support").when(F.size("l") >= 3, "high_specificity").otherwise("plain").alias("kind"))
+    """Score, scope and kind of every set."""
+    return D.itemset_scope(body_sets(spark, sf_dir), 20, 2).select(F.array_join("roles", "+").alias("items"), "score", "scope", "kind")
+
+
+@query(f"""{SETS}, f AS (SELECT array_to_string(r, '+') AS symbol, n, cases, list_contains(z, 'upper') AS up, list_contains(z, 'lower') AS lo, list_contains(z, 'vertical') AS ve, list_contains(z, 'inversion') AS inv, len(c) AS chs, len(z) AS zs, list_contains(r, 'arm_large_arc_or_orbit') AS arc, list_contains(r, 'arm_reach_retract') AS reach,
+list_contains(r, 'hand_head_proximity') AS head, list_contains(r, 'leg_lateral_cycle') AS lat, list_contains(r, 'body_level_low') AS lev, list_contains(r, 'floor_low_horizontal_support') AS fl, list_contains(r, 'inverted_support') AS isu FROM k WHERE n >= 2 AND cases >= 2),
+g AS (SELECT symbol, n, cases, round(ln(1 + cases) + 0.35 * chs + 0.55 * zs - 1.5 * (zs <= 1)::INT + 1.25 * (up AND ve)::INT + (lo AND ve)::INT + 1.2 * (arc AND (lo OR ve OR lev))::INT + 0.9 * (reach AND (lo OR lev))::INT + 1.3 * (head AND lev)::INT + 1.25 * (lat AND up)::INT + 0.9 * (lat AND ve)::INT
++ 0.9 * (lev AND up)::INT + 1.3 * (fl OR isu)::INT + 1.3 * (isu AND (up OR lo OR inv))::INT + (fl AND up)::INT, 6) AS score FROM f)
+SELECT symbol, n, cases, score FROM g WHERE score >= 2.5 ORDER BY score DESC, cases DESC, n DESC, symbol LIMIT 40""")
+def mine08_structure_selection(spark, sf_dir):
+    """The 40 symbols that a structure score ranks first, of those with two cases."""
+    marks = {"arm_large_arc_or_orbit": ["arm_trajectory"], "arm_reach_retract": ["arm_reach"], "hand_head_proximity": ["hand_proximity"], "leg_lateral_cycle": ["leg_lateral"], "body_level_low": ["body_level"], "floor_low_horizontal_support": ["body_support", "floor_support"], "inverted_support": ["body_support", "inverted_support"]}
+    own = [F.when(F.array_contains("roles", role), m) for role, ms in marks.items() for m in ms]
+    stats = body_sets(spark, sf_dir).select(F.array_join("roles", "+").alias("symbol"), "n", "cases", F.size("channels").alias("channels"), "zones", F.array_distinct(F.array_compact(F.array(*own))).alias("marks"))
+    return D.select_coordination(stats, 40, 2, 2, D.STRUCTURE_WEIGHTS, 2.5).select("symbol", "n", "cases", "score")
 
 
 @query("""WITH n AS (SELECT p_brand || '/' || p_size AS node, list(DISTINCT p_name) AS l FROM part GROUP BY 1), c AS (SELECT p_type || '/' || p_size AS component, list(DISTINCT p_name) AS l FROM part GROUP BY 1)

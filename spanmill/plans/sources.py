@@ -178,3 +178,35 @@ def udf04_sidecar_detectors(spark, sf_dir):
     d = frames(spark, sf_dir).select("case_id", "frame", "value", (F.col("value") - F.lag("value").over(w)).alias("d"), F.avg("value").over(w.rowsBetween(-3, 0)).alias("m"))
     hits = F.array_compact(F.array(F.when(F.abs("d") > 150, "jump"), F.when(F.col("m") > 90, "plateau"), F.when(F.col("value") < 0.5, "floor")))
     return d.select("case_id", "frame", F.explode(hits).alias("detector"))
+
+
+DETECTORS = (G.StateDetector("surge", 60.0, False, 4, 2, 20.0, 5, 6), G.StateDetector("lull", 45.0, True, 8, 1, 20.0, 5, 12))
+
+
+def _state_sql(d: G.StateDetector) -> str:
+    v, cut = ("value", d.threshold) if d.below else ("-value", -d.threshold)
+    return f"""(WITH {FR}, v AS (SELECT case_id, frame, {v} AS v FROM fr), h AS (SELECT case_id, frame, frame - row_number() OVER (PARTITION BY case_id ORDER BY frame) AS i FROM v WHERE v <= {cut}),
+r AS (SELECT case_id, min(frame) AS s, max(frame) AS e FROM h GROUP BY case_id, i HAVING count(*) >= {d.min_run}), m AS (SELECT *, CASE WHEN s - lag(e) OVER (PARTITION BY case_id ORDER BY s) <= {d.merge_gap} THEN 0 ELSE 1 END AS new FROM r),
+c AS (SELECT case_id, min(s) AS s, max(e) AS e, sum(new) AS n FROM m GROUP BY 1), g AS (SELECT case_id, quantile_cont(v, 0.9) - quantile_cont(v, 0.1) AS d, min(frame) AS f, max(frame) AS l FROM v GROUP BY 1 HAVING d >= {d.min_delta}),
+b AS (SELECT case_id, s, e, n, d, f, l, (SELECT min(v) FROM v WHERE v.case_id = c.case_id AND frame BETWEEN s AND e) AS low, (SELECT max(v) FROM v WHERE v.case_id = c.case_id AND frame BETWEEN s - {d.window} AND s - 1) AS p, (SELECT max(v) FROM v WHERE v.case_id = c.case_id AND frame BETWEEN e + 1 AND e + {d.window}) AS q FROM c JOIN g USING (case_id))
+SELECT case_id, '{d.name}' AS detector, 'repeated' AS kind, s, e, round(d, 6) AS magnitude, CAST(n AS BIGINT) AS count FROM b WHERE n > 1
+UNION ALL SELECT case_id, '{d.name}', CASE WHEN e - s + 1 >= {d.hold} THEN 'held' ELSE 'brief' END, s, e, round(greatest(0, {cut} - low), 6), 1 FROM b WHERE n = 1
+UNION ALL SELECT case_id, '{d.name}', 'enter', greatest(s - {d.window}, f), s, round(p - low, 6), 1 FROM b WHERE n = 1 AND p - low >= {d.min_delta}
+UNION ALL SELECT case_id, '{d.name}', 'leave', e, least(e + {d.window}, l), round(q - low, 6), 1 FROM b WHERE n = 1 AND q - low >= {d.min_delta})"""
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM {_state_sql(d)}" for d in DETECTORS))
+def udf04_state_sidecars(spark, sf_dir):
+    """States of the raw signal that are repeated, held, entered and left, as events."""
+    own = frames(spark, sf_dir)
+    first, second = (G.state_events(own, d) for d in DETECTORS)
+    return first.unionByName(second).withColumn("magnitude", F.round("magnitude", 6))
+
+
+@query(f"""WITH {FR}, h AS (SELECT case_id, frame, value >= 50 AS up, frame - row_number() OVER (PARTITION BY case_id, value >= 50 ORDER BY frame) AS i FROM fr WHERE value >= 50 OR value <= 25), r AS (SELECT case_id, up, min(frame) AS s, max(frame) AS e FROM h GROUP BY case_id, up, i HAVING count(*) >= 2),
+lo AS (SELECT * FROM r WHERE NOT up), hi AS (SELECT * FROM r WHERE up), n AS (SELECT a.case_id, a.up, a.s, a.e, min(b.s) AS ns, min_by(b.e, b.s) AS ne FROM r a JOIN r b ON a.case_id = b.case_id AND a.up != b.up AND b.s >= a.e AND b.s - a.e <= 6 GROUP BY ALL)
+SELECT case_id, 'low' AS kind, s, e FROM lo UNION ALL SELECT lo.case_id, 'down', max(hi.e), lo.s FROM lo JOIN hi ON lo.case_id = hi.case_id AND hi.e <= lo.s AND lo.s - hi.e <= 6 GROUP BY lo.case_id, lo.s UNION ALL SELECT case_id, 'up', e, ns FROM n WHERE NOT up
+UNION ALL SELECT a.case_id, CASE WHEN a.up THEN 'high_low_high' ELSE 'low_high_low' END, a.s, b.ne FROM n a JOIN n b ON a.case_id = b.case_id AND a.up != b.up AND b.s = a.ns""")
+def udf04_level_sidecars(spark, sf_dir):
+    """Low runs of the raw signal, the ways down and up and the cycles, as events."""
+    return G.level_events(frames(spark, sf_dir), 25.0, 50.0, 2, 6)

@@ -355,3 +355,58 @@ def test_two_stage_motifs(spark):
     got = sorted((r.stage, r["rank"], r.motif, r.n, r.cases) for r in Q.two_stage_motifs(own, packets, 4).collect())
     assert got == [("channel", 1, "a+b", 3, 2), ("coordination", 1, "x+y", 2, 2)]
     assert Q.two_stage_motifs(own.limit(0), packets.limit(0), 4).count() == 0
+
+
+def test_state_events_by_hand(spark):
+    signals = {
+        1: [9, 9, 9, 1, 1, 1, 9, 9, 9, 9],  # one run of three
+        2: [1, 1, 9, 9, 9, 9, 1, 2, 9, 9],  # two runs
+        3: [1, 1, 9, 1, 1, 9, 9, 9, 9, 9],  # two runs a frame apart are one
+        4: [5, 5, 5, 5, 5, 5, 5, 5, 5, 5],  # never low
+        5: [1, 1, 1, 1, 1, 1, 1, 1, 1, 1],  # low, but does not move
+        6: [9, 9, 9, 1, 9, 9, 9, 9, 9, 9],  # too short
+    }
+    df = spark.createDataFrame([(c, f, float(v)) for c, own in signals.items() for f, v in enumerate(own)], "case_id long, frame long, value double")
+    spec = G.StateDetector("near", 2.0, True, 2, 2, 3.0, 2, 3)
+    got = {(r.case_id, r.kind, r.s, r.e, r.magnitude, r["count"]) for r in G.state_events(df, spec).collect()}
+    assert got == {(1, "held", 3, 5, 1.0, 1), (1, "enter", 1, 3, 8.0, 1), (1, "leave", 5, 7, 8.0, 1), (2, "repeated", 0, 7, 8.0, 2), (3, "held", 0, 4, 1.0, 1), (3, "leave", 4, 6, 8.0, 1)}
+    above = G.state_events(df.withColumn("value", 10 - F.col("value")), G.StateDetector("far", 8.0, False, 2, 2, 3.0, 2, 3))
+    assert {(r.case_id, r.kind, r.s, r.e, r.magnitude, r["count"]) for r in above.collect()} == got
+    assert G.state_events(df.where("case_id > 9"), spec).count() == 0
+
+
+def test_level_events_by_hand(spark):
+    own = [8, 8, 5, 1, 1, 5, 8, 8, 1, 1, 5, 5, 5, 5, 8, 8]
+    df = spark.createDataFrame([(1, f, float(v)) for f, v in enumerate(own)], "case_id long, frame long, value double")
+    got = {(r.kind, r.s, r.e) for r in G.level_events(df, 2.0, 7.0, 2, 3).collect()}
+    assert got == {("low", 3, 4), ("low", 8, 9), ("down", 1, 3), ("down", 7, 8), ("up", 4, 6), ("low_high_low", 3, 9), ("high_low_high", 0, 7)}
+
+
+def test_itemset_scopes_by_hand(spark):
+    rows = [
+        (1, ["left_arm", "left_leg"], ["lower", "upper"], ["arm_vertical_cycle"], 1),
+        (2, ["left_arm", "right_arm"], ["upper"], [], 30),
+        (3, ["left_arm"], ["upper"], ["arm_reach_retract"], 3),
+        (4, ["body", "left_arm"], ["support", "upper"], ["hand_floor_low_support"], 3),
+        (5, [], [], [], 3),
+    ]
+    df = spark.createDataFrame(rows, "id int, channels array<string>, zones array<string>, roles array<string>, cases long")
+    got = {r.id: (r.score, r.scope, r.kind) for r in D.itemset_scope(df, 20, 2).collect()}
+    log = lambda n: float(np.log1p(n))
+    assert got == {
+        1: (round(log(1) + 1.5 + 0.3 + 1.8 + 0.8, 4), "upper_lower_coordination_component", "below_threshold"),
+        2: (round(log(30) + 0.75 + 0.3 + 0.6, 4), "bilateral_upper_component", "high_support"),
+        3: (round(log(3) + 0.75 + 0.15 - 1.6, 4), "local_or_ambiguous_component", "below_threshold"),
+        4: (round(log(3) + 1.5 + 0.3 + 1.6 + 1.0, 4), "floor_prone_or_mime_candidate", "high_specificity"),
+        5: (round(log(3), 4), "local_or_ambiguous_component", "below_threshold"),
+    }
+
+
+def test_coordination_by_support_and_by_structure(spark):
+    rows = [("a", 9, 3, 1, ["root"], ["gait"]), ("b", 4, 4, 2, ["upper", "vertical"], []), ("c", 8, 4, 2, ["lower", "vertical"], ["gait"]), ("d", 9, 1, 2, ["upper", "vertical"], [])]
+    df = spark.createDataFrame(rows, "symbol string, n long, cases long, channels int, zones array<string>, marks array<string>")
+    assert [r.symbol for r in D.select_coordination(df, 2, least_cases=2).collect()] == ["c", "b"]
+    best = [(r.symbol, r.score) for r in D.select_coordination(df, 9, weights=D.STRUCTURE_WEIGHTS).collect()]
+    score = lambda cases, weights: round(float(np.log1p(cases)) + 0.7 + 1.1 + weights, 6)
+    assert best == [("b", score(4, 1.25)), ("d", score(1, 1.25))]
+    assert [r.symbol for r in D.select_coordination(df, 9, weights=D.STRUCTURE_WEIGHTS, least_score=-9.0).collect()] == ["b", "d", "c", "a"]
