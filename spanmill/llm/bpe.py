@@ -8,8 +8,9 @@ are updated. A merge of rank r only gives rise to pairs of a higher rank, so one
 pass over the ascending ranks yields what word-by-word encoding would.
 
 The vocabulary and merges come from a tokenizer file given by path; they are
-read on the driver and broadcast: 2 ** 16 ids at most, as the index packs a
-pair into 32 bits, which bounds the broadcast.
+read on the driver and broadcast: ``MOST_IDS`` ids at most, which bounds the
+broadcast. A file that asks for anything but plain byte-level BPE (a normalizer,
+another split, stripping added tokens, ...) is refused, not read in part.
 
 Defined results: a null text is an empty one; empty texts have no ids. Texts of
 any length are encoded whole. Strings of added tokens inside a text become those
@@ -39,6 +40,8 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p
 #: Text that a task splits at once, and the distinct pre-tokens it remembers between runs of documents.
 RUN_CHARS, KEPT = 6 << 20, 400_000
 NONE = np.int32(-1)
+#: Ids of a vocabulary; a pair of them is packed into 64 bits.
+MOST_IDS = 1 << 22
 
 
 def byte_letters() -> dict[str, int]:
@@ -49,15 +52,31 @@ def byte_letters() -> dict[str, int]:
     return letters
 
 
+def unsupported(own: dict) -> list[str]:
+    """What a tokenizer file asks for that is not done here."""
+    model, split, back = own["model"], own.get("pre_tokenizer") or {}, own.get("decoder") or {}
+    asks = {
+        "a normalizer": own.get("normalizer"),
+        "another model than BPE": model.get("type", "BPE") != "BPE",
+        "another split than byte-level": split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True),
+        "another decoder than byte-level": back.get("type") != "ByteLevel",
+        **{k: model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")},
+        **{f"added tokens with {k}": any(t.get(k) for t in own.get("added_tokens", ())) for k in ("single_word", "lstrip", "rstrip")},
+    }
+    return [what for what, asked in asks.items() if asked]
+
+
 def load(path: str) -> dict:
     """What encoding and decoding need of a tokenizer file."""
     with open(path, encoding="utf-8") as f:
         own = json.load(f)
+    if unsupported(own):
+        raise ValueError(f"not plain byte-level BPE: {', '.join(unsupported(own))}")
     ids, merges, letters = own["model"]["vocab"], own["model"]["merges"], byte_letters()
     merges = [m.split(" ") if isinstance(m, str) else m for m in merges]
     added = {t["content"]: t["id"] for t in own["added_tokens"]}
-    if max([*ids.values(), *added.values()]) >= 1 << 16:
-        raise ValueError("more than 65,536 ids")
+    if max([*ids.values(), *added.values()]) >= MOST_IDS:
+        raise ValueError(f"more than {MOST_IDS} ids")
     pieces = {i: bytes(letters[c] for c in token) for token, i in ids.items()} | {i: t.encode() for t, i in added.items()}
     return {
         "byte_id": np.array([ids[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])], np.int32),
@@ -74,7 +93,7 @@ class Encoder:
 
     def __init__(self, model: dict):
         self.model = model
-        key = model["left"] << 16 | model["right"]
+        key = model["left"] << 32 | model["right"]
         order = np.argsort(key, kind="stable")
         key, first = np.unique(key[order], return_index=True)
         self.keys, self.ranks = key, order[first].astype(np.int32)
@@ -86,7 +105,7 @@ class Encoder:
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair, or -1."""
-        key = a.astype(np.int64) << 16 | b
+        key = a.astype(np.int64) << 32 | b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], NONE)
 

@@ -1,6 +1,7 @@
 """Text operators against brute force, with empty tables, nulls, repeated rows, long texts and clashing columns."""
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -456,3 +457,22 @@ def test_null_ids_and_repeated_rows(spark):
     assert recompression.remove_repeats(df).count() == bpe.round_trip(df, tokenizer()).count() == flac.features(flac.encode(df)).count() == 5
     assert licenses.scan(df).count() == pii.replace_documents(df).count() == 5
     assert mixing.select_documents(df, mixing.Plan(share=(2, 1))).count() >= 5
+
+
+def test_bpe_with_large_ids_and_other_tokenizers(tmp_path):
+    """Ids above 16 bits give the same merges; files of another kind are refused."""
+    with open(tokenizer(), encoding="utf-8") as f:
+        own = json.load(f)
+    texts = ["the same words, the same ids", "Straße 12 über — \U0001f600", "", "x<|endoftext|>y"]
+    plain = bpe.Encoder(bpe.load(tokenizer()))
+    own["model"]["vocab"] = {k: v + 100_000 for k, v in own["model"]["vocab"].items()}
+    own["added_tokens"] = [{**t, "id": t["id"] + 100_000} for t in own["added_tokens"]]
+    (tmp_path / "large.json").write_text(json.dumps(own), encoding="utf-8")
+    large = bpe.Encoder(bpe.load(str(tmp_path / "large.json")))
+    for a, b in zip(plain.encode(texts), large.encode(texts), strict=True):
+        assert (np.frombuffer(a, "<u4") + 100_000).tolist() == np.frombuffer(b, "<u4").tolist()
+        assert plain.decode(a) == large.decode(b)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": {**own["model"], "end_of_word_suffix": "</w>"}}):
+        (tmp_path / "other.json").write_text(json.dumps({**own, **change}), encoding="utf-8")
+        with pytest.raises(ValueError, match="not plain byte-level BPE"):
+            bpe.load(str(tmp_path / "other.json"))
