@@ -38,6 +38,8 @@ from .common import runs_of, stored
 BLOCK, GROUP, UNIT = 512, 2048, 64
 ORDER, PRECISION, SHIFT = 4, 11, 8  # of the linear predictor that the encoder tries
 RATE = 8000
+#: The writer's options for the media column: pages large enough to hold copies that stand together.
+PAGES = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(8 << 20)}
 # Coefficients of the format's fixed predictors by order, latest sample first.
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 
@@ -449,7 +451,7 @@ def written(docs: DataFrame) -> DataFrame:
 
     Rows of a partition are put in order of their texts and pages compressed, so that copies, whose streams are equal, cost little.
     """
-    return stored(encode(docs.sortWithinPartitions("text")), "media", compression="zstd")
+    return stored(encode(docs.sortWithinPartitions("text")), "media", **PAGES)
 
 
 #: What a stream that is damaged, cut short or of another kind raises.
