@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..sources.store import stored
 from .folds import folded
+from .greedy import exclusive
+from .sweeps import sessions, swept
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -105,12 +107,12 @@ def greedy_cover(hits: DataFrame, truth: DataFrame, floor: float, most: int) ->
 def abstracted(events: DataFrame, theta: float = 0.6) -> DataFrame:
     """(case_id, event_id, channel, s, e, support): of events of one channel that overlap by ``theta`` of the shorter, the first in the order of length, value and id stands for the rest.
 
-    Events meet only within a run of overlapping ones, so each run is a group of its own.
+    Events meet only within a run of overlapping ones. A run of one event needs no
+    fold; the others are dealt by run and swept.
     """
-    order = Window.partitionBy("case_id", "channel").orderBy("s", "e", "event_id")
-    seen = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = events.select("case_id", "event_id", "channel", "s", "e", "value").withColumn("new", F.when(seen.isNull() | (F.col("s") > seen), 1).otherwise(0))
-    runs = marked.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
+    own = events.select("case_id", "event_id", "channel", "s", "e", "value")
+    runs = sessions(own, ["case_id", "channel"], 0, ["s", "e", "event_id"])
+    runs = stored(runs.withColumn("size", F.count("*").over(Window.partitionBy("case_id", "channel", "session"))), "runs")
 
     def fold(own: list[dict]) -> list[dict]:
         kept: list[dict] = []
@@ -124,7 +126,8 @@ def abstracted(events: DataFrame, theta: float = 0.6) -> DataFrame:
         return [{c: k[c] for c in ("case_id", "event_id", "channel", "s", "e", "support")} for k in kept]
 
     schema = "case_id long, event_id long, channel string, s long, e long, support long"
-    return folded(runs, ["case_id", "channel", "run"], fold, schema)
+    alone = runs.where("size = 1").select("case_id", "event_id", "channel", "s", "e", F.lit(1).cast("long").alias("support"))
+    return alone.unionByName(swept(runs.where("size > 1").drop("size"), ["case_id", "channel", "session"], [], fold, schema))
 
 
 def compatible(edits: DataFrame, tolerance: int, most: int) -> DataFrame:
@@ -143,14 +146,5 @@ def compatible(edits: DataFrame, tolerance: int, most: int) -> DataFrame:
 
 def one_to_one(pairs: DataFrame) -> DataFrame:
     """Pairs (case_id, l_s, l_id, r_id, ov, gap, dur) so that each left event, in time order, takes the best right one (overlap, smaller gap, longer) that no earlier one took."""
-
-    def fold(own: list[dict]) -> list[dict]:
-        used, out, last = set(), [], None
-        for r in sorted(own, key=lambda r: (r["l_s"], r["l_id"], -r["ov"], r["gap"], -r["dur"], r["r_id"])):
-            if r["l_id"] != last and r["r_id"] not in used:
-                last = r["l_id"]
-                used.add(r["r_id"])
-                out.append(r)
-        return out
-
-    return folded(pairs, ["case_id"], fold, pairs.schema)
+    order = [F.col("l_s"), F.col("l_id"), -F.col("ov"), F.col("gap"), -F.col("dur"), F.col("r_id")]
+    return exclusive(pairs, [["case_id", "l_id"], ["case_id", "r_id"]], order)

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import aliases as A
+from ..operators import assembly as B
 from ..operators import decisions as D
+from ..operators import merging as P
 from ..operators import metrics as M
 from ..operators import mining as X
 from ..operators import sequences as Q
 from ..operators import spans as S
 from ..registry import query
 from ..sources.adapters import BASKET, EV, FR, baskets, frames, spans, table
+from ..sources.store import stored
 from .joins import NAMES, REL, WITH
 
 SEQ = f"{FR}, q0 AS (SELECT case_id, '<' || string_agg(sym, '><' ORDER BY frame) || '>' AS seq FROM fr GROUP BY 1)"
@@ -39,6 +43,13 @@ def mine01_learn_merges_by_support(spark, sf_dir):
     return spark.createDataFrame([(m.step, m.a, m.b, m.n, m.cases) for m in merges], "step int, a string, b string, n long, cases long")
 
 
+@query(f"WITH {SEQ}{learned(8, least=3)} " + " UNION ALL ".join(f"SELECT {k} AS step, a, b, n, cases FROM b{k}" for k in range(1, 9)))
+def mine01_indexed_merges(spark, sf_dir):
+    """Eight merges by an index from pairs to blocks of sequences: each step reads the blocks that hold its pair."""
+    merges, _ = P.learn_merges(Q.sequences(frames(spark, sf_dir)), 8, 3, blocks=32)
+    return spark.createDataFrame([(m.step, m.a, m.b, m.n, m.cases) for m in merges], "step int, a string, b string, n long, cases long")
+
+
 @query(f"WITH {SEQ} SELECT case_id, replace(seq, '<view><click>', '<view+click>') AS pair, replace(seq, '<error><error>', '<error+error>') AS twin FROM q0")
 def mine02_replace_pair(spark, sf_dir):
     seq = F.col("seq")
@@ -296,6 +307,23 @@ def mine25_action_assembly(spark, sf_dir):
     return ev.join(covered, "event_id", "left").select("event_id", F.when(anchor, F.col("event_id")).otherwise(F.col("action")).alias("action"), role.alias("role"))
 
 
+STAGES = [
+    [B.Emitter("order", ("purchase",), 20.0, needs=(B.Near(("click", "view"), most_gap=6),), unless=(B.Near(("error",), 0.5),), covers=(B.Near(("click", "view"), 0.3, 4),))],
+    [B.Emitter("trouble", ("error",), 30.0, covers=(B.Near(("error", "view"), 0.5, 1),)), B.Emitter("tour", ("view",), 60.0, covers=(B.Near((), 0.6),)), B.Emitter("look", ("view", "click"), 5.0, 60.0, covers=(B.Near(("signup",), most_gap=2),))],
+    [B.Emitter("rest", (), 2.0, fallback=True, covers=(B.Near(most_gap=0),))],
+]
+HIDES = {"order": ("look", "rest"), "trouble": ("tour",)}
+
+
+@query()
+def mine25_ordered_emitters(spark, sf_dir):
+    """Events as actions by three stages of emitters, and those left over."""
+    ev = spans(spark, sf_dir)
+    actions = stored(B.assembled(ev, STAGES, HIDES), "actions")
+    rows = actions.select("event_id", "action", "hidden_by", F.array_join(F.transform("covered", lambda x: x.cast("string")), ",").alias("covered"))
+    return rows.unionByName(B.residual(ev, actions).select("event_id", F.lit("residual").alias("action"), F.lit(None).cast("string").alias("hidden_by"), F.lit("").alias("covered")))
+
+
 STATS = f"""WITH {BASKET}, st AS (SELECT item, count(*) AS n, count(DISTINCT case_id) AS cases, max(k) / sum(k) AS purity FROM (SELECT item, case_id, count(*) AS k FROM basket GROUP BY ALL) GROUP BY 1)"""
 
 
@@ -467,13 +495,35 @@ def mine40_family_status(spark, sf_dir):
     return flags.select("source", F.when(F.col("a"), "blocked_secret").when(F.col("b"), "blocked_contact").when(F.col("c"), "blocked_length").otherwise("clear").alias("status"))
 
 
-@query("""WITH r AS (SELECT d.doc_id, d.source, l.alias FROM documents d JOIN (VALUES ('licence', 'licen[sc]e'), ('mail', '@mail'), ('token', 'token =')) l(alias, p) ON regexp_matches(d.text, '(?i)' || l.p)),
-a AS (SELECT doc_id, source, alias, row_number() OVER (PARTITION BY source, alias ORDER BY doc_id) AS k FROM r) SELECT source, alias, doc_id FROM a WHERE k = 1""")
+ALIASES = [
+    A.AliasRule("sale", ("licen[sc]e", "price|cost"), ("purchase", "click"), ("warranty",), "trade", 3, 5, 0.9),
+    A.AliasRule("offer", ("price|cost|the",), ("purchase",), (), "trade", None, 4, 0.8),
+    A.AliasRule("browse", ("the|der|le|el",), ("view", "click"), (), "", 2, 3, 0.6),
+    A.AliasRule("search", ("and|und|et|y",), ("click", "view"), ("token =",), "look", None, 3, 0.7),
+    A.AliasRule("failure", ("@mail", "error|fehler"), ("error",), (), "fault", None, 2, 0.5),
+    A.AliasRule("breakdown", ("a",), ("error", "signup"), (), "fault", 6, 1, 0.5),
+]
+
+
+def alias_sql() -> str:
+    """The rules one after another: each takes the best action left in a case whose group is free."""
+    out = f"WITH {EV}, act AS (SELECT case_id, event_id AS action_id, channel, e - s AS n, value / 200 AS sure, s FROM ev WHERE value >= 1), u0 AS (SELECT NULL::BIGINT AS case_id, NULL::BIGINT AS action_id, '' AS alias, '' AS grp, 0.0::DOUBLE AS confidence, 0 AS priority WHERE false)"
+    for k, r in enumerate(A.ranked(ALIASES), 1):
+        rank = "CASE channel " + "".join(f"WHEN '{f}' THEN {i} " for i, f in enumerate(r.families)) + "END"
+        unless = f"AND NOT regexp_matches(lower(text), '{'|'.join(r.unless)}')" if r.unless else ""
+        out += f""", c{k} AS (SELECT * FROM act WHERE {rank} IS NOT NULL AND n >= {r.least_count or 0} AND case_id IN (SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '{'|'.join(r.patterns)}') {unless}) AND action_id NOT IN (SELECT action_id FROM u{k - 1})
+AND case_id NOT IN (SELECT case_id FROM u{k - 1} WHERE grp = '{r.group or r.alias}') QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY {rank}, sure DESC, n DESC, s, action_id) = 1),
+u{k} AS (SELECT * FROM u{k - 1} UNION ALL SELECT case_id, action_id, '{r.alias}', '{r.group or r.alias}', round(least(0.92, greatest(sure, 0.1) * {max(r.confidence, 0.1)}), 4), {r.priority} FROM c{k})"""
+    return f"{out} SELECT case_id, action_id, alias, confidence, priority FROM u{len(ALIASES)}"
+
+
+@query(alias_sql())
 def join17_alias_rules(spark, sf_dir):
-    """One document for each source and alias: an alias group is exclusive, so the first compatible document by id takes it."""
-    rules = {"licence": "licen[sc]e", "mail": "@mail", "token": "token ="}
-    hits = F.array_compact(F.array(*[F.when(F.col("text").rlike(f"(?i){p}"), a) for a, p in rules.items()]))
-    return table(spark, sf_dir, "documents").select("source", "doc_id", F.explode(hits).alias("alias")).groupBy("source", "alias").agg(F.min("doc_id").alias("doc_id"))
+    """Names from a user's document for the user's events: a name's group is given once, an event gets one name."""
+    ev = spans(spark, sf_dir)
+    actions = ev.select("case_id", F.col("event_id").alias("action_id"), F.col("channel").alias("family"), (F.col("e") - F.col("s")).alias("count"), (F.col("value") / 200).alias("confidence"), F.col("s").alias("start"), (F.col("value") >= 1).alias("visible"))
+    captions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), F.col("text").alias("caption"))
+    return A.attached(actions, captions, ALIASES)
 
 
 @query()

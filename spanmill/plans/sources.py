@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import rules as R
+from ..operators import joints as J
 from ..operators import signals as G
 from ..registry import query
 from ..sources import files as K
-from ..sources.adapters import EV, FR, frames, spans, table
+from ..sources.adapters import EV, FR, frames, joint_frames, spans, table
 from ..sources.store import new_folder
 
 
@@ -210,3 +211,19 @@ UNION ALL SELECT a.case_id, CASE WHEN a.up THEN 'high_low_high' ELSE 'low_high_l
 def udf04_level_sidecars(spark, sf_dir):
     """Low runs of the raw signal, the ways down and up and the cycles, as events."""
     return G.level_events(frames(spark, sf_dir), 25.0, 50.0, 2, 6)
+
+
+def joint_rules() -> dict:
+    """Cuts for the sample's vectors, whose coordinates are no metres."""
+    return {
+        "hand": J.StateRule(1.6, 1, 3, 5, 0.05, 4), "leg": J.StateRule(0.06, 1, 4, 5, 0.02, 2), "stance": J.StateRule(0.03, 2, 3, 5, 0.02, 3), "level": J.LevelRule(-0.5, 0.9, 1, 3, 1, 20, True), "support": J.SupportRule(1, 2, 0.2, 0.6, 0.05, 0.1),
+        "arm": J.ArmRule(2, 2, 0.2, 400.0, 0.45, 150.0, 0.8, 0.3, 0.5, 0.85), "reach": J.ReachRule(2, 2, 0.1, 0.15, 0.1, 0.5, 0.05),
+    }
+
+
+@query()
+def udf04_joint_detectors(spark, sf_dir):
+    """All seven detectors of joint positions over the vectors as frames of a body, in chunks of 16 frames."""
+    own = joint_frames(spark, sf_dir)
+    found = J.detected(own, J.wrist_over_shoulder(own), **joint_rules(), chunk=16)
+    return found.select("case_id", "detector", "side", "kind", "s", "e", F.round("magnitude", 5).alias("magnitude"), "unit", "count")

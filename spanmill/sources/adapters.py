@@ -53,3 +53,11 @@ def baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(case_id, node, caption): documents as captions of their source."""
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), F.col("source").alias("node"), F.col("text").alias("caption"))
+
+
+def joint_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(case_id, frame, joints): vectors as frames of 22 joints of three coordinates, in each label's order; the components beyond the vector's end are its first again."""
+    order = Window.partitionBy("label").orderBy("vec_id")
+    at = lambda k: F.col("embedding")[F.pmod(k, F.size("embedding"))].cast("double")
+    joints = F.transform(F.sequence(F.lit(0), F.lit(21)), lambda j: F.array(*[at(3 * j + k) for k in range(3)]))
+    return table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("case_id"), (F.row_number().over(order) - 1).cast("long").alias("frame"), joints.alias("joints"))
