@@ -18,31 +18,51 @@ def top(df: DataFrame, k: int, by: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= k).drop("_n")
 
 
+def magnitude_bin(v: Column, parts: int = 256) -> Column:
+    """A number that grows with ``v``: ``parts`` bins of equal width between two powers of two, so that far values cost a bin each and crowd no others."""
+    size = F.abs(v)
+    power = F.least(F.floor(F.log2(size)), F.lit(1023))
+    own = (power + 1100) * parts + F.floor((size / F.pow(F.lit(2.0), power) - 1) * parts)
+    return F.when(v == 0, F.lit(0).cast("long")).otherwise(F.signum(v) * F.when(size == float("inf"), F.lit(1 << 40)).otherwise(own)).cast("long")
+
+
+def _located(sizes: DataFrame, ranks: DataFrame, keys: list[str], bin_of: str) -> DataFrame:
+    """``ranks`` (keys, _r, _before...) with the bin that holds each rank; ``_before`` grows by what the bins before it hold."""
+    upto = sizes.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys).orderBy(bin_of)))
+    at = F.col("_r") - F.col("_before")
+    found = ranks.join(upto, keys).where((at < F.col("_upto")) & (at >= F.col("_upto") - F.col("_c")))
+    return found.withColumn("_before", F.col("_before") + F.col("_upto") - F.col("_c")).drop("_upto", "_c")
+
+
 def percentiles(df: DataFrame, by: list[str], value: str, shares: list[float], bins: int = 4096) -> DataFrame:
     """(by..., p1, p2, ...): exact percentiles of each group, linear between neighbours; null and NaN values are left out.
 
-    Counts by bin find the bins that the wanted ranks lie in; only their values are
-    put in order, so that no task holds a group.
+    Ranks are found by counts, twice: in bins by magnitude, then in ``bins`` bins of equal
+    width within those that hold a wanted rank. Only the values of the last bins are put
+    in order, equal ones as one row. Infinite values have bins of their own: a rank
+    between a finite and an infinite value gives the infinite one.
     """
+    keys = by or ["_one"]
     v = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*by, F.col(value).cast("double").alias("_v"))
-    ends = v.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
+    v = (v if by else v.withColumn("_one", F.lit(1))).withColumn("_bin", magnitude_bin(F.col("_v")))
+    sizes = v.groupBy(*keys, "_bin").agg(F.count("*").alias("_c"))
     wanted = F.array(*[F.struct(F.lit(k).alias("_k"), (F.lit(float(p)) * (F.col("_n") - 1)).alias("_at")) for k, p in enumerate(shares)])
-    bin_of = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins)).otherwise(0)
-    keys = by or ["_one"]
-    if not by:
-        v, ends = v.withColumn("_one", F.lit(1)), ends.withColumn("_one", F.lit(1))
-    binned = v.join(ends.select(*keys, "_lo", "_hi"), keys).select(*keys, "_v", bin_of.alias("_bin")).groupBy(*keys, "_bin", "_v").agg(F.count("*").alias("_c"))
-    sizes = binned.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_c"))
-    sizes = sizes.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_bin")))  # bins + 1 rows a group at most
-    asked = ends.select(*keys, F.inline(wanted)).join(sizes, keys)
-    asked = asked.where((F.floor("_at") < F.col("_upto")) & (F.ceil("_at") >= F.col("_upto") - F.col("_c"))).select(*keys, "_bin", "_k", "_at", (F.col("_upto") - F.col("_c")).alias("_before"))
-    placed = binned.join(asked.select(*keys, "_bin", "_before").distinct(), [*keys, "_bin"])
-    placed = placed.withColumn("_end", F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_bin").orderBy("_v")))
-    found = placed.drop("_before").join(asked, [*keys, "_bin"])
-    hit = lambda r: F.max(F.when((r < F.col("_end")) & (r >= F.col("_end") - F.col("_c")), F.col("_v")))
-    ends = found.groupBy(*keys, "_k", "_at").agg(hit(F.floor("_at")).alias("_low"), hit(F.ceil("_at")).alias("_high"))
-    values = ends.withColumn("_x", F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_at") - F.floor("_at")))
-    return values.groupBy(*keys).agg(*[F.max(F.when(F.col("_k") == k, F.col("_x"))).alias(f"p{k + 1}") for k in range(len(shares))]).select(*by, *[f"p{k + 1}" for k in range(len(shares))])
+    ranks = sizes.groupBy(*keys).agg(F.sum("_c").alias("_n")).select(*keys, F.inline(wanted))
+    ranks = ranks.select("*", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))).alias("_r"), F.lit(0).cast("long").alias("_before"))
+    first = _located(sizes, ranks, keys, "_bin")
+    cells = [*keys, "_bin"]
+    inside = v.join(first.select(*cells).distinct(), cells)
+    ends = inside.groupBy(*cells).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    sub = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins)).otherwise(0)
+    placed = inside.join(ends, cells).select(*cells, sub.alias("_sub"), "_v")
+    second = _located(placed.groupBy(*cells, "_sub").agg(F.count("*").alias("_c")), first, cells, "_sub")
+    last = [*cells, "_sub"]
+    values = placed.join(second.select(*last).distinct(), last).groupBy(*last, "_v").agg(F.count("*").alias("_c"))
+    found = _located(values, second, last, "_v").groupBy(*keys, "_k", "_at").agg(F.min_by("_v", "_r").alias("_low"), F.max_by("_v", "_r").alias("_high"))
+    between = F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_at") - F.floor("_at"))
+    x = F.when(F.col("_low") == F.col("_high"), F.col("_low")).when(F.col("_low") == float("-inf"), F.col("_low")).otherwise(between)
+    names = [f"p{k + 1}" for k in range(len(shares))]
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_k") == k, x)).alias(n) for k, n in enumerate(names)]).select(*by, *names)
 
 
 def share(part: Column, whole: Column) -> Column:

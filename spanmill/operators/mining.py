@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import stored
+from . import spans
 from .folds import folded
 from .greedy import exclusive
 from .sweeps import sessions, swept
@@ -25,6 +26,36 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
+def coactivations(events: DataFrame, theta: float) -> DataFrame:
+    """(packet, members, symbol, s, e): components of events of different channels that overlap by ``theta`` of the shorter; at least two channels."""
+    names = ("l_s", "l_e", "r_s", "r_e")
+    links = spans.near_pairs(events, events, 0).where("l_channel != r_channel AND l_event_id < r_event_id").where(spans.ratio(*names) >= theta)
+    packets = components(links.select(F.col("l_event_id").alias("a"), F.col("r_event_id").alias("b")))
+    own = packets.join(events, F.col("node") == F.col("event_id"))
+    out = own.groupBy(F.col("component").alias("packet")).agg(F.count("*").alias("members"), F.array_sort(F.collect_set("channel")).alias("c"), F.min("s").alias("s"), F.max("e").alias("e"))
+    return out.where(F.size("c") >= 2).select("packet", "members", F.array_join("c", "+").alias("symbol"), "s", "e")
+
+
+def anchored_packets(events: DataFrame, roles: dict[str, int], theta: float, grid: int) -> DataFrame:
+    """(case_id, anchor, role, s, e, symbol, members): each anchor with the event of every other channel that overlaps it most, by ``theta`` of the shorter.
+
+    ``roles`` gives the channels of anchors their priority. Of packets of a case with
+    one symbol whose ends fall in the same cells of ``grid`` units, the one of the
+    highest priority stays, then the earliest anchor, then the smaller id.
+    """
+    of = F.create_map(*[x for c, n in roles.items() for x in (F.lit(c), F.lit(n))])
+    pairs = spans.near_pairs(events.where(F.col("channel").isin(*roles)), events, 0).where("l_channel != r_channel").withColumn("ratio", spans.ratio("l_s", "l_e", "r_s", "r_e"))
+    best = spans.best_match(pairs.where(F.col("ratio") >= theta), ["l_event_id", "r_channel"], [F.desc("ratio"), F.asc("r_event_id")])
+    packets = best.groupBy("case_id", F.col("l_event_id").alias("anchor"), "l_channel").agg(
+        F.min("l_s").alias("at"), F.least(F.min("l_s"), F.min("r_s")).alias("s"), F.greatest(F.max("l_e"), F.max("r_e")).alias("e"), F.collect_list("r_channel").alias("c"), F.collect_list("r_event_id").alias("m")
+    )
+    join = lambda many, one, sep: F.array_join(F.array_sort(F.array_append(many, F.col(one))), sep)
+    rows = packets.select("case_id", "anchor", of[F.col("l_channel")].alias("role"), "at", "s", "e", join("c", "l_channel", "+").alias("symbol"), join("m", "anchor", ",").alias("members"))
+    cell = [F.floor(F.col(x) / grid) for x in ("s", "e")]
+    first = Window.partitionBy("case_id", "symbol", *cell).orderBy(F.desc("role"), "at", "anchor")
+    return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "at")
+
+
 def itemsets(tx: DataFrame, most: int, least: int) -> DataFrame:
     """(items, n, cases) of the sets of 2 to ``most`` items in ``least`` transactions (tx, case_id, item) at least.
 

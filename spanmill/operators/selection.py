@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
 from .folds import folded
 
 
@@ -135,3 +136,36 @@ def trimmed(rows: Column, budget: int) -> Column:
     upto = F.transform(by_worth, lambda x, i: F.struct(x.alias("x"), F.aggregate(F.slice(by_worth, 1, i + 1), F.lit(0), lambda t, y: (t + y["words"]).cast("int")).alias("upto")))
     kept = F.transform(F.filter(upto, lambda x: x["upto"] <= budget), lambda x: x["x"])
     return F.array_sort(kept, lambda a, b: F.when(a["pos"] < b["pos"], -1).otherwise(1))
+
+
+def numbered(df: DataFrame, order: list[Column], each: int = 200_000) -> DataFrame:
+    """``df`` with ``place``, from 1 in ``order`` (a total one): ranks within ranges of about ``each`` rows, then the ranges' offsets.
+
+    The ranges are written before their sizes are counted, so that both see the same
+    rows; what is added up in one task is a row for each range.
+    """
+    ranges = max(1, -(-df.count() // each))
+    ranged = stored(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.join(F.broadcast(before), "_range").withColumn("place", (F.col("_before") + rank).cast("long")).drop("_range", "_before")  # a row a range
+
+
+def overlapping_sets(sets: DataFrame, least: int, block: int = 256) -> DataFrame:
+    """(left_item, right_item, shared): pairs of items that at least ``least`` cases of ``sets`` (case_id, item) share, the smaller item left.
+
+    An item of fewer cases cannot be in such a pair and goes first. The items of a case
+    are dealt to blocks of about ``block``, and two blocks meet at a time, so that a case
+    with very many items is many keys. A pair's cases are counted where they are found
+    before they are shuffled.
+    """
+    own = sets.where("case_id IS NOT NULL AND item IS NOT NULL").select("case_id", "item").distinct()
+    often = own.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("item")
+    kept = stored(own.join(often, "item", "left_semi"), "sets")
+    sizes = kept.groupBy("case_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = kept.join(sizes, "case_id").withColumn("b", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select("case_id", "item", "b", F.least("b", "other").alias("lo"), F.greatest("b", "other").alias("hi"))
+    left, right = (dealt.select("case_id", "lo", "hi", F.col("item").alias(f"{side}_item"), F.col("b").alias(f"_{side}")) for side in ("left", "right"))
+    pairs = left.join(right, ["case_id", "lo", "hi"]).where("left_item < right_item AND least(_left, _right) = lo AND greatest(_left, _right) = hi")
+    return pairs.groupBy("left_item", "right_item").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import selection as C
+from ..operators import trees as Y
 from ..registry import query
 from ..sources.adapters import EV, FR, frames, spans, table
 
@@ -13,10 +15,7 @@ from ..sources.adapters import EV, FR, frames, spans, table
 def arr01_vocabulary(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     names = part.where("p_size > 10").select(F.col("p_name").alias("token")).distinct()
-    # Dense ids of a vocabulary: ranks within ranges, then offsets of the ranges, so that no task sorts it whole.
-    ranged = names.repartitionByRange(8, "token").withColumn("part", F.spark_partition_id())
-    sizes = ranged.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n"))
-    ids = ranged.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("token"))).join(F.broadcast(sizes), "part").select("token", (F.col("before") + F.col("k") + 1).alias("id"))  # 8 rows
+    ids = C.numbered(names, [F.asc("token")]).select("token", (F.col("place") + 1).alias("id"))
     return part.join(ids, F.col("token") == F.col("p_name"), "left").select("p_partkey", F.coalesce("id", F.lit(1)).cast("long").alias("id"))
 
 
@@ -77,15 +76,9 @@ TREE = "t AS (SELECT p_partkey AS id, CASE WHEN p_partkey < 5 THEN NULL ELSE p_p
 @query(f"""WITH RECURSIVE {TREE}, r AS (SELECT id AS leaf, id AS node, 1 AS depth, CAST(id AS VARCHAR) AS path FROM t UNION ALL SELECT leaf, parent, depth + 1, parent || '/' || path FROM r JOIN t ON t.id = r.node WHERE parent IS NOT NULL)
 SELECT leaf, max_by(path, depth) AS path FROM r GROUP BY 1""")
 def arr09_path_to_root(spark, sf_dir):
-    """Paths by doubling: each step joins what is known of a node with what is known of its topmost ancestor, so that depth d takes log2(d) joins; a node met twice ends a path (cycles)."""
+    """Paths by doubling: each round joins what is known of a node with what is known of the topmost ancestor it has reached."""
     t = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") >= 5, F.expr("p_partkey div 5")).alias("parent"))
-    paths = t.select("id", F.col("parent").alias("top"), F.array("id").alias("path"))
-    for _ in range(4):  # depths up to 16
-        above = paths.select(F.col("id").alias("top"), F.col("top").alias("next"), F.col("path").alias("more"))
-        joined = paths.join(above, "top", "left")
-        fresh = F.col("more").isNotNull() & ~F.arrays_overlap("path", F.coalesce("more", F.array().cast("array<bigint>")))
-        paths = joined.select("id", F.when(fresh, F.col("next")).alias("top"), F.when(fresh, F.concat("more", "path")).otherwise(F.col("path")).alias("path"))
-    return paths.select(F.col("id").alias("leaf"), F.array_join("path", "/").alias("path"))
+    return Y.paths_to_root(t).select(F.col("id").alias("leaf"), F.array_join("path", "/").alias("path"))
 
 
 @query(f"""WITH RECURSIVE {TREE}, r AS (SELECT id, id AS root, 0 AS depth FROM t WHERE parent IS NULL UNION ALL SELECT t.id, r.root, depth + 1 FROM r JOIN t ON t.parent = r.id) SELECT root, count(*) AS nodes, CAST(max(depth) AS BIGINT) AS depth FROM r GROUP BY 1""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import selection as C
 from ..operators import spans as S
 from ..registry import query
 from ..sources.adapters import BASKET, CAP, EV, baskets, captions, spans, table
@@ -173,9 +174,7 @@ def join13_membership_union(spark, sf_dir):
 
 @query(f"""WITH {BASKET}, i AS (SELECT DISTINCT case_id, item FROM basket) SELECT a.item AS left_item, b.item AS right_item, count(*) AS shared FROM i a JOIN i b ON a.case_id = b.case_id AND a.item < b.item GROUP BY ALL HAVING count(*) >= 20""")
 def join14_all_pairs_set_overlap(spark, sf_dir):
-    i = baskets(spark, sf_dir).select("case_id", "item").distinct()
-    pairs = i.withColumnRenamed("item", "left_item").join(i.withColumnRenamed("item", "right_item"), "case_id").where("left_item < right_item")
-    return pairs.groupBy("left_item", "right_item").agg(F.count("*").alias("shared")).where("shared >= 20")
+    return C.overlapping_sets(baskets(spark, sf_dir), 20)
 
 
 @query(f"""WITH {EV}, w AS (SELECT case_id, s // 168 AS week, list_distinct(list(channel)) AS have FROM ev GROUP BY ALL),
@@ -203,11 +202,11 @@ def join16_event_action_links(spark, sf_dir):
 
 
 @query("""SELECT n_name AS nation, coalesce(c, 0) AS customers, coalesce(s, 0) AS suppliers FROM nation LEFT JOIN (SELECT c_nationkey AS k, count(*) AS c FROM customer GROUP BY 1) ON k = n_nationkey
-LEFT JOIN (SELECT s_nationkey AS k2, count(*) AS s FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) ON k2 = n_nationkey""")
+LEFT JOIN (SELECT s_nationkey AS k2, count(*) AS s FROM supplier GROUP BY 1) ON k2 = n_nationkey""")
 def join18_group_lookup(spark, sf_dir):
     nation = table(spark, sf_dir, "nation")
     c = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("c"))
-    s = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").groupBy("s_nationkey").agg(F.count("*").alias("s"))
+    s = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("s"))
     joined = nation.join(c, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(s, F.col("s_nationkey") == F.col("n_nationkey"), "left")
     return joined.select(F.col("n_name").alias("nation"), F.coalesce("c", F.lit(0)).alias("customers"), F.coalesce("s", F.lit(0)).alias("suppliers"))
 
@@ -247,9 +246,9 @@ def join22_note_ledger(spark, sf_dir):
 
 
 @query(f"""WITH {CAP}, decided AS (SELECT source AS node, CASE WHEN avg(n_chars) > 2500 THEN 'long' ELSE 'short' END AS root FROM documents GROUP BY 1)
-SELECT node AS child, root AS parent, 'root' AS edge FROM decided UNION ALL SELECT CAST(case_id AS VARCHAR), node, 'member' FROM cap JOIN decided USING (node) WHERE length(caption) > 4000""")
+SELECT node AS child, root AS parent, 'root' AS edge FROM decided UNION ALL SELECT CAST(case_id AS VARCHAR), node, 'member' FROM cap JOIN decided USING (node)""")
 def join23_decision_overlay(spark, sf_dir):
     decided = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("node")).agg(F.when(F.avg("n_chars") > 2500, "long").otherwise("short").alias("root"))
     roots = decided.select(F.col("node").alias("child"), F.col("root").alias("parent"), F.lit("root").alias("edge"))
-    members = captions(spark, sf_dir).where(F.length("caption") > 4000).join(decided, "node")
+    members = captions(spark, sf_dir).join(decided, "node")
     return roots.unionByName(members.select(F.col("case_id").cast("string").alias("child"), F.col("node").alias("parent"), F.lit("member").alias("edge")))

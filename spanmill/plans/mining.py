@@ -84,11 +84,13 @@ def mine05_overlap_packets(spark, sf_dir):
     return packets(spark, sf_dir).select(F.col("node").alias("event_id"), F.col("component").alias("packet"))
 
 
-@query(f"""{REL.replace('WITH', 'WITH RECURSIVE', 1)}, {PACK} SELECT packet, count(*) AS members, string_agg(DISTINCT channel, '+' ORDER BY channel) AS symbol, min(s) AS s, max(e) AS e FROM pk JOIN ev ON event_id = node GROUP BY 1 HAVING count(DISTINCT channel) >= 2""")
+COACT = """lk AS (SELECT l_id AS a, r_id AS b FROM p WHERE l_ch <> r_ch AND ov / md >= 0.6), rc AS (SELECT DISTINCT a AS node, a AS reach FROM lk UNION SELECT node, b FROM rc JOIN lk ON reach = a), pk AS (SELECT node, min(reach) AS packet FROM rc GROUP BY 1)"""
+
+
+@query(f"""{WITH.replace('WITH', 'WITH RECURSIVE', 1)}, {COACT} SELECT packet, count(*) AS members, string_agg(DISTINCT channel, '+' ORDER BY channel) AS symbol, min(s) AS s, max(e) AS e FROM pk JOIN ev ON event_id = node GROUP BY 1 HAVING count(DISTINCT channel) >= 2""")
 def mine06_coactivation_components(spark, sf_dir):
-    own = packets(spark, sf_dir).join(spans(spark, sf_dir), F.col("node") == F.col("event_id"))
-    out = own.groupBy(F.col("component").alias("packet")).agg(F.count("*").alias("members"), F.array_sort(F.collect_set("channel")).alias("c"), F.min("s").alias("s"), F.max("e").alias("e"))
-    return out.where(F.size("c") >= 2).select("packet", "members", F.array_join("c", "+").alias("symbol"), "s", "e")
+    """Components of events of different channels that overlap by a share of their own, here 0.6 of the shorter."""
+    return X.coactivations(spans(spark, sf_dir), 0.6)
 
 
 ANCHOR = f"""{WITH}, bp AS (SELECT case_id, l_id, ls, le, r_ch, r_id FROM p WHERE l_ch = 'purchase' AND r_ch <> 'purchase' AND ov > 0 QUALIFY row_number() OVER (PARTITION BY l_id, r_ch ORDER BY ov / md DESC, r_id) = 1),
@@ -112,6 +114,18 @@ def mine07_anchored_packets(spark, sf_dir):
     return anchored(spark, sf_dir)
 
 
+ROLES = {"purchase": 3, "error": 2, "click": 1}
+_ROLES = "CASE l_ch " + "".join(f"WHEN '{c}' THEN {n} " for c, n in ROLES.items()) + "END"
+
+
+@query(f"""{WITH}, bp AS (SELECT case_id, l_id, ls, le, rs, re, {_ROLES} AS role, l_ch, r_ch, r_id FROM p WHERE {_ROLES} IS NOT NULL AND l_ch <> r_ch AND ov / md >= 0.4 QUALIFY row_number() OVER (PARTITION BY l_id, r_ch ORDER BY ov / md DESC, r_id) = 1),
+ap AS (SELECT case_id, l_id AS anchor, role, min(ls) AS began, least(min(ls), min(rs)) AS s, greatest(max(le), max(re)) AS e, array_to_string(list_sort(list_append(list(r_ch), l_ch)), '+') AS symbol, array_to_string(list_sort(list_append(list(r_id), l_id)), ',') AS members FROM bp GROUP BY case_id, l_id, role, l_ch)
+SELECT case_id, anchor, CAST(role AS INT) AS role, s, e, symbol, members FROM ap QUALIFY row_number() OVER (PARTITION BY case_id, symbol, s // 8, e // 8 ORDER BY role DESC, began, anchor) = 1""")
+def mine07_ranked_anchors(spark, sf_dir):
+    """Packets around anchors of several roles; of packets of one symbol and place that of the highest role stays."""
+    return X.anchored_packets(spans(spark, sf_dir), ROLES, 0.4, 8)
+
+
 @query(f"{ANCHOR}, c AS (SELECT symbol, count(*) AS n, count(DISTINCT case_id) AS cases FROM ax GROUP BY 1 ORDER BY cases DESC, n DESC, symbol LIMIT 6) SELECT anchor, coalesce('COORD[' || c.symbol || ']', 'rest') AS label FROM ax LEFT JOIN c USING (symbol)")
 def mine08_coordination_selection(spark, sf_dir):
     own = anchored(spark, sf_dir)

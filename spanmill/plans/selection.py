@@ -14,12 +14,8 @@ from ..sources.adapters import BASKET, EV, baskets, spans, table
 @query("SELECT p_brand, p_type, p_size, p_partkey, row_number() OVER (ORDER BY p_brand DESC, p_type, p_size DESC, p_partkey) AS place FROM part")
 def sort01_multi_key_sort(spark, sf_dir):
     order = [F.desc("p_brand"), F.asc("p_type"), F.desc("p_size"), F.asc("p_partkey")]
-    # Brands are few and in order: places are counted within a brand and type, after all that come before it.
     part = table(spark, sf_dir, "part").select("p_brand", "p_type", "p_size", "p_partkey")
-    sizes = part.groupBy("p_brand", "p_type").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("p_brand"), "p_type")) - F.col("n")).drop("n")
-    place = F.col("before") + F.row_number().over(Window.partitionBy("p_brand", "p_type").orderBy(F.desc("p_size"), "p_partkey"))
-    return part.join(before, ["p_brand", "p_type"]).withColumn("place", place.cast("long")).drop("before").orderBy(*order)
+    return C.numbered(part, order).orderBy(*order)
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
@@ -84,9 +80,11 @@ def sort10_capped_dedupe(spark, sf_dir):
 SELECT doc_id, round(score, 6) AS score, CASE WHEN score >= 0.5 AND n <= 10 THEN 'selected' WHEN score >= 0.5 THEN 'over_cap' WHEN score >= 0.35 THEN 'deferred' ELSE 'rejected' END AS verdict FROM k""")
 def sort11_score_screening(spark, sf_dir):
     score = 0.5 * F.least(F.col("n_chars") / 5000, F.lit(1.0)) + F.when(F.col("lang") == "en", 0.3).otherwise(0.1)
-    k = table(spark, sf_dir, "documents").withColumn("score", score).withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy(F.desc(F.round("score", 6)), "doc_id")))
-    verdict = F.when((F.col("score") >= 0.5) & (F.col("n") <= 10), "selected").when(F.col("score") >= 0.5, "over_cap").when(F.col("score") >= 0.35, "deferred").otherwise("rejected")
-    return k.select("doc_id", F.round("score", 6).alias("score"), verdict.alias("verdict"))
+    own = table(spark, sf_dir, "documents").select("doc_id", "source", score.alias("score"))
+    # The best ten of a source by a limit for each group, which tasks apply before they send rows; all others are told by their score alone.
+    first = M.top(own.where("score >= 0.5"), 10, ["source"], F.desc(F.round("score", 6)), F.asc("doc_id")).select("doc_id", F.lit(True).alias("first"))
+    verdict = F.when(F.col("first"), "selected").when(F.col("score") >= 0.5, "over_cap").when(F.col("score") >= 0.35, "deferred").otherwise("rejected")
+    return own.join(first, "doc_id", "left").select("doc_id", F.round("score", 6).alias("score"), verdict.alias("verdict"))
 
 
 @query("""WITH t AS (SELECT conv_id, turn, text, len(string_split(text, ' ')) AS words, length(text) AS salience FROM conversations), u AS (SELECT *, sum(words) OVER (PARTITION BY conv_id ORDER BY salience DESC, turn ROWS UNBOUNDED PRECEDING) AS upto FROM t)
@@ -128,10 +126,10 @@ def set01_case_sets(spark, sf_dir):
     return t.intersect(p).select(F.lit("tp").alias("side"), "doc_id").unionByName(t.subtract(p).select(F.lit("fn").alias("side"), "doc_id"))
 
 
-@query("""SELECT c_custkey AS id, 'customer' AS origin, c_acctbal AS balance, c_mktsegment AS segment FROM customer WHERE c_acctbal > 9000 UNION ALL SELECT s_suppkey, 'supplier', s_acctbal, NULL FROM supplier WHERE s_acctbal > 9000""")
+@query("""SELECT c_custkey AS id, 'customer' AS origin, c_acctbal AS balance, c_mktsegment AS segment FROM customer UNION ALL SELECT s_suppkey, 'supplier', s_acctbal, NULL FROM supplier""")
 def set02_union_with_provenance(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_custkey").alias("id"), F.lit("customer").alias("origin"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
-    s = table(spark, sf_dir, "supplier").where("s_acctbal > 9000").select(F.col("s_suppkey").alias("id"), F.lit("supplier").alias("origin"), F.col("s_acctbal").alias("balance"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit("customer").alias("origin"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("supplier").alias("origin"), F.col("s_acctbal").alias("balance"))
     return c.unionByName(s, allowMissingColumns=True)
 
 

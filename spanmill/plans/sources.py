@@ -79,13 +79,15 @@ def src07_zip_members(spark, sf_dir):
     return K.archive_members(spark, path).select(F.substring_index("archive", "/", -1).alias("archive"), "member", "bytes")
 
 
-RULE_FILE = {"axis": "trade", "min_score": 0.5, "groups": [{"name": "view", "weight": 0.3}, {"name": "purchase", "weight": 0.7}]}
-
-
-@query("SELECT * FROM (VALUES ('trade', 'view', 0.3::DOUBLE), ('trade', 'purchase', 0.7::DOUBLE)) t(axis, name, weight)")
+@query(f"""WITH {EV}, k AS (SELECT channel, count(*) AS n, sum(count(*)) OVER () AS total FROM ev GROUP BY 1) SELECT 'trade' AS axis, channel AS name, round(n / total, 6) AS weight FROM k""")
 def src05_json_document(spark, sf_dir):
+    """A rule document written from the events, one weight a channel, and read back as one document."""
+    shares = spans(spark, sf_dir).groupBy("channel").agg(F.count("*").alias("n"))
+    groups = F.array_sort(F.collect_list(F.struct(F.col("channel").alias("name"), "n")))  # a row a channel
+    total = F.aggregate("g", F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+    made = shares.agg(groups.alias("g")).select(F.struct(F.lit("trade").alias("axis"), F.lit(0.5).alias("min_score"), F.transform("g", lambda x: F.struct(x["name"].alias("name"), F.round(x["n"] / total, 6).alias("weight"))).alias("groups")).alias("doc"))
     path = new_folder(spark, "document")
-    spark.createDataFrame([(json.dumps(RULE_FILE, indent=1),)], "value string").coalesce(1).write.text(path)
+    made.select(F.to_json("doc", {"pretty": "true"}).alias("value")).write.text(path)
     schema = T.StructType.fromDDL("axis string, min_score double, groups array<struct<name:string,weight:double>>")
     return K.read_document(spark, path, schema).select("axis", F.inline("groups"))
 
@@ -120,11 +122,16 @@ def src09_flat_config(spark, sf_dir):
     return spans(spark, sf_dir).where(F.col("e") - F.col("s") + 1 <= config.most).agg(F.count("*").alias("n")).select(F.lit(config.mode).alias("mode"), "n")
 
 
-@query("SELECT * FROM (VALUES ('subset_a/screen/events_train', 'screen', 150::BIGINT), ('subset_a/screen/events_test_v2', 'screen', 30::BIGINT)) t(path, stage, \"rows\")")
+@query("""SELECT 'subset_a/screen/' || regexp_replace(lower(event_type), '[^a-z0-9]+', '_', 'g') || '_' || CASE WHEN user_id % 5 = 0 THEN 'test' ELSE 'train' END AS path, 'screen' AS stage, count(*) AS "rows" FROM events GROUP BY ALL""")
 def src10_artifact_registry(spark, sf_dir):
+    """Files written for each channel and split, entered one after another in the registry, which is read back."""
     registry = new_folder(spark, "registry")
-    K.register(spark, registry, [{"path": K.artifact_path("", "Subset A", "screen", "events", "train").lstrip("/"), "stage": "screen", "rows": 150}])
-    return K.register(spark, registry, [{"path": K.artifact_path("", "Subset A", "screen", "events", "test", "v2").lstrip("/"), "stage": "screen", "rows": 30}]).select("path", "stage", "rows")
+    split = F.when(F.col("user_id") % 5 == 0, "test").otherwise("train")
+    made = table(spark, sf_dir, "events").groupBy("event_type", split.alias("split")).agg(F.count("*").alias("n"))
+    out = None
+    for r in made.collect():  # a row for each artifact
+        out = K.register(spark, registry, [{"path": K.artifact_path("", "Subset A", "screen", r.event_type, r.split).lstrip("/"), "stage": "screen", "rows": r.n}])
+    return out.select("path", "stage", "rows")
 
 
 @query("""WITH c AS (SELECT count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events)) SELECT * FROM (SELECT 1 AS turn, 'miss_built' AS status, n FROM c UNION ALL SELECT 2, 'hit', n FROM c UNION ALL SELECT 3, 'miss_built', n FROM c UNION ALL SELECT 4, 'disabled', n FROM c)""")

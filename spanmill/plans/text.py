@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import lexicon as X
 from ..operators import metrics as M
 from ..registry import query
 from ..sources.adapters import CAP, captions, table
@@ -75,6 +76,29 @@ def str06_lexicon_lookup(spark, sf_dir):
     return found.select(F.col("w").alias("word"), "entry", F.when(F.col("kind") == 0, "exact").otherwise("lemma").alias("how"))
 
 
+PHRASES = f"""{TOK}, ph AS (SELECT conv_id * 1000 + turn AS id, array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[-\n\t]', ' ', 'g'), '[^a-z0-9'' ]', '', 'g'), ' +', ' ', 'g')), ' '), lambda w: w <> ''), ' ') AS phrase FROM conversations WHERE text IS NOT NULL),
+pw AS (SELECT id, phrase, string_split(phrase, ' ') AS ws FROM ph), sp AS (SELECT id, phrase, -1 AS narrow, 0 AS start, phrase AS part FROM pw""" + "".join(
+    f" UNION ALL SELECT id, phrase, {3 - n}, i, array_to_string(ws[i + 1:i + {n}], ' ') FROM (SELECT *, unnest(generate_series(0, len(ws) - {n})) AS i FROM pw WHERE len(ws) >= {n})" for n in (3, 2, 1)
+) + """), ps AS (SELECT * FROM sp WHERE narrow IN (-1, 2) OR part <> phrase), v AS (SELECT part AS w, {forms} AS forms FROM (SELECT DISTINCT part FROM ps)),
+tr AS (SELECT id, narrow, start, part, unnest(forms) AS term FROM ps JOIN v ON w = part), pl AS (SELECT id, term, CASE WHEN narrow = -1 AND term = part THEN 0 WHEN narrow = -1 THEN 1 WHEN narrow = 2 THEN 4 WHEN term <> part THEN 3 ELSE 2 END AS level,
+CASE WHEN narrow = -1 THEN 0 WHEN narrow = 2 THEN 2 ELSE 1 END AS g, narrow, start, CASE WHEN narrow = 2 THEN 0 WHEN term <> part THEN 1 ELSE 0 END AS b FROM tr WHERE term <> ''),
+fi AS (SELECT * FROM pl QUALIFY row_number() OVER (PARTITION BY id, term ORDER BY g, narrow, start, b, term) = 1),
+lex AS (SELECT w AS entry FROM (SELECT DISTINCT unnest(w) AS w FROM tok) WHERE length(w) BETWEEN 4 AND 6 UNION SELECT w[i] || ' ' || w[i + 1] FROM (SELECT w, unnest(generate_series(1, len(w) - 1)) AS i FROM tok) WHERE length(w[i]) BETWEEN 4 AND 6 AND length(w[i + 1]) BETWEEN 4 AND 6)
+SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY g, narrow, start, b, term) AS INT) AS rank, term AS entry, (['exact_phrase', 'simple_lemma_phrase', 'phrase_subspan', 'simple_lemma_subspan', 'token_or_token_lemma'])[level + 1] AS how FROM fi JOIN lex ON entry = term QUALIFY row_number() OVER (PARTITION BY id ORDER BY g, narrow, start, b, term) <= 5"""
+
+
+@query(PHRASES.replace("{forms}", LEM[LEM.index("list_distinct"):LEM.index(" AS forms")].replace("[w, ", "[part, ").replace(" w ", " part ").replace("(w)", "(part)").replace("(w,", "(part,").replace("w[", "part[")))
+def str06_ordered_lookup(spark, sf_dir):
+    """The first five entries for each turn: the whole phrase, its parts of three and two words, its words, each with base forms."""
+    raw = F.filter(F.split(T.normalized(F.col("text")), " "), lambda w: w != "")
+    phrases = table(spark, sf_dir, "conversations").where("text IS NOT NULL").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.array_join(raw, " ").alias("phrase"))
+    texts = captions(spark, sf_dir).select(T.tokens(T.normalized(F.col("caption"))).alias("w"))
+    short = lambda c: F.length(c).between(4, 6)
+    pairs = texts.select(F.inline(F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(0))).alias("b")))).where(short("a") & short("b")).select(F.concat_ws(" ", "a", "b").alias("entry"))
+    lexicon = distinct_words(spark, sf_dir).where(F.length("w").between(4, 6)).select(F.col("w").alias("entry")).union(pairs)
+    return X.looked_up(phrases, lexicon, 5)
+
+
 TARGETS = {"license": r"licensed under|released under", "contact": r"@mail|555-[0-9]{4}", "secret": r"token ="}
 
 
