@@ -2,11 +2,15 @@
 
 A text with a cue word is cut into sentences and lines; neighbours that are
 mostly made of the templates' words form candidate blocks around a cue. Each
-block is compressed alone and with each template as a raw zstandard dictionary.
-Every template that saves a share of its own size, or that the block holds word
-by word, is then compared with the block word by word, and the one with the
-fewest differences wins if it agrees with at least ``agree`` of its words. What
-a winner and its repeats cover is cut out and the rest of the block is looked at
+block is compressed alone and with each template as a raw zstandard dictionary,
+and templates are ranked by what they save. In this order each template is compared
+with the block word by word; only those that hold too few of the block's words to
+reach ``agree`` in any alignment are passed over. The one with the fewest differences
+wins if it agrees with at least ``agree`` of its words and names the same license:
+the words of the template that tell licenses apart (names, versions, clauses) have to
+stand in the part that fits, and no other such word may stand there. Wordings that
+agree but name another license are findings of the license ``unknown (nearest X)``.
+What a winner and its repeats cover is cut out and the rest of the block is looked at
 again, so that adjoining notices are all found.
 
 Templates are a fixed list given with the call; each task holds their
@@ -23,6 +27,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 
 import pyarrow as pa
 import zstandard
@@ -35,7 +40,11 @@ _MIT_GRANT = (
     "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
     "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
 )
-_MIT_DISCLAIMER = (
+_MIT_BSD_ADVERTISING = (
+    "All advertising materials mentioning features or use of this software must display the following acknowledgement: "
+    "This product includes software developed by the copyright holder and its contributors. "
+)
+_DISCLAIMER = (
     "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
     "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
     "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
@@ -97,6 +106,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("BSD-3-Clause", _BSD_GRANT + _BSD_NAMES),
     ("BSD-3-Clause", _BSD_GRANT + _BSD_NAMES + _DISCLAIMER),
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("BSD-4-Clause", _BSD_GRANT + _BSD_ADVERTISING + _BSD_NAMES + _DISCLAIMER),
+    ("BSD-4-Clause", "SPDX-License-Identifier: BSD-4-Clause"),
     (
         "ISC",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
@@ -128,18 +139,29 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 #: A text without any of these holds no notice.
 CUES = ("licens", "licenc", "copyright", "spdx", "redistribut", "warrant", "hereby granted", "public domain", "creative commons", "public license")
 
+# Words that tell licenses apart. Short ones and versions do so only beside a template that has one.
+TELLING = frozenset("mit apache gnu general lesser affero gpl lgpl agpl bsd clause advertising mozilla mpl eclipse epl boost bsl creative commons attribution sharealike noncommercial noderivatives noderivs isc zlib unencumbered".split())
+TELLING_SHORT = frozenset("cc by sa nc nd".split())
+#: What makes another license of one whose name ends before it.
+GOES_ON = frozenset(("0", "clear"))
+VERSION = re.compile(r"[0-9]{1,2}(?:\.[0-9]+)*")
+
 WORD = re.compile(r"[0-9a-z]+(?:\.[0-9]+)*")
 UNIT = re.compile(r"[^\n.;]+(?:[.;](?!\s)[^\n.;]*)*[.;]?")
 FEWEST = 3
+#: Words of blocks whose winners a task remembers.
+WORDS_KEPT = 1_000_000
 
 
 class Scanner:
     """Compressors and words of the templates."""
 
-    def __init__(self, templates=TEMPLATES, agree: float = 0.8, least: float = 0.2):
-        self.agree, self.least = agree, least
+    def __init__(self, templates=TEMPLATES, agree: float = 0.8):
+        self.agree = agree
         self.names = [name for name, _ in templates]
         self.words = [WORD.findall(text.lower()) for _, text in templates]
+        self.counts = [Counter(words) for words in self.words]
+        self.telling = [self.told(words, words) for words in self.words]
         self.vocabulary = frozenset(w for words in self.words for w in words)
         plain = zstandard.ZstdCompressionParameters.from_level(19, window_log=17, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
         self.alone = zstandard.ZstdCompressor(compression_params=plain)
@@ -147,22 +169,34 @@ class Scanner:
         for words in self.words:
             own = zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.given.append(zstandard.ZstdCompressor(dict_data=own, compression_params=plain))
-        self.sizes = [len(self.alone.compress(" ".join(words).encode())) for words in self.words]
         self.known: dict[tuple[str, ...], tuple | None] = {}
+        self.held = 0
         # A block is searched piece by piece; a notice that starts in the last ``room`` words of a piece is left to the next.
         self.room = 2 * max(map(len, self.words), default=1)
         self.piece = 3 * self.room
 
+    @staticmethod
+    def told(words: list[str], own: list[str]) -> frozenset[str]:
+        """Which of ``words`` tell licenses apart beside a template of the words ``own``."""
+        short, version = "cc" in own, any(VERSION.fullmatch(w) for w in own)
+        return frozenset(w for w in words if w in TELLING or short and w in TELLING_SHORT or version and VERSION.fullmatch(w))
+
     def candidates(self, words: list[str]) -> list[tuple[float, int]]:
-        """(reduction, template) of the templates that save ``least`` of their own size or of the block's, or that the block holds word by word."""
-        block = " ".join(words)
-        base = len(self.alone.compress(block.encode()))
+        """(reduction, template), the largest reduction first, of the templates that could agree with a part of the block."""
+        block = " ".join(words).encode()
+        base, held = len(self.alone.compress(block)), Counter(words)
         out = []
-        for k, (own, c) in enumerate(zip(self.words, self.given, strict=True)):
-            saved = base - len(c.compress(block.encode()))
-            if saved >= self.least * min(base, self.sizes[k]) or f" {' '.join(own)} " in f" {block} ":
-                out.append((saved / base, k))
-        return out
+        for k, (own, c) in enumerate(zip(self.counts, self.given, strict=True)):
+            # No alignment matches more words than both sides have, and the part that fits is as long as what is matched.
+            most, size = sum(min(n, held[w]) for w, n in own.items()), len(self.words[k])
+            if 2 * most >= self.agree * (size + most):
+                out.append(((base - len(c.compress(block))) / base, k))
+        return sorted(out, key=lambda x: (-x[0], x[1]))
+
+    def same_license(self, words: list[str], k: int, start: int, stop: int) -> bool:
+        """Whether the part of ``words`` that the template fits tells the template's license and no other."""
+        after = words[stop] if stop < len(words) else ""
+        return self.told(words[start:stop], self.words[k]) == self.telling[k] and not (after in GOES_ON and self.words[k][-1] == words[stop - 1])
 
     def compare(self, words: list[str], k: int) -> tuple[float, list[str], int, int]:
         """(agreement, differences, start, stop): the template's wording against the part of the block that it fits."""
@@ -192,18 +226,20 @@ class Scanner:
         """The notice of ``words`` that fits best: (license, start, stop, reduction, differences)."""
         key = tuple(words)
         if key not in self.known:
-            if len(self.known) > 20_000:
+            self.held += len(key)
+            if self.held > WORDS_KEPT:
                 self.known.clear()
-            tried = []
+                self.held = len(key)
+            tried, other = [], []
             for reduction, k in self.candidates(words):
                 agreement, differences, start, stop = self.compare(words, k)
                 if agreement >= self.agree:
                     # A longer wording that agrees is worth more than a shorter one inside it.
-                    tried.append((len(differences) - (stop - start), -reduction, k, start, stop, differences))
+                    (tried if self.same_license(words, k, start, stop) else other).append((len(differences) - (stop - start), -reduction, k, start, stop, differences))
             self.known[key] = None
-            if tried:
-                _, reduction, k, start, stop, differences = min(tried)
-                self.known[key] = self.names[k], start, stop, -reduction, differences
+            if tried or other:
+                _, reduction, k, start, stop, differences = min(tried or other)
+                self.known[key] = self.names[k] if tried else f"unknown (nearest {self.names[k]})", start, stop, -reduction, differences
         return self.known[key]
 
     def block(self, words: list[str]) -> list[tuple[str, int, int, float, list[str]]]:

@@ -238,6 +238,55 @@ def test_licenses_rank_like_brute_force():
         assert found == name and not rest and sizes[s.words.index(block)] == min(sizes)
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["Released under the BSD License.", "SPDX-License-Identifier: GPL-2.0-or-later", "SPDX-License-Identifier: AGPL-3.0-only", "Licensed under CC BY-ND 4.0.", "Licensed under CC BY 3.0.", "Licensed under CC BY-SA 3.0.",
+     "Licensed under the Apache License, Version 1.1.", "SPDX-License-Identifier: BSD-4-Clause", "This work is licensed under the GNU General Public License, version 1.", "SPDX-License-Identifier: MIT-0",
+     "This work is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: BSD-3-Clause-Clear", licenses._BSD_GRANT + "All advertising materials must display an acknowledgement. " + licenses._BSD_NAMES + licenses._DISCLAIMER],
+)
+def test_other_licenses_are_not_named(text):
+    """One changed word that tells licenses apart gives no license's name."""
+    _, found = licenses.Scanner().scan(text)
+    names = {f[0] for f in found}
+    right = {"GPL-2.0-or-later": "GPL-2.0", "AGPL-3.0-only": "AGPL-3.0", "BSD-4-Clause": "BSD-4-Clause", "advertising": "BSD-4-Clause"}
+    assert names == {n for mark, n in right.items() if mark in text} or not any(mark in text for mark in right) and all(n.startswith("unknown (nearest ") for n in names)
+
+
+def test_no_edited_notice_is_lost():
+    """Every template that agrees with a block by plain comparison is a candidate, whatever surrounds the notice; the winner is the best of them."""
+    own, s = random.Random(4), licenses.Scanner()
+    filler = "this text is about other things and holds words of many kinds for a while longer than any notice".split()
+    seen = 0
+    for _ in range(300):
+        words = list(own.choice(s.words))
+        for _ in range(own.randrange(0, 1 + len(words) // 6)):
+            at = own.randrange(len(words))
+            words[at : at + 1] = own.choice([[], ["other"], [words[at], "very"]])
+        block = [own.choice(filler) for _ in range(own.randrange(5, 200))] + words + [own.choice(filler) for _ in range(own.randrange(5, 200))]
+        best = []
+        for k in range(len(s.words)):
+            agreement, differences, start, stop = s.compare(block, k)
+            if agreement >= s.agree:
+                best.append((s.same_license(block, k, start, stop), stop - start - len(differences), k))
+        assert {k for *_, k in best} <= {k for _, k in s.candidates(block)}
+        found = s.winner(block)
+        assert (found is None) == (not best)
+        if best:
+            seen += 1
+            named = [b for b in best if b[0]] or best
+            assert found[2] - found[1] - len(found[4]) == max(b[1] for b in named)
+            assert found[0].startswith("unknown") == (not any(b[0] for b in best))
+    assert seen > 200
+
+
+def test_license_memory_is_bounded_by_words(monkeypatch):
+    monkeypatch.setattr(licenses, "WORDS_KEPT", 300)
+    s = licenses.Scanner()
+    for k in range(40):
+        s.winner([f"w{k}", "license", "x"] * 10)
+    assert sum(map(len, s.known)) <= 300
+
+
 def test_licenses_in_longer_blocks():
     s = licenses.Scanner()
     head = "Copyright (c) 2019 Jane Example and contributors. "
@@ -426,6 +475,18 @@ def test_mixing_prefix_of_many_equal_rows(spark):
     assert sum(t.take_tokens for t in taken) == 105 and sum(t.take_tokens < t.n_tokens for t in taken) <= 1
 
 
+def test_mixing_counts_equal_rows_at_the_cut(spark):
+    """A third of all rows equal, with and without an id: the prefix takes whole copies and a part of one, and ranks no copies by leaf."""
+    for doc_id in (None, 7):
+        rows = [(doc_id, "w w w", "en", "src1", 1)] * 400 + [(k + 100, "x y", "en", "src1", 1) for k in range(300)] + [(doc_id, "z z z", "en", "src1", 1)] * 20
+        for share in ((1, 7), (5, 6)) if doc_id else ((1, 2),):
+            taken = mixing.mixed(spark.createDataFrame(rows, DOC).repartition(6), mixing.Plan(share=share, epochs=1)).collect()
+            total = 420 * 3 + 300 * 2
+            assert sum(t.take_tokens for t in taken) == total * share[0] // share[1]
+            assert sum(t.take_tokens < t.n_tokens for t in taken) <= 1 and all(t.take_tokens > 0 for t in taken)
+            assert len({(t.row.doc_id) for t in taken if t.row.doc_id != doc_id}) == sum(t.row.doc_id != doc_id for t in taken)
+
+
 def test_mixing_gives_shortages_to_siblings_first(spark):
     leaves = spark.createDataFrame([("d0", "en", "a", 10), ("d0", "en", "b", 1000), ("d1", "en", "c", 1000)], "domain string, lang string, source string, tokens long")
     plan = mixing.Plan(domains={}, langs={}, share=(1, 2), epochs=1)
