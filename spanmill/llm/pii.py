@@ -257,9 +257,9 @@ def _candidates(entities: DataFrame, key: str, attempt: int) -> DataFrame:
     private = F.when(F.regexp_extract(entity, rf"^(?:{_PRIVATE})\.", 0) != "", "10").otherwise("") if attempt > 2 else F.regexp_extract(entity, rf"^({_PRIVATE})\.", 1)
     kept = F.when(F.length(private) > 0, F.size(F.split(private, r"\."))).otherwise(0)
     ip4 = F.when(kept == 0, F.concat_ws(".", *octets)).when(kept == 1, F.concat_ws(".", private, *octets[1:])).otherwise(F.concat_ws(".", private, *octets[2:]))
-    if attempt >= WIDER:  # no address of four numbers is left
-        ip4 = F.concat(F.lit("fd00:"), F.concat_ws(":", *[F.substring("s", 4 * k + 1, 4) for k in range(7)]))
     ip = F.when(entity.contains(":"), _shaped(entity, F.col("s"), zero, True)).otherwise(ip4)
+    if attempt >= WIDER:  # short addresses of either kind have few spellings: a whole one has enough
+        ip = F.concat(F.lit("fd00:"), F.concat_ws(":", *[F.substring("s", 4 * k + 1, 4) for k in range(7)]))
     number = F.concat(F.substring(entity, 1, 1), _shaped(F.substring(entity, F.lit(2), F.length(entity)), F.col("s"), zero))
     stem = F.substring(number, F.lit(1), F.length(number) - 1)
     right = (F.lit(10) - _luhn(F.concat(stem, F.lit("0")))) % 10

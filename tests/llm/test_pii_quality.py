@@ -50,6 +50,16 @@ def test_full_spaces_end(spark):
     assert all(re.fullmatch(r"(?:192\.168|10\.\d+)\.\d+\.\d+", x) for x in new)
 
 
+def test_full_spaces_of_every_kind_end(spark, monkeypatch):
+    """All spellings of some short forms are entities: none is left to give, so that only longer ones end the rounds."""
+    monkeypatch.setattr(pii, "WIDER", 2)
+    full = {"ip": [f"{k:x}::" for k in range(16)], "ssn": [f"9{k}" for k in range(10)], "card": [f"4{k}" for k in range(10)], "phone": [f"{k}{j}" for k in range(2, 10) for j in range(10)], "email": [f"{k}@a.org" for k in range(10)], "secret": [f"sk-{k}" for k in range(10)]}
+    own = [(kind, e, "") for kind, es in full.items() for e in es]
+    got = pii.assign(spark.createDataFrame(own, "kind string, entity string, form string"), "k").collect()
+    assert len(got) == len({(r.kind, r.surrogate) for r in got}) == len(own)
+    assert not {(r.kind, r.surrogate) for r in got} & {o[:2] for o in own}
+
+
 def test_surrogates_that_are_longer_than_their_entity(spark, monkeypatch):
     rows = spark.createDataFrame([("123-45-6789", 0, "ssn", "9234567890123"), ("00 49 (0)30 1234567", 0, "phone", "+49212345678901")], "raw string, n int, kind string, surrogate string")
     got = {r.kind: r.replacement for r in pii._rendered(rows).collect()}
