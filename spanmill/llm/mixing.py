@@ -149,11 +149,12 @@ def mixed(docs: DataFrame, plan: Plan | None = None, domain=default_domain) -> D
     inside = stored(inside.select(*TREE, "epoch", "need", "before", "outer", "key", "n_tokens", "id"), "cut-rows")
     second = cut_of(inside, 4)
     last = inside.drop("before", "need", "epoch").join(second, list(TREE)).where("substring(key, 4, 3) = bucket")
+    # Rows of one key and size are equal, or rows of one id: they are counted, and the prefix takes some of them whole and a part of one more.
+    counted_keys = last.groupBy(*TREE, "need", "before", "key", "n_tokens").agg(F.count("*").alias("copies"))
     order = Window.partitionBy(*TREE).orderBy("key", "n_tokens")
-    start = F.col("before") + F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
-    # Rows with the key of the last document that is taken: equal rows, or rows of one id, which are told apart by their places.
-    last = last.withColumn("start", start).withColumn("copy", F.row_number().over(Window.partitionBy(*TREE, "key", "n_tokens").orderBy("start"))).where("start < need")
-    ends = last.groupBy(*TREE).agg(F.max(F.struct("key", "n_tokens", "start", "copy")).alias("end"))
+    upto = F.col("before") + F.sum(F.col("copies") * F.col("n_tokens")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    last = counted_keys.withColumn("start", upto - F.col("copies") * F.col("n_tokens")).where("start < need")
+    ends = last.groupBy(*TREE).agg(F.max(F.struct("key", "n_tokens", (F.col("need") - F.col("start")).alias("left"))).alias("end"))
     cuts = leaves.where("own > 0 AND tokens > 0").join(ends, list(TREE), "left").select(*TREE, "own", "tokens", "end")
     cuts = stored(cuts, "ends")
     # Whole epochs, then the partial one. A leaf without tokens gives nothing.
@@ -165,10 +166,15 @@ def mixed(docs: DataFrame, plan: Plan | None = None, domain=default_domain) -> D
     columns = ["row", *TREE, "epoch", "n_tokens", "take_tokens", "own AS leaf_tokens"]
     dealt = dealt.withColumn("place", place)
     whole = dealt.where("place = -1").withColumn("take_tokens", F.col("n_tokens")).selectExpr(*columns)
-    ties = Window.partitionBy(*TREE, "key", "n_tokens").orderBy(F.xxhash64("row.text"))
-    tied = dealt.where("place = 0").withColumn("copy", F.row_number().over(ties)).where("copy <= end.copy")
-    taken = F.when(F.col("copy") < F.col("end.copy"), F.col("n_tokens")).otherwise(F.least("n_tokens", F.expr("need - end.start")))
-    return whole.unionByName(tied.withColumn("take_tokens", taken).selectExpr(*columns))
+    # Copies of the last key are numbered by text, then by the partition that wrote them, so that no number of them meets in one task.
+    named = [*TREE, "key", "n_tokens", "text_hash", "part"]
+    tied = stored(dealt.where("place = 0").withColumn("text_hash", F.xxhash64("row.text")).withColumn("part", F.spark_partition_id()), "ties")
+    sizes = tied.groupBy(*named).agg(F.count("*").alias("copies"))
+    offsets = sizes.withColumn("before", F.sum("copies").over(Window.partitionBy(*TREE, "key", "n_tokens").orderBy("text_hash", "part")) - F.col("copies")).drop("copies")
+    copy = F.col("before") + F.row_number().over(Window.partitionBy(*named).orderBy("epoch")) - 1
+    rest = F.col("end.left") - F.col("copy") * F.col("n_tokens")
+    tied = tied.join(offsets, named).withColumn("copy", copy).withColumn("take_tokens", F.least(F.col("n_tokens"), rest)).where("take_tokens > 0")
+    return whole.unionByName(tied.selectExpr(*columns))
 
 
 def cut_text(text: Column, n: Column) -> Column:
