@@ -8,6 +8,9 @@ Defined results: empty tables give an empty result; null texts and texts without
 words pass every stage; without labels nothing is toxic; rows without an id and
 repeated rows of the smallest id of their class stay; other columns are kept up
 to the last stage. The mix cuts the text that a source's prefix ends in.
+Texts of any length are read whole by every stage. Ties: of near copies the smallest
+id stays; of equal rows at the end of a source's prefix some are taken whole and one
+in part, whichever they are, as they are equal.
 
 All stages but the last return the columns of ``documents``. Each result is
 written to the folder that all executors share and read again.
