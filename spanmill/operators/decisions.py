@@ -206,3 +206,37 @@ def leader_families(motifs: DataFrame, theta: float) -> DataFrame:
     placed = own.join(parts, F.col("items")[0] == F.col("node")).select("component", "symbol", "items", "n")
     alone = motifs.where("coalesce(size(items), 0) < 1").select("symbol", F.col("symbol").alias("family"))
     return folded(placed, ["component"], fold, "symbol string, family string").unionByName(alone)
+
+
+# Outcomes of a node's promotion, the first whose condition holds.
+PROMOTION = (
+    ("keep_positive", "status = 'accepted'"),
+    ("insufficient_support", "cases < 5"),
+    ("split_or_downgrade", "no_alias_rate >= 0.60"),
+    ("promote_review", "alias_hit_rate >= 0.45 AND mean_score >= 0.55 AND level IN ('closure_required_candidate', 'split_required_candidate')"),
+    ("split_review", "alias_hit_rate >= 0.25"),
+    ("keep_component", "status = 'component'"),
+)
+
+
+def cascaded(rules, default: str) -> Column:
+    """The name of the first of ``rules`` (name, SQL condition) that holds; a null condition does not."""
+    out = F.lit(default)
+    for name, condition in reversed(rules):
+        out = F.when(F.expr(condition), F.lit(name)).otherwise(out)
+    return out
+
+
+def promotion(nodes: DataFrame, matches: DataFrame, rules=PROMOTION, default: str = "keep_pending") -> DataFrame:
+    """(node, cases, alias_hit_rate, no_alias_rate, mean_score, outcome) of nodes (node, status, level, targets) by the cases that they match.
+
+    ``matches`` (node, case_id, aliases, score): a case counts once, with all its
+    aliases and its best score. A hit is a case with one of the node's ``targets``. A node
+    without matches has rates of 0.
+    """
+    wanted = matches.join(nodes.select("node", "targets"), "node")
+    hit = F.coalesce(F.arrays_overlap("aliases", "targets"), F.lit(False))
+    each = wanted.groupBy("node", "case_id").agg(F.bool_or(hit).alias("hit"), F.bool_or(F.coalesce(F.size("aliases") > 0, F.lit(False))).alias("named"), F.max("score").alias("score"))
+    rates = each.groupBy("node").agg(F.count("*").alias("cases"), F.avg(F.col("hit").cast("double")).alias("alias_hit_rate"), F.avg((~F.col("named")).cast("double")).alias("no_alias_rate"), F.avg("score").alias("mean_score"))
+    known = nodes.join(rates, "node", "left").fillna(0, ["cases"]).fillna(0.0, ["alias_hit_rate", "no_alias_rate", "mean_score"])
+    return known.select("node", "cases", "alias_hit_rate", "no_alias_rate", "mean_score", cascaded(rules, default).alias("outcome"))

@@ -211,8 +211,8 @@ def smoothed(df: DataFrame, widths: dict[str, int], chunk: int) -> DataFrame:
     return own.select(*[means.get(c, F.col(c)).alias(c) for c in df.columns], "own").where("own").drop("own")
 
 
-def chained(runs: DataFrame, by: list[str], reach: int, chunk: int) -> DataFrame:
-    """(by, s, e, members): unions of runs (by, s, e) without overlaps whose starts lie at most ``reach`` after an end.
+def chained(runs: DataFrame, by: list[str], reach: int | Column, chunk: int) -> DataFrame:
+    """(by, s, e, members): unions of runs (by, s, e) without overlaps whose starts lie at most ``reach`` (a number, or an expression over ``by``) after an end.
 
     Runs are joined within the chunk of their start; then only the first and last
     union of each chunk meet those of other chunks.
@@ -231,14 +231,14 @@ def chained(runs: DataFrame, by: list[str], reach: int, chunk: int) -> DataFrame
     return local.where("NOT _edge").select(*columns).unionByName(joined(local.where("_edge"), by).select(*columns))
 
 
-def flag_runs(df: DataFrame, flags: dict[str, Column], by: list[str], min_run: int, merge_gap: int, chunk: int) -> DataFrame:
+def flag_runs(df: DataFrame, flags: dict[str, Column], by: list[str], min_run: int | Column, merge_gap: int | Column, chunk: int) -> DataFrame:
     """(by, name, s, e, members): runs of ``min_run`` frames or more where a flag holds, those at most ``merge_gap`` apart as one."""
     hits = df.select(*by, "frame", F.explode(F.array_compact(F.array(*[F.when(f, F.lit(n)) for n, f in flags.items()]))).alias("name"))
     keys = [*by, "name"]
     island = F.col("frame") - F.row_number().over(Window.partitionBy(*keys, F.floor(F.col("frame") / chunk)).orderBy("frame"))
     local = hits.withColumn("_i", island).withColumn("_c", F.floor(F.col("frame") / chunk)).groupBy(*keys, "_c", "_i").agg(F.min("frame").alias("s"), F.max("frame").alias("e"))
     whole = chained(local, keys, 1, chunk).where(F.col("e") - F.col("s") + 1 >= min_run)
-    return chained(whole, keys, merge_gap, chunk) if merge_gap > 1 else whole
+    return whole if isinstance(merge_gap, int) and merge_gap <= 1 else chained(whole, keys, merge_gap, chunk)
 
 
 def within(events: DataFrame, frames: DataFrame, by: list[str], lo: Column, hi: Column, chunk: int, halo: int = 0) -> DataFrame:
@@ -274,12 +274,9 @@ def state_events(frames: DataFrame, hand: StateRule = HAND, leg: StateRule = LEG
     value = stored(value, "signals")
     moving = metrics.percentiles(value, by, "v", [0.1, 0.9]).select(*by, (F.col("p2") - F.col("p1")).alias("range"))
     of = lambda field: F.coalesce(*[F.when(F.col("signal") == n, F.lit(getattr(r, field))) for n, r in rules.items()])
-    found = None
-    for n, r in rules.items():  # a rule has its own run length and gap
-        cut = r.threshold if n.startswith("hand") else -r.threshold
-        own = flag_runs(value.where(F.col("signal") == n), {n: F.col("v") <= cut}, ["case_id"], r.min_run, r.merge_gap, chunk)
-        found = own if found is None else found.unionByName(own)
-    runs = found.groupBy("case_id", F.col("name").alias("signal")).agg(F.min("s").alias("s"), F.max("e").alias("e"), F.count("*").alias("count"))
+    inside = F.col("v") <= F.when(near, of("threshold")).otherwise(-of("threshold"))
+    found = flag_runs(value, {"in": inside}, by, of("min_run"), of("merge_gap"), chunk)
+    runs = found.groupBy(*by).agg(F.min("s").alias("s"), F.max("e").alias("e"), F.count("*").alias("count"))
     runs = runs.join(moving, by).where(F.col("range") >= of("min_delta")).withColumn("window", of("window"))
     at, s, e, w = F.col("frame"), F.col("s"), F.col("e"), F.col("window")
     seen = within(runs, value, by, s - w, e + w, chunk).groupBy(*by, "s", "e", "count", "range", "window").agg(
@@ -378,7 +375,7 @@ def padded(sources: DataFrame, lengths: DataFrame, gap: int, pad: int) -> DataFr
     return wide.where("e - s + 1 >= 5")
 
 
-_KEYS = ["case_id", "side", "from", "to", "s", "e"]
+_KEYS = ["use", "case_id", "side", "from", "to", "s", "e"]
 _AXES = ["planarity", "p0", "p1", "p2", "q0", "q1", "q2"]
 
 
@@ -396,7 +393,7 @@ def _principal(batches):
 
 
 def trajectories(arms: DataFrame, around: DataFrame, rule: ArmRule, chunk: int) -> DataFrame:
-    """``around`` (case_id, side, from, to, s, e) with the features of the wrist's way and its kind, null if it is neither an orbit nor an arc."""
+    """``around`` (use, case_id, side, from, to, s, e) with the features of the wrist's way and its kind, null if it is neither an orbit nor an arc."""
     near = within(around, arms, ["case_id", "side"], F.col("s"), F.col("e"), chunk, 1)
     order = Window.partitionBy(*_KEYS, "chunk").orderBy("frame")
     step = F.sqrt(sum(((F.col(c) - F.lag(c).over(order)) ** 2 for c in "xyz"), F.lit(0.0)))
@@ -432,17 +429,19 @@ def arm_events(frames: DataFrame, sources: DataFrame, arm: ArmRule | None = None
     arm, reach = arm or ArmRule(), reach or ReachRule()
     arms = stored(arm_frames(frames), "arms")
     lengths = frames.groupBy("case_id").agg((F.max("frame") + 1).alias("frames"))
-    ways = trajectories(arms, padded(sources, lengths, arm.span_gap, arm.span_pad), arm, chunk).where("kind IS NOT NULL")
+    # Where there are no source spans of a side, the whole case is searched for a reach.
+    both = lengths.select("case_id", F.explode(F.array(*map(F.lit, SIDES))).alias("side"), F.lit(0).cast("long").alias("s"), (F.col("frames") - 1).alias("e"))
+    searched = sources.select("case_id", "side", "s", "e").unionByName(both.join(sources, ["case_id", "side"], "left_anti"))
+    around = padded(sources, lengths, arm.span_gap, arm.span_pad).withColumn("use", F.lit("arm")).unionByName(padded(searched, lengths, reach.span_gap, arm.span_pad).withColumn("use", F.lit("reach")))
+    found = stored(trajectories(arms, around, arm, chunk).where("kind IS NOT NULL"), "ways")
+    ways, taken = found.where("use = 'arm'"), found.where("use = 'reach'")
     sign = F.when(F.col("net_degrees") >= 0, "positive").otherwise("negative")
     turns = F.when(F.col("kind") == "arm_orbit_cycle", F.greatest(F.bround(F.col("total_degrees") / 360), F.lit(1.0)))
     details = {n: F.col(n) for n in ("radius_mean", "radius_cv", "path", "max_range", "range_x", "range_y", "range_z", "planarity", "net_degrees")}
     orbits = _events(ways, "arm_trajectory", F.col("side"), F.concat_ws("_", "kind", sign), F.col("total_degrees"), "deg", turns, details)
 
     # Reaches: around the spans that hold no orbit and no arc.
-    both = lengths.select("case_id", F.explode(F.array(*map(F.lit, SIDES))).alias("side"), F.lit(0).cast("long").alias("s"), (F.col("frames") - 1).alias("e"))
-    searched = sources.select("case_id", "side", "s", "e").unionByName(both.join(sources, ["case_id", "side"], "left_anti"))
-    taken = trajectories(arms, padded(searched, lengths, reach.span_gap, arm.span_pad), arm, chunk).where("kind IS NOT NULL")
-    around = padded(searched, lengths, reach.span_gap, reach.span_pad).join(taken, ["case_id", "side", "from", "to"], "left_anti").select(*_KEYS)
+    around = padded(searched, lengths, reach.span_gap, reach.span_pad).withColumn("use", F.lit("reach")).join(taken, ["case_id", "side", "from", "to"], "left_anti").select(*_KEYS)
     near = within(around, arms, ["case_id", "side"], F.col("s"), F.col("e"), chunk, 3)
     group = [*_KEYS, "chunk"]
     ahead = near.withColumn("f", averaged("forward", 5, group)).withColumn("step", F.abs(F.col("f") - F.lag("f").over(Window.partitionBy(*group).orderBy("frame"))))

@@ -426,6 +426,28 @@ def mine35_promotion_scoring(spark, sf_dir):
     return r.select("source", out.alias("outcome"))
 
 
+ALIAS_MARKS = {"licence": "licen[sc]e", "mail": "@mail", "secret": "token =", "rude": "idiot|stupid|scum", "plain": "the |der |le |el "}
+_MARKS = ", ".join(f"CASE WHEN regexp_matches(lower(text), '{p}') THEN '{a}' END" for a, p in ALIAS_MARKS.items())
+
+
+@query(f"""WITH n AS (SELECT source AS node, CASE WHEN avg(n_chars) > 4000 THEN 'accepted' WHEN avg(n_chars) > 1500 THEN 'component' ELSE 'pending' END AS status, CASE WHEN count(DISTINCT lang) > 1 THEN 'closure_required_candidate' ELSE 'generic' END AS level,
+CASE WHEN min(doc_id) % 2 = 0 THEN ['plain'] ELSE ['licence', 'mail'] END AS targets FROM documents GROUP BY 1),
+m AS (SELECT source AS node, doc_id, list_filter([{_MARKS}], lambda x: x IS NOT NULL) AS aliases, least(n_chars / 2000, 1.0) AS score FROM documents),
+e AS (SELECT node, doc_id, bool_or(list_has_any(aliases, targets)) AS hit, bool_or(len(aliases) > 0) AS named, max(score) AS score FROM m JOIN n USING (node) GROUP BY ALL),
+r AS (SELECT node, count(*) AS cases, avg(hit::INT) AS alias_hit_rate, avg((NOT named)::INT) AS no_alias_rate, avg(score) AS mean_score FROM e GROUP BY 1)
+SELECT node, cases, round(alias_hit_rate, 6) AS alias_hit_rate, round(no_alias_rate, 6) AS no_alias_rate, round(mean_score, 6) AS mean_score, CASE {" ".join(f"WHEN {c} THEN '{n}'" for n, c in D.PROMOTION)} ELSE 'keep_pending' END AS outcome FROM r JOIN n USING (node)""")
+def mine35_promotion_outcomes(spark, sf_dir):
+    """Sources as nodes, their documents as cases, marks in the text as aliases."""
+    docs = table(spark, sf_dir, "documents")
+    status = F.when(F.avg("n_chars") > 4000, "accepted").when(F.avg("n_chars") > 1500, "component").otherwise("pending")
+    level = F.when(F.countDistinct("lang") > 1, "closure_required_candidate").otherwise("generic")
+    targets = F.when(F.min("doc_id") % 2 == 0, F.array(F.lit("plain"))).otherwise(F.array(F.lit("licence"), F.lit("mail")))
+    nodes = docs.groupBy(F.col("source").alias("node")).agg(status.alias("status"), level.alias("level"), targets.alias("targets"))
+    marks = F.array_compact(F.array(*[F.when(F.lower("text").rlike(p), a) for a, p in ALIAS_MARKS.items()]))
+    matches = docs.select(F.col("source").alias("node"), F.col("doc_id").alias("case_id"), marks.alias("aliases"), F.least(F.col("n_chars") / 2000, F.lit(1.0)).alias("score"))
+    return D.promotion(nodes, matches).select("node", "cases", *[F.round(c, 6).alias(c) for c in ("alias_hit_rate", "no_alias_rate", "mean_score")], "outcome")
+
+
 # What the sample's channels stand for, by size of the event: (channel, zone, role) of events over 50 and of the others.
 BODY = {
     "click": (("left_arm", "upper", "arm_large_arc_or_orbit"), ("left_arm", "upper", "arm_reach_retract")),

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..operators import refinement as E
 from ..operators import spans as S
 from ..registry import query
 from ..sources.adapters import EV, spans, table
@@ -188,6 +191,45 @@ def prj21_event_refinement(spark, sf_dir):
     return ev.join(flags, "event_id", "left").select("event_id", refined.alias("refined"))
 
 
+# What the sample's channels stand for: families, clusters and directions, taken in turn by the event's value.
+BODY_EVENTS = {
+    "view": (("WHOLE_BODY_LOCOMOTION", "LOCO_WALK_FORWARD_SLOW", "forward"), ("WHOLE_BODY_LOCOMOTION", "LOCO_MOVE", "mixed"), ("WHOLE_BODY_LOCOMOTION", "LOCO_TURN_LEFT_QTR", "left"), ("WHOLE_BODY_ROTATION", "WB_TURN_HALF", "right"), ("WHOLE_BODY_LOCOMOTION", "LOCO_WALK_LEFT", "left")),
+    "click": (("LEFT_ARM_PERIODIC", "LA_REPEAT", "up"), ("RIGHT_ARM_PERIODIC", "RA_REPEAT_ALT", "down"), ("LEFT_ARM_POSTURE", "LA_HAND_HIGH", "up"), ("RIGHT_ARM_POSTURE", "RA_HAND_HIGH", "up"), ("BIMANUAL_PERIODIC", "BI_RAISE_SPREAD", "out"), ("BIMANUAL_PERIODIC", "BI_HANDS_CLOSE_FAST", "in"), ("BIMANUAL_PERIODIC", "BI_CLAP", "in")),
+    "purchase": (("WHOLE_BODY_VERTICAL", "WB_VERT_UP", "up"), ("WHOLE_BODY_VERTICAL", "WB_VERT_DOWN", "down"), ("WHOLE_BODY_VERTICAL", "WB_VERT_CYCLE", "none"), ("WHOLE_BODY_POSTURE", "WB_SQUAT_HOLD", "none"), ("WHOLE_BODY_POSTURE", "WB_LOW_BODY_HOLD", "none")),
+    "signup": (("LEFT_LEG", "LL_KICK_FORWARD", "forward"), ("RIGHT_LEG", "RL_LEG_FORWARD_POSE", "forward"), ("RIGHT_LEG", "RL_KICK_FORWARD", "forward"), ("RIGHT_LEG", "RL_STEP", "none")),
+    "error": (("TORSO_POSTURE", "TORSO_BEND", "forward"), ("TORSO_PERIODIC", "TORSO_SWAY", "left"), ("FINGERS", "F_POINT", "none")),
+}
+_TURN = {c: f"CAST(floor(value * 7) AS BIGINT) % {len(own)}" for c, own in BODY_EVENTS.items()}
+_AT = lambda k: "CASE " + " ".join(f"WHEN channel = '{c}' AND {_TURN[c]} = {i} THEN '{x[k]}'" for c, own in BODY_EVENTS.items() for i, x in enumerate(own)) + " ELSE '' END"
+_SIZE, _MODE, _TIED = "CAST(floor(value * 13) AS BIGINT) % 70 / CAST(100 AS DOUBLE)", "CASE CAST(floor(value * 3) AS BIGINT) % 3 WHEN 0 THEN 'cycle' WHEN 1 THEN 'repeated_cycle' ELSE '' END", "CAST(floor(value * 11) AS BIGINT) % 10 = 0"
+
+
+def _text(template: str) -> str:
+    """A text with columns in braces, as SQL."""
+    return " || ".join(x for text, name, *_ in Formatter().parse(template) for x in ([f"'{text}'"] if text else []) + ([name] if name else []))
+
+
+def _when(r: E.Refiner, what) -> str:
+    return "CASE " + " ".join(f"WHEN {c} THEN {what(t, tag)}" for c, t, tag in r.rules) + " END"
+
+
+_FLAGGED = ", ".join(f"coalesce(bool_or({f.sql()}), false) AS {n}" for n, f in E.FLAGS.items())
+_TAGS = lambda r: "list_filter(list_concat([" + ", ".join(f"CASE WHEN {c} THEN {_text(t)} END" for c, t in r.tags) + "]::VARCHAR[], string_split(" + _when(r, lambda t, tag: f"'{tag}'") + ", ' ')), lambda x: x <> '')"
+
+
+@query(f"""WITH {EV}, b AS (SELECT case_id, event_id, s, e, {_AT(0)} AS family, {_AT(1)} AS cluster, {_AT(2)} AS direction, {_SIZE} AS magnitude, {_MODE} AS repeat_mode, {_TIED} AS coupled FROM ev),
+pr AS (SELECT l.case_id, l.event_id, l.s AS l_s, l.e AS l_e, r.s AS r_s, r.e AS r_e, l.cluster AS l_cluster, r.family AS r_family, r.cluster AS r_cluster, greatest(least(l.e, r.e) - greatest(l.s, r.s) + 1, 0) / (least(l.e - l.s, r.e - r.s) + 1) AS ratio,
+greatest(greatest(l.s, r.s) - least(l.e, r.e) - 1, 0) AS "between" FROM b l JOIN b r ON l.case_id = r.case_id AND l.event_id <> r.event_id), fl AS (SELECT case_id, event_id, {_FLAGGED.replace("between <=", '"between" <=')} FROM pr GROUP BY ALL),
+q AS (SELECT b.*, {", ".join(f"coalesce({n}, false) AS {n}" for n in E.FLAGS)} FROM b LEFT JOIN fl USING (case_id, event_id)), d AS (SELECT *, {", ".join(f"{sql} AS {n}" for n, sql in E.DERIVED.items() if "duration" not in sql)} FROM q),
+x AS (SELECT *, {", ".join(f"{sql} AS {n}" for n, sql in E.DERIVED.items() if "duration" in sql)} FROM d)
+SELECT event_id, CASE {" ".join(f"WHEN {r.takes} THEN {_when(r, lambda t, tag: _text(t))}" for r in E.REFINERS)} ELSE cluster END AS refined, array_to_string(list_sort(list_distinct(CASE {" ".join(f"WHEN {r.takes} THEN {_TAGS(r)}" for r in E.REFINERS)} ELSE [] END)), ',') AS tags FROM x""")
+def prj21_all_refiners(spark, sf_dir):
+    """All refiners over the events as those of a body."""
+    ev = spans(spark, sf_dir)
+    own = ev.select("case_id", "event_id", "s", "e", *[F.expr(x).alias(n) for x, n in ((_AT(0), "family"), (_AT(1), "cluster"), (_AT(2), "direction"), (_SIZE, "magnitude"), (_MODE, "repeat_mode"), (_TIED, "coupled"))])
+    return E.refined(own, "v5").select("event_id", "refined", F.array_join(F.array_sort("tags"), ",").alias("tags"))
+
+
 @query("""WITH s AS (SELECT c_custkey, unnest(['nation', 'balance', 'segment', 'extra']) AS slot, unnest([CAST(c_nationkey AS VARCHAR), CAST(round(c_acctbal) AS BIGINT)::VARCHAR, c_mktsegment, 'x']) AS v FROM customer)
 SELECT slot, CASE WHEN slot = 'extra' THEN 'unknown_slot' WHEN slot IN ('nation', 'balance') AND TRY_CAST(v AS DOUBLE) IS NULL THEN 'not_a_number' WHEN slot = 'balance' AND TRY_CAST(v AS DOUBLE) < 0 THEN 'negative' ELSE 'ok' END AS issue, count(*) AS n FROM s GROUP BY ALL""")
 def prj22_slot_contract(spark, sf_dir):

@@ -267,5 +267,5 @@ def test_runs_and_chains_at_any_chunk(spark):
 
 def test_no_frames(spark):
     gone = spark.createDataFrame([(1, k, None) for k in range(9)], "case_id long, frame long, joints array<array<double>>")
-    assert J.detected(gone, J.wrist_over_shoulder(gone)).count() == 0
+    assert J.level_events(gone).count() == 0 and J.wrist_over_shoulder(gone).count() == 0 and J.arm_frames(gone).count() == 0
     assert J.level_events(gone.limit(0)).count() == 0

@@ -39,9 +39,9 @@ def test_indexed_merges_equal_a_recount(spark, by_support, blocks):
     words = ["<a><b><c>", "<a><b>", "<c><c><c>", "<d><a>", "<b><d><d>"]
     rows = [(k, "".join(own.choice(words) for _ in range(own.randrange(12)))) for k in range(120)] + [(500, None)]
     df = spark.createDataFrame(rows, "case_id long, seq string")
-    want, left = sequences.learn_merges(df.where("seq IS NOT NULL"), 9, 4, least_cases=2, by_support=by_support)
-    got, after = merging.learn_merges(df, 9, 4, least_cases=2, by_support=by_support, blocks=blocks)
-    assert [(m.step, m.a, m.b, m.n, m.cases) for m in got] == [(m.step, m.a, m.b, m.n, m.cases) for m in want] and len(got) > 7
+    want, left = sequences.learn_merges(df.where("seq IS NOT NULL"), 6, 4, least_cases=2, by_support=by_support)
+    got, after = merging.learn_merges(df, 6, 4, least_cases=2, by_support=by_support, blocks=blocks)
+    assert [(m.step, m.a, m.b, m.n, m.cases) for m in got] == [(m.step, m.a, m.b, m.n, m.cases) for m in want] and len(got) == 6
     assert sorted(map(tuple, after.collect())) == sorted(map(tuple, left.select("case_id", "seq").collect()))
     assert merging.learn_merges(df.limit(0), 3)[0] == []
 
@@ -50,7 +50,7 @@ def test_late_merges_read_few_sequences(spark):
     """Many names: the later a merge, the rarer its pair, and the fewer blocks hold it."""
     own = random.Random(1)
     rows = [(k, "".join(f"<s{min(int(own.paretovariate(0.7)), 400)}>" for _ in range(10))) for k in range(1500)]
-    got, _ = merging.learn_merges(spark.createDataFrame(rows, "case_id long, seq string"), 5, blocks=200)
+    got, _ = merging.learn_merges(spark.createDataFrame(rows, "case_id long, seq string"), 3, blocks=120)
     assert got[0].read > 500 and got[-1].read < got[0].read
 
 

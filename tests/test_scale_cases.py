@@ -75,3 +75,29 @@ def test_lookups_level_by_level(spark):
     words = spark.createDataFrame([(e,) for e in ("quick dog", "run", "running quick dogs", "dogs", "dog", "slept")], "entry string")
     got = [(r.id, r["rank"], r.entry, r.how) for r in lexicon.looked_up(df, words, 5).orderBy("id", "rank").collect()]
     assert got == [(1, 1, "running quick dogs", "phrase_subspan"), (1, 2, "quick dog", "simple_lemma_subspan"), (1, 3, "run", "token_or_token_lemma"), (1, 4, "dog", "token_or_token_lemma"), (1, 5, "dogs", "token_or_token_lemma"), (2, 1, "run", "exact_phrase")]
+
+
+def test_refinement_modes_and_odd_rows(spark):
+    from spanmill.operators import refinement
+
+    schema = "case_id long, event_id long, s long, e long, family string, cluster string, direction string, magnitude double, repeat_mode string, coupled boolean"
+    rows = [
+        (1, 1, 0, 9, "WHOLE_BODY_VERTICAL", "WB_VERT_DOWN", "down", 0.3, None, None), (1, 2, 12, 30, "WHOLE_BODY_POSTURE", "WB_SQUAT_HOLD", None, None, None, None), (1, 3, 33, 40, "WHOLE_BODY_VERTICAL", "WB_VERT_UP", "up", 0.05, "", True),
+        (2, 4, 0, 9, None, None, None, None, None, None), (2, 5, 5, 40, "TORSO_PERIODIC", "TORSO_SWAY", None, 1.0, None, None),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    got = {r.event_id: (r.refined, r.tags) for r in refinement.refined(df, "v3").collect()}
+    assert got == {1: ("WB_VERT_LOW_BODY_DESCENT", ["low_body_transition"]), 2: ("WB_LOW_BODY_DOWN_UP_CYCLE", ["low_body_down_up_cycle"]), 3: ("WB_VERT_GAIT_BOUNCE", ["gait_bounce"]), 4: ("", []), 5: ("TORSO_SWAY_SINGLE_", ["torso_periodic"])}
+    assert {r.event_id: r.refined for r in refinement.refined(df, "v1").collect()} == {r[1]: r[5] or "" for r in rows}
+    with pytest.raises(ValueError, match="unknown mode"):
+        refinement.refined(df, "v9")
+    assert refinement.refined(df.limit(0)).count() == 0
+
+
+def test_promotion_of_nodes(spark):
+    from spanmill.operators import decisions
+
+    nodes = spark.createDataFrame([("a", "pending", "closure_required_candidate", ["x"]), ("b", "component", None, ["y"]), ("c", None, None, None), ("d", "accepted", None, []), ("e", "pending", "other", ["x"])], "node string, status string, level string, targets array<string>")
+    matches = [("a", k, ["x"] if k < 4 else ["z"], 0.9) for k in range(6)] + [("a", 0, [], 0.1)] + [("b", k, ["q"] if k < 4 else [], 0.5) for k in range(6)] + [("c", k, None, 0.2) for k in range(9)] + [("e", k, ["x"], 0.9) for k in range(5)]
+    got = {r.node: r.outcome for r in decisions.promotion(nodes, spark.createDataFrame(matches, "node string, case_id long, aliases array<string>, score double")).collect()}
+    assert got == {"a": "promote_review", "b": "keep_component", "c": "split_or_downgrade", "d": "keep_positive", "e": "split_review"}
