@@ -1,12 +1,11 @@
-"""Decisions over groups of events: phase closure, weighted axes, window coverage, leader families. Groups, weights and cuts are arguments."""
+"""Decisions over groups of events: phase closure, weighted axes, window coverage, promotion. Groups, weights and cuts are arguments."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import mining, spans
-from .folds import folded
+from . import spans
 
 # What the score of an itemset adds for the marks it has (one of each list), (weight, needs, lacks).
 FLOOR = ["role:floor_low_horizontal_support", "role:hand_floor_low_support"]
@@ -189,25 +188,6 @@ def window_coverage(own: DataFrame, need: list[str]) -> DataFrame:
     return out.select("case_id", F.size("all").cast("long").alias("whole"), "best", full(F.col("all")).alias("full_case"), "full_window")
 
 
-def leader_families(motifs: DataFrame, theta: float) -> DataFrame:
-    """(symbol, family) of distinct motifs (symbol, items, n), by falling n, then symbol: see ``mining.leaders``.
-
-    Motifs without a shared item never meet, so each component of items is dealt with
-    by itself; it holds sets over one vocabulary of channels, not rows of the data.
-    Motifs without items are their own family.
-    """
-    own = motifs.select("symbol", "items", "n").where(F.size("items") > 0)
-    parts = mining.components(own.select(F.col("items")[0].alias("a"), F.explode("items").alias("b")))
-
-    def fold(rows: list[dict]) -> list[dict]:
-        order = sorted(rows, key=lambda r: (-r["n"], r["symbol"]))
-        return [{"symbol": s, "family": f} for s, f in mining.leaders([(r["symbol"], frozenset(r["items"])) for r in order], theta).items()]
-
-    placed = own.join(parts, F.col("items")[0] == F.col("node")).select("component", "symbol", "items", "n")
-    alone = motifs.where("coalesce(size(items), 0) < 1").select("symbol", F.col("symbol").alias("family"))
-    return folded(placed, ["component"], fold, "symbol string, family string").unionByName(alone)
-
-
 # Outcomes of a node's promotion, the first whose condition holds.
 PROMOTION = (
     ("keep_positive", "status = 'accepted'"),

@@ -1,4 +1,4 @@
-"""Components, itemsets, closure, leaders, covers and the folds over one case's events."""
+"""Components, itemsets, closure, covers and the folds over one case's events."""
 
 from __future__ import annotations
 
@@ -98,21 +98,6 @@ def closed(sets: DataFrame, tolerance: float = 0.0) -> DataFrame:
     return sets.join(over.select("items").distinct(), "items", "left_anti")
 
 
-def leaders(rows: list[tuple[str, frozenset]], theta: float) -> dict[str, str]:
-    """The family of each set, in the order given: the best one that it shares ``theta`` of the smaller set with, else its own. A family's core grows with its members; the list is a bounded table of motifs."""
-    cores: dict[str, set] = {}
-    out = {}
-    for name, items in rows:
-        best = max(((len(items & core) / min(len(items), len(core)), -k, leader) for k, (leader, core) in enumerate(cores.items())), default=(0.0, 0, name))
-        if best[0] >= theta:
-            cores[best[2]] |= items
-            out[name] = best[2]
-        else:
-            cores[name] = set(items)
-            out[name] = name
-    return out
-
-
 def greedy_cover(hits: DataFrame, truth: DataFrame, floor: float, most: int) -> list[tuple[str, int, float]]:
     """(symbol, true positives gained, precision of the union) of the symbols taken: each step the one with the largest gain that keeps the precision.
 

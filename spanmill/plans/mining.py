@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import aliases as A
 from ..operators import assembly as B
 from ..operators import decisions as D
+from ..operators import leaders
 from ..operators import merging as P
 from ..operators import metrics as M
 from ..operators import mining as X
@@ -195,7 +196,7 @@ def mine13_closed_itemsets(spark, sf_dir):
 @query()
 def mine14_leader_clustering(spark, sf_dir):
     motifs = M.support(anchored(spark, sf_dir).select("case_id", "symbol"), "symbol").withColumn("items", F.split("symbol", r"\+"))
-    return D.leader_families(motifs, 0.6)
+    return leaders.leader_families(motifs, 0.6)
 
 
 @query()

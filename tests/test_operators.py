@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from spanmill.functions import rules as R
 from spanmill.functions import text as T
 from spanmill.operators import decisions as D
+from spanmill.operators import leaders
 from spanmill.operators import metrics as M
 from spanmill.operators import mining as X
 from spanmill.operators import selection as C
@@ -155,11 +156,6 @@ def test_greedy_cover_and_confusion(spark):
     assert M.confusion(none, none).first().f1 == 0.0
 
 
-def test_leaders_keep_order():
-    sets = [("p", frozenset("ab")), ("q", frozenset("abc")), ("r", frozenset("xyz")), ("s", frozenset("cab"))]
-    assert X.leaders(sets, 0.6) == {"p": "p", "q": "p", "r": "r", "s": "p"}
-
-
 def test_folds_respect_their_caps(spark):
     rows = [(1, "f", 0, 1, k % 2, float(k), k) for k in range(6)] + [(1, "g", 0, 1, 0, 9.0, 50)]
     df = spark.createDataFrame(rows, "case_id long, family string, s long, e long, level long, score double, id long")
@@ -345,8 +341,8 @@ def test_decisions_with_other_groups(spark):
 
 def test_leader_families(spark):
     df = spark.createDataFrame([("p", ["a", "b"], 9), ("q", ["a", "b", "c"], 8), ("r", ["x", "y"], 7), ("s", ["c", "a"], 9), ("t", [], 1), ("u", None, 1)], "symbol string, items array<string>, n long")
-    assert {r.symbol: r.family for r in D.leader_families(df, 0.6).collect()} == {"p": "p", "q": "p", "r": "r", "s": "s", "t": "t", "u": "u"}
-    assert D.leader_families(df.limit(0), 0.6).count() == 0
+    assert {r.symbol: r.family for r in leaders.leader_families(df, 0.6).collect()} == {"p": "p", "q": "p", "r": "r", "s": "s", "t": "t", "u": "u"}
+    assert leaders.leader_families(df.limit(0), 0.6).count() == 0
 
 
 def test_two_stage_motifs(spark):

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanmill.operators import lexicon, metrics, selection, trees
+from spanmill.operators import leaders, lexicon, metrics, selection, trees
 
 
 @pytest.mark.parametrize("kind", ["outlier", "near", "signs", "equal", "two"])
@@ -101,3 +101,26 @@ def test_promotion_of_nodes(spark):
     matches = [("a", k, ["x"] if k < 4 else ["z"], 0.9) for k in range(6)] + [("a", 0, [], 0.1)] + [("b", k, ["q"] if k < 4 else [], 0.5) for k in range(6)] + [("c", k, None, 0.2) for k in range(9)] + [("e", k, ["x"], 0.9) for k in range(5)]
     got = {r.node: r.outcome for r in decisions.promotion(nodes, spark.createDataFrame(matches, "node string, case_id long, aliases array<string>, score double")).collect()}
     assert got == {"a": "promote_review", "b": "keep_component", "c": "split_or_downgrade", "d": "keep_positive", "e": "split_review"}
+
+
+def in_order(motifs, theta):
+    """The family of each motif (symbol, items, n), one after the other."""
+    cores, out = {}, {}
+    for symbol, items, _ in sorted(motifs, key=lambda r: (-r[2], r[0])):
+        shares = [(len(items & core) / min(len(items), len(core)), -k, leader) for k, (leader, core) in enumerate(cores.items())]
+        best = max(shares, default=(0.0, 0, ""))
+        family = best[2] if best[0] >= theta else symbol
+        cores.setdefault(family, set()).update(items)
+        out[symbol] = family
+    return out
+
+
+@pytest.mark.parametrize("theta, batch, near, kinds", [(0.6, 150, 8, 400), (0.6, 100, 1, 40), (1.0, 200, 3, 30)])
+def test_families_are_those_of_the_order(spark, theta, batch, near, kinds):
+    own = random.Random(kinds)
+    # A third of all motifs hold one item, some hold only it, some are equal, a few are large.
+    draw = lambda: {f"i{int(kinds * own.random() ** 2)}" for _ in range(own.choice([1, 2, 2, 3, 4, 5, 30]))} | ({"hot"} if own.random() < 0.33 else set())
+    motifs = [(f"m{k}", draw() if k % 20 else {"hot"}, own.randrange(50)) for k in range(400)]
+    df = spark.createDataFrame([(s, [*i, *list(i)[:1]], n) for s, i, n in motifs], "symbol string, items array<string>, n long")
+    got = {r.symbol: r.family for r in leaders.leader_families(df, theta, batch, near).collect()}
+    assert got == in_order(motifs, theta)
