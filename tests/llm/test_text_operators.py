@@ -302,7 +302,7 @@ def test_licenses_in_longer_blocks():
 def test_decoder_restores_known_words():
     model = toxicity.log_model(np.bincount(toxicity.grams("idiot scum the moron loser stupid trash and this is " * 50), minlength=toxicity.ALPHABET**4).astype(float))
     restorer = toxicity.Restorer(model)
-    cases = {"1d10t": "idiot", "i d i o t": "idiot", "stuuupid": "stupid", "m.o.r.o.n": "moron", "l0ser!!!": "loser", "$cum": "scum", "tr*sh": "trash", "plain": "plain", "42": "42", "***": ""}
+    cases = {"1d10t": "idiot", "i d i o t": "idiot", "stuuupid": "stupid", "m.o.r.o.n": "moron", "l0ser!!!": "loser", "$cum": "scum", "tr*sh": "trash", "s***id": "stupid", "st***d": "stupid", "m*r*n": "moron", "s*t*u*p*i*d": "stupid", "*scum*": "scum", "plain": "plain", "42": "42", "***": ""}
     assert {k: restorer.word(k) for k in cases} == cases
     assert sorted(restorer.restored("you i d i o t\nthe")) == ["idiot", "the", "you"]
 
@@ -320,11 +320,39 @@ def test_viterbi_equals_enumeration():
                 now = 0 if not s else (now << 5 | s) & 0x7FFF
         return total + float(model[now << 5])
 
-    for token in ("1b6", "a!|c", "xx1.b"):
+    for token in ("1b6", "a!|c", "xx1.b", "ab**c", "a***"):
         best = max(product(*toxicity.readings(token)), key=score)
         assert toxicity.decode(token, model) == "".join(x for x, _ in best)
 
 
+def test_wide_search_equals_the_one_by_states(monkeypatch):
+    model = toxicity.log_model(np.random.default_rng(3).integers(0, 50, toxicity.ALPHABET**4).astype(float))
+    r = random.Random(4)
+    tokens = ["".join(r.choice("abst1|!3**#.-000e ") for _ in range(r.randrange(2, 8))) for _ in range(60)]
+    out = []
+    for beam in (1, toxicity.BEAM, 10**9):
+        monkeypatch.setattr(toxicity, "BEAM", beam)
+        out.append([toxicity.decode(t, model) for t in tokens])
+    assert out[0] == out[1] == out[2]
+
+
+def test_toxicity_of_null_ids_and_repeated_rows(spark):
+    rows = [(k, f"the word {'stupid' if k % 3 == 0 else 'garden'} stands here {k}") for k in range(120)]
+    docs = spark.createDataFrame([*rows, *rows[:7], (None, rows[0][1]), (None, rows[1][1]), (None, None), (500, ""), (501, "s***id")], "doc_id long, text string")
+    labels = spark.createDataFrame([*((k, int(k % 3 == 0)) for k in range(120)), (3, 0), (None, 1), (4, None)], "doc_id long, toxic int")
+    got = toxicity.score_documents(docs, labels).collect()
+    assert len(got) == 132
+    by_text = {}
+    for r, text in [(r, dict(rows).get(r.doc_id)) for r in got]:
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) and (r.doc_id is not None or not r.held_out)
+        if text is not None:
+            assert by_text.setdefault(text, r.score) == r.score
+    assert [by_text[t] >= 0.7 for _, t in rows] == [k % 3 == 0 for k, _ in rows]
+    null = sorted(r.score for r in got if r.doc_id is None)
+    assert len(null) == 3 and null[-1] == by_text[rows[0][1]] and by_text[rows[1][1]] in null
+    assert next(r.predicted for r in got if r.doc_id == 501) == 1
+
+
 def test_toxicity_learns_and_leaves_clean_texts(spark):
     r = random.Random(8)
     vocabulary = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}ord" for k in range(200)]
