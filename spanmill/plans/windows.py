@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import numbers as N
 from ..operators import signals as G
 from ..operators import spans as S
 from ..registry import query
@@ -66,9 +67,11 @@ x AS (SELECT c.case_id, frame, t, peak, top, max(a) OVER (PARTITION BY c.case_id
 SELECT case_id, coalesce(min(frame) FILTER (near >= t), greatest(any_value(peak) - 3, 0)) AS s, coalesce(max(frame) FILTER (near >= t), least(any_value(peak) + 3, any_value(top))) AS e FROM x GROUP BY 1""")
 def win08_active_span(spark, sf_dir):
     f = frames(spark, sf_dir)
-    mid = f.groupBy("case_id").agg(F.percentile("value", F.lit(0.5)).alias("mid"))
+    listed = lambda c: F.array_sort(F.collect_list(c)).alias("_v")
+    mid = f.groupBy("case_id").agg(listed("value")).select("case_id", N.quantile(F.col("_v"), 0.5).alias("mid"))
     c = f.join(mid, "case_id").select("case_id", "frame", F.abs(F.col("value") - F.col("mid")).alias("a"))
-    t = c.groupBy("case_id").agg(F.greatest(F.lit(8.0), F.percentile("a", F.lit(0.7))).alias("t"), F.max_by("frame", F.struct("a", -F.col("frame"))).alias("peak"), F.max("frame").alias("top"))
+    t = c.groupBy("case_id").agg(listed("a"), F.max_by("frame", F.struct("a", -F.col("frame"))).alias("peak"), F.max("frame").alias("top"))
+    t = t.select("case_id", F.greatest(F.lit(8.0), N.quantile(F.col("_v"), 0.7)).alias("t"), "peak", "top")
     x = c.join(t, "case_id").withColumn("near", F.max("a").over(G.in_order().rowsBetween(-2, 2)))
     on = F.when(F.col("near") >= F.col("t"), F.col("frame"))
     return x.groupBy("case_id").agg(F.coalesce(F.min(on), F.greatest(F.first("peak") - 3, F.lit(0))).alias("s"), F.coalesce(F.max(on), F.least(F.first("peak") + 3, F.first("top"))).alias("e"))
@@ -102,7 +105,7 @@ def win11_first_crossing(spark, sf_dir):
 r AS (SELECT case_id, min(frame) AS s FROM i GROUP BY case_id, g HAVING count(*) >= 4) SELECT q.case_id, coalesce(min(s), any_value(top)) AS ends FROM q LEFT JOIN r USING (case_id) GROUP BY 1""")
 def win12_quiet_tail(spark, sf_dir):
     f = frames(spark, sf_dir)
-    q = f.groupBy("case_id").agg(F.percentile("value", F.lit(0.6)).alias("t"), F.max("frame").alias("top"))
+    q = f.groupBy("case_id").agg(F.array_sort(F.collect_list("value")).alias("_v"), F.max("frame").alias("top")).select("case_id", N.quantile(F.col("_v"), 0.6).alias("t"), "top")
     quiet = G.runs(f.join(q, "case_id"), F.col("value") < F.col("t"), 4).groupBy("case_id").agg(F.min("s").alias("s"))
     return q.join(quiet, "case_id", "left").select("case_id", F.coalesce("s", "top").alias("ends"))
 
