@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rounded
 from .greedy import exclusive
 
 
@@ -71,5 +72,5 @@ def attached(actions: DataFrame, captions: DataFrame, rules: list[AliasRule]) ->
     pairs = pairs.select("case_id", "action_id", "alias", "alias_group", "rule", "rank", "count", "confidence", "start", "priority", "rule_confidence")
     order = [F.col("rule"), F.col("rank"), -F.col("confidence"), -F.col("count"), F.col("start"), F.col("action_id")]
     taken = exclusive(pairs, [["case_id", "alias"], ["case_id", "alias_group"], ["case_id", "action_id"]], order)
-    sure = F.round(F.least(F.lit(0.92), F.greatest("confidence", F.lit(0.1)) * F.col("rule_confidence")), 4)
+    sure = rounded(F.least(F.lit(0.92), F.greatest("confidence", F.lit(0.1)) * F.col("rule_confidence")), 4)
     return taken.select("case_id", "action_id", "alias", sure.alias("confidence"), "priority")
