@@ -15,10 +15,15 @@ distances rank the codes for all queries of the batch at once, the best
 double precision on the original vectors, and the query's nearest of all chunks
 are kept. Equal queries are answered once.
 
+The search is then completed, so that rows unlike the sample cost no neighbours: within
+a chunk, entries whose asymmetric distance less the error of their own code is within the
+shortlist's worst are measured too; and a second pass goes to the cells not probed whose
+centroid is no farther than the worst found so far plus the cell's radius. What is left
+out is provably farther, so the result is that of brute force, on any rows.
+
 There are as many cells as the root of the entries, ``MAX_CELLS`` at most, as centroids
 are fitted on the sample and broadcast; beyond that cells have more chunks.
-``exact=True`` probes all cells and measures whole chunks: the result is then
-that of brute force.
+``exact=True`` probes all cells and measures whole chunks.
 
 Defined results: vectors that are null, zero, of another length than most, or
 hold null or non-finite components take no part, nor do rows without an id;
@@ -42,6 +47,8 @@ from .common import stored
 SAMPLE, CHUNK, BATCH, MAX_CELLS, CODES = 20_000, 8_192, 1_024, 4_096, 256
 #: Distances that a task works on at once.
 AT_ONCE = 1 << 20
+#: Share of the lengths involved that bounds allow for rounding.
+SLACK = 1e-6
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
@@ -103,6 +110,10 @@ class Quantizer:
         code = [nearest_rows(rest[:, a:b], book) for a, b, book in zip(self.bounds, self.bounds[1:], self.books, strict=False)]
         return cell, np.stack(code, axis=1).astype(np.uint8)
 
+    def decoded(self, cell: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The vectors that codes stand for."""
+        return self.centroids[cell] + np.concatenate([book[code[:, k]] for k, book in enumerate(self.books)], axis=1)
+
     def rough(self, queries: np.ndarray, cell: int, code: np.ndarray) -> np.ndarray:
         """Asymmetric distances of queries to coded vectors of a cell: (queries, vectors)."""
         rest = queries - self.centroids[cell]
@@ -165,11 +176,17 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, parts: int = 16,
             if batch.num_rows:
                 cell, code = own.encode(_matrix(batch.column(0)).astype(np.float64))
                 codes = pa.array([c.tobytes() for c in code], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), codes, batch.column(0), batch.column(1)], ["cell", "code", "embedding", "ids"])
-
-    index = stored(entries.mapInArrow(encoded, "cell int, code binary, embedding array<float>, ids array<long>"), "index")
+                own_rows = _matrix(batch.column(0)).astype(np.float64)
+                missed = np.linalg.norm(own_rows - own.decoded(cell, code), axis=1)
+                away = np.linalg.norm(own_rows - own.centroids[cell], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), codes, pa.array(missed), pa.array(away), batch.column(0), batch.column(1)], ["cell", "code", "missed", "away", "embedding", "ids"])
+
+    index = stored(entries.mapInArrow(encoded, "cell int, code binary, missed double, away double, embedding array<float>, ids array<long>"), "index")
+    radius = np.full(len(fitted.centroids), -np.inf)
+    for r in index.groupBy("cell").agg(F.max("away").alias("away")).collect():  # MAX_CELLS rows at most
+        radius[r.cell] = r.away
     chunks = index.groupBy("cell").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))  # MAX_CELLS rows at most
-    index = index.join(F.broadcast(chunks), "cell").withColumn("chunk", F.pmod(F.xxhash64(F.col("ids")[0]), F.col("chunks")).cast("int")).drop("chunks")
+    index = index.drop("away").join(F.broadcast(chunks), "cell").withColumn("chunk", F.pmod(F.xxhash64(F.col("ids")[0]), F.col("chunks")).cast("int")).drop("chunks")
 
     def probed(batches):
         own = Quantizer(**model.value)
@@ -180,16 +197,23 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, parts: int = 16,
                 cells = pa.ListArray.from_arrays(np.arange(0, near.size + 1, near.shape[1], dtype=np.int32), pa.array(near.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cells], ["query", "embedding", "cells"])
 
+    def left(batches):
+        own = Quantizer(**model.value)
+        for batch in batches:
+            if batch.num_rows:
+                wanted, limit = _matrix(batch.column(1)).astype(np.float64), batch.column(2).to_numpy()
+                gap = distances(wanted, own.centroids)
+                order = np.argsort(gap, axis=1, kind="stable")
+                slack = SLACK * (np.linalg.norm(wanted, axis=1)[:, None] + np.linalg.norm(own.centroids, axis=1)[None])
+                open_ = np.sqrt(np.maximum(gap, 0)) - slack <= limit[:, None] + radius[None]
+                np.put_along_axis(open_, order[:, : own.probes], False, axis=1)
+                row, cell = np.nonzero(open_)
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array(cell, pa.int32())], ["query", "embedding", "limit", "cell"])
+
     # Equal queries are asked once, by the smallest of their ids.
     asking = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
     asked = stored(asking.groupBy("embedding").agg(F.min("vec_id").alias("query")).select("query", "embedding"), "queries")
-    probes = asked.mapInArrow(probed, "query long, embedding array<float>, cells array<int>").select("query", "embedding", F.explode("cells").alias("cell"))
-    probes = stored(probes, "probes")
-    # MAX_CELLS rows at most, as before.
-    asking_of = probes.groupBy("cell").agg(F.ceil(F.count("*") / BATCH).cast("int").alias("batches")).join(chunks, "cell")
-    probes = probes.join(F.broadcast(asking_of), "cell").withColumn("batch", F.pmod(F.xxhash64("query"), F.col("batches")).cast("int"))
-    probes = probes.withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)"))).drop("chunks", "batches")
-    offered = index.join(F.broadcast(asking_of.drop("chunks")), "cell").withColumn("batch", F.explode(F.expr("sequence(0, batches - 1)"))).drop("batches")
 
     def searched(key, queries, entries):
         names = {"query": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()}
@@ -198,26 +222,56 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, parts: int = 16,
         own, cell = Quantizer(**model.value), key[0].as_py()
         code = np.frombuffer(b"".join(entries.column("code").to_pylist()), np.uint8).reshape(entries.num_rows, -1)
         vectors = _matrix(entries.column("embedding")).astype(np.float64)
+        missed = entries.column("missed").to_numpy()
+        size = np.linalg.norm(vectors, axis=1) + missed + np.linalg.norm(own.centroids[cell])
         ids = entries.column("ids").to_pylist()
         first = np.array([i[0] for i in ids], np.int64)
         asked, wanted = queries.column("query").to_pylist(), _matrix(queries.column("embedding")).astype(np.float64)
-        out = []
+        limit, out = queries.column("limit").to_numpy(), []
+
+        def measured(vector, of):
+            gap = np.sqrt(((vectors[of] - vector) ** 2).sum(1))
+            best = np.lexsort((first[of], gap))[: k + 1]
+            return sorted((d, i) for d, e in zip(gap[best].tolist(), of[best].tolist(), strict=True) for i in ids[e])[: k + 1]
+
         each = max(1, AT_ONCE // len(code))
         for at in range(0, len(asked), each):
             rough = own.rough(wanted[at : at + each], cell, code) if len(code) > shortlist else np.zeros((min(each, len(asked) - at), len(code)))
-            for query, vector, near in zip(asked[at : at + each], wanted[at : at + each], rough, strict=True):
+            exact = distances(wanted[at : at + each], vectors) if len(code) > shortlist else rough
+            for query, vector, near, plain, most in zip(asked[at : at + each], wanted[at : at + each], rough, exact, limit[at : at + each], strict=True):
                 short = shortest(near, first, shortlist)
-                gap = np.sqrt(((vectors[short] - vector) ** 2).sum(1))
-                best = np.lexsort((first[short], gap))[: k + 1]
-                found = sorted((d, i) for d, e in zip(gap[best].tolist(), short[best].tolist(), strict=True) for i in ids[e])[: k + 1]
-                out += [(query, i, d) for d, i in found]
+                found = measured(vector, short)
+                if len(short) < len(code):
+                    most = min(most, found[-1][0] if len(found) > k else np.inf)
+                    slack = SLACK * (np.linalg.norm(vector) + size)
+                    rest = (np.sqrt(np.maximum(near, 0)) - missed - slack <= most) & (np.sqrt(np.maximum(plain, 0)) - slack <= most)
+                    rest[short] = True
+                    found = measured(vector, np.nonzero(rest)[0])
+                out += [(query, i, d) for d, i in found if d <= most]
         return pa.table({c: pa.array([r[j] for r in out], t) for j, (c, t) in enumerate(names.items())})
 
     keys = ["cell", "chunk", "batch"]
-    found = probes.groupBy(*keys).cogroup(offered.groupBy(*keys)).applyInArrow(searched, "query long, vec_id long, score double")
     order = Window.partitionBy("query").orderBy("score", "vec_id")
-    best = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
-    lists = stored(best.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("near")), "found")
+
+    def search(probes: DataFrame) -> DataFrame:
+        """(query, vec_id, score): the nearest of each query (query, embedding, limit, cell) in its cells."""
+        probes = stored(probes, "probes")
+        # MAX_CELLS rows at most, as before.
+        asking_of = probes.groupBy("cell").agg(F.ceil(F.count("*") / BATCH).cast("int").alias("batches")).join(chunks, "cell")
+        probes = probes.join(F.broadcast(asking_of), "cell").withColumn("batch", F.pmod(F.xxhash64("query"), F.col("batches")).cast("int"))
+        probes = probes.withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)"))).drop("chunks", "batches")
+        offered = index.join(F.broadcast(asking_of.drop("chunks")), "cell").withColumn("batch", F.explode(F.expr("sequence(0, batches - 1)"))).drop("batches")
+        found = probes.groupBy(*keys).cogroup(offered.groupBy(*keys)).applyInArrow(searched, "query long, vec_id long, score double")
+        return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n")
+
+    probes = asked.mapInArrow(probed, "query long, embedding array<float>, cells array<int>")
+    found = stored(search(probes.select("query", "embedding", F.lit(float("inf")).alias("limit"), F.explode("cells").alias("cell"))), "found")
+    if fitted.probes < len(fitted.centroids):
+        worst = found.groupBy("query").agg(F.when(F.count("*") > k, F.max("score")).alias("limit"))
+        bounded = asked.join(worst, "query", "left").select("query", "embedding", F.coalesce("limit", F.lit(float("inf"))).alias("limit"))
+        more = search(bounded.mapInArrow(left, "query long, embedding array<float>, limit double, cell int"))
+        found = found.unionByName(more).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
+    lists = stored(found.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("near")), "lists")
     mine = asking.join(asked, "embedding").select(F.col("vec_id").alias("query_id"), "query").join(lists, "query")
     near = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     out = mine.select("query_id", F.posexplode(near).alias("at", "x"))
