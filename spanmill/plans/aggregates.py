@@ -87,7 +87,7 @@ def agg10_sample_collection(spark, sf_dir):
 @query(f"""WITH {BASKET}, v AS (SELECT case_id, tx, count(*) AS n FROM basket GROUP BY ALL)
 SELECT b.case_id, array_to_string(list_sort(list_distinct(list(item))), '|') AS items, max(n) AS most, count(*) AS total FROM basket b JOIN v USING (case_id, tx) GROUP BY 1""")
 def agg11_union_max_merge(spark, sf_dir):
-    lists = baskets(spark, sf_dir).groupBy("case_id", "tx").agg(F.collect_set("item").alias("own"), F.count("*").alias("n"))
+    lists = baskets(spark, sf_dir, "case_id").groupBy("case_id", "tx").agg(F.collect_set("item").alias("own"), F.count("*").alias("n"))
     merged = lists.groupBy("case_id").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("own")))), "|").alias("items"), F.max("n").alias("most"), F.sum("n").alias("total"))
     return merged
 
@@ -101,7 +101,7 @@ def agg12_counter_sum(spark, sf_dir):
 @query(f"""WITH {BASKET}, c AS (SELECT case_id, item, count(*) AS n FROM basket GROUP BY ALL), m AS (SELECT *, max(n) OVER (PARTITION BY case_id) AS most FROM c)
 SELECT case_id, item, n FROM m WHERE n >= 0.6 * most QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY n DESC, item) <= 4""")
 def agg13_stable_ids(spark, sf_dir):
-    c = baskets(spark, sf_dir).groupBy("case_id", "item").agg(F.count("*").alias("n"))
+    c = baskets(spark, sf_dir, "case_id").groupBy("case_id", "item").agg(F.count("*").alias("n"))
     kept = c.withColumn("most", F.max("n").over(Window.partitionBy("case_id"))).where("n >= 0.6 * most").drop("most")
     return M.top(kept, 4, ["case_id"], F.desc("n"), F.asc("item"))
 
@@ -232,7 +232,7 @@ def agg27_run_delta(spark, sf_dir):
 
 @query(f"""WITH {BASKET}, c AS (SELECT item, count(*) AS n, count(DISTINCT case_id) AS cases FROM basket GROUP BY 1) SELECT item, n, n / sum(n) OVER () AS share, cases, cases / (SELECT count(DISTINCT case_id) FROM basket) AS case_share FROM c ORDER BY n DESC, item LIMIT 12""")
 def agg28_percent_of_total(spark, sf_dir):
-    b = baskets(spark, sf_dir)
+    b = baskets(spark, sf_dir, "case_id")
     total = b.agg(F.count("*").alias("all_n"), F.countDistinct("case_id").alias("all_cases"))
     c = M.support(b, "item").join(F.broadcast(total))  # one row
     out = c.select("item", "n", (F.col("n") / F.col("all_n")).alias("share"), "cases", (F.col("cases") / F.col("all_cases")).alias("case_share"))

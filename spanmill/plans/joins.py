@@ -169,7 +169,7 @@ def join12_constrained_matching(spark, sf_dir):
 @query(f"""WITH {BASKET} SELECT n_name AS node, count(DISTINCT b.item) AS symbols, count(DISTINCT b.case_id) AS cases FROM basket b JOIN customer ON case_id = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
 def join13_membership_union(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("case_id"), F.col("n_name").alias("node"))
-    return baskets(spark, sf_dir).join(customers, "case_id").groupBy("node").agg(F.countDistinct("item").alias("symbols"), F.countDistinct("case_id").alias("cases"))
+    return baskets(spark, sf_dir, "case_id").join(customers, "case_id").groupBy("node").agg(F.countDistinct("item").alias("symbols"), F.countDistinct("case_id").alias("cases"))
 
 
 @query(f"""WITH {BASKET}, i AS (SELECT DISTINCT case_id, item FROM basket) SELECT a.item AS left_item, b.item AS right_item, count(*) AS shared FROM i a JOIN i b ON a.case_id = b.case_id AND a.item < b.item GROUP BY ALL HAVING count(*) >= 20""")
