@@ -39,7 +39,8 @@ def lookups(phrases: DataFrame) -> DataFrame:
 
 def looked_up(phrases: DataFrame, lexicon: DataFrame, most: int) -> DataFrame:
     """(id, rank, entry, how): the first ``most`` entries of ``lexicon`` (entry) for each phrase (id, phrase), with the level that found each."""
-    hits = lookups(phrases).join(lexicon.select(F.col("entry").alias("term")).distinct(), "term")
+    # A turn makes hundreds of terms, which the size of the phrases' files does not tell: neither side is broadcast.
+    hits = lookups(phrases).hint("merge").join(lexicon.select(F.col("entry").alias("term")).distinct(), "term")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("place"))
     ranked = metrics.top(hits, most, ["id"], F.asc("place")).withColumn("rank", rank)
     return ranked.select("id", "rank", F.col("term").alias("entry"), F.element_at(F.array(*map(F.lit, LEVELS)), F.col("level") + 1).alias("how"))

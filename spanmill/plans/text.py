@@ -72,7 +72,7 @@ def str06_lexicon_lookup(spark, sf_dir):
     words = distinct_words(spark, sf_dir)
     lexicon = words.where(F.length("w").between(3, 6)).select(F.col("w").alias("entry"))
     tried = words.select("w", F.explode(T.lemmas(F.col("w"))).alias("entry")).withColumn("kind", (F.col("entry") != F.col("w")).cast("int"))
-    found = M.top(tried.join(lexicon, "entry"), 2, ["w"], F.asc("kind"), F.asc("entry"))
+    found = M.top(tried.join(lexicon.hint("merge"), "entry"), 2, ["w"], F.asc("kind"), F.asc("entry"))
     return found.select(F.col("w").alias("word"), "entry", F.when(F.col("kind") == 0, "exact").otherwise("lemma").alias("how"))
 
 
