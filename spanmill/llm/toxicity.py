@@ -50,8 +50,8 @@ SWAP, DROP, MASKED, TWICE, SPACE = 1.0, 0.7, 4.0, 0.7, 2.0
 #: The same for a mask within a word, where it mostly stands for a letter: left out, read as one.
 INNER_DROP, INNER_MASKED = 3.0, 2.0
 
-#: Characters of a token in which a mask may be read as a letter and the search is exact, and the states that a step keeps in longer ones.
-LONG, BEAM = 64, 128
+#: States from which on a step goes over all of them in numpy (which changes the time, not the reading), and the different steps that are kept at a time.
+BEAM, HELD = 128, 64
 
 ALPHABET = 32  # 0 is the boundary, 1 to 26 are letters
 BLANK = 0
@@ -144,13 +144,16 @@ def log_model(total: np.ndarray) -> np.ndarray:
 def readings(token: str) -> list[list[tuple[str, float]]]:
     """The lattice of a token: for each place what may be read there, with its cost. A space may be read between letters spaced out.
 
-    Each mask, also of a run, may be a letter; it likely is one between letters, unless they all stand alone (as in i*d*i*o*t). In a token of over ``LONG`` characters, longer than words are, a mask is a sign left out.
+    Each mask, also of a run, may be a letter; it likely is one between letters, unless they all stand alone (as in i*d*i*o*t).
     """
-    masked = len(token) <= LONG
     places: list[tuple[str, list[tuple[str, float]]]] = []
     ends = [k for k, c in enumerate(token) if c not in MASK]
     inner = range(ends[0], ends[-1]) if ends and JOINED.search(token) else range(0)
+    made: dict[tuple[str, bool], tuple[str, list[tuple[str, float]]]] = {}
     for k, c in enumerate(token):
+        if own := made.get((c, k in inner)):
+            places.append(own)
+            continue
         s = fold(c)
         if s:
             places.append((chr(96 + s), [(chr(96 + s), 0.0)]))
@@ -158,18 +161,19 @@ def readings(token: str) -> list[list[tuple[str, float]]]:
             places.append((" ", [("", 0.0), (" ", SPACE)]))
         else:
             ways = [(x, SWAP) for x in LOOKS.get(c, "")]
-            if c in MASK and masked:
+            if c in MASK:
                 ways += [(chr(97 + x), INNER_MASKED if k in inner else MASKED) for x in range(26)]
             if c in JUNK or c in "!|(+":
-                ways.append(("", INNER_DROP if masked and c in MASK and k in inner else DROP))
+                ways.append(("", INNER_DROP if c in MASK and k in inner else DROP))
             places.append((c, ways or [(" ", DROP)]))
+        made[c, k in inner] = places[-1]
     out, at = [], 0
     while at < len(places):
         c, ways = places[at]
         end = at
         while end < len(places) and places[end][0] == c:
             end += 1
-        if end - at >= 3 and not (masked and c in MASK):  # a run is read as one of its kind, or as two
+        if end - at >= 3 and c not in MASK:  # a run is read as one of its kind, or as two
             ways = ways + [(x * 2, cost + TWICE) for x, cost in ways if x.strip()]
             out.append(ways)
             at = end
@@ -182,30 +186,26 @@ def readings(token: str) -> list[list[tuple[str, float]]]:
 def decode(token: str, model: np.ndarray) -> str:
     """The likeliest reading of a token under the channel and the character model (Viterbi; the state is the last three letters).
 
-    Exact for tokens of ``LONG`` characters at most: steps that keep more than ``BEAM`` states go over all of them in numpy.
-    In longer ones the ``BEAM`` best states go on. Readings are kept as links to what was read before, so that time and memory grow with the token's length.
+    Exact for tokens of any length. Scores are relative to the best, so that a step which meets the scores and ways of an
+    earlier one is that step. Readings are kept as links to what was read before: time and memory grow with the token's length.
     """
-    best: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
-    cell = model.item
-    lattice = readings(token)
-    for at, ways in enumerate(lattice):
-        step: dict[int, tuple[float, tuple | None]] = {}
-        for state, (score, link) in best.items():
-            for letters, cost in ways:
-                now, value = state, score - cost
-                for x in letters:
-                    s = 0 if x == " " else ord(x) - 96
-                    value += cell(now << 5 | s)
-                    now = 0 if not s else (now << 5 | s) & 0x7FFF
-                if now not in step or value > step[now][0]:
-                    step[now] = (value, (letters, link))
-        if len(step) > BEAM:
-            if len(token) <= LONG:
-                return decode_wide(lattice[at + 1 :], step, model)
-            step = dict(sorted(step.items(), key=lambda x: (-x[1][0], x[0]))[:BEAM])
-        best = step
-    _, state = max((score + cell(state << 5), -state) for state, (score, _) in best.items())
-    return unlinked(best[-state][1])
+    scores = np.zeros(1, np.int16), np.zeros(1)  # the states, ascending, and their scores
+    links: dict[int, tuple | None] = {0: None}
+    known: dict[tuple, tuple] = {}
+    seen, at, held = {}, 0, []
+    for ways in map(tuple, readings(token)):
+        step = known.get((at, ways))
+        if step is None:
+            if len(known) == HELD:
+                links, held = linked(links, held, np.arange(len(scores[0]))), []
+                known, seen, at = {}, {}, 0
+            after, way, back = stepped(*scores, ways, model)
+            place, _ = seen.setdefault(b"".join(x.tobytes() for x in after), (len(seen) + 1, after))
+            step = known[at, ways] = (place, after, way, back)
+        at, scores = step[:2]
+        held.append((ways, *step[2:]))
+    end = int((scores[1] + model.reshape(-1, ALPHABET)[scores[0], 0]).argmax())
+    return unlinked(linked(links, held, np.array([end]))[end])
 
 
 def unlinked(link: tuple | None) -> str:
@@ -217,48 +217,70 @@ def unlinked(link: tuple | None) -> str:
     return "".join(reversed(out))
 
 
-def decode_wide(lattice: list, best: dict[int, tuple[float, tuple | None]], model: np.ndarray) -> str:
-    """The likeliest reading from the states ``best`` on through ``lattice``, over all states at once."""
-    after = model.reshape(ALPHABET**3, ALPHABET)
-    score = np.full(ALPHABET**3, -np.inf)
-    for state, (value, _) in best.items():
-        score[state] = value
-    steps = []
-    for ways in lattice:
-        top, way, back = np.full(ALPHABET**3, -np.inf), np.zeros(ALPHABET**3, np.int16), np.zeros(ALPHABET**3, np.int16)
-        single = {ord(x) - 96: (k, cost) for k, (x, cost) in enumerate(ways) if len(x) == 1 and x != " "}
-        if len(single) > 3:  # all single letters at once, by the letter that falls out of the state
-            value, source = np.full((ALPHABET**2, ALPHABET), -np.inf), np.zeros((ALPHABET**2, ALPHABET), np.int16)
-            for a, (now, step) in enumerate(zip(score.reshape(ALPHABET, -1, 1), after.reshape(ALPHABET, -1, ALPHABET), strict=True)):
-                if now.max() > -np.inf:
-                    reached = now + step
-                    better = reached > value
-                    np.copyto(value, reached, where=better)
-                    np.copyto(source, np.int16(a << 10) + np.arange(ALPHABET**2, dtype=np.int16)[:, None], where=better)
-            for s, (k, cost) in single.items():
-                top.reshape(-1, ALPHABET)[:, s], way.reshape(-1, ALPHABET)[:, s], back.reshape(-1, ALPHABET)[:, s] = value[:, s] - cost, k, source[:, s]
-        for k, (letters, cost) in enumerate(ways):
-            if len(single) > 3 and len(letters) == 1 and letters != " ":
-                continue
-            now, source = score - cost, np.arange(ALPHABET**3, dtype=np.int16)
+def linked(links: dict[int, tuple | None], held: list, own: np.ndarray) -> dict[int, tuple | None]:
+    """What leads to the states at the places ``own`` after the steps ``held`` (ways, way, back), given the links before them; what leads to none is let go."""
+    through = [own]
+    for _, _, back in reversed(held):
+        before = back[through[-1]]
+        through.append(np.unique(before) if len(before) > 1 else before)
+    for (ways, way, back), at in zip(held, reversed(through[:-1]), strict=True):
+        links = {k: (ways[w][0], links[b]) for k, w, b in zip(at.tolist(), way[at].tolist(), back[at].tolist(), strict=True)}
+    return links
+
+
+def stepped(states: np.ndarray, scores: np.ndarray, ways: tuple, model: np.ndarray) -> tuple:
+    """The states and scores after one place of the lattice, and for each state its way and the place of the state before."""
+    if len(states) > BEAM:
+        return stepped_wide(states, scores, ways, model)
+    cell, step = model.item, {}
+    for k, (state, score) in enumerate(zip(states.tolist(), scores.tolist(), strict=True)):
+        for w, (letters, cost) in enumerate(ways):
+            now, value = state, score - cost
             for x in letters:
                 s = 0 if x == " " else ord(x) - 96
-                # The letter before the last two falls out of the state; a boundary leaves none.
-                value = (now + after[:, s]).reshape(ALPHABET if s else ALPHABET**3, -1)
-                first = value.argmax(0)
-                low = np.arange(value.shape[1])
-                to = low << 5 | s if s else low
-                now, source, before = np.full(ALPHABET**3, -np.inf), np.zeros_like(source), source
-                now[to], source[to] = value[first, low], before[first * value.shape[1] + low]
-            better = now > top
-            top[better], way[better], back[better] = now[better], k, source[better]
-        steps.append((ways, way, back))
-        score = top
-    state, out = int((score + after[:, 0]).argmax()), []
-    for ways, way, back in reversed(steps):
-        out.append(ways[way[state]][0])
-        state = int(back[state])
-    return unlinked(best[state][1]) + "".join(reversed(out))
+                value += cell(now << 5 | s)
+                now = 0 if not s else (now << 5 | s) & 0x7FFF
+            if now not in step or value > step[now][0]:
+                step[now] = (value, w, k)
+    after = sorted(step)
+    value = np.array([step[x][0] for x in after])
+    return (np.array(after, np.int16), value - value.max()), *(np.array([step[x][k] for x in after], np.int16) for k in (1, 2))
+
+
+def stepped_wide(states: np.ndarray, scores: np.ndarray, ways: tuple, model: np.ndarray) -> tuple:
+    """The same over all states at once."""
+    after = model.reshape(ALPHABET**3, ALPHABET)
+    score = np.full(ALPHABET**3, -np.inf)
+    score[states] = scores
+    top, way, back = np.full(ALPHABET**3, -np.inf), np.zeros(ALPHABET**3, np.int16), np.zeros(ALPHABET**3, np.int16)
+    single = {ord(x) - 96: (k, cost) for k, (x, cost) in enumerate(ways) if len(x) == 1 and x != " "}
+    if len(single) > 3:  # all single letters at once, by the letter that falls out of the state
+        value, source = np.full((ALPHABET**2, ALPHABET), -np.inf), np.zeros((ALPHABET**2, ALPHABET), np.int16)
+        for a, (now, step) in enumerate(zip(score.reshape(ALPHABET, -1, 1), after.reshape(ALPHABET, -1, ALPHABET), strict=True)):
+            if now.max() > -np.inf:
+                reached = now + step
+                better = reached > value
+                np.copyto(value, reached, where=better)
+                np.copyto(source, np.int16(a << 10) + np.arange(ALPHABET**2, dtype=np.int16)[:, None], where=better)
+        for s, (k, cost) in single.items():
+            top.reshape(-1, ALPHABET)[:, s], way.reshape(-1, ALPHABET)[:, s], back.reshape(-1, ALPHABET)[:, s] = value[:, s] - cost, k, source[:, s]
+    for k, (letters, cost) in enumerate(ways):
+        if len(single) > 3 and len(letters) == 1 and letters != " ":
+            continue
+        now, source = score - cost, np.arange(ALPHABET**3, dtype=np.int16)
+        for x in letters:
+            s = 0 if x == " " else ord(x) - 96
+            # The letter before the last two falls out of the state; a boundary leaves none.
+            value = (now + after[:, s]).reshape(ALPHABET if s else ALPHABET**3, -1)
+            first = value.argmax(0)
+            low = np.arange(value.shape[1])
+            to = low << 5 | s if s else low
+            now, source, before = np.full(ALPHABET**3, -np.inf), np.zeros_like(source), source
+            now[to], source[to] = value[first, low], before[first * value.shape[1] + low]
+        better = now > top
+        top[better], way[better], back[better] = now[better], k, source[better]
+    alive = np.flatnonzero(top > -np.inf)
+    return (alive.astype(np.int16), top[alive] - top.max()), way[alive], np.searchsorted(states, back[alive]).astype(np.int16)
 
 
 class Restorer:
