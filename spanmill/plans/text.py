@@ -10,6 +10,7 @@ from ..operators import lexicon as X
 from ..operators import metrics as M
 from ..registry import query
 from ..sources.adapters import CAP, captions, table
+from ..sources.store import stored
 
 NORM = r"""norm AS (SELECT case_id, node, trim(regexp_replace(regexp_replace(regexp_replace(lower(caption), '[-\n\t]', ' ', 'g'), '[^a-z0-9'' ]', '', 'g'), ' +', ' ', 'g')) AS t FROM cap)"""
 TOK = f"""WITH {CAP}, {NORM}, tok AS (SELECT case_id, node, list_filter(list_transform(string_split(t, ' '), lambda w: trim(w, '''')), lambda w: w <> '') AS w FROM norm)"""
@@ -18,10 +19,30 @@ GRAMS = " UNION ALL ".join(f"SELECT case_id, node, unnest(list_distinct(list_tra
 READ = f"""{TOK}, allg AS ({GRAMS}), g AS (SELECT DISTINCT case_id, node, gram FROM allg WHERE string_split(gram, ' ')[1] NOT IN ({EDGE}) AND string_split(gram, ' ')[-1] NOT IN ({EDGE}) AND length(replace(gram, ' ', '')) >= 2)"""
 
 
+#: Characters of captions whose phrases a task holds, about.
+CHARS_IN_TASK = 4_000_000
+
+
 def grams(spark, sf_dir, most=3):
-    """(case_id, node, gram): the distinct readable n-grams of each caption."""
+    """Two tables (case_id, node, own) of the distinct readable n-grams of each caption: of ids that occur once, of the others.
+
+    An id that occurs once needs no exchange of its grams; only ids are counted.
+    """
+    cap = captions(spark, sf_dir)
+    again = stored(cap.groupBy("case_id").count().where("count > 1").select(F.col("case_id").alias("id")), "ids")
+    same = F.col("case_id").eqNullSafe(F.col("id"))
     words = T.tokens(T.normalized(F.col("caption")))
-    return captions(spark, sf_dir).select("case_id", "node", words.alias("w")).select("case_id", "node", F.explode(T.ngrams(F.col("w"), most)).alias("gram"))
+    # Exploded, so that a filter on the grams does not take in what they are made of, once for each word.
+    held = lambda c: F.explode(F.array(c))
+    own = lambda df: df.select("case_id", "node", held(words).alias("w")).select("case_id", "node", held(T.ngrams(F.col("w"), most)).alias("own"))
+    several = own(cap.join(again, same, "left_semi")).groupBy("case_id", "node").agg(F.array_distinct(F.flatten(F.collect_list("own"))).alias("own"))
+    return own(cap.join(again, same, "left_anti")).where(F.size("own") > 0), several.where(F.size("own") > 0)
+
+
+def every_gram(spark, sf_dir, most=3):
+    """(case_id, node, own): the distinct readable n-grams of each caption."""
+    once, several = grams(spark, sf_dir, most)
+    return once.union(several)
 
 
 @query(f"WITH {CAP}, {NORM} SELECT case_id, md5(t) AS digest, length(t) AS n FROM norm")
@@ -38,16 +59,37 @@ def str02_tokens(spark, sf_dir):
 
 @query(f"{READ} SELECT case_id, count(*) AS n, md5(string_agg(gram, '|' ORDER BY gram)) AS digest FROM g GROUP BY 1")
 def str03_readable_ngrams(spark, sf_dir):
-    g = grams(spark, sf_dir).groupBy("case_id").agg(F.array_sort(F.collect_list("gram")).alias("l"))
-    return g.select("case_id", F.size("l").cast("long").alias("n"), F.md5(F.array_join("l", "|").cast("binary")).alias("digest"))
+    once, several = grams(spark, sf_dir)
+    several = several.groupBy("case_id").agg(F.flatten(F.collect_list("own")).alias("own"))
+    g = once.select("case_id", "own").union(several)
+    return g.select("case_id", F.size("own").cast("long").alias("n"), F.md5(F.array_join(F.array_sort("own"), "|").cast("binary")).alias("digest"))
 
 
 @query(f"{READ} SELECT gram, count(*) AS captions, count(DISTINCT node) AS nodes, min(case_id) AS example FROM g GROUP BY 1 HAVING count(*) >= 5")
 def str04_phrase_support(spark, sf_dir):
-    # By node first, so that nodes are counted without a second copy of all grams.
-    g = grams(spark, sf_dir).groupBy("gram", "node").agg(F.count("*").alias("n"), F.min("case_id").alias("example"))
-    g = g.groupBy("gram").agg(F.sum("n").alias("captions"), F.count("node").alias("nodes"), F.min("example").alias("example"))
-    return g.where("captions >= 5")
+    # Words meet as counts of each task. Phrases of two and three words would hardly be summed there: each three-word one is
+    # sent once, to the task of its first two words, and stands for these as well; nothing is sent again to be counted.
+    words = every_gram(spark, sf_dir, 1).select("case_id", "node", F.explode("own").alias("gram"))
+    spaces = lambda g: F.length(g) - F.length(F.replace(g, F.lit(" "), F.lit("")))
+    head = lambda g: F.substring_index(g, " ", 2)
+    # In order, a phrase of two words is followed by those of three that begin with it.
+    sent = F.transform("own", lambda g, i: F.when(
+        ~((spaces(g) == 1) & F.coalesce(F.startswith(F.get("own", i + 1), F.concat(g, F.lit(" "))), F.lit(False))),
+        F.struct(g.alias("sent"), ((spaces(g) == 2) & (F.get("own", i - 1) == head(g))).alias("both")),
+    ))
+    longer = every_gram(spark, sf_dir, 3).select("case_id", "node", F.array_sort(F.filter("own", lambda g: F.contains(g, F.lit(" ")))).alias("own"))
+    longer = longer.select("case_id", "node", F.inline(F.array_compact(sent)))
+    chars = captions(spark, sf_dir).agg(F.sum(F.length("caption"))).first()[0] or 0
+    longer = longer.withColumn("head", head(F.col("sent"))).repartition(1 + chars // CHARS_IN_TASK, "head")
+    longer = longer.select("case_id", "node", "head", F.explode(F.when(F.col("both"), F.array("sent", "head")).otherwise(F.array("sent"))).alias("gram"))
+
+    def supported(g, *keys):
+        # By node first, so that nodes are counted without a second copy of all grams.
+        g = g.groupBy(*keys, "gram", "node").agg(F.count("*").alias("n"), F.min("case_id").alias("example"))
+        g = g.groupBy(*keys, "gram").agg(F.sum("n").alias("captions"), F.count("node").alias("nodes"), F.min("example").alias("example"))
+        return g.where("captions >= 5").select("gram", "captions", "nodes", "example")
+
+    return supported(words).union(supported(longer, "head"))
 
 
 LEM = """v AS (SELECT w, list_distinct(list_filter([w, CASE WHEN w LIKE '%ies' AND length(w) > 4 THEN regexp_replace(w, 'ies$', 'y') END,
