@@ -122,6 +122,10 @@ class Point(tuple):
         """Inner product."""
         return self[0] * other[0] + self[1] * other[1] + self[2] * other[2]
 
+    def cross(self, other: Point) -> Point:
+        """Cross product."""
+        return Point(self[a] * other[b] - self[b] * other[a] for a, b in ((1, 2), (2, 0), (0, 1)))
+
     def length(self) -> Column:
         """Euclidean norm."""
         return F.sqrt(self.dot(self))
@@ -138,11 +142,10 @@ def joint(name: str) -> Point:
     return Point(F.col("joints")[JOINTS[name]][k].cast("double") for k in range(3))
 
 
-def forward_axis() -> Point:
-    """Where the chest faces, level."""
+def trunk_axes() -> tuple[Point, Point]:
+    """Across the shoulders, and up the trunk; their cross product is where the chest faces."""
     ls, rs = joint("left_shoulder"), joint("right_shoulder")
-    a, u = rs - ls, ls.middle(rs) - joint("left_hip").middle(joint("right_hip"))
-    return Point((a[1] * u[2] - a[2] * u[1], a[2] * u[0] - a[0] * u[2], a[0] * u[1] - a[1] * u[0])).level((0.0, 0.0, 1.0))
+    return rs - ls, ls.middle(rs) - joint("left_hip").middle(joint("right_hip"))
 
 
 def lateral_axis() -> Point:
@@ -338,7 +341,7 @@ def level_events(frames: DataFrame, rule: LevelRule | None = None, chunk: int =
 def support_events(frames: DataFrame, rule: SupportRule | None = None, chunk: int = 4096) -> DataFrame:
     """Runs in which the body is upside down on its hands, lies low and level, or is low with a hand on the floor."""
     rule = rule or SupportRule()
-    sizes = frames.select("case_id", limb_length().alias("size")).where("size > 1e-4 AND size < double('infinity')")
+    sizes = stored(frames.select("case_id", limb_length().alias("size")), "sizes").where("size > 1e-4 AND size < double('infinity')")
     scale = metrics.percentiles(sizes, ["case_id"], "size", [0.5]).select("case_id", F.greatest("p1", F.lit(0.25)).alias("scale"))
     own = frames.join(scale, "case_id", "left").withColumn("scale", F.coalesce("scale", F.lit(1.0)))
     raw = own.select("case_id", "frame", *[c.alias(n) for n, c in support_signals(F.col("scale")).items()])
@@ -358,14 +361,22 @@ def support_events(frames: DataFrame, rule: SupportRule | None = None, chunk: in
 
 
 def arm_frames(frames: DataFrame) -> DataFrame:
-    """(case_id, side, frame, x, y, z, forward, lateral): each wrist as its shoulder sees it, and how far forward and aside."""
-    rows = []
-    for side in SIDES:
-        rel, axis = joint(f"{side}_wrist") - joint(f"{side}_shoulder"), forward_axis()
-        ahead = rel[0] * axis[0] + rel[2] * axis[2]
-        aside = F.sqrt((rel[0] - axis[0] * ahead) ** 2 + (rel[2] - axis[2] * ahead) ** 2)
-        rows.append(F.struct(F.lit(side).alias("side"), *[c.alias(n) for c, n in zip((*rel, ahead, aside), ("x", "y", "z", "forward", "lateral"), strict=True)]))
-    return frames.select("case_id", "frame", F.inline(F.array(*rows))).where(" AND ".join(f"{c} < double('infinity')" for c in ("x", "y", "z", "forward")))
+    """(case_id, side, frame, x, y, z, forward, lateral): each wrist as its shoulder sees it, and how far forward and aside.
+
+    Step by step, as each value is used many times over: one expression of all would grow beyond what Spark compiles.
+    """
+    across, up = trunk_axes()
+    facing = {f"facing_{k}": c for k, c in zip("xyz", across.cross(up), strict=True)}
+    wrists = {f"{side}_{k}": c for side in SIDES for k, c in zip("xyz", joint(f"{side}_wrist") - joint(f"{side}_shoulder"), strict=True)}
+    own = frames.select("case_id", "frame", *[c.alias(n) for n, c in (facing | wrists).items()])
+    ahead = Point(F.col(n) for n in facing).level((0.0, 0.0, 1.0))
+    own = own.select("case_id", "frame", *wrists, ahead[0].alias("ahead_x"), ahead[2].alias("ahead_z"))
+    at = lambda side, k: F.col(f"{side}_{k}")
+    own = own.withColumns({f"{side}_forward": at(side, "x") * F.col("ahead_x") + at(side, "z") * F.col("ahead_z") for side in SIDES})
+    aside = lambda side: F.sqrt(sum(((at(side, k) - F.col(f"ahead_{k}") * at(side, "forward")) ** 2 for k in "xz"), F.lit(0.0)))
+    own = own.withColumns({f"{side}_lateral": aside(side) for side in SIDES})
+    rows = [F.struct(F.lit(side).alias("side"), *[at(side, n).alias(n) for n in ("x", "y", "z", "forward", "lateral")]) for side in SIDES]
+    return own.select("case_id", "frame", F.inline(F.array(*rows))).where(" AND ".join(f"{c} < double('infinity')" for c in ("x", "y", "z", "forward")))
 
 
 def padded(sources: DataFrame, lengths: DataFrame, gap: int, pad: int) -> DataFrame:
@@ -428,10 +439,11 @@ def arm_events(frames: DataFrame, sources: DataFrame, arm: ArmRule | None = None
     """
     arm, reach = arm or ArmRule(), reach or ReachRule()
     arms = stored(arm_frames(frames), "arms")
+    sources = stored(sources.select("case_id", "side", "s", "e"), "sources")
     lengths = frames.groupBy("case_id").agg((F.max("frame") + 1).alias("frames"))
     # Where there are no source spans of a side, the whole case is searched for a reach.
     both = lengths.select("case_id", F.explode(F.array(*map(F.lit, SIDES))).alias("side"), F.lit(0).cast("long").alias("s"), (F.col("frames") - 1).alias("e"))
-    searched = sources.select("case_id", "side", "s", "e").unionByName(both.join(sources, ["case_id", "side"], "left_anti"))
+    searched = sources.unionByName(both.join(sources, ["case_id", "side"], "left_anti"))
     around = padded(sources, lengths, arm.span_gap, arm.span_pad).withColumn("use", F.lit("arm")).unionByName(padded(searched, lengths, reach.span_gap, arm.span_pad).withColumn("use", F.lit("reach")))
     found = stored(trajectories(arms, around, arm, chunk).where("kind IS NOT NULL"), "ways")
     ways, taken = found.where("use = 'arm'"), found.where("use = 'reach'")
@@ -467,12 +479,13 @@ def wrist_over_shoulder(frames: DataFrame, chunk: int = 4096) -> DataFrame:
     return flag_runs(frames, flags, ["case_id"], 1, 0, chunk).select("case_id", F.col("name").alias("side"), "s", "e")
 
 
-def detected(frames: DataFrame, sources: DataFrame, hand: StateRule = HAND, leg: StateRule = LEG, stance: StateRule = STANCE, level: LevelRule | None = None, support: SupportRule | None = None, arm: ArmRule | None = None, reach: ReachRule | None = None, chunk: int = 4096) -> DataFrame:
-    """The events of all seven detectors.
+def detected(frames: DataFrame, sources: DataFrame | None = None, hand: StateRule = HAND, leg: StateRule = LEG, stance: StateRule = STANCE, level: LevelRule | None = None, support: SupportRule | None = None, arm: ArmRule | None = None, reach: ReachRule | None = None, chunk: int = 4096) -> DataFrame:
+    """The events of all seven detectors; without ``sources``, wrists over shoulders are the source spans.
 
     Frames without joints, or with a null coordinate, have no signals and are in no
     run. An empty table gives an empty result; other columns are ignored.
     """
     own = stored(frames.select("case_id", F.col("frame").cast("long").alias("frame"), "joints"), "frames")
+    sources = wrist_over_shoulder(own) if sources is None else sources
     found = [state_events(own, hand, leg, stance, chunk), level_events(own, level, chunk), support_events(own, support, chunk), arm_events(own, sources, arm, reach, chunk)]
     return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])

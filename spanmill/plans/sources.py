@@ -231,6 +231,5 @@ def joint_rules() -> dict:
 @query()
 def udf04_joint_detectors(spark, sf_dir):
     """All seven detectors of joint positions over the vectors as frames of a body, in chunks of 16 frames."""
-    own = joint_frames(spark, sf_dir)
-    found = J.detected(own, J.wrist_over_shoulder(own), **joint_rules(), chunk=16)
+    found = J.detected(joint_frames(spark, sf_dir), **joint_rules(), chunk=16)
     return found.select("case_id", "detector", "side", "kind", "s", "e", F.round("magnitude", 5).alias("magnitude"), "unit", "count")
